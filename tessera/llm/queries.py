@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup
-from tessera.llm.common import documents
+from tessera.llm import exact_dedup, packing, token_files
+from tessera.llm.common import documents, scratch_root
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_root(spark)}/tessera-tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(documents(spark, sf_dir), path)
+    return token_files.digests(spark, path)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op2_best_fit_packing,
+        op3_token_files,
+        op8_exact_dedup,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op8_exact_dedup": """
