@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, packing, token_files
+from tessera.llm import byte_bpe, edit_counts, exact_dedup, minhash, packing, token_files
 from tessera.llm.common import documents, scratch_root
 
 
@@ -21,6 +21,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(documents(spark, sf_dir), shingle_words=4, percent=80)
+
+
+def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.edit_counts(documents(spark, sf_dir))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
@@ -30,6 +42,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_best_fit_packing,
         op3_token_files,
+        op4_minhash_near_dedup,
+        op5_edit_aware_counts,
+        op7_byte_bpe,
         op8_exact_dedup,
     )
 }
