@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, edit_counts, exact_dedup, minhash, packing, token_files
+from tessera.llm import byte_bpe, edit_counts, exact_dedup, line_crf, minhash, packing, token_files
 from tessera.llm.common import documents, scratch_root
 
 
@@ -29,6 +29,11 @@ def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edit_counts(documents(spark, sf_dir))
 
 
+def op6_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return line_crf.verdicts(docs, line_crf.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_files,
         op4_minhash_near_dedup,
         op5_edit_aware_counts,
+        op6_line_crf_quality,
         op7_byte_bpe,
         op8_exact_dedup,
     )
