@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, edit_counts, exact_dedup, line_crf, minhash, packing, token_files
+from tessera.llm import byte_bpe, edit_counts, exact_dedup, line_crf, minhash, packing, suffix_dedup, token_files
 from tessera.llm.common import documents, scratch_root
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_suffix_array_dedup,
         op2_best_fit_packing,
         op3_token_files,
         op4_minhash_near_dedup,
