@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, edit_counts, exact_dedup, line_crf, minhash, packing, suffix_dedup, token_files
+from tessera.llm import byte_bpe, chaining, edit_counts, exact_dedup, line_crf, minhash, packing, suffix_dedup, token_files
 from tessera.llm.common import documents, scratch_root
 
 
@@ -46,6 +46,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
 
+def op9_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_line_crf_quality,
         op7_byte_bpe,
         op8_exact_dedup,
+        op9_collinear_chaining,
     )
 }
 
