@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chaining, edit_counts, exact_dedup, line_crf, minhash, packing, suffix_dedup, token_files
+from tessera.llm import byte_bpe, chaining, context_mixing, edit_counts, exact_dedup, line_crf, minhash, packing, suffix_dedup, token_files
 from tessera.llm.common import documents, scratch_root
 
 
@@ -50,6 +50,10 @@ def op9_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passages(documents(spark, sf_dir))
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_byte_bpe,
         op8_exact_dedup,
         op9_collinear_chaining,
+        op10_context_mixing,
     )
 }
 
