@@ -154,8 +154,8 @@ class ByteBpe:
         n = len(ids)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         get, tokens = self.ranks.get, self.tokens
-        first = self.pairs.lookup(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
+        first = [get(piece[i : i + 2]) for i in range(n - 1)]
+        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -182,7 +182,11 @@ class ByteBpe:
         new = list({p for p in pieces if p not in self.known})
         if not new:
             return
-        got = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in new])
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        if len(raw) < 64:  # too few rows for matrices to pay
+            got = [np.array([self.ranks[p]], np.int32) if p in self.ranks else self._by_heap(p) for p in raw]
+        else:
+            got = self.encode_pieces(raw)
         raw = np.concatenate(got).astype("<u4").tobytes()
         end = np.cumsum([4 * len(g) for g in got]).tolist()
         self.known.update(zip(new, (raw[a:b] for a, b in zip([0, *end], end))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +24,22 @@ class TokenTree:
     the edit that the new split meets again. Only those pre-tokens are encoded anew.
     """
 
-    def __init__(self, text: str, bpe: byte_bpe.ByteBpe):
+    def __init__(self, text: str, bpe: byte_bpe.ByteBpe, pieces: list[str] | None = None):
         self.bpe, self.text, self.reencoded = bpe, text, 0
-        pieces = bpe.pattern.findall(text)
+        pieces = bpe.pattern.findall(text) if pieces is None else pieces
         counts = self._counts(pieces)
-        self.leaves = [[(len(p), n) for p, n in zip(pieces[i : i + LEAF], counts[i : i + LEAF])] for i in range(0, len(pieces), LEAF)] or [[]]
+        both = list(zip(map(len, pieces), counts))
+        self.leaves = [both[i : i + LEAF] for i in range(0, len(both), LEAF)] or [[]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = sum(a for a, _ in leaf), sum(b for _, b in leaf)
+            self.chars[self.size + i], self.tokens[self.size + i] = map(sum, zip(*leaf)) if leaf else (0, 0)
         for i in range(self.size - 1, 0, -1):
             self._pull(i)
 
     def _counts(self, pieces: list[str]) -> list[int]:
         self.bpe.learn(pieces)
-        return [len(self.bpe.known[p]) // 4 for p in pieces]
+        return [n >> 2 for n in map(len, map(self.bpe.known.__getitem__, pieces))]
 
     def _pull(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -117,7 +119,7 @@ class TokenTree:
 
     def _update(self, leaf: int) -> None:
         i = self.size + leaf
-        self.chars[i], self.tokens[i] = sum(a for a, _ in self.leaves[leaf]), sum(b for _, b in self.leaves[leaf])
+        self.chars[i], self.tokens[i] = map(sum, zip(*self.leaves[leaf])) if self.leaves[leaf] else (0, 0)
         i >>= 1
         while i:
             self._pull(i)
@@ -125,14 +127,17 @@ class TokenTree:
 
 
 #: What the masking edits replace: e-mail addresses, runs of three or more digits, runs of a mark.
-MASKED = r"[\w.+-]+@[\w-]+\.[\w.]+|\d{3,}|([*$%&#|!])\1{2,}"
+ADDRESS = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+")
+MASKED = re.compile(r"[0-9]{3,}|([*$%&#|!])\1{2,}")
 
 
-def masking_edits(text: str, mask: str = " <masked> ", pattern: str = MASKED) -> list[tuple[int, int, str]]:
+def masking_edits(text: str, mask: str = " <masked> ") -> list[tuple[int, int, str]]:
     """(start, length, replacement), last place first, so that earlier positions hold."""
-    import regex
-
-    return [(m.start(), m.end() - m.start(), mask) for m in regex.finditer(pattern, text)][::-1]
+    found = [m.span() for m in MASKED.finditer(text)]
+    if "@" in text:
+        whole = [m.span() for m in ADDRESS.finditer(text)]
+        found = sorted(whole + [f for f in found if not any(a < f[1] and f[0] < b for a, b in whole)])
+    return [(a, b - a, mask) for a, b in reversed(found)]
 
 
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int64()), ("n_tokens_edited", pa.int64()), ("n_pieces", pa.int64()), ("n_reencoded", pa.int64()), ("edited_sha256", pa.string())])
@@ -158,13 +163,22 @@ def edit_counts(docs: DataFrame, edits=masking_edits, edits_col: str | None = No
                 if len(bpe.known) > bpe.keep:
                     bpe.known = {}
                 cols: list[list] = [[] for _ in ARROW]
-                for doc, text in zip(c.ids.tolist(), c.texts()):
+                texts = c.texts()
+                split = [bpe.pattern.findall(t) for t in texts]
+                bpe.learn({p for s in split for p in s})
+                get = bpe.known.__getitem__
+                for doc, text, pieces in zip(c.ids.tolist(), texts, split):
                     todo = edits(text) if given is None else [(e["start"], e["length"], e["replacement"] or "") for e in given.get(doc) or []]
-                    tree = TokenTree(text, bpe)
-                    before, n = tree.count, sum(map(len, tree.leaves))
-                    for start, length, new in todo:
-                        tree.replace(start, length, new)
-                    for col, v in zip(cols, (doc, before, len(todo), tree.count, n, tree.reencoded, hashlib.sha256(tree.text.encode("utf-8", "surrogatepass")).hexdigest())):
+                    if todo:
+                        tree = TokenTree(text, bpe, pieces)
+                        before = tree.count
+                        for start, length, new in todo:
+                            tree.replace(start, length, new)
+                        after, again, text = tree.count, tree.reencoded, tree.text
+                    else:
+                        before = after = sum(map(len, map(get, pieces))) >> 2
+                        again = 0
+                    for col, v in zip(cols, (doc, before, len(todo), after, len(pieces), again, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())):
                         col.append(v)
                 yield table(ARROW, *cols)
 
