@@ -52,19 +52,19 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def _pieces(path: str, capacity: int, end_id: int | None):
-    tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
-
     def run(batches):
-        enc, step = word_bpe.encoder(path), capacity * 4
+        enc = word_bpe.encoder(path)
         for c in chunks(batches):
-            cols = [[], [], [], [], []]
-            for doc, raw in zip(c.ids.tolist(), enc.encode_all(c.texts())):
-                raw += tail
-                for p, at in enumerate(range(0, len(raw), step)):
-                    part = raw[at : at + step]
-                    for col, v in zip(cols, (doc, p, at // 4, len(part) // 4, zlib.crc32(part))):
-                        col.append(v)
-            yield table(ARROW, *cols)
+            ids, offs = enc.encode_with_end(c, end_id)
+            n = -(-np.diff(offs) // capacity)
+            row = np.repeat(np.arange(len(c)), n)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(capacity, np.diff(offs)[row] - start)
+            raw = memoryview(ids.astype("<u4")).cast("B")
+            at = ((offs[:-1][row] + start) * 4).tolist()
+            crc = [zlib.crc32(raw[a : a + k]) for a, k in zip(at, (length * 4).tolist())]
+            yield table(ARROW, c.ids[row], piece.astype(np.int32), start, length, np.array(crc, np.int64))
 
     return run
 

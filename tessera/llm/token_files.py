@@ -24,19 +24,14 @@ CRC = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("part", pa.i
 
 
 def _encode(path: str, end_id: int | None):
-    tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
-
     def run(batches):
         from pyspark import TaskContext
 
         enc, part, start = word_bpe.encoder(path), TaskContext.get().partitionId(), 0
         for c in chunks(batches):
-            raw = [x + tail for x in enc.encode_all(c.texts())]
-            n = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
-            offs = np.r_[0, np.cumsum(n)]
-            ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))
-            yield table(ARROW, c.ids, n, np.full(len(n), part, np.int32), start + offs[:-1], lists)
+            ids, offs = enc.encode_with_end(c, end_id)
+            lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids.view(np.int32), pa.int32()))
+            yield table(ARROW, c.ids, np.diff(offs), np.full(len(c), part, np.int32), start + offs[:-1], lists)
             start += int(offs[-1])
 
     return run
@@ -54,7 +49,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     ordered = rows.where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     (
         arrow_map(ordered, _encode(tokenizer or word_bpe.default_path(), end_id), SCHEMA)
-        .write.option("compression", "zstd")
+        .write.option("compression", "snappy")
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "true")
         .option("parquet.dictionary.page.size", str(1 << 20))
@@ -85,8 +80,8 @@ def with_start(df: DataFrame) -> DataFrame:
 def _crc(batches):
     for b in batches:
         ids, offs = b.column("tokens").flatten(), b.column("tokens").offsets.to_numpy()
-        raw = ids.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        at = ((offs - offs[0]) * 4).tolist()
+        raw = memoryview(np.ascontiguousarray(ids.to_numpy(zero_copy_only=False).astype("<u4"))).cast("B")
+        at = ((offs - offs[0]).astype(np.int64) * 4).tolist()
         crc = [zlib.crc32(raw[s:e]) for s, e in zip(at, at[1:])]
         yield table(CRC, b.column("doc_id"), b.column("n_tokens"), b.column("part"), b.column("part_start"), np.asarray(crc, np.int64))
 
