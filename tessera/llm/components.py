@@ -36,5 +36,5 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             break
         seen = now
         edges = written(_round(edges), "edges")
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")))
     return nodes.groupBy("node").agg(F.min("component").alias("component"))

@@ -2,9 +2,10 @@
 
 One pass gives each document its distinct shingle count, a 128-bit hash of its set, band keys and two low bits of
 every minimum, packed into eight longs. Documents of equal sets become one class. In every band bucket each class is
-paired with the bucket's least class only; pairs whose collision-corrected estimate is clearly below the threshold
-go; the rest is confirmed on the full sets. Buckets that still hold several components then compare members of
-different components, so that a link between two members that the least one is not similar to isn't lost.
+paired with the bucket's least class only; a pair whose collision-corrected estimate, from bit counts, is at least
+``FAMILY`` puts both into one family. Similar documents share about a dozen buckets, so they meet in one family; inside
+a family all links are found on the full sets through an inverted index, block against block, and no pair of documents
+is ever a row.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from tessera.llm.components import components
 BANDS, ROWS = 48, 6
 SIGNATURE = 256  # minima that give bits; the first of BANDS * ROWS = 288
 BITS = 2
-#: Estimates this far below the threshold are given up: over five standard deviations at 0.8.
-SLACK = 0.15
-SALT_ROWS = 2000
+#: Estimated similarity to a bucket's least class from which on a class belongs to its family.
+FAMILY = 0.4
+#: Families above these sizes are compared block by block.
+BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
 
 _RNG = np.random.default_rng(7)
 MULTIPLIERS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -102,59 +104,100 @@ def estimate(a: str, b: str):
     return (agree / F.lit(float(SIGNATURE)) - F.lit(chance)) / F.lit(1 - chance)
 
 
-def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and estimate leave the threshold possible."""
+def _related(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose estimate makes them members of one family."""
     bits = [f"b{i}" for i in range(8)]
-    left = reps.select(F.col("doc_id").alias("a"), "n", *bits).alias("l")
-    right = reps.select(F.col("doc_id").alias("b"), "n", *bits).alias("r")
-    both = pairs.join(left, "a").join(right, "b")
-    sizes = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
-    return both.where(sizes & (estimate("l", "r") >= percent / 100 - SLACK)).select("a", "b")
+    left = reps.select(F.col("doc_id").alias("a"), *bits).alias("l")
+    right = reps.select(F.col("doc_id").alias("b"), *bits).alias("r")
+    return pairs.join(left, "a").join(right, "b").where(estimate("l", "r") >= FAMILY).select("a", "b")
 
 
-def _confirm(size: int, percent: int):
-    """Rows (a, b, role, text) sorted so that the text of a stands before those of its partners."""
+def joined(sets: list[np.ndarray], ids: list[int], sides: list[int], percent: int, one_block: bool) -> list[tuple[int, int]]:
+    """Links that join the documents of one block pair: a spanning forest of all pairs that reach the threshold.
+
+    Intersections are counted through postings of the shingles that several documents have.
+    """
+    g = len(sets)
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(g), size)
+    order = np.argsort(np.concatenate(sets), kind="stable") if size.sum() else np.zeros(0, np.int64)
+    h = np.concatenate(sets)[order] if size.sum() else np.zeros(0, np.uint64)
+    new = np.r_[True, h[1:] != h[:-1]][: len(h)]
+    run = np.cumsum(new) - 1
+    length = np.bincount(run, minlength=0)
+    first = np.cumsum(length) - length
+    owners = owner[order]
+    shared = length[run] > 1
+    # postings of each document's shared shingles: (first place, number)
+    mine = owners[shared]
+    by_doc = np.argsort(mine, kind="stable")
+    runs_by_doc = run[shared][by_doc]
+    until = np.cumsum(np.bincount(mine, minlength=g))
+    side, label, links = np.array(sides), np.arange(g), []
+    for x in range(g):
+        r = runs_by_doc[until[x - 1] if x else 0 : until[x]]
+        if not len(r):
+            continue
+        n = length[r]
+        at = np.arange(int(n.sum())) + np.repeat(first[r] - (np.cumsum(n) - n), n)
+        both = np.bincount(owners[at], minlength=g)
+        hit = 100 * both >= percent * (size + size[x] - both)
+        hit[: x + 1] = False
+        if not one_block:
+            hit &= side != side[x]
+        hit &= label != label[x]
+        for y in np.flatnonzero(hit).tolist():
+            if label[y] != label[x]:
+                links.append((ids[x], ids[y]))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def _compare(size: int, percent: int):
+    """Rows (family, i, j, doc_id, block, text) in order of (family, i, j): links of each block pair."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        leader, own = None, None
+        now, sets, ids, sides = None, [], [], []
+
+        def finish():
+            found = joined(sets, ids, sides, percent, now[1] == now[2]) if len(ids) > 1 else []
+            return table(schema, [a for a, _ in found], [b for _, b in found])
+
         for batch in batches:
-            found_a, found_b = [], []
+            key = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4))))
             at = 0
-            a, b, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-            for c in chunks([pa.RecordBatch.from_arrays([batch.column(1), batch.column(3)], names=["b", "t"])]):
+            for c in chunks([pa.RecordBatch.from_arrays([batch.column(3), batch.column(5)], names=["d", "t"])]):
                 h, offs = shingles(c, size)
-                for i in range(len(c)):
-                    k = at + i
-                    mine = np.unique(h[offs[i] : offs[i + 1]])
-                    if role[k] == 0:
-                        leader, own = a[k], mine
-                    elif a[k] == leader:
-                        where = np.minimum(np.searchsorted(own, mine), len(own) - 1)
-                        both = int((own[where] == mine).sum()) if len(own) else 0
-                        if both and 100 * both >= percent * (len(own) + len(mine) - both):
-                            found_a.append(a[k])
-                            found_b.append(b[k])
-                at += len(c)
-            yield table(schema, np.array(found_a, np.int64), np.array(found_b, np.int64))
+                for i, doc in enumerate(c.ids.tolist()):
+                    if key[at][:3] != now:
+                        if now is not None:
+                            yield finish()
+                        now, sets, ids, sides = key[at][:3], [], [], []
+                    sets.append(np.unique(h[offs[i] : offs[i + 1]]))
+                    ids.append(doc)
+                    sides.append(key[at][3])
+                    at += 1
+        if now is not None:
+            yield finish()
 
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold.
+def family_links(families: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is similar in each family. ``families`` has (node, component).
 
-    Texts of the partners go to the one they are compared with; a hot one is salted by the number of its partners,
-    with a copy of its text for each salt.
+    A family above the block size is split by hash into b blocks and compared as b * (b + 1) / 2 block pairs, each a
+    group of its own with bounded memory; a text is sent once for each of its b block pairs.
     """
-    pairs = written(pairs, "pairs")
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("long").alias("salts"))
-    numbered = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
-    leaders = numbered.select("a", "salt").distinct().select("a", F.col("a").alias("b"), "salt", F.lit(0).alias("role"))
-    members = leaders.unionByName(numbered.select("a", "b", "salt", F.lit(1).alias("role")))
-    with_text = members.join(docs.select(F.col("doc_id").alias("b"), "text"), "b")
-    ordered = with_text.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "b", "role", "text")
-    return arrow_map(ordered, _confirm(size, percent), "a long, b long")
+    members = reps.select("doc_id", "n").join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = dealt.select("family", "doc_id", "block", other.alias("k")).select("family", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "doc_id", "block")
+    rows = docs.select("doc_id", "text").hint("merge").join(dealt, "doc_id").select("family", "i", "j", "doc_id", "block", "text")
+    ordered = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
+    return arrow_map(ordered, _compare(size, percent), "a long, b long")
 
 
 def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,7 +205,7 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_c
 
     Documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of word shingles; A-Z count as a-z.
     ``component_id`` is the smallest id reachable over links. A pair at exactly 0.8 shares no band with a probability
-    of 5e-7. A document with fewer words than a shingle has its whole sequence as its one shingle. Null, empty and
+    of 5e-7 (``BANDS`` times ``ROWS`` minima). A document with fewer words than a shingle has its whole sequence as its one shingle. Null, empty and
     blank texts have no shingles and are linked with nothing. Rows without an id are left out; rows that repeat an id
     count as one document when links are made (ids should name one text) and each give a row; an empty table gives
     no rows; other columns are ignored.
@@ -173,23 +216,10 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_c
     classes = written(classes, "classes")
     reps = written(sigs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
     member = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = member.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = written(member.join(buckets, "key").select("key", "a", F.col("doc_id").alias("b"), "m"), "buckets")
-    first = _plausible(shared.where("a <> b").select("a", "b").distinct(), reps, percent)
-    links = written(confirmed(first, rows, shingle_words, percent).distinct(), "links")
-    comp = written(components(links, "a", "b"), "components")
-    # Members of one bucket in different components, in buckets of at least three classes: the stars alone miss links between them.
-    labelled = shared.where("m > 2").join(comp.withColumnRenamed("node", "b"), "b", "left").select("key", "a", "b", F.coalesce("component", "b").alias("c"))
-    spread = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "lo")
-    open_ = labelled.join(spread, "key")
-    odd = open_.where("c <> lo").select("key", F.col("a").alias("star"), F.col("b").alias("x"), F.col("c").alias("cx"))
-    other = open_.select("key", F.col("b").alias("y"), F.col("c").alias("cy"))
-    # Each unordered pair of components once; pairs with the star have been confirmed or refused already.
-    crossed = odd.join(other, "key").where("cx <> cy and (cy < cx) and x <> star and y <> star").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = _plausible(crossed, reps, percent)
-    more = written(confirmed(second, rows, shingle_words, percent).distinct(), "links")
-    if not more.isEmpty():
-        comp = components(links.unionByName(more), "a", "b")
+    buckets = member.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "a")
+    shared = member.join(buckets, "key").select("a", F.col("doc_id").alias("b"))
+    families = components(_related(shared.where("a <> b").select("a", "b").distinct(), reps), "a", "b")
+    comp = components(family_links(written(families, "families"), reps, rows, shingle_words, percent), "a", "b")
     labels = sigs.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", F.col("n").alias("__n"), "rep"), ["s1", "s2"], "left").where("n = 0 or n = __n")
     out = labels.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
