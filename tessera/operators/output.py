@@ -61,7 +61,7 @@ def _filled(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*map(one, columns))
 
 
-def paragraph_export(enriched: DataFrame, rules=None) -> DataFrame:
+def paragraph_export(enriched: DataFrame) -> DataFrame:
     return _filled(_renamed(enriched, "paragraph"), PARAGRAPH_COLUMNS)
 
 
@@ -166,3 +166,20 @@ def condition_rollup(condition_eval: DataFrame) -> DataFrame:
     return condition_eval.groupBy("condition_id").agg(
         F.first("category_text").alias("category_text"), F.count(F.lit(1)).alias("evaluated_paragraphs"), F.count_if("is_match").alias("matched_paragraphs"), F.sum("matched_unit_count").alias("matched_units")
     )
+
+
+# ---------------------------------------------------------------- the rules themselves as records
+def rule_records(spark, rules) -> DataFrame:
+    """One record per rule, to be counted and filtered by facets like results."""
+    rows = []
+    for r in rules.rules:
+        scopes = sorted({g.search_scope for g in (*r.form_groups, *r.text_groups)} or {r.search_scope})
+        rows.append((
+            r.id, ", ".join(r.categories), "mixed" if len(scopes) > 1 else scopes[0], "; ".join(sorted({g.match_logic for g in r.form_groups})), str(len(r.form_groups)),
+            "yes" if any(g.distance is not None for g in r.form_groups) or r.distance is not None else "no", "yes" if r.text_groups else "no", "yes" if r.annotation_filters else "no", "yes" if r.has_reference else "no",
+        ))
+    names = ("condition_id", "categories", "scope", "logics", "group_count", "has_distance", "has_text", "has_annotation", "has_reference")
+    return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+
+
+RULE_FACETS = {"condition_id": False, "categories": True, "scope": False, "logics": True, "group_count": False, "has_distance": False, "has_text": False, "has_annotation": False, "has_reference": False}

@@ -247,7 +247,7 @@ def text_all(spark, d):
     return Corpus(spark, d).matched(runtime(condition("tl", overall_search_scope="sentence", text_groups=[{"texts": ["tion", "the"]}])))
 
 
-@query(ids(("tn", "SELECT DISTINCT paragraph_id FROM sen WHERE contains(sentence_text, 'the') AND NOT (contains(sentence_text, 'tion') OR contains(sentence_text, '|'))".replace("NOT (contains(sentence_text, 'tion') OR contains(sentence_text, '|'))", "NOT (contains(sentence_text, 'tion') OR contains(sentence_text, '|'))"))))
+@query(ids(("tn", "SELECT DISTINCT paragraph_id FROM sen WHERE contains(sentence_text, 'the') AND NOT (contains(sentence_text, 'tion') OR contains(sentence_text, '|'))")))
 def text_not(spark, d):
     return Corpus(spark, d).matched(runtime(condition("tn", overall_search_scope="sentence", text_groups=[{"texts": ["the"]}, {"texts": ["tion", "|"], "match_logic": "not", "combine_logic": "and"}])))
 

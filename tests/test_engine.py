@@ -247,3 +247,28 @@ def test_stream_matches_as_batch(spark, tmp_path):
     assert match_paragraphs(ingest.documents_frame(docs), r).count() == 1
     with pytest.raises(ValueError):
         match_paragraphs(stream, rules({"condition_id": "x", "forms": ["a"], "max_token_distance": 1}))
+
+
+def test_store_appends_swaps_and_purges(spark, tmp_path):
+    from tessera.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "corpus"))
+    docs = spark.createDataFrame([("city", "law", "One. Two.\n\nThree"), ("town", "law", "")], "category1 string, category2 string, raw_text string")
+    first, issues = store.build(docs, "here", report=str(tmp_path / "report.json"))
+    assert issues == [] and store.table("sentences").count() == 3 and store.table("runs").first().status == "succeeded"
+    second, _ = store.build(docs.limit(1))
+    assert sorted(r.document_id for r in store.table("documents").collect()) == [1, 2, 3] and store.table("runs").count() == 2
+    store.purge(first)
+    assert [r.run_id for r in store.table("runs").collect()] == [second] and store.table("tokens").where(F.col("run_id") == first).count() == 0
+    run, issues = store.build(docs.drop("raw_text"), report=str(tmp_path / "report.json"))
+    assert run is None and issues[0].code == "build_failed" and "failed" in (tmp_path / "report.json").read_text() and store.table("runs").count() == 1
+    assert store.build(docs, fresh=True)[1] == [] and store.table("runs").count() == 1
+    session = Session(store.table("tokens"), store.table("sentences"), store.table("paragraphs"), store.table("documents"))
+    assert session.analyze(rules({"condition_id": "x", "forms": ["one"]})).export.first().category1 == "city"
+
+
+def test_rules_have_facets(spark):
+    records = output.rule_records(spark, rules({"condition_id": "a", "categories": ["x", "y"], "forms": ["p"], "max_token_distance": 2}, {"condition_id": "b", "text_groups": [{"texts": ["t"], "search_scope": "sentence"}]}))
+    counts = {(r.facet, r.value): r["count"] for r in output.facet_counts(records, output.RULE_FACETS).collect()}
+    assert counts["categories", "x"] == 1 and counts["has_distance", "yes"] == 1 and counts["scope", "sentence"] == 1
+    assert output.facet_filter(records, {"has_text": ["yes"]}, output.RULE_FACETS).first().condition_id == "b"
