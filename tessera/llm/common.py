@@ -78,10 +78,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_scratch(spark: SparkSession) -> None:
+    """Remove the scratch tables of this application; call it when no frame made from them is read any more, before the
+    session is stopped. (They also go when the driver's interpreter ends with the session still running.)"""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        _remove(spark, path)
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -118,10 +129,6 @@ class Chunk:
         o = self.offs.tolist()
         return [raw[o[i] : o[i + 1]] for i in range(len(self.ids))]
 
-    def rows(self) -> np.ndarray:
-        """Row number of every byte."""
-        return np.repeat(np.arange(len(self.ids)), np.diff(self.offs))
-
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Chunks of at most ``limit`` bytes (or one row) from batches whose first columns are an id and a text.
@@ -208,14 +215,6 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
-def runs(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive sorted integers."""
-    if not len(positions):
-        return positions, positions
-    cut = np.flatnonzero(np.diff(positions) > 1)
-    return positions[np.r_[0, cut + 1]], positions[np.r_[cut, len(positions) - 1]]
-
-
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open intervals; touching ones join."""
     if not len(starts):

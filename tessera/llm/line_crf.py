@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IS_SPACE, Chunk, arrow_map, chunks, mix, prefix_hash, span_hash, table, words
+from tessera.llm.common import Chunk, arrow_map, chunks, mix, prefix_hash, span_hash, table, words
 
 FEATURES = ("bias", "first", "short", "long", "ends_sentence", "some_symbols", "many_symbols", "pipes", "shouting", "shouted_words", "digits", "repeated", "few_distinct", "marked_words", "long_words")
 BIT = {name: i for i, name in enumerate(FEATURES)}

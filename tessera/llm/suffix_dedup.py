@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, chunks, merged, mix, prefix_hash, runs, ship, span_hash, table, written
+from tessera.llm.common import arrow_map, chunks, merged, mix, prefix_hash, ship, span_hash, table, written
 
 GRAM = 64
 #: Distances to the anchor are cut into blocks of so many windows.

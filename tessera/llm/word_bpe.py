@@ -36,7 +36,7 @@ class Memory:
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.at = np.zeros(1 << self.bits, np.uint32)
         self.starts, self.counts = np.zeros(1, np.int64), np.zeros(1, np.int32)
-        self.ids = np.zeros(0, np.uint16)
+        self.ids, self.length = np.zeros(1 << 12, np.uint16), 0
         self.used = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -57,9 +57,16 @@ class Memory:
     def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         """New keys, each once, with the concatenation of their ids."""
         first = len(self.starts)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.starts = np.concatenate([self.starts, self.length + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
-        self.ids = np.concatenate([self.ids, ids.astype(np.uint16 if self.ids.dtype == np.uint16 and not (len(ids) and ids.max() > 65535) else np.uint32)])
+        until = self.length + len(ids)
+        wide = self.ids.dtype == np.uint32 or (len(ids) and ids.max() > 65535)
+        if until > len(self.ids) or wide and self.ids.dtype != np.uint32:
+            room = np.zeros(max(until * 3 // 2, len(self.ids)), np.uint32 if wide else np.uint16)
+            room[: self.length] = self.ids[: self.length]
+            self.ids = room
+        self.ids[self.length : until] = ids
+        self.length = until
         mask = np.uint64((1 << self.bits) - 1)
         slot, left = keys & mask, np.arange(len(keys))
         while len(left):
