@@ -346,10 +346,10 @@ def test_passages(docs, table, empty):
 
 def test_fuzzy_passage_and_chain_score(spark):
     a = words_of(random.Random(1), 80, 10**6).split()
-    b = a[:20] + ["inserted"] + a[20:50] + a[52:]
+    b = a[:20] + ["inserted"] + a[20:50] + ["swapped", "words"] + a[52:]
     rows = [(1, "x y z " + " ".join(a)), (2, words_of(random.Random(2), 30, 10**6) + " " + " ".join(b)), (3, words_of(random.Random(3), 200, 10**6))]
     (r,) = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert (r.doc_id, r.other_id) == (2, 1) and r.n_words >= 75 and 0.9 < r.identity < 1
+    assert (r.doc_id, r.other_id) == (2, 1) and r.n_words >= 50 and 0.9 < r.identity < 1
     # the best chain against all subsets
     rng = random.Random(7)
     for _ in range(30):
