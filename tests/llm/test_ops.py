@@ -365,6 +365,29 @@ def test_fuzzy_passage_and_chain_score(spark):
         assert abs(top[4] - 0.05 * (top[1] - top[0] + top[3] - top[2]) - best()) < 1e-9
 
 
+def test_a_long_chain_hides_nothing_behind_a_gap(spark):
+    """A copy with a paragraph inserted, and chains with the production gap bound against all predecessors."""
+    rng = random.Random(11)
+    a = words_of(rng, 2200, 10**6).split()
+    b = a[:1000] + words_of(rng, 60, 10**6).split() + a[1000:1950]
+    rows = [(1, " ".join(a)), (2, " ".join(b))]
+    got = sorted((r.n_words, r.identity) for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(950, 1.0), (1000, 1.0)]
+    reach = chaining.MAX_GAP + chaining.K
+    first = [(p, p) for p in range(0, 1000, 5)]
+    for trial in range(20):
+        second = [(1060 + p, 1000 + p) for p in range(0, 950, 5)]
+        noise = [(rng.randrange(2100), rng.randrange(2100)) for _ in range(trial * 20)]
+        points = sorted({p: (p, q) for p, q in noise + first + second}.values())
+        f = []
+        for p, q in points:
+            f.append(1 + max([0, *(f[j] - chaining.GAP_COST * (p - x + q - y) for j, (x, y) in enumerate(points[: len(f)]) if 0 < p - x <= reach and 0 < q - y <= reach)]))
+        found = chaining.chains(np.array([p for p, _ in points]), np.array([q for _, q in points]))
+        top = found[0]
+        assert abs(top[4] - chaining.GAP_COST * (top[1] - top[0] + top[3] - top[2]) - max(f)) < 1e-9
+        assert any(c[0] <= 1060 and c[1] >= 2005 and c[4] >= 190 for c in found) and sum(c[4] for c in found) == len(points)
+
+
 # ---------------------------------------------------------------- 10
 def test_scores(docs, table, empty):
     tokens = {k: [*WORD.findall(t.translate(LOWER)), None] for k, t in table.items()}
