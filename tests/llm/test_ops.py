@@ -388,6 +388,20 @@ def test_a_long_chain_hides_nothing_behind_a_gap(spark):
         assert any(c[0] <= 1060 and c[1] >= 2005 and c[4] >= 190 for c in found) and sum(c[4] for c in found) == len(points)
 
 
+def test_edited_passages_are_found_whole(spark):
+    """Two dropped words, and an edit every 12 words (identity 0.92), cost no part of a passage."""
+    rng = random.Random(1)
+    a = words_of(rng, 80, 10**6).split()
+    c = words_of(rng, 240, 10**6).split()
+    b, d = a[:20] + ["inserted"] + a[20:50] + a[52:], list(c)
+    for k in range(11, 240, 12):
+        d[k] = f"edit{k}"
+    rows = [(1, "x y z " + " ".join(a)), (2, words_of(rng, 30, 10**6) + " " + " ".join(b)), (3, " ".join(c)), (4, words_of(rng, 30, 10**6) + " " + " ".join(d))]
+    got = {r.doc_id: r for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == {2, 4} and got[2].other_id == 1 and got[2].n_words >= 75 and 0.9 < got[2].identity < 1
+    assert got[4].other_id == 3 and got[4].n_words >= 220 and 0.9 < got[4].identity < 1
+
+
 # ---------------------------------------------------------------- 10
 def test_scores(docs, table, empty):
     tokens = {k: [*WORD.findall(t.translate(LOWER)), None] for k, t in table.items()}
