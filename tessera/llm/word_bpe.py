@@ -4,7 +4,8 @@ The tokenizer's normaliser and splitter never join text across white space, nor
 the end of a word, and A-Z are lowered anyway. So a text's ids are its pieces' ids in a row, where pieces are words
 without and with their closing marks. Pieces are found, hashed and looked up a megabyte at a time in arrays; only
 pieces that a worker has not seen go to the library, many at a time: letters-only ones joined by spaces, where
-exactly one id of each carries the word-end mark, all others one by one.
+exactly one id of each carries the word-end mark, all others one by one. A text that holds an added token's content
+in any case goes to the library whole, as those are found before the text is normalised.
 """
 
 from __future__ import annotations
@@ -87,7 +88,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         with open(path) as f:
             j = json.load(f)
         vocab, suffix = j["model"]["vocab"], j["model"].get("end_of_word_suffix") or ""
@@ -100,6 +100,7 @@ class WordEncoder:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
             # The same vocabulary and merges without normaliser and splitter, for what is in normal form and split already.
             self.bare = Tokenizer.from_str(json.dumps(j | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        self.marks = [t["content"].encode().translate(TO_LOWER.tobytes()) for t in j["added_tokens"]]
         self.memory = Memory()
 
     def _whole(self, piece: str) -> list[int]:
@@ -137,6 +138,22 @@ class WordEncoder:
         if not self.pieced:
             each = [e.ids for e in self.lib.encode_batch_fast(c.texts(), add_special_tokens=False)]
             return np.array([i for e in each for i in e], np.uint32), np.r_[0, np.cumsum([len(e) for e in each])].astype(np.int64)
+        raw = TO_LOWER[c.data].tobytes()
+        if not any(m in raw for m in self.marks):
+            return self._pieces(c)
+        o = c.offs.tolist()
+        held = [i for i in range(len(c)) if any(m in raw[o[i] : o[i + 1]] for m in self.marks)]
+        size = np.diff(c.offs)
+        whole = [self._whole(c.data[o[i] : o[i + 1]].tobytes().decode("utf-8", "replace")) for i in held]
+        others = np.ones(len(c), bool)
+        others[held] = False
+        ids, offs = self._pieces(Chunk(c.ids, c.data[np.repeat(others, size)], np.r_[0, np.cumsum(size * others)]))
+        more = np.zeros(len(c), np.int64)
+        more[held] = [len(w) for w in whole]
+        ids = np.insert(ids, np.repeat(offs[:-1], more), np.array([i for w in whole for i in w], np.uint32))
+        return ids, offs + np.r_[0, np.cumsum(more)]
+
+    def _pieces(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         data = TO_LOWER[c.data]
         start, end, row = words(data, c.offs)
         n = len(start)

@@ -159,6 +159,22 @@ def test_token_files(spark, docs, table, empty, tmp_path):
     assert token_files.digests(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_added_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    from tessera.llm.common import Chunk
+
+    fresh = Tokenizer.from_file(word_bpe.default_path())
+    texts = ["plain words, first.", "a <|endoftext|> b", "", "A<|startoftext|>B, c<|endoftext|>", "<|ENDOFTEXT|> Kept <|endoftext|", "<|endoftext|><|endoftext|>", "plain again", "<|startoftext|>"]
+    raw = [t.encode() for t in texts]
+    enc = word_bpe.WordEncoder(word_bpe.default_path())
+    for part in (raw, raw[1:2], raw[:1], raw[::-1]):
+        chunk = Chunk(np.arange(len(part)), np.frombuffer(b"".join(part), np.uint8), np.r_[0, np.cumsum([len(b) for b in part])].astype(np.int64))
+        ids, offs = enc.encode(chunk)
+        assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:])] == [fresh.encode(b.decode(), add_special_tokens=False).ids for b in part]
+    assert enc.encode(Chunk(np.arange(1), np.frombuffer(raw[1], np.uint8), np.array([0, len(raw[1])])))[0].tolist() == [320, 49407, 321]
+
+
 def test_pieces_forget_and_grow():
     enc = word_bpe.WordEncoder(word_bpe.default_path())
     enc.memory = word_bpe.Memory(4)
