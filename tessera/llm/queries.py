@@ -12,7 +12,8 @@ from tessera.llm.common import documents, scratch_root
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+    """The digest columns, and what is left of each text as ``text``."""
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).withColumnRenamed("kept", "text")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
