@@ -7,6 +7,7 @@ step is one numpy call over about a megabyte, never a Python loop over character
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -29,10 +30,6 @@ TO_LOWER[65:91] += 32
 
 CHUNK_BYTES = 1 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
-#: Odd base of the polynomial hash and its inverse, both modulo 2**64.
-BASE = 0x2545F4914F6CDD1D
-BASE_INV = pow(BASE, -1, 1 << 64)
-BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 # ---------------------------------------------------------------- session helpers
@@ -63,10 +60,16 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one that ``spark.checkpoint.dir`` names; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """Folder for intermediate tables: the one that ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a local temporary one if driver and executors are one process; on a cluster that is an error,
+    as executors and driver don't see each other's disks.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        sc = spark.sparkContext
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not getattr(sc, "_tessera_scratch", None):
             sc._tessera_scratch = tempfile.mkdtemp(prefix="tessera-scratch-")
         root = sc._tessera_scratch
@@ -102,6 +105,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def text_key(text_col: str):
+    """128-bit digest of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def ambiguous_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Column ``__id``: the ids that name different texts."""
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id"))
+    return ids.agg(F.min(text_key(text_col)).alias("a"), F.max(text_key(text_col)).alias("b")).where("a <> b").select("__id")
+
+
 def ascii_lower(c):
     """Lower-case A-Z only. Pure-ASCII rows take the fast built-in path."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -164,38 +178,47 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans above so many bytes are hashed one by one with BLAKE2.
+_LONG = 4096
+_LANES = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept per worker."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        m = 1 << max(12, int(n - 1).bit_length())
-        out = np.ones(m, np.uint64)
-        with np.errstate(over="ignore"):
-            k = 1
-            while k < m:
-                out[k : 2 * k] = out[:k] * np.uint64(pow(base, k, 1 << 64))
-                k *= 2
-        _POWERS[base] = have = out
-    return have[:n]
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int = 1) -> list[np.ndarray]:
+    """``lanes`` independent 64-bit hashes of spans, equal for equal bytes wherever they stand.
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with H[j] - H[i] = sum of code(data[k]) * BASE**k for k in [i, j)."""
-    out = np.zeros(len(data) + 1, np.uint64)
+    The length and then eight bytes at a time go through the finaliser of splitmix64, all spans together; no sum or
+    polynomial of the bytes is taken, so no family of texts collides by its structure.
+    """
+    n = end - start
+    long_ = np.flatnonzero(n > _LONG)
+    if len(long_):
+        n = np.where(n > _LONG, 0, n)
+    words_ = np.ndarray(len(data) + 1, "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     with np.errstate(over="ignore"):
-        np.cumsum(BYTE_CODES[data] * powers(BASE, len(data)), out=out[1:])
+        out = [mix(n.astype(np.uint64) * MULT + k) for k in _LANES[:lanes]]
+    now, at, left, who = out, start, n, None
+    while True:
+        block = words_[at] & _FIRST[np.minimum(left, 8)]
+        now = [mix(h ^ block) for h in now]
+        if who is None:
+            out = now
+        else:
+            for o, h in zip(out, now):
+                o[who] = h
+        go = np.flatnonzero(left > 8)
+        if not len(go):
+            break
+        who = go if who is None else who[go]
+        at, left, now = at[go] + 8, left[go] - 8, [h[go] for h in now]
+    for i in long_.tolist():
+        digest = np.frombuffer(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8 * lanes).digest(), np.uint64)
+        for o, d in zip(out, digest):
+            o[i] = d
     return out
 
 
-def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans, equal for equal bytes wherever they stand."""
-    with np.errstate(over="ignore"):
-        return mix((h[end] - h[start]) * powers(BASE_INV, len(h))[start])
-
-
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word ``[^\\x20\\x09-\\x0D]+``; words don't cross rows."""
     n = len(data)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, chunks, merged, mix, prefix_hash, ship, span_hash, table, written
+from tessera.llm.common import arrow_map, chunks, merged, mix, ship, table, written
 
 GRAM = 64
 #: Distances to the anchor are cut into blocks of so many windows.
@@ -39,7 +39,44 @@ SEGMENT = np.dtype([("core", "<u8"), ("block", "<u8"), ("doc", "<i8"), ("lo", "<
 HIT = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
 
+#: Odd base of the rolling hash and its inverse, both modulo 2**64. It chooses anchors and names buckets; what is equal
+#: is decided on the bytes.
+BASE = 0x2545F4914F6CDD1D
+BASE_INV = pow(BASE, -1, 1 << 64)
+BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_POWERS: dict[int, np.ndarray] = {}
+
+
 # ---------------------------------------------------------------- segments
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64, kept per worker."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        m = 1 << max(12, int(n - 1).bit_length())
+        out = np.ones(m, np.uint64)
+        with np.errstate(over="ignore"):
+            k = 1
+            while k < m:
+                out[k : 2 * k] = out[:k] * np.uint64(pow(base, k, 1 << 64))
+                k *= 2
+        _POWERS[base] = have = out
+    return have[:n]
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """H with H[j] - H[i] = sum of code(data[k]) * BASE**k for k in [i, j)."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(BYTE_CODES[data] * powers(BASE, len(data)), out=out[1:])
+    return out
+
+
+def rolled(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans, from ``prefix_hash``."""
+    with np.errstate(over="ignore"):
+        return mix((h[end] - h[start]) * powers(BASE_INV, len(h))[start])
+
+
 def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every window of ``width`` values."""
     m, k = v, 1
@@ -57,7 +94,7 @@ def segments(ids: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int) -
     h = prefix_hash(data)
     at = np.arange(size - GRAM + 1)
     bits = np.uint64(max(20, int(size).bit_length()))
-    gram = span_hash(h, at, at + GRAM)
+    gram = rolled(h, at, at + GRAM)
     tagged = ((gram >> bits) << bits) | at.astype(np.uint64)
     anchor = (sliding_least(tagged, length - GRAM + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     row = np.repeat(np.arange(len(ids)), np.diff(offs))[: len(anchor)]
@@ -73,9 +110,9 @@ def segments(ids: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int) -
     b, r = block[first], row[first]
     core = anchor[first] - b * BLOCK
     out = np.zeros(len(lo), SEGMENT)
-    out["core"] = mix(span_hash(h, core, core + length - BLOCK + 1) + b.astype(np.uint64))
+    out["core"] = mix(rolled(h, core, core + length - BLOCK + 1) + b.astype(np.uint64))
     out["shift"], out["n"] = core - lo, n
-    out["block"] = mix(span_hash(h, lo, lo + n - 1 + length) + (core - lo).astype(np.uint64) * np.uint64(256) + n.astype(np.uint64))
+    out["block"] = mix(rolled(h, lo, lo + n - 1 + length) + (core - lo).astype(np.uint64) * np.uint64(256) + n.astype(np.uint64))
     out["doc"], out["lo"] = ids[r], lo - offs[r]
     return out
 
@@ -289,8 +326,8 @@ def _windows(length: int):
             for core, doc, start, _, blob in zip(*(b.column(k).to_pylist() for k in range(5))):
                 data = np.frombuffer(blob, np.uint8)
                 h, i = prefix_hash(data), np.arange(len(data) - length + 1)
-                key = span_hash(h, i, i + length)
-                half = span_hash(h, i, i + length // 2)
+                key = rolled(h, i, i + length)
+                half = rolled(h, i, i + length // 2)
                 yield table(schema, key.view(np.int64), half.view(np.int64), np.full(len(i), doc), start + i)
 
     return run

@@ -15,7 +15,7 @@ import os
 
 import numpy as np
 
-from tessera.llm.common import TO_LOWER, Chunk, prefix_hash, span_hash, words
+from tessera.llm.common import TO_LOWER, Chunk, span_hash, words
 
 IS_TAIL = np.zeros(256, bool)
 IS_TAIL[list(b".,;:!?*&$%#|()\"+=~/\\[]{}<>@^-")] = True
@@ -24,7 +24,7 @@ IS_ALNUM[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
 
 
 class Memory:
-    """64-bit piece hash -> ids, in arrays with open addressing. Forgets all when it is half full."""
+    """128-bit piece hash (key and check) -> ids, in arrays with open addressing. Forgets all when it is half full."""
 
     def __init__(self, bits: int = 21):
         self.bits = bits
@@ -35,27 +35,29 @@ class Memory:
             self.bits += 1
         self.most = 1 << self.bits - 1
         self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.checks = np.zeros(1 << self.bits, np.uint64)
         self.at = np.zeros(1 << self.bits, np.uint32)
         self.starts, self.counts = np.zeros(1, np.int64), np.zeros(1, np.int32)
         self.ids, self.length = np.zeros(1 << 12, np.uint16), 0
         self.used = 0
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Entry number of each key, or -1."""
         mask = np.uint64((1 << self.bits) - 1)
         slot = keys & mask
         got = self.keys[slot]
-        out = np.where(got == keys, self.at[slot].astype(np.int64), -1)
-        more = np.flatnonzero((got != keys) & (got != 0))
+        hit = (got == keys) & (self.checks[slot] == checks)
+        out = np.where(hit, self.at[slot].astype(np.int64), -1)
+        more = np.flatnonzero(~hit & (got != 0))
         while len(more):
             slot[more] = (slot[more] + np.uint64(1)) & mask
             got = self.keys[slot[more]]
-            hit = got == keys[more]
+            hit = (got == keys[more]) & (self.checks[slot[more]] == checks[more])
             out[more[hit]] = self.at[slot[more[hit]]]
             more = more[~hit & (got != 0)]
         return out
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         """New keys, each once, with the concatenation of their ids."""
         first = len(self.starts)
         self.starts = np.concatenate([self.starts, self.length + np.cumsum(counts) - counts])
@@ -77,6 +79,7 @@ class Memory:
             self.keys[at] = keys[mine]
             won = self.keys[at] == keys[mine]
             self.at[at[won]] = first + mine[won]
+            self.checks[at[won]] = checks[mine[won]]
             left = np.concatenate([left[~free], mine[~won]])
             slot[left] = (slot[left] + np.uint64(1)) & mask
         self.used += len(keys)
@@ -122,16 +125,16 @@ class WordEncoder:
                 counts.append(np.array([len(e) for e in each]))
         return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[bytes]) -> None:
         text = [p.decode("utf-8", "replace") for p in pieces]
         alpha = np.fromiter(map(str.isalpha, text), bool, len(text))
         plain = alpha & np.fromiter(map(str.isascii, text), bool, len(text))
         for chosen, lib in ((plain, self.bare), (alpha & ~plain, self.lib)):
             at = np.flatnonzero(chosen)
-            self.memory.add(keys[at], *self._joined([text[i] for i in at.tolist()], lib))
+            self.memory.add(keys[at], checks[at], *self._joined([text[i] for i in at.tolist()], lib))
         at = np.flatnonzero(~alpha)
         each = [self._whole(text[i]) for i in at.tolist()]
-        self.memory.add(keys[at], np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64))
+        self.memory.add(keys[at], checks[at], np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64))
 
     def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a chunk (uint32) and their row offsets."""
@@ -166,25 +169,25 @@ class WordEncoder:
         latin = (two == 0xC3) & (last >= 0xA0) & (last != 0xB7) & (mid - start >= 2)  # e.g. e with acute
         cut = (mid > start) & (mid < end) & (IS_ALNUM[last] | latin)
         mid = np.where(cut, mid, end)
-        h = prefix_hash(data)
         place = np.arange(n) + np.cumsum(cut) - cut
         total = n + int(cut.sum())
         s, e = np.empty(total, np.int64), np.empty(total, np.int64)
         s[place], e[place] = start, mid
         s[place[cut] + 1], e[place[cut] + 1] = mid[cut], end[cut]
-        key = span_hash(h, s, e)
+        key, check = span_hash(data, s, e, 2)
         key[key == 0] = 1
-        entry = self.memory.find(key)
+        entry = self.memory.find(key, check)
         new = np.flatnonzero(entry < 0)
-        if len(new):
+        if len(new) and self.memory.used + len(new) > self.memory.most:
+            new = np.arange(total)
+            self.memory.clear(total)
+        raw = data.tobytes() if len(new) else b""
+        while len(new):  # more than once only if two pieces agree in the key and not in the check
             u, first = np.unique(key[new], return_index=True)
-            if self.memory.used + len(u) > self.memory.most:
-                new = np.arange(total)
-                u, first = np.unique(key, return_index=True)
-                self.memory.clear(len(u))
-            raw, pick = data.tobytes(), new[first]
-            self._learn(u, [raw[a:b] for a, b in zip(s[pick].tolist(), e[pick].tolist())])
-            entry[new] = self.memory.find(key[new])
+            pick = new[first]
+            self._learn(u, check[pick], [raw[a:b] for a, b in zip(s[pick].tolist(), e[pick].tolist())])
+            entry[new] = self.memory.find(key[new], check[new])
+            new = new[entry[new] < 0]
         count = self.memory.counts[entry].astype(np.int64)
         done = np.cumsum(count)
         ids = self.memory.ids[np.arange(int(done[-1]) if total else 0) + np.repeat(self.memory.starts[entry] - (done - count), count)]
