@@ -1,21 +1,32 @@
 """Quality rules: word and repetition counts, then a linear-chain CRF that labels each line content or boilerplate.
 
-The CRF has two labels, binary line features and a 2 x 2 transition matrix; it is fitted by gradient ascent on the
-conditional likelihood of a bounded sample of labelled documents (each line takes its document's label as a weak
-one). Viterbi decoding labels all lines of a document at once; the share of words in content lines decides.
+One pass over the texts leaves counts and, for each line, a feature mask and a hash. Lines that stand behind many
+different lines somewhere in the corpus are widespread: navigation, licences, slogans. (Copies of a document don't make
+its lines widespread, as each follows the same line in all of them.) The CRF has two labels, binary line features and a
+2 x 2 transition matrix. Targets are per line: in a document of poor quality every line is boilerplate, in a good one
+those that are widespread or repeat an earlier line; all others are content. It is fitted by gradient ascent on the
+conditional likelihood of all pairs of neighbouring lines of all labelled documents, which come to the driver as counts
+of (quality, mask, next mask). Viterbi decoding labels all lines of a document at once; the share of words in content
+lines decides.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Chunk, arrow_map, chunks, mix, prefix_hash, span_hash, table, words
+from tessera.llm.common import Chunk, arrow_map, chunks, mix, span_hash, table, words, written
 
-FEATURES = ("bias", "first", "short", "long", "ends_sentence", "some_symbols", "many_symbols", "pipes", "shouting", "shouted_words", "digits", "repeated", "few_distinct", "marked_words", "long_words")
+FEATURES = ("bias", "first", "short", "long", "ends_sentence", "some_symbols", "many_symbols", "pipes", "shouting", "shouted_words", "digits", "repeated", "few_distinct", "marked_words", "long_words", "widespread")
 BIT = {name: i for i, name in enumerate(FEATURES)}
+#: A line is widespread if it stands behind at least so many different lines.
+WIDESPREAD = 5
+#: Most distinct (quality, mask, next mask) that the fit takes, the most frequent first.
+FIT_PAIRS = 200_000
 WINDOW_CODES = np.random.default_rng(11).integers(1, 1 << 63, 5, dtype=np.uint64) | np.uint64(1)
 
 
@@ -40,8 +51,7 @@ class Measured:
             return np.r_[0, np.cumsum(mask, dtype=np.int64)]
 
         start, end, row = words(data, offs)
-        h = prefix_hash(data)
-        w = span_hash(h, start, end)
+        (w,) = span_hash(data, start, end)
         self.n_words = np.bincount(row, minlength=n)
         char = total((data & 0xC0) != 0x80)
         self.word_chars = np.bincount(row, weights=char[end] - char[start], minlength=n).astype(np.int64)
@@ -61,10 +71,10 @@ class Measured:
         begin, close, count, word_line = begin[has], close[has], count[has], index[line]
         self.line_row = np.searchsorted(offs, begin, "right") - 1
         self.line_words = count
-        lh = span_hash(h, begin, close)
-        order = np.lexsort((lh, self.line_row))
+        self.line_hash, check = span_hash(data, begin, close, 2)
+        order = np.lexsort((check, self.line_hash, self.line_row))
         same = np.zeros(len(begin), bool)
-        same[1:] = (lh[order][1:] == lh[order][:-1]) & (self.line_row[order][1:] == self.line_row[order][:-1])
+        same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (self.line_hash, check, self.line_row)])
         dup = np.zeros(len(begin), bool)
         dup[order] = same
         self.n_dup_lines = np.bincount(self.line_row[dup], minlength=n)
@@ -171,109 +181,148 @@ class Crf:
         return labels
 
 
-def fit(sequences: list[np.ndarray], targets: list[int], rounds: int = 150, rate: float = 2.0, decay: float = 1e-3) -> Crf:
-    """Gradient ascent on the conditional log-likelihood, all sequences padded to one array. Deterministic.
+def targets(quality: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """1 (content) for lines of good documents that are neither widespread nor repeated."""
+    return ((quality > 0) & (mask & (1 << BIT["repeated"] | 1 << BIT["widespread"]) == 0)).astype(np.int64)
+
 
-    Without examples of both labels every line is content.
+def fit(pairs: Counter, rounds: int = 500, rate: float = 1.0, decay: float = 1e-4) -> Crf:
+    """Gradient ascent on the conditional log-likelihood of windows of two lines; deterministic.
+
+    ``pairs`` counts (quality, mask, mask of the next line, or -1 behind a lone line). Without lines of both labels
+    every line is content.
     """
     width = len(FEATURES)
-    if len(set(targets)) < 2:
-        w = np.zeros((width, 2))
-        w[0, 1] = 1.0
-        return Crf(w, np.zeros((2, 2)))
-    n, t = len(sequences), max(map(len, sequences))
-    x, live = np.zeros((n, t, width)), np.zeros((n, t), bool)
-    for i, s in enumerate(sequences):
-        x[i, : len(s)], live[i, : len(s)] = unpack(s), True
-    y = np.asarray(targets)
-    total = live.sum()
+    rows = np.array([(q, a, b) for q, a, b in pairs], np.int64).reshape(-1, 3)
+    n = np.array(list(pairs.values()), np.float64)
+    ya, yb, two = targets(rows[:, 0], rows[:, 1]), targets(rows[:, 0], np.maximum(rows[:, 2], 0)), rows[:, 2] >= 0
+    seen = np.bincount(np.r_[ya, yb[two]], minlength=2)
     w, trans = np.zeros((width, 2)), np.zeros((2, 2))
-    observed = np.stack([(x * (live & (y == k)[:, None])[:, :, None]).sum((0, 1)) for k in (0, 1)], 1)
-    pairs = live[:, 1:].sum(1)
-    seen = np.diag([pairs[y == 0].sum(), pairs[y == 1].sum()]).astype(float)
+    if not seen.all():
+        w[0, 1] = 1.0
+        return Crf(w, trans)
+    xa, xb = unpack(rows[:, 1]), unpack(np.maximum(rows[:, 2], 0)) * two[:, None]
+    n /= n.sum()
+    truth = np.zeros((len(n), 2, 2))
+    truth[np.arange(len(n)), ya, np.where(two, yb, 0)] = 1
+    best, held = -np.inf, None
     for _ in range(rounds):
-        e = x @ w
-        alpha = np.zeros((n, t, 2))
-        alpha[:, 0] = e[:, 0]
-        for k in range(1, t):
-            nxt = np.logaddexp(alpha[:, k - 1, 0, None] + trans[0], alpha[:, k - 1, 1, None] + trans[1]) + e[:, k]
-            alpha[:, k] = np.where(live[:, k, None], nxt, alpha[:, k - 1])
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        beta = np.zeros((n, t, 2))
-        expected_pairs = np.zeros((2, 2))
-        for k in range(t - 1, 0, -1):
-            on = live[:, k]
-            inner = e[:, k] + beta[:, k]
-            joint = np.exp(np.minimum(alpha[on, k - 1, :, None] + trans + inner[on, None, :] - z[on, None, None], 0))
-            expected_pairs += joint.sum(0)
-            beta[:, k - 1] = np.where(on[:, None], np.logaddexp(trans[:, 0] + inner[:, 0, None], trans[:, 1] + inner[:, 1, None]), 0)
-        p = np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * live[:, :, None]
-        w += rate * ((observed - np.einsum("ntf,ntk->fk", x, p)) / total - decay * w)
-        trans += rate * ((seen - expected_pairs) / total - decay * trans)
+        score = (xa @ w)[:, :, None] + ((xb @ w)[:, None, :] + trans) * two[:, None, None]
+        score[~two, :, 1] = -np.inf  # a lone line has one column
+        top = score.max((1, 2), keepdims=True)
+        p = np.exp(score - top)
+        z = p.sum((1, 2), keepdims=True)
+        value = float(n @ (np.where(truth > 0, score, 0).sum((1, 2)) - top.ravel() - np.log(z.ravel()))) - decay * float((w**2).sum() + (trans**2).sum()) / 2
+        if value < best:  # too far: back, and on with half the step
+            w, trans, step_w, step_t = held
+            rate /= 2
+        else:
+            off = (truth - p / z) * n[:, None, None]
+            step_w, step_t = xa.T @ off.sum(2) + xb.T @ off.sum(1) - decay * w, off[two].sum(0) - decay * trans
+            best, held, rate = value, (w, trans, step_w, step_t), rate * 1.2
+        w, trans = w + rate * step_w, trans + rate * step_t
+    w, trans = held[:2]
     return Crf(w, trans)
 
 
 # ---------------------------------------------------------------- operators
-LINES = pa.schema([("doc_id", pa.int64()), ("masks", pa.list_(pa.int32()))])
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), *((k, pa.int64()) for k in COUNTS), ("base_failed", pa.bool_()),
+    ("masks", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("lines", pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32())]))),
+])
 
 
-def line_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lines: int = 400) -> DataFrame:
-    """``doc_id, masks``: feature bits of the first ``most_lines`` lines (for the fit only)."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table with a row for each input row: its id, the MD5 of its text, counts, and its lines' masks and
+    numbers of words. The bit of widespread lines is set from the whole of ``docs``."""
 
     def run(batches):
-        for c in chunks(batches):
-            m = Measured(c)
-            per = np.bincount(m.line_row, minlength=len(c))
-            place = np.arange(len(m.line_row)) - np.r_[0, np.cumsum(per)][:-1][m.line_row]
-            keep = place < most_lines
-            yield table(LINES, c.ids, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.minimum(per, most_lines))], pa.int32()), pa.array(m.features[keep])))
-
-    return arrow_map(_rows(docs, id_col, text_col), run, "doc_id long, masks array<int>")
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            at = 0
+            for c in chunks([b]):
+                m = Measured(c)
+                failed = (m.n_words < 10) | (100 * m.n_repeat > 20 * m.n_words)
+                offs = pa.array(np.r_[0, np.cumsum(np.bincount(m.line_row, minlength=len(c)))], pa.int32())
+                first = np.r_[True, m.line_row[1:] != m.line_row[:-1]][: len(m.line_row)]
+                before = np.where(first, 0, np.r_[np.zeros(1, np.uint64), m.line_hash[:-1]][: len(first)]).astype(np.uint32).view(np.int32)
+                line = pa.StructArray.from_arrays([pa.array(m.line_hash.view(np.int64)), pa.array(before)], ["h", "p"])
+                lists = [pa.ListArray.from_arrays(offs, x) for x in (pa.array(m.features), pa.array(m.line_words.astype(np.int32)), line)]
+                ids, key = b.column(2).slice(at, len(c)), b.column(3).slice(at, len(c))
+                yield table(MEASURED, row + np.arange(len(c)), ids, key, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat, failed, *lists)
+                row, at = row + len(c), at + len(c)
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.lit(0).cast("long").alias("no"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("key"))
+    counts = ", ".join(f"{k} long" for k in COUNTS)
+    schema = f"row long, doc_id long, key binary, {counts}, base_failed boolean, masks array<int>, words array<int>, lines array<struct<h:long,p:int>>"
+    first = written(arrow_map(rows, run, schema), "measured")
+    lines = first.select("row", F.posexplode("lines").alias("at", "line")).select("row", "at", "line.h", "line.p")
+    wide = lines.select("h", "p").distinct().groupBy("h").count().where(F.col("count") >= WIDESPREAD).select("h")
+    marks = lines.select("row", "at", "h").join(wide, "h", "left_semi").groupBy("row").agg(F.collect_list("at").alias("wide"))
+    marked = first.drop("lines").join(marks, "row", "left")
+    bit = F.lit(1 << BIT["widespread"])
+    masks = F.when(F.col("wide").isNull(), F.col("masks")).otherwise(F.transform("masks", lambda m, i: F.when(F.array_contains("wide", i), m.bitwiseOR(bit)).otherwise(m)))
+    return written(marked.withColumn("masks", masks).drop("wide"), "lines")
+
+
+def fit_on(lines: DataFrame, labels: DataFrame) -> Crf:
+    """Fit on all lines of all documents that ``labels`` (``doc_id, quality``) names; ``lines`` is from ``measured``.
+
+    Of several labels of a document the least counts; null labels and null ids are left out. Only counts come to the
+    driver, at most ``FIT_PAIRS`` of them.
+    """
+    quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("quality"))
+    known = lines.where("size(masks) > 0").join(quality, "doc_id").select("quality", "masks", F.size("masks").alias("n"))
+    nexts = F.expr("if(n = 1, array(-1), slice(masks, 2, n - 1))")
+    both = known.select("quality", F.explode(F.arrays_zip(F.expr("slice(masks, 1, greatest(n - 1, 1))").alias("a"), nexts.alias("b"))).alias("x"))
+    counted = both.groupBy("quality", F.col("x.a").alias("a"), F.col("x.b").alias("b")).count()
+    return fit(Counter({(r.quality, r.a, r.b): r["count"] for r in counted.orderBy(F.desc("count"), "quality", "a", "b").limit(FIT_PAIRS).collect()}))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, sample_lines: int = 400, id_col: str = "doc_id", text_col: str = "text") -> Crf:
-    """Fit on at most ``sample_docs`` labelled documents (those of the least id hashes) and ``sample_lines`` lines of each.
+VERDICT = pa.schema([("doc_id", pa.int64()), *((k, pa.int64()) for k in COUNTS), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("content_words", pa.int64()), ("key", pa.binary())])
 
-    Only feature bits (four bytes a line) come to the driver.
-    """
-    sample = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    chosen = _rows(docs, id_col, text_col).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    quality = dict(sample.collect())
-    got = [(r.doc_id, r.masks) for r in line_features(chosen, most_lines=sample_lines).collect() if r.masks and r.doc_id in quality]
-    got.sort()
-    return fit([np.array(m, np.int32) for _, m in got], [int(quality[i] > 0) for i, _ in got])
 
+def _verdicts(lines: DataFrame, crf: Crf, share: float) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            col = {f.name: b.column(i) for i, f in enumerate(b.schema)}
+            offs = col["masks"].offsets.to_numpy().astype(np.int64)
+            masks = col["masks"].flatten().to_numpy(zero_copy_only=False)
+            words_ = col["words"].flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+            label = crf.viterbi(masks, row, len(offs) - 1)
+            content = np.bincount(row, weights=words_ * label, minlength=len(offs) - 1).astype(np.int64)
+            kept = ~col["base_failed"].to_numpy(zero_copy_only=False) & (content >= share * col["n_words"].to_numpy(zero_copy_only=False))
+            yield table(VERDICT, col["doc_id"], *(col[k] for k in COUNTS), col["base_failed"], kept, content, col["key"])
 
-VERDICT = pa.schema([("doc_id", pa.int64()), *((k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("content_words", pa.int64())])
+    counts = ", ".join(f"{k} long" for k in COUNTS)
+    return arrow_map(lines, run, f"doc_id long, {counts}, base_failed boolean, kept boolean, content_words long, key binary")
 
 
-def verdicts(docs: DataFrame, crf: Crf, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with its counts, ``base_failed`` and ``kept``.
+def verdicts(docs: DataFrame, labels: DataFrame, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document with its counts, ``base_failed``, ``kept`` and ``content_words``.
 
     ``kept`` needs the base rules (at least 10 words, at most 20 % of them in repeated 5-word windows) and at least
     ``share`` of the words in lines that the CRF marks as content. Null, empty and blank texts have no words and fail
-    the base; rows without an id are left out; repeated rows are judged one by one; an empty table gives no rows;
-    other columns are ignored.
+    the base; rows without an id are left out of the result (their lines count); repeated rows are judged one by one;
+    without labels of both kinds every line is content; an empty table gives no rows; other columns are ignored.
     """
-
-    def run(batches):
-        for c in chunks(batches):
-            m = Measured(c)
-            label = crf.viterbi(m.features, m.line_row, len(c))
-            content = np.bincount(m.line_row, weights=m.line_words * label, minlength=len(c)).astype(np.int64)
-            failed = (m.n_words < 10) | (100 * m.n_repeat > 20 * m.n_words)
-            kept = ~failed & (content >= share * m.n_words)
-            yield table(VERDICT, c.ids, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat, failed, kept, content)
-
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long"
-    return arrow_map(_rows(docs, id_col, text_col), run, schema)
+    lines = measured(docs, id_col, text_col)
+    return _verdicts(lines.where("doc_id is not null"), fit_on(lines, labels), share).drop("key")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without the documents that the rules or the CRF reject; all columns stay."""
-    rejected = verdicts(docs, fit_on(docs, labels, id_col=id_col, text_col=text_col), share, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(rejected, id_col, "left_anti")
-
+    """The input without the rows whose text the rules or the CRF reject; all columns stay.
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    Equal texts have equal verdicts, so rows are matched by the MD5 of their text and not by id: rows without an id,
+    and rows that repeat an id with another text, are judged by their own text. Null, empty and blank texts go, as
+    they fail the base; an empty table stays empty; without labels only the base rules reject.
+    """
+    lines = measured(docs, id_col, text_col)
+    rejected = _verdicts(lines, fit_on(lines, labels), share).where(~F.col("kept")).select(F.col("key").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    return keyed.join(rejected, "__key", "left_anti").select(docs.columns)

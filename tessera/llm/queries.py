@@ -35,8 +35,7 @@ def op5_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return line_crf.verdicts(docs, line_crf.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return line_crf.verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
