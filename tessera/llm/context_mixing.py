@@ -1,12 +1,20 @@
-"""Language-model scores by logistic context mixing over bits.
-
-A document is the byte stream of its words (A-Z lowered), each with a space behind it, and a line feed as its end.
-Bytes are binary decisions along a Huffman tree (built on a bounded sample). Three hashed contexts inside the word (last two
-bytes, last three bytes, the word so far) predict every decision from counts gathered over all training documents; a
-logistic mixer, whose weights are gated by how much the longer contexts have seen, combines them, and an adaptive bias
-for each range of the mixed prediction refines the result. Weights and biases go on learning inside each document,
-block by block, from the same start, so a score doesn't depend on partitioning or order. As contexts end at the word's
-start, the decisions of a word are looked up once for each different word of a chunk.
+"""Language-model scores by online logistic context mixing over the bits of a token code.
+
+The stream of a document is its words (A-Z lowered) and one end token. A token is a path of binary decisions: has it been
+seen behind the two words before it; if not, behind the one before it; if not, at all; if not, it is spelled, bit by
+bit along a Huffman tree of bytes. What a positive decision leaves open is coded by the counts of its level: an n-gram's
+count over its context's.
+
+Counts of one-, two- and three-word sequences over all training documents are kept under hashes of the words, spread over
+buckets whose number grows with the input; each part of the documents asks for its own sequences, once each. They are
+taken as they stand when the token comes: without the document's own occurrences (if it trains), with its earlier ones.
+
+Every decision is predicted in ``MODELS`` hashed contexts (how often the context was seen, what the last tokens were, how
+far the document has come; when spelling, up to five bytes back, across the word's start). Bit counts of these contexts
+come from the training documents, less the occurrence at hand. A logistic mixer combines them with weights that are
+gated by the kind of decision, and an adaptive bias for each range of the mixed prediction refines the result. Weights
+start from the average of what all parts learn and go on learning inside each document, ``BLOCK`` decisions at a time,
+so a score doesn't depend on order or partitioning.
 """
 
 from __future__ import annotations
@@ -20,57 +28,261 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import TO_LOWER, Chunk, arrow_map, chunks, mix, prefix_hash, ship, span_hash, table, words, written
-from tessera.llm.word_bpe import Memory
+from tessera.llm.common import MULT, TO_LOWER, Chunk, arrow_map, chunks, mix, ship, span_hash, table, words, written
 
-MODELS = 3
-SLOT_BITS = 20
-RANGES = 256
-GATED = 3  # ungated, word context seen, three-byte context seen often
-BLOCK = 1024
-RATE, BIAS_RATE, BIASES = 2e-4, 4e-3, 24
 HOLD_OUT = 10
-PART_BYTES = 16 << 20
-GATHER_BYTES, SCORE_BYTES = 4 << 20, 512 << 10
-HELD_BYTES = 40 << 20
-FIT_DOCS, FIT_BYTES = 200, 400_000
-COUNT = np.dtype([("h", "<u8"), ("c", "<u4")])
+PART_BYTES = 8 << 20
+DEAL_BYTES = 16 << 20
+MODELS = 6
+SLOT_BITS = 18
+RANGES = 16
+SETS = 8  # weight sets: two each for the three questions and for spelling
+BLOCK = 16
+RATE, BIAS_RATE, BIASES = 4e-3, 2e-2, 24
+FIT_RATE, FIT_BATCH = 0.02, 8192
+LANE_TOKENS = 1 << 17
+#: Tokens that are no words. Hashes of words are above them.
+END, START, BEFORE = np.uint64(1), np.uint64(2), np.uint64(3)
+UNI, BI, TRI = 0, 1, 2
+#: Two- and three-word sequences are told apart by the bucket and so many bits of their hash.
+NARROW = np.uint64(36)
+#: Bytes before a spelled word that are kept as its context.
+BACK = 5
 
 
 def is_held_out(ids: np.ndarray) -> np.ndarray:
     return np.fromiter((zlib.crc32(str(i).encode()) % HOLD_OUT == 0 for i in ids.tolist()), bool, len(ids))
 
 
-# ---------------------------------------------------------------- stream and code
+# ---------------------------------------------------------------- parts
+def _planes(a: np.ndarray) -> bytes:
+    """64-bit numbers byte plane by byte plane, so that the exchange packs the leading zeros."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _deal(parts: int):
+    """Rows (part, payload): documents packed by the part that their id's hash names."""
+    import zstandard
+
+    schema = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        held: list[Chunk] = []
+
+        def flush():
+            ids = np.concatenate([c.ids for c in held])
+            size = np.concatenate([np.diff(c.offs) for c in held])
+            data = np.concatenate([c.data for c in held])
+            begin = np.cumsum(size) - size
+            part = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cut = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0])
+            out: list[list] = [[], []]
+            for a, b in zip(cut, np.r_[cut[1:], len(order)]):
+                i = order[a:b]
+                body = b"".join(data[s : s + n].tobytes() for s, n in zip(begin[i].tolist(), size[i].tolist()))
+                out[0].append(int(part[i[0]]))
+                out[1].append(pack.compress(np.int64(len(i)).tobytes() + ids[i].tobytes() + size[i].tobytes() + body))
+            held.clear()
+            return table(schema, *out)
+
+        n = 0
+        for c in chunks(batches, 1 << 20):
+            held.append(c)
+            n += len(c.data)
+            if n > DEAL_BYTES:
+                yield flush()
+                n = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _documents(payloads: list[bytes]) -> Chunk:
+    """The documents of a part in order of their ids."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    ids, sizes, body = [], [], []
+    for raw in payloads:
+        raw = unpack.decompress(raw)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        ids.append(np.frombuffer(raw, np.int64, n, 8))
+        sizes.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
+        body.append(np.frombuffer(raw, np.uint8, offset=8 + 16 * n))
+    ids, size, data = np.concatenate(ids), np.concatenate(sizes), np.concatenate(body)
+    order = np.lexsort((size, ids))
+    begin = (np.cumsum(size) - size)[order]
+    size = size[order]
+    offs = np.r_[0, np.cumsum(size)]
+    at = np.arange(int(offs[-1])) + np.repeat(begin - offs[:-1], size)
+    return Chunk(ids[order], data[at], offs)
+
+
 class Tokens:
-    """Words of a chunk: hash and row of each, and where it stands."""
+    """Tokens of a part: keys of the sequences that end in each, and where its word stands (the end token: nowhere)."""
 
-    def __init__(self, c: Chunk):
+    def __init__(self, c: Chunk, buckets: int):
+        n = len(c)
         self.data = TO_LOWER[c.data]
-        self.start, self.end, self.row = words(self.data, c.offs)
-        self.hash = np.maximum(span_hash(prefix_hash(self.data), self.start, self.end), np.uint64(2))  # 0 and 1 are taken
-        self.n_words = np.bincount(self.row, minlength=len(c))
-        self.n_bytes = np.bincount(self.row, weights=self.end - self.start + 1, minlength=len(c)).astype(np.int64) + 1
-
-
-def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bytes of some words, each with its space, then a line feed as the last type; sizes; and the contexts of every byte."""
-    size = np.r_[end - start + 1, 1]
-    before = np.cumsum(size) - size
-    at = np.arange(int(size.sum())) - np.repeat(before, size)
-    raw = np.r_[data, np.uint8(32)][np.minimum(np.repeat(np.r_[start, len(data)], size) + at, len(data))]
-    raw[np.cumsum(size) - 1] = 32
-    raw[-1] = 10
-    b1, b2, b3 = (np.where(at >= k, np.r_[np.full(k, 32, np.uint8), raw[:-k]] if len(raw) > k else np.uint8(32), 32).astype(np.uint32) for k in (1, 2, 3))
-    two = b1 | b2 << np.uint32(8)
-    word = (span_hash(prefix_hash(raw), np.repeat(before, size), np.arange(len(raw))) >> np.uint64(32)).astype(np.uint32)
-
-    def scrambled(x: np.ndarray, seed: int) -> np.ndarray:
+        start, end, row = words(self.data, c.offs)
+        per = np.bincount(row, minlength=n)
+        self.first = np.r_[0, np.cumsum(per + 1)]  # of each document, and the total
+        total = int(self.first[-1])
+        self.row = np.repeat(np.arange(n), per + 1)
+        self.train = ~is_held_out(c.ids)
+        word = np.ones(total, bool)
+        word[self.first[1:] - 1] = False
+        self.start, self.end = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        self.start[word], self.end[word] = start, end
+        w = np.full(total, END)
+        w[word] = np.maximum(span_hash(self.data, start, end)[0], np.uint64(16))
+        self.n_bytes = np.bincount(row, weights=end - start + 1, minlength=n).astype(np.int64) + 1
+        begins = self.first[:-1]
+        one = np.r_[START, w[:-1]][:total]
+        one[begins] = START
+        two = np.r_[BEFORE, one[:-1]][:total]
+        two[begins] = BEFORE
         with np.errstate(over="ignore"):
-            x = (x + np.uint32(seed)) * np.uint32(0x9E3779B1)
-            return (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            bi = mix(w + mix(one) * MULT)
+            tri = mix(bi + mix(two) * MULT)
+        self.keys = [w, self._narrow(bi, buckets), self._narrow(tri, buckets)]
+
+    @staticmethod
+    def _narrow(h: np.ndarray, buckets: int) -> np.ndarray:
+        return bucket_of(h, buckets) << NARROW | h & ((np.uint64(1) << NARROW) - np.uint64(1))
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def _fragments(kind: int, keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted keys."""
+    bucket = bucket_of(keys, buckets) if kind == UNI else keys >> NARROW
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[: len(keys)]
+    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(cut, np.r_[cut[1:], len(keys)])]
+
+
+# ---------------------------------------------------------------- counts
+ASKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _ask(buckets: int):
+    """The sequences of one part, once each, with their number in its training documents, by bucket."""
+
+    def run(group: pa.Table) -> pa.Table:
+        t = Tokens(_documents(group.column("payload").to_pylist()), buckets)
+        part, rows = group.column("part")[0].as_py(), []
+        train = t.train[t.row]
+        for kind, keys in enumerate(t.keys):
+            order = np.argsort(keys)
+            keys, mine = keys[order], np.r_[0, np.cumsum(train[order])]
+            new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            u, n = keys[new], np.diff(mine[np.r_[new, len(keys)]])
+            for bucket, a, b in _fragments(kind, u, buckets):
+                rows.append((kind, bucket, part, _planes(np.diff(u[a:b], prepend=np.uint64(0))), _planes(n[a:b])))
+        return pa.table(list(map(list, zip(*rows))) or [[]] * 5, schema=ASKED)
+
+    return run
+
+
+def _count(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Totals of one bucket, answered to every part in the order in which it asked; sums to part -1."""
+    keys = [np.cumsum(_unplanes(x), dtype=np.uint64) for x in pdf["keys"]]
+    size = [len(k) for k in keys]
+    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([_unplanes(x) for x in pdf["counts"]]), minlength=len(u)).astype(np.int64)
+    answer = np.split(total[inverse], np.cumsum(size)[:-1])
+    kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
+    out = [(int(p), kind, bucket, _planes(a)) for p, a in zip(pdf["part"], answer)]
+    if kind == UNI:
+        out.append((-1, kind, bucket, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()))
+    part, kinds, buckets, data = map(list, zip(*out))
+    return pd.DataFrame({"part": np.array(part, np.int32), "kind": np.array(kinds, np.int32), "bucket": np.array(buckets, np.int32), "data": data})
+
+
+# ---------------------------------------------------------------- codes
+CODED = pa.schema([
+    ("part", pa.int32()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("n_known", pa.list_(pa.int64())),
+    ("n_bytes", pa.list_(pa.int64())), ("base_sum", pa.list_(pa.float64())), ("bits", pa.list_(pa.float64())), ("codes", pa.binary()), ("novel", pa.binary()),
+    ("novel_sizes", pa.list_(pa.int32())), ("histogram", pa.list_(pa.int64())),
+])
+CODED_SQL = (
+    "part int, tokens long, distinct long, ids array<long>, n_tokens array<long>, n_known array<long>, n_bytes array<long>, base_sum array<double>, bits array<double>, "
+    "codes binary, novel binary, novel_sizes array<int>, histogram array<long>"
+)
+
+
+def _standing(keys: np.ndarray, t: Tokens, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token, its key's total, and the count as it stands: without the own document's (if it trains) later ones."""
+    order = np.argsort(keys, kind="stable")
+    k, r = keys[order], t.row[order]
+    new = np.r_[True, k[1:] != k[:-1]]
+    run = np.flatnonzero(new | np.r_[True, r[1:] != r[:-1]])
+    size = np.diff(np.r_[run, len(k)])
+    earlier = np.arange(len(k)) - np.repeat(run, size)
+    total = totals[np.cumsum(new) - 1]
+    now = total + earlier - np.repeat(size * t.train[r[run]], size)
+    out = np.empty((2, len(k)), np.int64)
+    out[0, order], out[1, order] = total, now
+    return out[0], out[1]
+
+
+def _level(n: np.ndarray, most: int) -> np.ndarray:
+    return np.minimum(np.ceil(np.log2(n + 1.0)), most).astype(np.uint16)
+
+
+def _coded(buckets: int):
+    """One row per part: what each token's decisions are (16 bits), what its counts cost, and the words to spell."""
 
-    return raw, size, [scrambled(two, 1), scrambled(two | b3 << np.uint32(16), 77), word]
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:  # part -1: sums over the training tokens
+            sums = np.sum([np.frombuffer(x, np.int64) for x in answers.column("data").to_pylist()], 0) if answers.num_rows else (0, 0)
+            return pa.table([[-1], [int(sums[0])], [int(sums[1])], *([[[]]] * 6), [b""], [b""], [[]], [[]]], schema=CODED)
+        c = _documents(docs.column("payload").to_pylist())
+        t = Tokens(c, buckets)
+        got = sorted(zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("data").to_pylist()))
+        totals = [np.concatenate([_unplanes(d).astype(np.int64) for k, _, d in got if k == kind]) for kind in (UNI, BI, TRI)]
+        (count, one), (_, two), (_, three) = (_standing(k, t, n) for k, n in zip(t.keys, totals))
+        begins, ends, n = t.first[:-1], t.first[1:] - 1, len(c)
+        by_one, by_two = np.r_[0, one[:-1]], np.r_[0, two[:-1]]
+        by_one[begins], by_two[begins] = one[ends], 0  # a document begins as often as one ends
+        level = np.where((by_two > 0) & (three > 0), 0, np.where((by_one > 0) & (two > 0), 1, np.where(one > 0, 2, 3)))
+        share = np.select([level == 0, level == 1, level == 2], [three / np.maximum(by_two, 1), two / np.maximum(by_one, 1), one], 1.0)
+        # the share of a known token is of all tokens, whose number is not known yet
+        bits = np.bincount(t.row, weights=-np.log2(np.where(level == 2, share, np.minimum(share, 1))), minlength=n)
+        code = level.astype(np.uint16) | _level(np.maximum(by_two, 0), 15) << np.uint16(2) | _level(np.maximum(by_one, 0), 31) << np.uint16(6)
+        # words to spell, each behind the bytes before it; the end is a line feed
+        at = np.flatnonzero(level == 3)
+        raw = np.concatenate([np.full(BACK, 32, np.uint8), t.data, np.full(2, 32, np.uint8)])  # shifted by BACK
+        s, size = t.start[at], (t.end - t.start)[at]
+        last = size == 0
+        width = np.where(last, 1, size) + 1 + BACK
+        before = np.cumsum(width) - width
+        k = np.arange(int(width.sum())) - np.repeat(before, width)
+        own = np.repeat(s, width) + k
+        novel = raw[np.minimum(own, len(raw) - 1)]
+        novel[np.repeat(c.offs[:-1][t.row[at]], width) > own - BACK] = 32  # nothing from the document before
+        novel[before + BACK - 1] = 32
+        novel[before + width - 1] = 32
+        tail = before[last]
+        novel[(tail[:, None] + np.arange(BACK + 2)).ravel()] = np.tile(np.r_[np.full(BACK, 32), 10, 32].astype(np.uint8), len(tail))
+        spelled = np.flatnonzero(t.train[t.row[at]])
+        histogram = np.bincount(novel[(k >= BACK) & np.repeat(np.isin(np.arange(len(at)), spelled), width)], minlength=256)
+        per = np.diff(t.first)
+        known = np.bincount(t.row[count > 0], minlength=n)
+        base = np.bincount(t.row, weights=np.log10(count + 0.1), minlength=n)
+        part = docs.column("part")[0].as_py()
+        return pa.table([[part], [0], [0], [c.ids], [per], [known], [t.n_bytes], [base], [bits], [code.tobytes()], [novel.tobytes()], [width.astype(np.int32)], [histogram]], schema=CODED)
+
+    return run
 
 
 class Code:
@@ -108,294 +320,232 @@ class Code:
         return n, self.node[at], self.bit[at]
 
 
-def slots(context: np.ndarray, n: np.ndarray, node: np.ndarray) -> np.ndarray:
+def _slot(m: int, x: np.ndarray) -> np.ndarray:
+    """Slot of a context of predictor ``m``."""
     with np.errstate(over="ignore"):
-        return (np.repeat(context, n) + node) >> np.uint32(32 - SLOT_BITS)
-
-
-# ---------------------------------------------------------------- gathering
-def _summed(held: list[np.ndarray]) -> np.ndarray:
-    a = np.concatenate(held)
-    u, inv = np.unique(a["h"], return_inverse=True)
-    out = np.zeros(len(u), COUNT)
-    out["h"], out["c"] = u, np.bincount(inv, weights=a["c"], minlength=len(u)).astype(np.uint32)
-    return out
-
-
-def _split(rows: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
-    bucket = (rows["h"] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
-    at = np.flatnonzero(np.r_[True, np.diff(bucket) > 0])[: len(rows)]
-    return [(int(bucket[a]), rows[a:b].tobytes()) for a, b in zip(at, np.r_[at[1:], len(rows)])]
-
-
-GATHERED = pa.schema([("kind", pa.int32()), ("key", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
-
-
-def _gather(code: Code, buckets: int):
-    """Training counts of a task: words (kind 0) by bucket, context tables (kind 1) by range of slots, documents (kind 2)."""
+        h = (x.astype(np.uint64) + np.uint64(m + 1)) * MULT
+        h = (h ^ (h >> np.uint64(29))) * MULT
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+
+
+class Decisions:
+    """All decisions of some documents of a part, in order: a slot in each predictor's table, the bit and the weight set."""
+
+    def __init__(self, code: np.ndarray, row: np.ndarray, first: np.ndarray, novel: np.ndarray, widths: np.ndarray, huffman: Code):
+        total = len(code)
+        level, by_two, by_one = (code & 3).astype(np.int64), (code >> 2 & 15).astype(np.int64), (code >> 6 & 31).astype(np.int64)
+        place = np.arange(total) - first[row]
+
+        def back(x: np.ndarray, k: int, none: int) -> np.ndarray:
+            return np.where(place >= k, np.r_[np.zeros(k, np.int64), x[:-k]][:total] if total > k else none, none)
+
+        last, last2, last3 = (back(level, k, 4) for k in (1, 2, 3))
+        history = last * 25 + last2 * 5 + last3
+        rare = back(by_one, 1, 0)
+        far = np.minimum(np.ceil(np.log2(place + 1.0)), 15).astype(np.int64)
+        asked = [by_two > 0, (level >= 1) & (by_one > 0), level >= 2]
+        # spelling
+        word = np.flatnonzero(level == 3)
+        begin = np.cumsum(widths) - widths
+        k = np.arange(len(novel)) - np.repeat(begin, widths)
+        body = np.flatnonzero(k >= BACK)
+        n, node, bit = huffman.spread(novel[body])
+        per_word = np.bincount(np.repeat(np.arange(len(widths)), widths)[body], weights=n, minlength=len(widths)).astype(np.int64)
+        # places
+        extra = np.zeros(total, np.int64)
+        extra[word] = per_word
+        flags = sum(a.astype(np.int64) for a in asked)
+        self.per_token = flags + extra
+        start = np.cumsum(self.per_token) - self.per_token
+        self.total = int(self.per_token.sum())
+        self.slots = np.empty((MODELS, self.total), np.uint32)
+        self.bit, self.set = np.empty(self.total, np.int8), np.empty(self.total, np.int8)
+        at = start.copy()
+        for kind, (a, q) in enumerate(zip(asked, (by_two, by_one, by_one))):
+            i = np.flatnonzero(a)
+            p = at[i]
+            at[i] += 1
+            q, head = q[i], kind + 1
+            contexts = (q, history[i], q * 125 + history[i], q * 1024 + rare[i] * 32 + by_one[i], (far[i] * 5 + last[i]) * 5 + last2[i], (q * 16 + far[i]) * 5 + last[i])
+            for m, x in enumerate(contexts):
+                self.slots[m, p] = _slot(m, x * 4 + head)
+            self.bit[p] = level[i] == kind
+            self.set[p] = 2 * kind + (q > 3)
+        if len(body):
+            p = np.repeat(start[word] + flags[word] - (np.cumsum(per_word) - per_word), per_word) + np.arange(len(node))
+            b = [novel[body - j].astype(np.uint64) for j in range(1, BACK + 1)]
+            so_far, prefix = np.uint64(0), []
+            for j, x in enumerate(b):
+                so_far = so_far | x << np.uint64(8 * j)
+                prefix.append(so_far)
+            inside = np.minimum(k[body] - BACK, 15).astype(np.uint64)
+            for m, x in enumerate((prefix[0], prefix[1], prefix[2], prefix[3], prefix[4], prefix[0] << np.uint64(4) | inside)):
+                with np.errstate(over="ignore"):
+                    x = mix(x + np.uint64(m + 1)) & np.uint64(0xFFFFFFFFFFFFFF00)
+                self.slots[m, p] = _slot(m, np.repeat(x, n) ^ node.astype(np.uint64) << np.uint64(8))
+            self.bit[p] = bit
+            self.set[p] = 6 + np.repeat(inside > 0, n)
+
+
+def lanes(codes: np.ndarray, n_tokens: np.ndarray, novel: np.ndarray, widths: np.ndarray):
+    """Slices of a part of about ``LANE_TOKENS`` tokens: (from document, to document, arguments of ``Decisions``)."""
+    first = np.r_[0, np.cumsum(n_tokens)]
+    spelled = np.r_[0, np.cumsum((codes & 3) == 3)]
+    begin = np.r_[0, np.cumsum(widths)]
+    i = 0
+    while i < len(n_tokens):
+        j = min(max(int(np.searchsorted(first, first[i] + LANE_TOKENS, "right")) - 1, i + 1), len(n_tokens))
+        a, b = first[i], first[j]
+        x, y = spelled[a], spelled[b]
+        yield i, j, (codes[a:b], np.repeat(np.arange(j - i), n_tokens[i:j]), first[i:j] - a, novel[begin[x] : begin[y]], widths[x:y])
+        i = j
+
+
+def _rows(batches):
+    """Parts of the written table."""
+    for b in batches:
+        names = b.schema.names
+        for i in range(b.num_rows):
+            x = {k: b.column(j)[i] for j, k in enumerate(names)}
+            lists = {k: np.asarray(x[k].values) for k in ("ids", "n_tokens", "n_known", "n_bytes", "base_sum", "bits", "novel_sizes")}
+            yield x["part"].as_py(), lists, np.frombuffer(x["codes"].as_py(), np.uint16), np.frombuffer(x["novel"].as_py(), np.uint8)
+
+
+# ---------------------------------------------------------------- tables and weights
+GATHERED = pa.schema([("key", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
+
+
+def _gather(huffman: Code):
+    """Bit counts of a task's training documents, by predictor and range of slots."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         size = 2 << SLOT_BITS
-        tables, ends = np.zeros((MODELS, size)), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # counts, bytes and sizes of different words
-
-        def settle():
-            """Counts of the held words, each once, and their decisions into the tables."""
-            all_, raw, sizes = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            got = _summed([all_])
-            _, first = np.unique(all_["h"], return_index=True)
-            start = np.cumsum(sizes) - sizes
-            for k in range(0, len(first), 1 << 16):
-                some = first[k : k + (1 << 16)]
-                add(raw, start[some], start[some] + sizes[some], np.r_[got["c"][k : k + (1 << 16)], 0])
-            rows = _split(got, buckets)
-            return table(GATHERED, [0] * len(rows), [k for k, _ in rows], [part] * len(rows), [d for _, d in rows])
-
-        def add(data, start, end, weight):
-            """``weight`` times the decisions of each word, and of the line feed at the end."""
-            raw, sizes, contexts = spelled(data, start, end)
-            m, node, bit = code.spread(raw)
-            times = np.repeat(np.repeat(weight, sizes), m).astype(np.float64)
-            for t, ctx in zip(tables, contexts):
-                t += np.bincount(slots(ctx, m, node) * np.uint32(2) + bit, weights=times, minlength=size)
-
-        for c in chunks(batches, GATHER_BYTES):
-            t = Tokens(c)
-            train = ~is_held_out(c.ids)
-            ends += int(train.sum())
-            mine = np.flatnonzero(train[t.row])
-            u, first, n = np.unique(t.hash[mine], return_index=True, return_counts=True)
-            if not len(u):
-                continue
-            got = np.zeros(len(u), COUNT)
-            got["h"], got["c"] = u, n
-            start, sizes = t.start[mine[first]], (t.end - t.start)[mine[first]]
-            at = np.arange(int(sizes.sum())) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)
-            held.append((got, t.data[at], sizes))
-            if sum(x.nbytes for h in held for x in h) > HELD_BYTES:
-                yield settle()
-        if held:
-            yield settle()
-        none = np.zeros(0, np.int64)
-        add(np.zeros(0, np.uint8), none, none, np.array([ends]))
-        yield table(GATHERED, [2], [0], [part], [np.int64(ends).tobytes()])
-        if ends:
-            cut = np.minimum(tables, 2.0**32 - 1).astype(np.uint32).reshape(MODELS * RANGES, -1)
-            for r in range(0, len(cut), 64):
-                yield table(GATHERED, [1] * 64, list(range(r, r + 64)), [part] * 64, [x.tobytes() for x in cut[r : r + 64]])
+        counts = np.zeros((MODELS, size), np.int64)
+        some = -1
+        for part, x, codes, novel in _rows(batches):
+            some = part
+            train = ~is_held_out(x["ids"])
+            for i, _, args in lanes(codes, x["n_tokens"], novel, x["novel_sizes"]):
+                d = Decisions(*args, huffman)
+                mine = np.repeat(train[i + args[1]], d.per_token)
+                for m in range(MODELS):
+                    counts[m] += np.bincount(d.slots[m][mine] * np.uint32(2) + d.bit[mine].astype(np.uint32), minlength=size)
+        if some >= 0:
+            rows = [(r, some, _planes(x)) for r, x in enumerate(counts.reshape(MODELS * RANGES, -1)) if x.any()]
+            if rows:
+                yield table(GATHERED, *map(list, zip(*rows)))
 
     return run
 
 
-def _sum_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    got = _summed([np.frombuffer(x, COUNT) for x in pdf["data"]])
-    return pd.DataFrame({"bucket": [int(pdf["key"].iloc[0])], "n": [int(got["c"].sum())], "v": [len(got)], "data": [got.tobytes()]})
-
-
 def _sum_tables(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(pdf["data"].iloc[0]) // 4, np.uint64)
-    for x in pdf["data"]:
-        total += np.frombuffer(x, np.uint32)
-    return pd.DataFrame({"key": [int(pdf["key"].iloc[0])], "data": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+    total = sum(_unplanes(x).astype(np.int64) for x in pdf["data"])
+    return pd.DataFrame({"key": [int(pdf["key"].iloc[0])], "data": [_planes(total)]})
 
 
-# ---------------------------------------------------------------- model
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -8, 8).astype(np.float32)
-
-
-def gates(seen: list[np.ndarray]) -> list[np.ndarray]:
-    """Gates besides the constant one, from how often the contexts were seen."""
-    return [seen[2] > 0, seen[1] > 15]
+    return np.clip(np.log((n1 + 0.4) / (n0 + 0.4)), -7.9, 7.9).astype(np.float32)
 
 
 class Mixer:
-    """Predictions of the tables, starting weights, and the online pass."""
+    """Predictions in steps of a sixteenth, starting weights, and the online pass."""
 
-    def __init__(self, code: Code, counts: np.ndarray):
+    def __init__(self, huffman: Code, counts: np.ndarray):
         n0, n1 = counts[:, 0::2], counts[:, 1::2]
-        self.code = code
-        self.eighths = (np.clip(np.round(stretched(n0, n1) * 8), -63, 63) * 2).astype(np.int8)
-        self.gate = gates([n0[m].astype(np.int64) + n1[m] for m in range(MODELS)])
-        self.weights = np.zeros((GATED, MODELS))
-        self.weights[0] = 0.4
-
-    def fit(self, c: Chunk, counts: np.ndarray, rounds: int = 60) -> None:
-        """Starting weights from a bounded sample of training text, each occurrence taken out of the counts it is in."""
-        t = Tokens(c)
-        raw, _, contexts = spelled(t.data, t.start, t.end)
-        k, node, bit = self.code.spread(raw)
-        x, seen = [], []
-        for m, ctx in enumerate(contexts):
-            at = slots(ctx, k, node).astype(np.int64) * 2
-            n0, n1 = counts[m][at].astype(np.float64), counts[m][at + 1].astype(np.float64)
-            n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
-            x.append(stretched(n0, n1).astype(np.float64))
-            seen.append(n0 + n1)
-        x, g = np.stack(x, 1), np.stack([np.ones(len(bit)), *gates(seen)], 1)
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-((g @ self.weights) * x).sum(1)))
-            self.weights += 0.1 * (g * (bit - p)[:, None]).T @ x / len(bit)
-
-    def packed(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Decisions of some words and then of the line feed, four bytes each: three stretched predictions in steps of
-        an eighth, the last two with a gate in the lowest bit, and the bit as -1 or 1. And their number for each word."""
-        raw, sizes, contexts = spelled(data, start, end)
-        k, node, bit = self.code.spread(raw)
-        out = np.empty((len(bit), 4), np.int8)
-        index = [slots(ctx, k, node) for ctx in contexts]
-        for m, gate in enumerate((None, self.gate[1], self.gate[0])):
-            out[:, m] = self.eighths[m][index[m]]
-            if gate is not None:
-                out[:, m] |= gate[index[m]]
-        out[:, 3] = bit.astype(np.int8) * 2 - 1
-        return out.view(np.uint32).ravel(), np.add.reduceat(k, np.cumsum(sizes) - sizes)
-
-    def _entries(self, t: Tokens) -> np.ndarray:
-        """Places of the words' decisions in this worker's memory; new words are added. Entry 1 is the line feed."""
-        mem = self.memory
-        entry = mem.find(t.hash)
-        new = np.flatnonzero(entry < 0)
-        u, first = np.unique(t.hash[new], return_index=True)
-        if mem.used + len(u) + 1 > mem.most or not mem.used:
-            mem.clear(len(t.hash) + 1)
-            none = np.zeros(0, np.int64)
-            mem.add(np.ones(1, np.uint64), *self.packed(t.data, none, none))
-            new = np.arange(len(t.hash))
-            u, first = np.unique(t.hash, return_index=True)
-            entry = np.empty(len(t.hash), np.int64)
-        at = new[first]
-        values, counts = self.packed(t.data, t.start[at], t.end[at])
-        mem.add(u, values[: len(values) - counts[-1]], counts[:-1])
-        entry[new] = mem.find(t.hash[new])
-        return entry
-
-    def score(self, c: Chunk, t: Tokens) -> np.ndarray:
-        """Log10 probability of each row's stream."""
-        if getattr(self, "memory", None) is None:
-            self.memory = Memory(19)
-        entry, mem = self._entries(t), self.memory
-        nothing = mem.length  # a block of zeros behind the decisions
-        store = mem.ids
-        if len(store) < nothing + BLOCK or store.dtype != np.uint32:
-            store = np.zeros(nothing + BLOCK, np.uint32)
-            store[:nothing] = mem.ids[:nothing]
-            mem.ids = np.r_[store, np.zeros(nothing // 2, np.uint32)]
-        store = mem.ids
-        count, line = mem.counts[entry].astype(np.int64), int(mem.counts[1])
-        # the pieces of a row: its words, the line feed, and nothing up to a whole number of blocks
-        n_bits = np.bincount(t.row, weights=count, minlength=len(c)).astype(np.int64) + line
-        blocks = -(-n_bits // BLOCK)
-        place = np.arange(len(entry)) + 2 * t.row
-        tail = np.cumsum(t.n_words) + 2 * np.arange(len(c))
-        length, begin = np.zeros(len(entry) + 2 * len(c), np.int64), np.zeros(len(entry) + 2 * len(c), np.int64)
-        length[place], begin[place] = count, mem.starts[entry]
-        length[tail], begin[tail] = line, mem.starts[1]
-        length[tail + 1], begin[tail + 1] = blocks * BLOCK - n_bits, nothing
-        at = np.arange(int(length.sum())) + np.repeat(begin - (np.cumsum(length) - length), length)
-        # blocks in order of step, then of row by size: each step is one slice
-        lanes = np.argsort(-blocks, kind="stable")
-        rank = np.empty(len(lanes), np.int64)
-        rank[lanes] = np.arange(len(lanes))
-        owner = np.repeat(np.arange(len(blocks)), blocks)
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        order = np.lexsort((rank[owner], step))
-        at = at.reshape(-1, BLOCK)[order]
-        active = np.bincount(step)
-        # weights are for predictions in sixteenths, as they are stored
-        w = np.repeat((self.weights / 16)[None].astype(np.float32), len(lanes), 0)
-        bias = np.zeros(len(lanes) * BIASES, np.float32)
-        total, done = np.zeros(len(lanes)), 0
-        for n, a in enumerate(active.tolist()):
-            i = at[done : done + a]
-            done += a
-            u = store.take(i, mode="clip").view(np.int8).reshape(a, BLOCK, 4)
-            xs = np.empty((a, MODELS, BLOCK), np.float32)
-            for m in range(MODELS):
-                xs[:, m] = u[:, :, m]
-            g1, g2, sg = (u[:, :, 2] & 1).astype(np.float32), (u[:, :, 1] & 1).astype(np.float32), u[:, :, 3].astype(np.float32)
-            p = w[:a] @ xs
-            dot = p[:, 1]
-            dot *= g1
-            dot += p[:, 0]
-            dot += np.multiply(p[:, 2], g2, out=p[:, 2])
+        self.huffman = huffman
+        #: Per predictor: predictions from all counts, and without one occurrence of a 0 or of a 1.
+        versions = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
+        self.steps = np.concatenate([np.round(stretched(a, b) * 16) for a, b in versions], 1).astype(np.int8)
+        self.weights = np.full((SETS, MODELS), 0.3, np.float32)
+
+    def inputs(self, d: Decisions, train: np.ndarray) -> np.ndarray:
+        """Predictions (decision, predictor) as int8; ``train`` says whose own occurrence is in the counts."""
+        shift = np.where(train, d.bit.astype(np.uint32) + np.uint32(1), np.uint32(0)) << np.uint32(SLOT_BITS)
+        out = np.empty((d.total, MODELS), np.int8)
+        for m in range(MODELS):
+            out[:, m] = self.steps[m][d.slots[m] + shift]
+        return out
+
+    def learned(self, d: Decisions, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Weights after one pass of mini-batches."""
+        for k in range(0, d.total, FIT_BATCH):
+            s, xs = d.set[k : k + FIT_BATCH], x[k : k + FIT_BATCH].astype(np.float32) / 16
+            p = 1 / (1 + np.exp(-np.clip((w[s] * xs).sum(1), -30, 30)))
+            of = (s[None] == np.arange(SETS)[:, None]).astype(np.float32)
+            w = w + FIT_RATE * ((of * (d.bit[k : k + FIT_BATCH] - p)) @ xs) / np.sqrt(of.sum(1, keepdims=True) + 1) / 8
+        return w
+
+    def score(self, d: Decisions, x: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """Bits that the decisions of each of ``n`` documents cost, learning block by block."""
+        per = np.bincount(row, weights=d.per_token, minlength=n).astype(np.int64)
+        begin = np.cumsum(per) - per
+        order = np.argsort(-per, kind="stable")
+        blocks = -(-per[order] // BLOCK)
+        w = np.repeat(self.weights[None], n, 0)
+        bias = np.zeros(n * BIASES, np.float32)
+        total = np.zeros(n)
+        x = np.concatenate([x, np.zeros((1, MODELS), np.int8)])
+        sign = np.r_[d.bit * 2 - 1, 0].astype(np.float32)  # 0: nothing stands here
+        kind = np.r_[d.set, 0]
+        for step in range(int(blocks.max(initial=0))):
+            a = int(np.searchsorted(-blocks, -step, "left"))  # documents with more blocks than that
+            at = (begin[order[:a]] + step * BLOCK)[:, None] + np.arange(BLOCK)
+            at[at >= (begin + per)[order[:a], None]] = d.total
+            xs, s, k = x[at].astype(np.float32) / 16, sign[at], kind[at]
+            dot = np.einsum("abm,abm->ab", np.take_along_axis(w[:a], k[:, :, None].astype(np.int64), 1), xs)
             np.clip(dot, -15.9, 15.9, out=dot)
-            b = ((dot + 16) * np.float32(BIASES / 32)).astype(np.int64)
-            b += (np.arange(a) * BIASES)[:, None]
-            dot += bias.take(b, mode="clip")
-            dot *= sg
-            q = np.exp(np.negative(dot, out=dot), out=dot)
-            total[:a] -= np.log1p(q).sum(1)
-            if n + 1 < len(active):
-                e = np.empty((a, GATED, BLOCK), np.float32)
-                np.divide(q, q + 1, out=e[:, 0])
-                e[:, 0] *= sg
-                np.multiply(e[:, 0], g1, out=e[:, 1])
-                np.multiply(e[:, 0], g2, out=e[:, 2])
-                w[:a] += np.float32(RATE / 256) * (e @ xs.transpose(0, 2, 1))
-                bias[: a * BIASES] += BIAS_RATE * np.bincount(b.ravel(), weights=e[:, 0].ravel(), minlength=a * BIASES).astype(np.float32)
-        total += (blocks * BLOCK - n_bits)[lanes] * np.log(2)  # what stands for nothing has even odds
-        out = np.zeros(len(lanes))
-        out[lanes] = total / np.log(10)
+            b = ((dot + 16) * np.float32(BIASES / 32)).astype(np.int64) + (np.arange(a) * BIASES)[:, None]
+            z = (dot + bias[b]) * s
+            q = np.exp(-z)
+            live = s != 0
+            total[:a] += (np.log1p(q) * live).sum(1)
+            e = s * q / (1 + q)
+            of = (k[:, None, :] == np.arange(SETS)[None, :, None]) * e[:, None, :]
+            w[:a] += np.float32(RATE) * (of @ xs)
+            bias[: a * BIASES] += BIAS_RATE / BLOCK * np.bincount(b.ravel(), weights=e.ravel(), minlength=a * BIASES).astype(np.float32)
+        out = np.zeros(n)
+        out[order] = total / np.log(2)
         return out
 
 
-# ---------------------------------------------------------------- scoring
-def _ask(group: pa.Table) -> pa.Table:
-    """Word hashes of one part, once each, by bucket."""
-    found = [np.unique(Tokens(c).hash) for c in chunks(group.select(["doc_id", "text"]).to_batches())]
-    u = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    buckets = group.column("buckets")[0].as_py()
-    key = (u % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    u, key = u[order], key[order]
-    at = np.flatnonzero(np.r_[True, np.diff(key) > 0])[: len(u)]
-    part = group.column("part")[0].as_py()
-    rows = [(int(key[a]), part, u[a:b].tobytes()) for a, b in zip(at, np.r_[at[1:], len(u)])]
-    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("asked", pa.binary())])
-    return pa.table(list(map(list, zip(*rows))) or [[], [], []], schema=schema)
-
-
-def _answer(asked: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    """Counts of the asked words that occur in training, by part."""
-    have = np.frombuffer(counts["data"].iloc[0], COUNT) if len(counts) else np.zeros(0, COUNT)
-    parts, data = [], []
-    for part, x in zip(asked["part"], asked["asked"]):
-        u = np.frombuffer(x, "<u8")
-        i = np.minimum(np.searchsorted(have["h"], u), max(len(have) - 1, 0))
-        hit = i[have["h"][i] == u] if len(have) else np.zeros(0, np.int64)
-        parts.append(int(part))
-        data.append(have[hit].tobytes())
-    return pd.DataFrame({"part": np.array(parts, np.int32), "data": data})
+FITTED = pa.schema([("part", pa.int32()), ("x", pa.list_(pa.float64()))])
+
+
+def _fit(model):
+    """One row per part: decisions per weight set, and the weights that its training documents lead to, times that."""
+
+    def run(batches):
+        mixer: Mixer = model.value
+        for part, x, codes, novel in _rows(batches):
+            train = ~is_held_out(x["ids"])
+            w, seen = mixer.weights, np.zeros(SETS)
+            for i, _, args in lanes(codes, x["n_tokens"], novel, x["novel_sizes"]):
+                d = Decisions(*args, mixer.huffman)
+                mine = np.repeat(train[i + args[1]], d.per_token)
+                d.slots, d.bit, d.set, d.total = d.slots[:, mine], d.bit[mine], d.set[mine], int(mine.sum())
+                w = mixer.learned(d, mixer.inputs(d, np.ones(d.total, bool)), w)
+                seen += np.bincount(d.set, minlength=SETS)
+            yield table(FITTED, [part], [np.r_[seen, (w * seen[:, None]).ravel()]])
+
+    return run
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_sum", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
 
-def _score(model, end_count: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _score(model, tokens: int):
+    def run(batches):
         mixer: Mixer = model.value
-        got = [np.frombuffer(x, COUNT) for x in answers.column("data").to_pylist()]
-        have = np.concatenate(got) if got else np.zeros(0, COUNT)
-        known_words = Memory(max(12, int(len(have)).bit_length() + 1))
-        known_words.add(have["h"].copy(), have["c"].astype(np.uint32), np.ones(len(have), np.int64))
-        value = np.log10(np.r_[0, have["c"]] + 0.1)  # entries count from 1, unknown words are 0
-        out = []
-        for c in chunks(docs.select(["doc_id", "text"]).to_batches(), SCORE_BYTES):
-            t = Tokens(c)
-            i = known_words.find(t.hash)
-            known = i > 0
-            i = np.maximum(i, 0)
-            base = np.bincount(t.row, weights=value[i], minlength=len(c)) + np.log10(end_count + 0.1)
-            n_known = np.bincount(t.row[known], minlength=len(c)) + int(end_count > 0)
-            out.append(table(SCORES, c.ids, is_held_out(c.ids), t.n_words + 1, n_known, base, mixer.score(c, t), t.n_bytes))
-        return pa.Table.from_batches(out, schema=SCORES)
+        for _, x, codes, novel in _rows(batches):
+            held, n = is_held_out(x["ids"]), x["n_tokens"]
+            known = np.bincount(np.repeat(np.arange(len(n)), n), weights=(codes & 3) == 2, minlength=len(n))
+            # all training tokens less the own ones, and the own ones so far: this many at most
+            bits = x["bits"] + known * np.log2(np.maximum(tokens + np.where(held, n, 0), 1))
+            for i, j, args in lanes(codes, n, novel, x["novel_sizes"]):
+                d = Decisions(*args, mixer.huffman)
+                inputs = mixer.inputs(d, np.repeat(~held[i + args[1]], d.per_token))
+                bits[i:j] += mixer.score(d, inputs, args[1], j - i)
+            yield table(SCORES, x["ids"], held, n, x["n_known"], x["base_sum"], -bits * np.log10(2), x["n_bytes"])
 
     return run
 
@@ -404,44 +554,47 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of every document.
 
     Documents whose crc32 of the id modulo 10 is 0 are held out; all others train. ``base_score`` is the smoothed
-    unigram score of the tokens (words and one end). ``score`` is the mixing model's log10 probability of the text's
-    stream, ``bits_per_byte`` the same per byte of the stream.
-
-    What goes to every task is bounded: three tables of 2**20 slots, a Huffman code and weights. Word counts stay
-    distributed: each part of about 16 MB asks for the counts of its own words, once each. Starting weights are
-    fitted, and the Huffman tree is built, on at most ``FIT_DOCS`` training documents and ``FIT_BYTES`` bytes. A null text is empty: one end token.
-    Rows without an id are left out; repeated rows count one by one; without training documents all counts are 0; an
-    empty table gives no rows; other columns are ignored.
+    unigram score of the tokens (words and one end) from the counts of all training documents, the own included.
+    ``score`` is the mixing model's log10 probability of the stream; of a training document it is what the rest of the
+    corpus and the document's own beginning predict. ``bits_per_byte`` is the same per byte (each token and a byte).
+
+    Counts of sequences stay distributed. What goes to every task is bounded: ``MODELS`` tables of 2**18 slots of bit
+    counts, a Huffman code and weights, all gathered from all training documents. A null text is empty: one end
+    token. Rows without an id are left out; repeated rows count one by one; without training documents all counts are
+    0; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sample = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HOLD_OUT != 0).where(F.octet_length("text") <= FIT_BYTES // 20).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).toArrow()
-    fit_on = [c for c in chunks(sample.to_batches(), FIT_BYTES)][:1]
-    code = Code(sum((np.bincount(TO_LOWER[c.data], minlength=256) for c in fit_on), np.zeros(256, np.int64)))
     parts = max(1, -(-size // PART_BYTES))
-    gathered = written(arrow_map(rows, _gather(code, parts), "kind int, key int, part int, data binary"), "gathered")
-    counts = written(gathered.where("kind = 0").groupBy("key").applyInPandas(_sum_words, "bucket int, n long, v long, data binary"), "counts")
-    totals = counts.agg(F.sum("n"), F.sum("v")).first()
-    ends = gathered.where("kind = 2").agg(F.sum(F.conv(F.hex(F.reverse("data")), 16, 10).cast("long"))).first()[0]
-    end_count = int(ends or 0)
-    tokens, distinct = (totals[0] or 0) + end_count, (totals[1] or 0) + int(end_count > 0)
-    tables = gathered.where("kind = 1")
+    buckets = max(1, -(-parts // 2))
+    dealt = arrow_map(rows, _deal(parts), "part int, payload binary")
+    asked = dealt.groupBy("part").applyInArrow(_ask(buckets), "kind int, bucket int, part int, keys binary, counts binary")
+    answers = asked.groupBy("kind", "bucket").applyInPandas(_count, "part int, kind int, bucket int, data binary")
+    coded = written(dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_coded(buckets), CODED_SQL), "coded")
+    sums = coded.agg(F.sum("tokens"), F.sum("distinct")).first()
+    tokens, distinct = sums[0] or 0, sums[1] or 0
+    coded = coded.where("part >= 0")
+    histogram = np.zeros(256, np.int64)
+    for r in coded.select(F.posexplode("histogram").alias("byte", "n")).groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        histogram[r.byte] = r.n
+    huffman = Code(histogram)
+    gathered = arrow_map(coded, _gather(huffman), "key int, part int, data binary")
     # hundreds of partial tables are added at a time, then their sums
-    partial = tables.groupBy("key", F.floor(F.col("part") / 128)).applyInPandas(_sum_tables, "key int, data binary")
-    sums = {r.key: np.frombuffer(r.data, np.uint32) for r in partial.groupBy("key").applyInPandas(_sum_tables, "key int, data binary").collect()}
-    blank = np.zeros((2 << SLOT_BITS) // RANGES, np.uint32)
-    slots_ = np.concatenate([sums.get(k, blank) for k in range(MODELS * RANGES)]).reshape(MODELS, -1)
-    mixer = Mixer(code, slots_)
-    if fit_on:
-        mixer.fit(fit_on[0], slots_)
-    model = spark.sparkContext.broadcast(mixer)
-    dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), F.lit(parts).alias("buckets"))
-    asked = dealt.groupBy("part").applyInArrow(_ask, "bucket int, part int, asked binary")
-    answers = asked.groupBy("bucket").cogroup(counts.select("bucket", "data").groupBy("bucket")).applyInPandas(_answer, "part int, data binary")
+    partial = gathered.groupBy("key", F.floor(F.col("part") / 128)).applyInPandas(_sum_tables, "key int, data binary")
+    counts = np.zeros((MODELS * RANGES, (2 << SLOT_BITS) // RANGES), np.int64)
+    for r in partial.groupBy("key").applyInPandas(_sum_tables, "key int, data binary").toLocalIterator():
+        counts[r.key] = _unplanes(bytes(r.data))
+    mixer = Mixer(huffman, counts.reshape(MODELS, -1))
+    fitted = arrow_map(coded, _fit(spark.sparkContext.broadcast(mixer)), "part int, x array<double>")
+    sums = np.zeros(SETS * (1 + MODELS))
+    for r in fitted.select(F.posexplode("x").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
+        sums[r.at] = r.x
+    seen, w = sums[:SETS, None], sums[SETS:].reshape(SETS, MODELS)
+    mixer.weights = np.where(seen > 0, w / np.maximum(seen, 1), mixer.weights).astype(np.float32)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, n_bytes long"
-    scored = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score(model, end_count), schema)
+    scored = arrow_map(coded, _score(spark.sparkContext.broadcast(mixer), tokens), schema)
     norm = float(np.log10(tokens + 0.1 * (distinct + 1)))
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
