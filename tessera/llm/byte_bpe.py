@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_map, chunks, table
 
 NONE = np.int32(2**31 - 1)
-LONGEST_ROW = 256
+#: A row costs its width squared; longer pieces are merged in the same order through a heap.
+LONGEST_ROW = 1024
 
 
 class PairTable:
@@ -183,10 +184,7 @@ class ByteBpe:
         if not new:
             return
         raw = [p.encode("utf-8", "surrogatepass") for p in new]
-        if len(raw) < 64:  # too few rows for matrices to pay
-            got = [np.array([self.ranks[p]], np.int32) if p in self.ranks else self._by_heap(p) for p in raw]
-        else:
-            got = self.encode_pieces(raw)
+        got = self.encode_pieces(raw)
         raw = np.concatenate(got).astype("<u4").tobytes()
         end = np.cumsum([4 * len(g) for g in got]).tolist()
         self.known.update(zip(new, (raw[a:b] for a, b in zip([0, *end], end))))

@@ -1,10 +1,16 @@
-"""Edit-aware token counts: a segment tree of pre-tokens per document, of which an edit re-encodes only what it touches."""
+"""Edit-aware token counts: a segment tree of pre-tokens per document, of which an edit re-encodes only what it touches.
+
+``build_trees`` keeps the leaves of every document's tree as a table, ``apply_edits`` takes such a table and a table of
+edits and gives the table after them; only documents with edits are touched, and of those only the pre-tokens around
+the edits are encoded. ``edit_counts`` does both in one pass over the texts.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,26 +19,30 @@ from tessera.llm import byte_bpe
 from tessera.llm.common import arrow_map, chunks, table
 
 LEAF = 32
+#: The split pattern looks at fewer characters than this behind a match.
+AHEAD = 4
 
 
 class TokenTree:
     """Pre-tokens of one text in leaves of about ``LEAF``; inner nodes hold sums of characters and of tokens.
 
-    ``replace`` starts at the pre-token that holds the character before the edit (the split pattern looks one
-    character ahead and never back, so earlier pre-tokens can't change) and stops at the first old boundary behind
-    the edit that the new split meets again. Only those pre-tokens are encoded anew.
+    ``replace`` starts at the pre-token that holds the character before the edit (the split pattern looks a few
+    characters ahead and never back, so earlier pre-tokens can't change) and stops at the first old boundary behind
+    the edit that the new split meets again. Only those pre-tokens are encoded anew, and no more of the text is read
+    than the leaves they are in. When what comes in no longer fits the leaves that it replaces, the leaves are dealt
+    anew, without encoding anything.
     """
 
-    def __init__(self, text: str, bpe: byte_bpe.ByteBpe, pieces: list[str] | None = None):
-        self.bpe, self.text, self.reencoded = bpe, text, 0
-        pieces = bpe.pattern.findall(text) if pieces is None else pieces
-        counts = self._counts(pieces)
-        both = list(zip(map(len, pieces), counts))
+    def __init__(self, pieces: list[str], bpe: byte_bpe.ByteBpe, counts: list[int] | None = None):
+        self.bpe, self.reencoded = bpe, 0
+        self._build(list(zip(pieces, self._counts(pieces) if counts is None else counts)))
+
+    def _build(self, both: list[tuple[str, int]]) -> None:
         self.leaves = [both[i : i + LEAF] for i in range(0, len(both), LEAF)] or [[]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = map(sum, zip(*leaf)) if leaf else (0, 0)
+        for i in range(len(self.leaves)):
+            self._sum(i)
         for i in range(self.size - 1, 0, -1):
             self._pull(i)
 
@@ -40,6 +50,10 @@ class TokenTree:
         self.bpe.learn(pieces)
         return [n >> 2 for n in map(len, map(self.bpe.known.__getitem__, pieces))]
 
+    def _sum(self, leaf: int) -> None:
+        pieces = self.leaves[leaf]
+        self.chars[self.size + leaf], self.tokens[self.size + leaf] = sum(len(p) for p, _ in pieces), sum(n for _, n in pieces)
+
     def _pull(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -48,6 +62,14 @@ class TokenTree:
     def count(self) -> int:
         return self.tokens[1]
 
+    @property
+    def pieces(self) -> list[tuple[str, int]]:
+        return [x for leaf in self.leaves for x in leaf]
+
+    @property
+    def text(self) -> str:
+        return "".join(p for p, _ in self.pieces)
+
     def prefix_count(self, position: int) -> int:
         """Tokens of the pre-tokens that end at or before a character position."""
         leaf, start = self._find(position)
@@ -56,8 +78,8 @@ class TokenTree:
             if i & 1:
                 total += self.tokens[i - 1]
             i >>= 1
-        for n, t in self.leaves[leaf]:
-            start += n
+        for p, t in self.leaves[leaf]:
+            start += len(p)
             if start > position:
                 break
             total += t
@@ -74,55 +96,62 @@ class TokenTree:
         return i - self.size, start
 
     def replace(self, start: int, length: int, new: str) -> None:
-        start = min(max(start, 0), len(self.text))
-        end = min(start + max(length, 0), len(self.text))
-        grown = len(new) - (end - start)
-        text = self.text[:start] + new + self.text[end:]
-        leaf, at = self._find(max(start - 1, 0))
-        head = []  # pre-tokens of the first leaf that stay
-        old = self.leaves[leaf]
-        k = 0
-        while k < len(old) and at + old[k][0] <= start - 1:
-            at += old[k][0]
-            head.append(old[k])
+        start = min(max(start, 0), self.chars[1])
+        end = min(start + max(length, 0), self.chars[1])
+        first, at = self._find(max(start - 1, 0))
+        k, old = 0, self.leaves[first]
+        while k < len(old) and at + len(old[k][0]) <= start - 1:
+            at += len(old[k][0])
             k += 1
-        self.text, fresh, lengths = text, [], []
-        last, boundary = leaf, at  # boundary: an old one, in old positions
-        pos = at
-        for m in self.bpe.pattern.finditer(text, at):
-            if pos >= start + len(new):  # behind the edit: does the old split have this boundary too?
-                while boundary < pos - grown and (k < len(self.leaves[last]) or last + 1 < len(self.leaves)):
-                    if k == len(self.leaves[last]):
-                        last, k = last + 1, 0
-                        continue
-                    boundary += self.leaves[last][k][0]
-                    k += 1
-                if boundary == pos - grown and boundary >= end:
+        head, window, ends = old[:k], old[k:], {}  # ends: number of window pieces up to an old position
+        until, last = at, first + 1
+
+        def note(pieces, done):
+            nonlocal until
+            for i, (p, _) in enumerate(pieces):
+                until += len(p)
+                ends[until] = done + i + 1
+
+        ends[at] = 0
+        note(window, 0)
+        need = end + 64
+        while True:
+            while until < need and last < len(self.leaves):
+                note(self.leaves[last], len(window))
+                window = window + self.leaves[last]
+                last += 1
+            whole = last == len(self.leaves)
+            was = "".join(p for p, _ in window)
+            now = was[: start - at] + new + was[end - at :]
+            shift, behind = at + (end - start) - len(new), start - at + len(new)  # old position = new one + shift
+            fresh, pos, kept = [], 0, None
+            for m in self.bpe.pattern.finditer(now):
+                if pos >= behind and pos + shift in ends:
+                    kept = ends[pos + shift]
+                    break
+                if m.end() > len(now) - AHEAD and not whole:
                     break
-            fresh.append(m.group())
-            pos = m.end()
-        else:
-            last, k = len(self.leaves) - 1, len(self.leaves[-1])
-        lengths = [len(p) for p in fresh]
+                fresh.append(m.group())
+                pos = m.end()
+            else:
+                kept = len(window)
+            if kept is not None:
+                break
+            need = until + 2 * (until - at) + 64
         self.reencoded += len(fresh)
-        tail = self.leaves[last][k:]
-        self.leaves[leaf] = head + list(zip(lengths, self._counts(fresh)))
-        if last == leaf:
-            self.leaves[leaf] = self.leaves[leaf] + tail
-        else:
-            for i in range(leaf + 1, last):
-                self.leaves[i] = []
-            self.leaves[last] = tail
-        for i in range(leaf, last + 1):
-            self._update(i)
-
-    def _update(self, leaf: int) -> None:
-        i = self.size + leaf
-        self.chars[i], self.tokens[i] = map(sum, zip(*self.leaves[leaf])) if self.leaves[leaf] else (0, 0)
-        i >>= 1
-        while i:
-            self._pull(i)
-            i >>= 1
+        both = head + list(zip(fresh, self._counts(fresh))) + window[kept:]
+        room = last - first
+        if len(both) > 2 * LEAF * room:
+            self._build([x for leaf in self.leaves[:first] for x in leaf] + both + [x for leaf in self.leaves[last:] for x in leaf])
+            return
+        share = max(1, -(-len(both) // room))
+        for i in range(room):
+            self.leaves[first + i] = both[i * share : (i + 1) * share]
+            self._sum(first + i)
+        for i in {(self.size + first + j) >> 1 for j in range(room)} - {0}:
+            while i:
+                self._pull(i)
+                i >>= 1
 
 
 #: What the masking edits replace: e-mail addresses, runs of three or more digits, runs of a mark.
@@ -142,22 +171,30 @@ def masking_edits(text: str, mask: str = " <masked> ") -> list[tuple[int, int, s
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int64()), ("n_tokens_edited", pa.int64()), ("n_pieces", pa.int64()), ("n_reencoded", pa.int64()), ("edited_sha256", pa.string())])
 
 
+def _given(edits: list | None) -> list[tuple[int, int, str]]:
+    """Edits of one row; those that are null or lack a start are none, a null length is 0, a null replacement empty."""
+    return [(e["start"], e["length"] or 0, e["replacement"] or "") for e in edits or [] if e is not None and e["start"] is not None]
+
+
 def edit_counts(docs: DataFrame, edits=masking_edits, edits_col: str | None = None, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token counts of every whole text before and after its edits.
 
     Edits are what the function ``edits`` gives for a text, or the rows of ``edits_col``
     (``array<struct<start,length,replacement>>``, applied in order, positions in characters of the text as it then
-    is; beyond its end they are moved to it). Returns ``doc_id, n_tokens, n_edits, n_tokens_edited, n_pieces,
-    n_reencoded, edited_sha256``. Null and empty texts count 0 tokens; null edits are none; rows without an id are
-    left out; repeated rows are counted one by one; an empty table gives no rows; other columns are ignored.
+    is; beyond its end they are moved to it; null edits, and edits without a start, are none). Returns ``doc_id,
+    n_tokens, n_edits, n_tokens_edited, n_pieces, n_reencoded, edited_sha256``. Null and empty texts count 0 tokens;
+    rows without an id are left out; rows that repeat an id are counted one by one, each with its own edits; an empty
+    table gives no rows; other columns are ignored.
     """
     path = vocabulary or byte_bpe.default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(edits_col).alias("edits")] if edits_col else []))
+    rows = rows.where("doc_id is not null")
 
     def run(batches):
         bpe = byte_bpe.model(path)
         for b in batches:
-            given = dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist())) if edits_col else None
+            given = b.column(2).to_pylist() if edits_col else None
+            at = 0
             for c in chunks([b]):
                 if len(bpe.known) > bpe.keep:
                     bpe.known = {}
@@ -166,10 +203,10 @@ def edit_counts(docs: DataFrame, edits=masking_edits, edits_col: str | None = No
                 split = [bpe.pattern.findall(t) for t in texts]
                 bpe.learn({p for s in split for p in s})
                 get = bpe.known.__getitem__
-                for doc, text, pieces in zip(c.ids.tolist(), texts, split):
-                    todo = edits(text) if given is None else [(e["start"], e["length"], e["replacement"] or "") for e in given.get(doc) or []]
+                for i, (doc, text, pieces) in enumerate(zip(c.ids.tolist(), texts, split)):
+                    todo = edits(text) if given is None else _given(given[at + i])
                     if todo:
-                        tree = TokenTree(text, bpe, pieces)
+                        tree = TokenTree(pieces, bpe)
                         before = tree.count
                         for start, length, new in todo:
                             tree.replace(start, length, new)
@@ -179,6 +216,68 @@ def edit_counts(docs: DataFrame, edits=masking_edits, edits_col: str | None = No
                         again = 0
                     for col, v in zip(cols, (doc, before, len(todo), after, len(pieces), again, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())):
                         col.append(v)
+                at += len(c)
                 yield table(ARROW, *cols)
 
     return arrow_map(rows, run, "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_pieces long, n_reencoded long, edited_sha256 string")
+
+
+# ---------------------------------------------------------------- kept trees
+TREES = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
+TREES_SQL = "doc_id long, text string, chars array<int>, tokens array<int>"
+
+
+def build_trees(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text, chars, tokens``: the leaves of every document's tree, as sizes of its pre-tokens in characters and tokens.
+
+    The sums of inner nodes follow from them without encoding. Null texts are empty; rows without an id are left out;
+    an empty table gives no rows. Write the result where it is to be kept.
+    """
+    path = vocabulary or byte_bpe.default_path()
+
+    def run(batches):
+        bpe = byte_bpe.model(path)
+        for c in chunks(batches):
+            if len(bpe.known) > bpe.keep:
+                bpe.known = {}
+            texts = c.texts()
+            split = [bpe.pattern.findall(t) for t in texts]
+            bpe.learn({p for s in split for p in s})
+            size = {p: len(bpe.known[p]) >> 2 for s in split for p in s}
+            yield table(TREES, c.ids, texts, [list(map(len, s)) for s in split], [[size[p] for p in s] for s in split])
+
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, TREES_SQL)
+
+
+def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """The table of ``build_trees`` after ``edits`` (``doc_id, edits``; as ``edits_col`` of ``edit_counts``), and ``n_reencoded``.
+
+    Documents without edits pass through. ``edits`` has a row per document at most; edits of unknown documents are
+    ignored.
+    """
+    path = vocabulary or byte_bpe.default_path()
+    schema = pa.schema([*TREES, ("n_reencoded", pa.int64())])
+
+    def run(batches):
+        bpe = byte_bpe.model(path)
+        for b in batches:
+            cols: list[list] = [[] for _ in schema]
+            for doc, text, chars, tokens, todo in zip(*(b.column(i).to_pylist() for i in range(5))):
+                stop = np.cumsum(chars, dtype=np.int64).tolist()
+                tree = TokenTree([text[x:y] for x, y in zip([0, *stop], stop)], bpe, tokens)
+                for start, length, new in _given(todo):
+                    tree.replace(start, length, new)
+                both = tree.pieces
+                for col, v in zip(cols, (doc, "".join(p for p, _ in both), [len(p) for p, _ in both], [n for _, n in both], tree.reencoded)):
+                    col.append(v)
+            yield table(schema, *cols)
+
+    joined = trees.select("doc_id", "text", "chars", "tokens").join(edits.select("doc_id", "edits"), "doc_id", "left")
+    touched = arrow_map(joined.where("size(edits) > 0"), run, TREES_SQL + ", n_reencoded long")
+    same = joined.where("edits is null or size(edits) = 0").select("doc_id", "text", "chars", "tokens", F.lit(0).cast("long").alias("n_reencoded"))
+    return same.unionByName(touched)
+
+
+def tree_counts(trees: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens`` from a table of trees."""
+    return trees.select("doc_id", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
