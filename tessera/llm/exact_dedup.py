@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import ascii_lower, written
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fold_case: bool = True) -> DataFrame:
@@ -36,6 +36,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = True) -> DataFrame:
-    """The input without the rows whose text an earlier id has; all columns stay. Repeated rows of one id go down to one."""
-    dropped = exact_groups(docs, id_col, text_col, "min", fold_case).where(~F.col("kept")).select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti").dropDuplicates([id_col])
+    """The input with one row of each group of equal texts, one with the smallest id; all columns stay.
+
+    Rows are matched by id and text together, so rows that repeat an id with different texts are different documents.
+    Rows that repeat both go down to one (which one is open). A null text is the empty text. A row without an id stays
+    only if no row with an id has its text. An empty table stays empty.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    sha = F.unhex(F.sha2(ascii_lower(text) if fold_case else text, 256))
+    rows = exact_groups(docs, id_col, text_col, "min", fold_case).groupBy(F.col(id_col).alias("__i"), F.unhex("text_sha256").alias("__s"), "kept").agg(F.count(F.lit(1)).alias("__n"))
+    others = written(rows.where("not kept or __n > 1"), "copies")  # what is dropped, and what stays once of several
+    keyed = docs.withColumn("__sha", sha)
+
+    def same(t: DataFrame):
+        return F.col(id_col).eqNullSafe(t["__i"]) & (F.col("__sha") == t["__s"])
+
+    several = others.where("kept").select("__i", "__s")
+    once = keyed.join(several, same(several), "left_semi").dropDuplicates([id_col, "__sha"])
+    gone = others.select("__i", "__s")
+    return keyed.join(gone, same(gone), "left_anti").unionByName(once).select(docs.columns)

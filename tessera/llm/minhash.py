@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import TO_LOWER, Chunk, arrow_map, chunks, mix, prefix_hash, span_hash, table, words, written
+from tessera.llm.common import TO_LOWER, Chunk, ambiguous_ids, arrow_map, chunks, mix, span_hash, table, words, written
 from tessera.llm.components import components
 
 BANDS, ROWS = 48, 6
@@ -41,7 +41,7 @@ def shingles(c: Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
     data = TO_LOWER[c.data]
     start, end, row = words(data, c.offs)
-    w = span_hash(prefix_hash(data), start, end)
+    (w,) = span_hash(data, start, end)
     n = np.bincount(row, minlength=len(c))
     first = np.r_[0, np.cumsum(n)][:-1]
     with np.errstate(over="ignore"):
@@ -227,6 +227,12 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_c
 
 
 def drop_near(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input with one document of each group, the one with the smallest id; all columns stay."""
-    dropped = near_groups(docs, shingle_words, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    """The input with one document of each group, the one with the smallest id; all columns stay.
+
+    Rows without an id, and rows whose id names different texts, are not compared and stay. Rows that repeat an id and
+    its text stay or go together. Null, empty and blank texts stay; an empty table stays empty.
+    """
+    doubtful = ambiguous_ids(docs, id_col, text_col)
+    certain = docs.join(doubtful, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    dropped = near_groups(certain, shingle_words, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col("__id"), "left_anti")

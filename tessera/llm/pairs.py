@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 SALT_ROWS = 2000
+#: At most so many documents count as hot, and those only from ``SALT_ROWS`` partners on.
+HOT_DOCS = 5000
 
 
 def side_by_side(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -15,12 +17,14 @@ def side_by_side(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     its partners, role 1 the text of b.
 
     Partners of one a come in order within a task. A hot a is salted by the number of its partners, with one copy
-    of its text for each salt. The join is by sort and merge at every size, so that the plan doesn't change with it.
+    of its text for each salt; the list of hot ones is broadcast and has ``HOT_DOCS`` rows at most, by their number of
+    partners. The join is by sort and merge at every size, so that the plan doesn't change with it.
     """
     pairs = written(pairs, "pairs")
     others = [c for c in pairs.columns if c not in ("a", "b")]
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("long").alias("salts"))
-    numbered = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"), *others)
+    limit = max(SALT_ROWS, pairs.count() // HOT_DOCS)
+    hot = pairs.groupBy("a").count().where(F.col("count") >= limit).select("a", F.ceil(F.col("count") / SALT_ROWS).cast("long").alias("salts"))
+    numbered = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt"), *others)
     leaders = numbered.select("a", "salt").distinct().select("a", F.col("a").alias("b"), "salt", F.lit(0).alias("role"))
     members = leaders.unionByName(numbered.withColumn("role", F.lit(1)), allowMissingColumns=True)
     texts = docs.select(F.col("doc_id").alias("b"), "text").hint("merge")
