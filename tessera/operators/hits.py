@@ -36,44 +36,72 @@ def _hit(rule: Rule, group_id: Column) -> list[Column]:
 
 
 # ---------------------------------------------------------------- plain and distance rules
-def simple_hits(tokens: DataFrame, rule: Rule) -> DataFrame:
-    """Every token of the rule's forms, in units that have all of them (or any, for any-rules)."""
-    unit, position = UNIT[rule.search_scope], POSITION[rule.search_scope]
-    rows = tokens.where(F.col("normalized_form").isin(*rule.forms))
-    if rule.form_match_logic == "all":
-        rows = rows.withColumn("present", F.size(F.collect_set("normalized_form").over(Window.partitionBy(unit)))).where(F.col("present") == len(rule.forms))
-    number = F.row_number().over(Window.partitionBy(unit).orderBy(position, "sentence_id", "token_no"))
-    return rows.withColumn("number", number).select(*_hit(rule, F.concat(F.lit(f"{rule.id}:"), unit, F.lit(":token:"), F.col("number").cast("string"))))
-
-
-def combination_counts(tokens: DataFrame, rule: Rule) -> DataFrame:
-    """``unit_id, combination_count``: the product of the forms' numbers of tokens, of units that have all forms."""
-    each = [F.count_if(F.col("normalized_form") == f).alias(f"n{i}") for i, f in enumerate(rule.forms)]
-    counted = tokens.where(F.col("normalized_form").isin(*rule.forms)).groupBy(F.col(UNIT[rule.search_scope]).alias("unit_id")).agg(*each)
-    product = F.lit(1).cast("decimal(38,0)")
-    for i in range(len(rule.forms)):
-        product = (product * F.col(f"n{i}")).cast("decimal(38,0)")
-    most = F.lit(2**62).cast("decimal(38,0)")
-    return counted.select("unit_id", F.least(F.coalesce(product, most), most).cast("long").alias("combination_count")).where("combination_count > 0")
-
-
-def strict_groups(tokens: DataFrame, rule: Rule) -> DataFrame:
+def _by_number(rules: list[Rule], value) -> Column:
+    """A literal of each rule, looked up by the rule's number in the list."""
+    return F.element_at(F.array(*(value(r) for r in rules)), F.col("rule_no") + 1)
+
+
+def _for_rules(tokens: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Tokens once for each rule that has their form: ``rule_no, form_no, unit_id, place`` and the token's columns.
+
+    The rules are a literal that each row looks itself up in, so any number of rules is one pass and no join.
+    """
+    by_form: dict[str, list[Column]] = {}
+    for i, r in enumerate(rules):
+        for k, f in enumerate(r.forms):
+            by_form.setdefault(f, []).append(F.struct(F.lit(i).alias("rule_no"), F.lit(k).alias("form_no"), F.lit(r.search_scope == "sentence").alias("by_sentence")))
+    table = F.create_map(*(x for f, cols in by_form.items() for x in (F.lit(f), F.array(*cols))))
+    rows = tokens.where(F.col("normalized_form").isin(*by_form)).select(*TOKEN, F.explode(F.element_at(table, F.col("normalized_form"))).alias("r")).select(*TOKEN, "r.*")
+    return rows.withColumns({"unit_id": F.when(F.col("by_sentence"), F.col("sentence_id")).otherwise(F.col("paragraph_id")), "place": F.when(F.col("by_sentence"), F.col(POSITION["sentence"])).otherwise(F.col(POSITION["paragraph"]))})
+
+
+def _numbered_hits(rows: DataFrame, rules: list[Rule], middle: str) -> DataFrame:
+    """Hit rows from ``rule_no, unit_id, number`` and the token's columns."""
+    rule = _by_number(rules, lambda r: F.struct(F.lit(r.id).alias("id"), F.lit(r.category_text).alias("category_text"), strings(r.categories).alias("categories")))
+    group = F.concat(F.col("rule.id"), F.lit(":"), F.col("unit_id").cast("string"), F.lit(middle), F.col("number").cast("string"))
+    rows = rows.withColumn("rule", rule)
+    return rows.select(*TOKEN, F.col("rule.id").alias("condition_id"), F.col("rule.category_text").alias("category_text"), F.col("rule.categories").alias("categories"), group.alias("match_group_id"), F.col("normalized_form").alias("match_role"))
+
+
+def simple_hits(tokens: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Every token of each rule's forms, in units that have all of them (or any, for any-rules). One exchange for all rules."""
+    unit = Window.partitionBy("rule_no", "unit_id")
+    needed = _by_number(rules, lambda r: F.lit(len(r.forms) if r.form_match_logic == "all" else 1))
+    rows = _for_rules(tokens, rules).withColumns({"present": F.size(F.collect_set("form_no").over(unit)), "number": F.row_number().over(unit.orderBy("place", "sentence_id", "token_no"))})
+    return _numbered_hits(rows.where(F.col("present") >= needed), rules, ":token:")
+
+
+def combination_counts(tokens: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rule_no, unit_id, combination_count``: the product of the forms' numbers of tokens (2**62 at most), of units that have all forms."""
+    each = _for_rules(tokens, rules).groupBy("rule_no", "unit_id", "form_no").agg(F.count(F.lit(1)).alias("n"))
+    whole = each.groupBy("rule_no", "unit_id").agg(F.collect_list("n").alias("n")).where(F.size("n") == _by_number(rules, lambda r: F.lit(len(r.forms))))
+    number = "decimal(38,0)"
+    product = F.aggregate("n", F.lit(1).cast(number), lambda a, x: F.least(a * x.cast("decimal(19,0)"), F.lit(2**62).cast("decimal(38,0)")).cast(number))
+    return whole.select("rule_no", "unit_id", product.cast("long").alias("combination_count"))
+
+
+def strict_groups(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """All combinations of one token per form within the distance, numbered by span, start, end and positions.
 
-    A band join per form: each step keeps only combinations that are still narrow enough.
+    ``rows`` are from ``_for_rules``. One band join per form for all rules together: places are cut into stretches one
+    longer than the distance, and a combination meets the next form's tokens of the two or three stretches that can
+    hold them, so a frequent form in a long unit is never joined with all others. The number of exchanges follows the
+    longest rule, not the number of rules.
     """
-    unit, position, d = UNIT[rule.search_scope], POSITION[rule.search_scope], rule.distance
-    out: DataFrame | None = None
-    for i, form in enumerate(rule.forms):
-        side = tokens.where(F.col("normalized_form") == form).select(F.col(unit).alias("unit_id"), F.col(position).alias(f"p{i}"), F.struct(*TOKEN).alias(f"t{i}"))
-        if out is None:
-            out = side.withColumns({"start": F.col("p0"), "end": F.col("p0")})
-            continue
-        out = out.join(side, "unit_id").withColumns({"start": F.least("start", f"p{i}"), "end": F.greatest("end", f"p{i}")}).where(F.col("end") - F.col("start") <= d)
-    places = [f"p{i}" for i in range(len(rule.forms))]
-    number = F.row_number().over(Window.partitionBy("unit_id").orderBy(F.col("end") - F.col("start"), "start", "end", *places))
-    exploded = out.withColumn("number", number).select("unit_id", "number", F.explode(F.array(*(f"t{i}" for i in range(len(rule.forms))))).alias("t")).select("unit_id", "number", "t.*")
-    return exploded.select(*_hit(rule, F.concat(F.lit(f"{rule.id}:"), F.col("unit_id").cast("string"), F.lit(":"), F.col("number").cast("string"))))
+    d = _by_number(rules, lambda r: F.lit(r.distance).cast("long"))
+    size = _by_number(rules, lambda r: F.lit(len(r.forms)))
+    sides = rows.select("rule_no", "unit_id", "form_no", "place", F.struct(*TOKEN).alias("t"), d.alias("d"), size.alias("size"))
+    now = sides.where("form_no = 0").select("rule_no", "unit_id", "d", "size", F.array("place").alias("places"), F.array("t").alias("ts"), F.col("place").alias("start"), F.col("place").alias("end"))
+    out = now.where("size = 1")
+    for k in range(1, max(len(r.forms) for r in rules)):
+        stretches = F.sequence(F.floor((F.col("end") - F.col("d")) / (F.col("d") + 1)), F.floor((F.col("start") + F.col("d")) / (F.col("d") + 1)))
+        open_ = now.where(F.col("size") > k).withColumn("stretch", F.explode(stretches))
+        side = sides.where(F.col("form_no") == k).select("rule_no", "unit_id", "place", "t", F.floor(F.col("place") / (F.col("d") + 1)).alias("stretch"))
+        both = open_.join(side, ["rule_no", "unit_id", "stretch"]).withColumns({"start": F.least("start", "place"), "end": F.greatest("end", "place")}).where(F.col("end") - F.col("start") <= F.col("d"))
+        now = both.select("rule_no", "unit_id", "d", "size", F.concat("places", F.array("place")).alias("places"), F.concat("ts", F.array("t")).alias("ts"), "start", "end")
+        out = out.unionByName(now.where(F.col("size") == k + 1))
+    number = F.row_number().over(Window.partitionBy("rule_no", "unit_id").orderBy(F.col("end") - F.col("start"), "start", "end", "places"))
+    return _numbered_hits(out.withColumn("number", number).select("rule_no", "unit_id", "number", F.explode("ts").alias("t")).select("rule_no", "unit_id", "number", "t.*"), rules, ":")
 
 
 def smallest_range(lists: list[list[int]]) -> tuple[int, int, int, list[int]] | None:
@@ -97,16 +125,17 @@ def smallest_range(lists: list[list[int]]) -> tuple[int, int, int, list[int]] |
         heapq.heapreplace(heap, (lists[k][i + 1], k, i + 1))
 
 
-def greedy_groups(tokens: DataFrame, rule: Rule) -> DataFrame:
-    """Non-overlapping groups: the narrowest range again and again, its tokens taken away each time."""
-    unit, position, forms, d = UNIT[rule.search_scope], POSITION[rule.search_scope], rule.forms, rule.distance
-    rows = tokens.where(F.col("normalized_form").isin(*forms)).select(F.col(unit).alias("unit_id"), *TOKEN)
-    schema = rows.select(*TOKEN).schema.simpleString()[7:-1].replace(":", " ") + ", number int"
+def greedy_groups(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Non-overlapping groups: the narrowest range again and again, its tokens taken away each time. ``rows`` are from ``_for_rules``."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("rule_no", "unit_id", *TOKEN)) + ", number int"
+    limits = [(len(r.forms), r.distance) for r in rules]
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([position, "sentence_id", "token_no"], kind="stable").reset_index(drop=True)
-        where = [pdf.index[pdf["normalized_form"] == f].tolist() for f in forms]
-        places = pdf[position].tolist()
+        n, d = limits[int(pdf["rule_no"].iloc[0])]
+        pdf = pdf.sort_values(["place", "sentence_id", "token_no"], kind="stable").reset_index(drop=True)
+        where = [pdf.index[pdf["form_no"] == f].tolist() for f in range(n)]
+        places = pdf["place"].tolist()
         lists = [[places[i] for i in w] for w in where]
         taken, numbers, number = [], [], 0
         while all(lists):
@@ -118,27 +147,26 @@ def greedy_groups(tokens: DataFrame, rule: Rule) -> DataFrame:
                 taken.append(where[k].pop(i))
                 lists[k].pop(i)
                 numbers.append(number)
-        return pdf.loc[taken, TOKEN].assign(number=numbers)
+        return pdf.loc[taken, ["rule_no", "unit_id", *TOKEN]].assign(number=numbers)
 
-    found = rows.groupBy("unit_id").applyInPandas(find, schema)
-    return found.select(*_hit(rule, F.concat(F.lit(f"{rule.id}:"), F.col(unit).cast("string"), F.lit(":"), F.col("number").cast("string"))))
+    return _numbered_hits(rows.groupBy("rule_no", "unit_id").applyInPandas(find, schema), rules, ":")
 
 
-def distance_hits(tokens: DataFrame, rule: Rule, settings: Settings) -> Hits:
+def distance_hits(tokens: DataFrame, rules: list[Rule], settings: Settings) -> Hits:
     """Enumerate units within the cap, search the others greedily; in strict mode a unit above the limit is an error."""
-    mode = settings.distance_matching_mode
+    mode, rows = settings.distance_matching_mode, _for_rules(tokens, rules)
     if mode == "approx":
-        return Hits(greedy_groups(tokens, rule), None)
-    unit = UNIT[rule.search_scope]
-    counts = combination_counts(tokens, rule)
+        return Hits(greedy_groups(rows, rules), None)
+    counts = combination_counts(tokens, rules)
     limit = settings.distance_match_strict_safety_limit if mode == "strict" else settings.distance_match_combination_cap
-    rows = tokens.where(F.col("normalized_form").isin(*rule.forms)).join(counts.withColumnRenamed("unit_id", unit), unit)
+    rows = rows.join(counts, ["rule_no", "unit_id"])
+    rule_id = _by_number(rules, lambda r: F.lit(r.id))
     if mode == "strict":
-        message = F.concat(F.lit(f"distance_match_strict_limit_exceeded: {rule.id}, unit "), F.col(unit).cast("string"), F.lit(", combinations "), F.col("combination_count").cast("string"))
-        return Hits(strict_groups(rows.where(F.when(F.col("combination_count") <= limit, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))), rule), None)
-    over = counts.where(F.col("combination_count") > limit).select(F.lit(rule.id).alias("condition_id"), "unit_id", "combination_count")
-    within = strict_groups(rows.where(F.col("combination_count") <= limit), rule)
-    return Hits(within.unionByName(greedy_groups(rows.where(F.col("combination_count") > limit), rule)), over)
+        message = F.concat(F.lit("distance_match_strict_limit_exceeded: "), rule_id, F.lit(", unit "), F.col("unit_id").cast("string"), F.lit(", combinations "), F.col("combination_count").cast("string"))
+        return Hits(strict_groups(rows.where(F.when(F.col("combination_count") <= limit, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))), rules), None)
+    over = counts.where(F.col("combination_count") > limit).select(rule_id.alias("condition_id"), "unit_id", "combination_count")
+    within = strict_groups(rows.where(F.col("combination_count") <= limit), rules)
+    return Hits(within.unionByName(greedy_groups(rows.where(F.col("combination_count") > limit), rules)), over)
 
 
 # ---------------------------------------------------------------- group rules
@@ -208,21 +236,21 @@ def group_hits(tokens: DataFrame, rule: Rule) -> DataFrame:
 
 # ---------------------------------------------------------------- all rules
 def locate(tokens: DataFrame, rules: RuleSet) -> Hits:
-    """Hits of all rules that have forms. ``tokens`` are positioned."""
-    rows: DataFrame | None = None
-    warnings: DataFrame | None = None
-    for rule in rules.rules:
-        if not rule.forms:
-            continue
-        if is_grouped(rule):
-            found = Hits(group_hits(tokens, rule), None)
-        elif rule.distance is not None:
-            found = distance_hits(tokens, rule, rules.settings)
-        else:
-            found = Hits(simple_hits(tokens, rule), None)
-        rows = found.rows if rows is None else rows.unionByName(found.rows)
-        if found.warnings is not None:
-            warnings = found.warnings if warnings is None else warnings.unionByName(found.warnings)
-    if rows is None:
-        rows = tokens.limit(0).select(*TOKEN, *((strings(()) if c == "categories" else F.lit("")).alias(c) for c in HIT[len(TOKEN) :]))
-    return Hits(rows, warnings)
+    """Hits of all rules that have forms. ``tokens`` are positioned.
+
+    Plain rules are one plan, distance rules another, whatever their number; each rule with groups adds its own.
+    """
+    formed = [r for r in rules.rules if r.forms]
+    grouped = [r for r in formed if is_grouped(r)]
+    near = [r for r in formed if not is_grouped(r) and r.distance is not None]
+    plain = [r for r in formed if not is_grouped(r) and r.distance is None]
+    found = [Hits(simple_hits(tokens, plain), None)] if plain else []
+    found += [distance_hits(tokens, near, rules.settings)] if near else []
+    found += [Hits(group_hits(tokens, r), None) for r in grouped]
+    if not found:
+        return Hits(tokens.limit(0).select(*TOKEN, *((strings(()) if c == "categories" else F.lit("")).alias(c) for c in HIT[len(TOKEN) :])), None)
+    rows = found[0].rows
+    for f in found[1:]:
+        rows = rows.unionByName(f.rows)
+    warnings = [f.warnings for f in found if f.warnings is not None]
+    return Hits(rows, warnings[0] if warnings else None)

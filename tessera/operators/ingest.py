@@ -28,6 +28,12 @@ TOKEN = r"[^ .,!?]+"
 PARAGRAPH_STEP, SENTENCE_STEP = 100_000, 10_000
 
 
+def numbered(parent: Column, number: Column, step: int, what: str) -> Column:
+    """An id made of its parent's; a number that reaches the step is an error, as ids would no longer be unique."""
+    message = F.concat(F.lit(f"{what}: at most {step - 1} under one id, found "), number.cast("string"), F.lit(" under "), parent.cast("string"))
+    return F.when(number < step, parent * step + number).otherwise(F.raise_error(message).cast("long"))
+
+
 def clean_newlines(c: Column) -> Column:
     return uni_trim(F.regexp_replace(c, "\r\n?", "\n"))
 
@@ -212,7 +218,7 @@ def paragraphs_frame(documents: DataFrame, tables: bool = False) -> DataFrame:
         exploded = documents.select("document_id", F.posexplode(paragraph_blocks(F.col("raw_text"))).alias("n", "t"))
         cols = [F.col("t").alias("paragraph_text"), F.lit(0).cast("long").alias("is_table_paragraph"), F.lit(None).cast("long").alias("table_column_count"), F.lit(0).cast("long").alias("table_parse_error"), F.lit(0).cast("long").alias("table_trailing_text_detached")]
     number = (F.col("n") + 1).cast("long")
-    return exploded.select((F.col("document_id") * PARAGRAPH_STEP + number).alias("paragraph_id"), "document_id", number.alias("paragraph_no"), *cols)
+    return exploded.select(numbered(F.col("document_id"), number, PARAGRAPH_STEP, "paragraphs").alias("paragraph_id"), "document_id", number.alias("paragraph_no"), *cols)
 
 
 def sentences_frame(paragraphs: DataFrame, inside_brackets: bool = True) -> DataFrame:
@@ -220,10 +226,22 @@ def sentences_frame(paragraphs: DataFrame, inside_brackets: bool = True) -> Data
     texts = F.when(F.col("is_table_paragraph") == 1, table_sentences(F.col("paragraph_text"))).otherwise(sentence_texts(F.col("paragraph_text"), inside_brackets))
     number = (F.col("n") + 1).cast("long")
     return paragraphs.select("paragraph_id", "document_id", "paragraph_no", "is_table_paragraph", F.posexplode(texts).alias("n", "sentence_text")).select(
-        (F.col("paragraph_id") * SENTENCE_STEP + number).alias("sentence_id"), "paragraph_id", "document_id", "paragraph_no", number.alias("sentence_no_in_paragraph"), "is_table_paragraph", "sentence_text"
+        numbered(F.col("paragraph_id"), number, SENTENCE_STEP, "sentences").alias("sentence_id"), "paragraph_id", "document_id", "paragraph_no", number.alias("sentence_no_in_paragraph"), "is_table_paragraph", "sentence_text"
     )
 
 
+def numbered_sentences(documents: DataFrame) -> DataFrame:
+    """Sentences of plain documents (ends inside brackets count, no tables) with ``sentence_no_in_document``, without a
+    shuffle: a document's sentences are numbered while it is one row."""
+    inner = F.transform(paragraph_blocks(F.col("raw_text")), lambda p, i: F.transform(sentence_texts(p), lambda s, j: F.struct((i + 1).cast("long").alias("p"), (j + 1).cast("long").alias("n"), s.alias("t"))))
+    rows = documents.select("document_id", F.posexplode(F.flatten(inner)).alias("k", "x"))
+    rows = rows.withColumn("paragraph_id", numbered(F.col("document_id"), F.col("x.p"), PARAGRAPH_STEP, "paragraphs"))
+    return rows.select(
+        numbered(F.col("paragraph_id"), F.col("x.n"), SENTENCE_STEP, "sentences").alias("sentence_id"), "paragraph_id", "document_id", F.col("x.p").alias("paragraph_no"),
+        F.col("x.n").alias("sentence_no_in_paragraph"), F.lit(0).cast("long").alias("is_table_paragraph"), F.col("x.t").alias("sentence_text"), (F.col("k") + 1).cast("long").alias("sentence_no_in_document"),
+    )
+
+
 def with_document_numbers(sentences: DataFrame) -> DataFrame:
     """Add ``sentence_no_in_document``."""
     from pyspark.sql import Window
@@ -241,6 +259,24 @@ def tokens_frame(sentences: DataFrame, pattern: str = TOKEN, lossless: bool = Fa
     )
 
 
+def positioned_tokens(paragraphs: DataFrame, pattern: str = TOKEN, inside_brackets: bool = True) -> DataFrame:
+    """Tokens with their positions in sentence and paragraph, without a shuffle.
+
+    While a paragraph is one row its sentences' tokens stand in one array; the place in that array is the position in
+    the paragraph.
+    """
+    texts = F.when(F.col("is_table_paragraph") == 1, table_sentences(F.col("paragraph_text"))).otherwise(sentence_texts(F.col("paragraph_text"), inside_brackets))
+
+    def tokens(text, i):
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s, j: F.struct((i + 1).cast("long").alias("s"), (j + 1).cast("long").alias("n"), s.alias("t")))
+
+    rows = paragraphs.select("paragraph_id", "is_table_paragraph", texts.alias("texts")).select("paragraph_id", "is_table_paragraph", F.posexplode(F.flatten(F.transform("texts", tokens))).alias("k", "x"))
+    return rows.select(
+        "paragraph_id", numbered(F.col("paragraph_id"), F.col("x.s"), SENTENCE_STEP, "sentences").alias("sentence_id"), F.col("x.s").alias("sentence_no_in_paragraph"), "is_table_paragraph", F.col("x.n").alias("token_no"),
+        F.col("x.n").alias("sentence_token_position"), (F.col("k") + 1).cast("long").alias("paragraph_token_position"), F.lower("x.t").alias("normalized_form"), F.col("x.t").alias("surface"),
+    )
+
+
 def custom_tokens(sentences: DataFrame, tokenize) -> DataFrame:
     """Tokens by a Python function ``text -> [(surface, form), ...]`` (a morphological analyser, say), in Arrow batches."""
     pairs = T.ArrayType(T.StructType([T.StructField("surface", T.StringType()), T.StructField("form", T.StringType())]))

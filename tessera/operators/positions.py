@@ -6,23 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+COLUMNS = ["paragraph_id", "sentence_id", "sentence_no_in_paragraph", "is_table_paragraph", "token_no", "sentence_token_position", "paragraph_token_position", "normalized_form", "surface"]
+
+
 def positioned(tokens: DataFrame, sentences: DataFrame, forms: list[str] | None = None, paragraph_ids: DataFrame | None = None, without_tables: bool = False) -> DataFrame:
     """Tokens with their positions in sentence and paragraph.
 
     A paragraph position is the token's number plus all tokens of the earlier sentences of its paragraph. The filter on
-    ``forms`` applies after positions are known. ``paragraph_ids`` (one column) restricts both sides before.
+    ``forms`` applies after positions are known. ``paragraph_ids`` (one column) restricts both sides before. Tokens
+    that have positions already (see ``ingest.positioned_tokens``) are only filtered. For others tokens are counted per
+    sentence and summed over sentences; the tokens themselves are joined once, and only those that ``forms`` keeps.
     """
+    ready = "paragraph_token_position" in tokens.columns
+    if paragraph_ids is not None:
+        tokens = tokens.join(paragraph_ids, "paragraph_id", "left_semi")
+    wanted = tokens if forms is None else tokens.where(F.col("normalized_form").isin(forms))
+    if ready:
+        return (wanted.where("is_table_paragraph = 0") if without_tables else wanted).select(*COLUMNS)
     if paragraph_ids is not None:
-        tokens, sentences = tokens.join(paragraph_ids, "paragraph_id", "left_semi"), sentences.join(paragraph_ids, "paragraph_id", "left_semi")
+        sentences = sentences.join(paragraph_ids, "paragraph_id", "left_semi")
     if without_tables:
         sentences = sentences.where("is_table_paragraph = 0")
     keys = ["paragraph_id", "sentence_id"]
-    rows = tokens.select(*keys, "token_no", "normalized_form", "surface").join(sentences.select(*keys, "sentence_no_in_paragraph", "is_table_paragraph"), keys)
-    # running count of all tokens before the sentence: tokens are counted by a range frame, so one sort serves
+    counted = sentences.select(*keys, "sentence_no_in_paragraph", "is_table_paragraph").join(tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
     order = Window.partitionBy("paragraph_id").orderBy("sentence_no_in_paragraph").rangeBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("sentence_token_position", F.col("token_no")).withColumn("paragraph_token_position", F.count(F.lit(1)).over(order) + F.col("token_no"))
-    out = out.select(*keys, "sentence_no_in_paragraph", "is_table_paragraph", "token_no", "sentence_token_position", "paragraph_token_position", "normalized_form", "surface")
-    return out if forms is None else out.where(F.col("normalized_form").isin(forms))
+    before = counted.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
+    rows = wanted.select(*keys, "token_no", "normalized_form", "surface").join(before, keys)
+    return rows.withColumn("sentence_token_position", F.col("token_no")).withColumn("paragraph_token_position", F.col("before") + F.col("token_no")).select(*COLUMNS)
 
 
 def paragraph_texts(sentences: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tessera.functions.text import html_escape
 from tessera.operators import evaluate, hits, ingest, output, positions, render, select
 from tessera.plans.config import compile_authoring, compile_runtime
 from tessera.plans.rules import RuleSet
+from tessera.sources import scratch
 
 FLAGSHIP = "cooccur_all"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,11 +34,24 @@ def query(sql: str | None = None):
 
 # ---------------------------------------------------------------- the corpus in both languages
 class Corpus:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.documents = ingest.documents_frame(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-        self.paragraphs = ingest.paragraphs_frame(self.documents)
-        self.sentences = ingest.sentences_frame(self.paragraphs)
-        self.tokens = ingest.tokens_frame(self.sentences)
+    """The documents of a folder as a corpus.
+
+    ``raw`` makes every table from the texts. Otherwise the tables are built once per application and folder, with
+    positions in the tokens, written to the scratch folder, and read from there by every later query, as long as the
+    source file is the same.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, raw: bool = False):
+        path = f"{sf_dir}/documents.parquet"
+        stamp = scratch.stamp(spark, path)
+        documents = ingest.documents_frame(scratch.spread(spark.read.parquet(path), stamp[1]))
+        paragraphs = ingest.paragraphs_frame(documents)
+
+        def tables() -> dict[str, DataFrame]:
+            return {"documents": documents, "paragraphs": paragraphs, "sentences": ingest.sentences_frame(paragraphs), "tokens": ingest.positioned_tokens(paragraphs)}
+
+        made = tables() if raw else scratch.kept(spark, (path, stamp), tables)
+        self.documents, self.paragraphs, self.sentences, self.tokens = (made[k] for k in ("documents", "paragraphs", "sentences", "tokens"))
         labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
         pairs = F.array(*(F.struct(F.lit(k).alias("label_key"), F.col(k).cast("string").alias("label_value")) for k in ("quality", "toxic")))
         self.annotations = labels.select((F.col("doc_id") * ingest.PARAGRAPH_STEP + 1).alias("paragraph_id"), F.lit("label").alias("label_namespace"), F.explode(pairs).alias("x")).select("paragraph_id", "label_namespace", "x.*")
@@ -108,37 +122,37 @@ def groups(i: str, *form_groups: dict, scope: str = "paragraph", **rest) -> dict
 # ---------------------------------------------------------------- ingest
 @query("SELECT document_id, category1, category2, sha256(raw_text) AS text_sha256, length(raw_text) AS char_count, CASE WHEN raw_text = '' THEN 0 ELSE length(raw_text) - length(replace(raw_text, chr(10), '')) + 1 END AS line_count FROM doc")
 def document_stats(spark, d):
-    return Corpus(spark, d).documents.drop("raw_text")
+    return Corpus(spark, d, raw=True).documents.drop("raw_text")
 
 
 @query("SELECT paragraph_id, document_id, paragraph_no, paragraph_text FROM par")
 def paragraph_split(spark, d):
-    return Corpus(spark, d).paragraphs.select("paragraph_id", "document_id", "paragraph_no", "paragraph_text")
+    return Corpus(spark, d, raw=True).paragraphs.select("paragraph_id", "document_id", "paragraph_no", "paragraph_text")
 
 
 @query("SELECT sentence_id, paragraph_id, sentence_no_in_paragraph, row_number() OVER (PARTITION BY document_id ORDER BY paragraph_no, sentence_no_in_paragraph) AS sentence_no_in_document, sentence_text FROM sen")
 def sentence_split_v1(spark, d):
-    return ingest.with_document_numbers(Corpus(spark, d).sentences).select("sentence_id", "paragraph_id", "sentence_no_in_paragraph", "sentence_no_in_document", "sentence_text")
+    return ingest.numbered_sentences(Corpus(spark, d, raw=True).documents).select("sentence_id", "paragraph_id", "sentence_no_in_paragraph", "sentence_no_in_document", "sentence_text")
 
 
 @query()
 def sentence_split_v2(spark, d):
-    return ingest.sentences_frame(Corpus(spark, d).paragraphs, inside_brackets=False).select("sentence_id", "paragraph_id", "sentence_no_in_paragraph", "sentence_text")
+    return ingest.sentences_frame(Corpus(spark, d, raw=True).paragraphs, inside_brackets=False).select("sentence_id", "paragraph_id", "sentence_no_in_paragraph", "sentence_text")
 
 
 @query()
 def table_paragraphs(spark, d):
-    return ingest.paragraphs_frame(Corpus(spark, d).documents, tables=True).drop("document_id")
+    return ingest.paragraphs_frame(Corpus(spark, d, raw=True).documents, tables=True).drop("document_id")
 
 
 @query("SELECT paragraph_id, sentence_id, token_no, sentence_token_position, paragraph_token_position, normalized_form, surface FROM pos")
 def token_positions(spark, d):
-    return Corpus(spark, d).positioned.drop("sentence_no_in_paragraph", "is_table_paragraph")
+    return Corpus(spark, d, raw=True).positioned.drop("sentence_no_in_paragraph", "is_table_paragraph")
 
 
 @query(", tc AS (SELECT 'documents' AS counter, count(*) AS value FROM doc UNION ALL SELECT 'empty_documents', count(*) FILTER (raw_text = '') FROM doc UNION ALL SELECT 'characters', sum(length(raw_text)) FROM doc UNION ALL SELECT 'paragraphs', count(*) FROM par UNION ALL SELECT 'table_paragraphs', 0 UNION ALL SELECT 'table_errors', 0 UNION ALL SELECT 'sentences', count(*) FROM sen UNION ALL SELECT 'tokens', count(*) FROM tok UNION ALL SELECT 'forms', count(DISTINCT normalized_form) FROM tok) SELECT counter, value::BIGINT AS value FROM tc")
 def corpus_stats(spark, d):
-    c = Corpus(spark, d)
+    c = Corpus(spark, d, raw=True)
     return ingest.corpus_stats(c.documents, c.paragraphs, c.sentences, c.tokens)
 
 
@@ -358,7 +372,7 @@ def strict_groups(spark, d):
 @query("SELECT sentence_id AS unit_id, count(*) FILTER (normalized_form = 'the') * count(*) FILTER (normalized_form = 'of') AS combination_count FROM pos GROUP BY 1 HAVING combination_count > 0")
 def combination_counts(spark, d):
     c = Corpus(spark, d)
-    return hits.combination_counts(positions.positioned(c.tokens, c.sentences, ["the", "of"]), PAIR.rules[0])
+    return hits.combination_counts(positions.positioned(c.tokens, c.sentences, ["the", "of"]), list(PAIR.rules)).drop("rule_no")
 
 
 @query()
