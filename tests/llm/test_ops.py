@@ -326,7 +326,7 @@ def test_leaves_split_and_edits_stay_local():
     new = " inserted" * 1000
     tree.replace(500, 3, new)
     t = t[:500] + new + t[503:]
-    assert tree.text == t and tree.count == len(enc.encode_ordinary(t)) and max(map(len, tree.leaves)) <= 2 * edit_counts.LEAF
+    assert tree.text == t and tree.count == len(enc.encode_ordinary(t)) and max(len(x) for x, _ in tree.leaves) <= edit_counts.MOST
     again = tree.reencoded
     for k in range(200):  # none of these reads or encodes more than its neighbourhood
         tree.replace(len(t) - 50 * k - 60, 1, "'l")
@@ -558,6 +558,57 @@ def test_a_long_chain_hides_nothing_behind_a_gap(spark):
         assert any(c[0] <= 1060 and c[1] >= 2005 and c[4] >= 190 for c in found) and sum(c[4] for c in found) == len(points)
 
 
+def test_every_place_and_every_holder_of_a_passage(spark):
+    """A passage twice in a later document, one whose halves two earlier documents hold, and one of over 4096 words."""
+    rng = random.Random(21)
+    fill = lambda n: words_of(rng, n, 10**6)
+    p, q, long_ = words_of(rng, 60, 10**6), words_of(rng, 80, 10**6).split(), words_of(rng, 9000, 10**6)
+    rows = [
+        (1, fill(30) + " " + p + " " + fill(30)), (2, f"{fill(20)} {p} {fill(200)} {p} {fill(20)}"),
+        (11, fill(30) + " " + " ".join(q[:40]) + " " + fill(30)), (12, fill(30) + " " + " ".join(q[40:]) + " " + fill(30)),
+        (13, fill(30) + " " + " ".join(q) + " " + fill(30)), (14, fill(50) + " " + " ".join(q) + " " + fill(10)),
+        (21, long_), (22, fill(40) + " " + long_),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):
+        left = {r.doc_id: r.text for r in chaining.drop_passages(df.repartition(parts)).collect()}
+        assert p in left[1] and p not in left[2] and len(WORD.findall(left[2])) <= 242
+        assert " ".join(q) in left[13] and len(WORD.findall(left[14])) <= 62
+        assert left[21] == long_ and len(WORD.findall(left[22])) <= 42
+
+
+def brute_passages(rows, size=50):
+    """Exact runs of ``size`` words or more that an earlier document has: covered word places per document."""
+    seen, covered = set(), {}
+    for doc, t in sorted(rows):
+        w = WORD.findall(t.translate(LOWER))
+        grams = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+        covered[doc] = {j for i, g in enumerate(grams) if g in seen for j in range(i, i + size)}
+        seen.update(grams)
+    return covered
+
+
+def test_passages_against_all_runs(spark):
+    """Whatever exact run of 60 words or more an earlier document has is covered; texts without one are left alone."""
+    rng = random.Random(31)
+    pool = [words_of(rng, rng.choice([55, 60, 90, 200]), 10**6) for _ in range(12)]
+    rows = []
+    for d in range(60):
+        parts = [words_of(rng, rng.randrange(5, 60), 10**6) for _ in range(4)]
+        for _ in range(rng.randrange(0, 3)):
+            parts.insert(rng.randrange(len(parts)), rng.choice(pool))
+        rows.append((d, " ".join(parts)))
+    want = brute_passages(rows)
+    found = collections.defaultdict(set)
+    table = dict(rows)
+    for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        raw = table[r.doc_id].encode()
+        first = len(WORD.findall(raw[: r.start].decode()))
+        found[r.doc_id] |= set(range(first, first + r.n_words))
+    missed = sum(len(want[d] - found[d]) for d in want)
+    assert missed == 0 and all(len(found[d] - want[d]) <= 6 * (1 + len(want[d]) // 50) if want[d] else not found[d] for d in want)
+
+
 def test_edited_passages_are_found_whole(spark):
     """Two dropped words, and an edit every 12 words (identity 0.92), cost no part of a passage."""
     rng = random.Random(1)
@@ -592,6 +643,132 @@ def test_scores_do_not_depend_on_the_partitioning(docs):
     assert all(abs(a[k].score - b[k].score) < 1e-3 * abs(a[k].score) for k in a)
 
 
+def coded_in_process(table, parts=2, buckets=3):
+    """The stages of the operator on Arrow tables, without Spark."""
+    import pandas as pd
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(list(table), pa.int64()), pa.array(list(table.values()))], ["doc_id", "text"])
+    payloads = collections.defaultdict(list)
+    for b in context_mixing._deal(parts)([batch]):
+        for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            payloads[p].append(x)
+    groups = {p: pa.table({"part": pa.array([p] * len(x), pa.int32()), "payload": x}) for p, x in payloads.items()}
+    asked = pa.concat_tables([context_mixing._ask(buckets)(g) for g in groups.values()]).to_pandas()
+    answers = pd.concat([context_mixing._count(g) for _, g in asked.groupby(["kind", "bucket"])])
+    return pa.concat_tables([context_mixing._coded(buckets)(g, pa.Table.from_pandas(answers[answers["part"] == p], preserve_index=False)) for p, g in groups.items()])
+
+
+def test_counts_of_sequences_against_counting(table):
+    """Levels, the bits of their shares and the words to spell, token by token, from plain counts of the other documents."""
+    texts = dict(table) | {200 + i: words_of(random.Random(i % 7), 30 + i, 60) for i in range(40)}
+    tokens = {k: ["<<", "<", *WORD.findall(t.translate(LOWER)), ">"] for k, t in texts.items()}
+    train = {k for k in texts if zlib.crc32(str(k).encode()) % 10}
+
+    def grams(w, last):
+        return [tuple(w[i - n + 1 : i + 1]) for n in (1, 2, 3) for i in range(2, last)]
+
+    counts = collections.Counter(g for k in train for g in grams(tokens[k], len(tokens[k])))
+    want = {}
+    for k, w in tokens.items():
+        own = collections.Counter(grams(w, len(w))) if k in train else collections.Counter()
+        n = lambda g, i: counts[g] - own[g] + collections.Counter(grams(w, i))[g]  # noqa: B023, E731
+        levels, bits, novel = [], 0.0, []
+        docs = counts[(">",)] - (k in train)
+        for i in range(2, min(len(w), 90)):
+            by_one = n((w[i - 1],), i - 1) if i > 2 else docs
+            by_two = n((w[i - 2], w[i - 1]), i - 1) if i > 2 else 0
+            if by_two > 0 and (x := n(tuple(w[i - 2 : i + 1]), i)) > 0:
+                levels.append(0)
+                bits -= math.log2(x / by_two)
+            elif by_one > 0 and (x := n((w[i - 1], w[i]), i)) > 0:
+                levels.append(1)
+                bits -= math.log2(x / by_one)
+            elif (x := n((w[i],), i)) > 0:
+                levels.append(2)
+                bits -= math.log2(x)
+            else:
+                levels.append(3)
+                novel.append("\n" if w[i] == ">" else w[i])
+        want[k] = levels, bits, novel
+    got = coded_in_process(texts)
+    seen = set()
+    for part in got.to_pylist():
+        first, spelled = 0, 0
+        codes, raw, at = np.frombuffer(part["codes"], np.uint16), part["novel"], np.r_[0, np.cumsum(part["novel_sizes"])]
+        for k, n, b in zip(part["ids"], part["n_tokens"], part["bits"]):
+            level = (codes[first : first + n] & 3).tolist()
+            levels, bits, novel = want[k]
+            assert level[:88] == levels
+            if n <= 88:
+                assert abs(b - bits) < 1e-6
+            words = [raw[at[spelled + j] + context_mixing.BACK : at[spelled + j + 1] - 1].decode() for j in range(level.count(3))]
+            assert words[: len(novel)] == novel
+            first, spelled = first + n, spelled + level.count(3)
+            seen.add(k)
+    assert seen == set(texts)
+
+
+def test_online_mixer_against_a_loop():
+    rng = np.random.default_rng(2)
+    n, models, sets, block = 400, context_mixing.MODELS, context_mixing.SETS, context_mixing.BLOCK
+    mixer = context_mixing.Mixer(context_mixing.Code(np.ones(256, np.int64)), np.zeros((models, 2 << context_mixing.SLOT_BITS), np.int64))
+    x, bit, kind = rng.integers(-126, 127, (n, models)).astype(np.int8), rng.integers(0, 2, n).astype(np.int8), rng.integers(0, sets, n).astype(np.int8)
+    per = np.array([0, 1, 150, 32, 217])
+    want, at = [], 0
+    for m in per:
+        w, bias, cost = np.full((sets, models), context_mixing.WEIGHT), np.zeros(context_mixing.BIASES), 0.0
+        for b in range(0, m, block):
+            dw, db = np.zeros_like(w), np.zeros_like(bias)
+            for i in range(at + b, at + min(b + block, m)):
+                v = x[i] / 16
+                dot = min(max(float(w[kind[i]] @ v), -15.9), 15.9)
+                r = int((dot + 16) * context_mixing.BIASES / 32)
+                p = 1 / (1 + math.exp(-(dot + bias[r])))
+                cost -= math.log2(p if bit[i] else 1 - p)
+                dw[kind[i]] += context_mixing.RATE * (bit[i] - p) * v
+                db[r] += context_mixing.BIAS_RATE / block * (bit[i] - p)
+            w, bias = w + dw, bias + db
+        want.append(cost)
+        at += m
+    assert np.allclose(mixer.score(x, bit, kind, per), want, rtol=1e-3)
+
+
+def test_scores_beat_single_words_and_tell_copies(spark):
+    """Sentences from a small grammar: the model learns what follows what; a text that occurs twice costs little."""
+    rng = random.Random(3)
+
+    def text(n):
+        out, w = [], "a"
+        for _ in range(n):
+            w = f"{rng.choice('bcdf')}{'aeiou'[len(out) % 5]}{rng.randrange(6)}" if rng.random() < 0.3 else w[::-1] + "n"[: len(w) < 5]
+            out.append(w)
+        return " ".join(out)
+
+    rows = [(i, text(80)) for i in range(300)]
+    rows += [(1000 + i, words_of(random.Random(i // 2), 60, 10**6)) for i in range(40)]
+    rows += [(2000 + i, words_of(random.Random(5000 + i), 60, 10**6)) for i in range(40)]
+    got = context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    held = [r for r in got if r.held_out and r.doc_id < 1000]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    both = [r.bits_per_byte for r in got if 1000 <= r.doc_id < 2000 and all(zlib.crc32(str(x).encode()) % 10 for x in (r.doc_id, r.doc_id ^ 1))]
+    once = [r.bits_per_byte for r in got if r.doc_id >= 2000]
+    assert max(both) < 0.5 * min(once)
+
+
+@pytest.mark.parametrize("n", [1, 232, 258, 1300])
+def test_end_tokens_are_counted(spark, n):
+    """Any number of documents in one partition."""
+    rows = [(i, f"w{i % 7} x y") for i in range(n)]
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    got = context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    total = 4 * len(train)
+    count = collections.Counter(f"w{i % 7}" for i in train) + collections.Counter({w: len(train) for w in "xye"})
+    for r in got:
+        base = sum(math.log10((count[w] + 0.1) / (total + 0.1 * (len(count) + 1))) for w in (f"w{r.doc_id % 7}", "x", "y", "e"))
+        assert r.train_tokens == total and abs(r.base_score - base) < 1e-9
+
+
 def test_decisions_make_a_distribution():
     """The probabilities of all bytes after a context sum to one, as every byte is one path of the tree."""
     code = context_mixing.Code(np.arange(256))
