@@ -6,8 +6,9 @@ suffix buckets that are sorted one at a time:
 1. Every window has one anchor, the leftmost position in it whose 64-byte gram has the least hash. Windows of a
    document with the same anchor and about the same distance to it form a segment. All windows of a segment hold a
    common core, whose hash is the bucket; equal windows always fall into the same bucket at the same distance.
-2. Segments (not windows) are exchanged as packed hashes, copies within a task once. Of a bucket with equal segments
-   all windows repeat; a bucket with one segment has no repeat; only buckets with different segments need their text.
+2. Segments (not windows) are exchanged as packed digests (128-bit BLAKE2 of their bytes and place), copies within a
+   task once. Segments of equal digest are equal, so all their windows repeat; a bucket with one segment has no repeat;
+   only buckets with different segments need their text.
 3. Those are suffix-sorted a few megabytes at a time: positions of a difference cover modulo 31 are ranked first, by
    doubling; then all suffixes are ordered by their first bytes, ties by the rank of the next cover position, so no
    comparison runs through a long common part. Neighbours that agree in all ``length`` bytes repeat.
@@ -33,9 +34,10 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 FLUSH_BYTES = 12 << 20
 SORT_BYTES = 1 << 20
-#: A bucket with more different segments than this is settled window by window.
-HOT_SEGMENTS = 4096
-SEGMENT = np.dtype([("core", "<u8"), ("block", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("shift", "u1"), ("n", "u1"), ("more", "u1")])
+#: A bucket with more different segments than this is split by its windows' whole strings, as any bucket that is too
+#: large for a task has to be split by more of its suffixes.
+HOT_SEGMENTS = 1024
+SEGMENT = np.dtype([("core", "<u8"), ("block", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("shift", "u1"), ("n", "u1"), ("more", "u1")])
 HIT = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
 
@@ -112,7 +114,9 @@ def segments(ids: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int) -
     out = np.zeros(len(lo), SEGMENT)
     out["core"] = mix(rolled(h, core, core + length - BLOCK + 1) + b.astype(np.uint64))
     out["shift"], out["n"] = core - lo, n
-    out["block"] = mix(rolled(h, lo, lo + n - 1 + length) + (core - lo).astype(np.uint64) * np.uint64(256) + n.astype(np.uint64))
+    raw, blake = data.tobytes(), hashlib.blake2b
+    digest = b"".join([blake(raw[x:y], digest_size=16, salt=z).digest() for x, y, z in zip(lo.tolist(), (lo + n - 1 + length).tolist(), map(bytes, np.stack([core - lo, n], 1).astype(np.uint8)))])
+    out["block"], out["check"] = np.frombuffer(digest, "<u8").reshape(-1, 2).T
     out["doc"], out["lo"] = ids[r], lo - offs[r]
     return out
 
@@ -138,8 +142,8 @@ def merge_hits(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 def _combined(seg: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Segments once each (``more`` set if there are several), and the hits of the others."""
-    seg = seg[np.lexsort((seg["lo"], seg["doc"], seg["block"], seg["core"]))]
-    same = (seg["core"][1:] == seg["core"][:-1]) & (seg["block"][1:] == seg["block"][:-1])
+    seg = seg[np.lexsort((seg["lo"], seg["doc"], seg["check"], seg["block"], seg["core"]))]
+    same = np.logical_and.reduce([seg[k][1:] == seg[k][:-1] for k in ("core", "block", "check")])
     first = np.r_[True, ~same]
     more = np.zeros(len(seg), bool)
     more[:-1] = same
@@ -189,9 +193,9 @@ def _settle(length: int):
         hot = np.zeros(0, bool)
         if packed:
             seg = np.concatenate(packed)
-            seg = seg[np.lexsort((seg["lo"], seg["doc"], seg["block"], seg["core"]))]
+            seg = seg[np.lexsort((seg["lo"], seg["doc"], seg["check"], seg["block"], seg["core"]))]
             new_core = np.r_[True, seg["core"][1:] != seg["core"][:-1]]
-            new = new_core | np.r_[True, seg["block"][1:] != seg["block"][:-1]]
+            new = new_core | np.r_[True, (seg["block"][1:] != seg["block"][:-1]) | (seg["check"][1:] != seg["check"][:-1])]
             block = np.cumsum(new) - 1
             count = np.bincount(block, weights=1 + seg["more"])
             hits.append(hits_of(seg[count[block] > 1], length))
@@ -318,17 +322,14 @@ def _sort_buckets(length: int):
 
 
 def _windows(length: int):
-    """Rows (core, doc_id, start, shift, bytes): a row (key, key2, doc_id, start) for each window."""
-    schema = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
+    """Rows (core, doc_id, start, shift, bytes): a row (key, doc_id, start) for each window, by the digest of its string."""
+    schema = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64())])
 
     def run(batches):
         for b in batches:
             for core, doc, start, _, blob in zip(*(b.column(k).to_pylist() for k in range(5))):
-                data = np.frombuffer(blob, np.uint8)
-                h, i = prefix_hash(data), np.arange(len(data) - length + 1)
-                key = rolled(h, i, i + length)
-                half = rolled(h, i, i + length // 2)
-                yield table(schema, key.view(np.int64), half.view(np.int64), np.full(len(i), doc), start + i)
+                n = len(blob) - length + 1
+                yield table(schema, [hashlib.blake2b(blob[i : i + length], digest_size=16).digest() for i in range(n)], np.full(n, doc), start + np.arange(n))
 
     return run
 
@@ -354,9 +355,9 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     sorted_ = arrow_map(normal, _sort_buckets(length), "doc_id long, start long, end long")
     found = certain.unionByName(sorted_)
     if not settled.where("kind = 2").isEmpty():
-        windows = written(arrow_map(cut.where("kind = 2").drop("kind"), _windows(length), "key long, key2 long, doc_id long, start long"), "windows")
-        often = windows.groupBy("key", "key2").count().where("count > 1").select("key", "key2")
-        found = found.unionByName(windows.join(often, ["key", "key2"]).select("doc_id", "start", (F.col("start") + length).alias("end")))
+        windows = written(arrow_map(cut.where("kind = 2").drop("kind"), _windows(length), "key binary, doc_id long, start long"), "windows")
+        often = windows.groupBy("key").count().where("count > 1").select("key")
+        found = found.unionByName(windows.join(often, "key", "left_semi").select("doc_id", "start", (F.col("start") + length).alias("end")))
     return found
 
 
