@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import TO_LOWER, Chunk, ambiguous_ids, arrow_map, chunks, mix, span_hash, table, words, written
 from tessera.llm.components import components
+from tessera.llm.pairs import join_sizes, side_by_side
 
 BANDS, ROWS = 48, 6
 SIGNATURE = 256  # minima that give bits; the first of BANDS * ROWS = 288
@@ -184,20 +185,71 @@ def _compare(size: int, percent: int):
     return run
 
 
+def _confirm(size: int, percent: int):
+    """Rows (a, b, role, text) of ``side_by_side``: the pairs that are links, on their full sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        leader, own = None, None
+        for batch in batches:
+            at, out = 0, [[], []]
+            a, role = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for c in chunks([pa.RecordBatch.from_arrays([batch.column(1), batch.column(3)], names=["b", "t"])]):
+                h, offs = shingles(c, size)
+                for i, doc in enumerate(c.ids.tolist()):
+                    mine, k = np.unique(h[offs[i] : offs[i + 1]]), at + i
+                    if role[k] == 0:
+                        leader, own = a[k], mine
+                        continue
+                    both = len(np.intersect1d(own, mine, assume_unique=True))
+                    if a[k] == leader and both and 100 * both >= percent * (len(own) + len(mine) - both):
+                        out[0].append(leader)
+                        out[1].append(doc)
+                at += len(c)
+            yield table(schema, *out)
+
+    return run
+
+
+def _blocks(n: str, shingles_: str):
+    return F.greatest(F.ceil(F.col(n) / BLOCK_DOCS), F.ceil(F.col(shingles_) / BLOCK_SHINGLES), F.lit(1)).cast("long")
+
+
 def family_links(families: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that join what is similar in each family. ``families`` has (node, component).
 
-    A family above the block size is split by hash into b blocks and compared as b * (b + 1) / 2 block pairs, each a
-    group of its own with bounded memory; a text is sent once for each of its b block pairs.
+    A family of one block is compared as it is. In a larger one every member is first held against the family's least
+    document on full sets; those that are links make one class with it, and only the others are compared, in blocks,
+    with each other and with the members of that class. So a page that was copied a million times with small changes
+    costs one comparison a copy. Each block pair is a group of its own with bounded memory.
     """
-    members = reps.select("doc_id", "n").join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = dealt.select("family", "doc_id", "block", other.alias("k")).select("family", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "doc_id", "block")
+    members = reps.select("doc_id", F.col("n").alias("shingles")).join(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "doc_id")
+    members = written(members, "members")
+    total = members.count()
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("all")).withColumn("blocks", _blocks("n", "all"))
+    sized = join_sizes(members, sizes, "family", total)
+    small = sized.where("blocks = 1").select("family", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "doc_id", F.lit(0).cast("long").alias("block"))
+    large = written(sized.where("blocks > 1").select("family", "doc_id", "shingles"), "large")
+    found = None
+    dealt = small
+    if not large.isEmpty():
+        star = large.where("doc_id <> family").select(F.col("family").alias("a"), F.col("doc_id").alias("b"))
+        found = written(arrow_map(side_by_side(star, docs), _confirm(size, percent), "a long, b long"), "confirmed")
+        near = large.join(found.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").unionByName(large.where("doc_id = family").select("doc_id", "family", "shingles"))
+        rest = large.where("doc_id <> family").join(found.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+        one = F.when(F.col("far"), 1).otherwise(0)
+        both = written(near.select("family", "doc_id", "shingles", F.lit(False).alias("far")).unionByName(rest.select("family", "doc_id", "shingles", F.lit(True).alias("far"))), "sides")
+        counted = both.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(one).alias("n1"), F.sum(one * F.col("shingles")).alias("s1"), F.sum(1 - one).alias("n0"), F.sum((1 - one) * F.col("shingles")).alias("s0")).where("n1 > 0")
+        counted = counted.select("family", "n", _blocks("n1", "s1").alias("b1"), _blocks("n0", "s0").alias("b0"))
+        placed = join_sizes(both, counted, "family", total).withColumn("block", F.when(F.col("far"), F.pmod(F.xxhash64("doc_id"), "b1")).otherwise(F.col("b1") + F.pmod(F.xxhash64("doc_id"), "b0")))
+        # the others meet all blocks, those of the class meet the others' blocks only
+        meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("far"), F.col("b1") + F.col("b0")).otherwise(F.col("b1")) - 1)
+        blocks = placed.select("family", "doc_id", "block", F.explode(meets).alias("k")).select("family", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "doc_id", "block")
+        dealt = small.unionByName(blocks)
     rows = docs.select("doc_id", "text").hint("merge").join(dealt, "doc_id").select("family", "i", "j", "doc_id", "block", "text")
     ordered = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "doc_id")
-    return arrow_map(ordered, _compare(size, percent), "a long, b long")
+    links = arrow_map(ordered, _compare(size, percent), "a long, b long")
+    return links if found is None else links.unionByName(found)
 
 
 def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,18 @@ SALT_ROWS = 2000
 HOT_DOCS = 5000
 
 
+def join_sizes(rows: DataFrame, sizes: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``sizes`` (a row per key, with the key's number of rows in ``n``), keys without one left out.
+
+    Keys with many rows are broadcast (``HOT_DOCS`` at most, as there are ``total`` rows in all), the others joined.
+    """
+    limit = max(1000, total // HOT_DOCS)
+    packed = F.struct(*(c for c in sizes.columns if c != key)).alias("__s")
+    marked = rows.join(F.broadcast(sizes.where(F.col("n") >= limit).select(key, packed)), key, "left")
+    cold = marked.where("__s is null").drop("__s").join(sizes.where(F.col("n") < limit).select(key, packed), key)
+    return marked.where("__s is not null").unionByName(cold).select(*rows.columns, "__s.*")
+
+
 def side_by_side(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows ``a, b, role, text, *others`` of pairs (a, b, *others): role 0 has the text of a (b = a) and stands before
     its partners, role 1 the text of b.

@@ -260,6 +260,27 @@ def test_a_large_family_in_blocks(spark, monkeypatch):
     assert {k: (r.n_shingles, r.component_id, r.kept) for k, r in got.items()} == brute_near(table, 4)
 
 
+def test_recall_of_links_in_a_crowd(spark):
+    """Pairs at a similarity of 0.80 to 0.85 among many texts that are 0.2 to 0.4 like them: every link is found."""
+    rng = random.Random(41)
+    base, table = words_of(rng, 240, 10**6).split(), {}
+
+    def changed(t, share):
+        t = list(t)
+        at = rng.randrange(0, max(1, int(len(t) * (1 - share))))
+        t[at : at + int(len(t) * share)] = words_of(rng, int(len(t) * share), 10**6).split()
+        return t
+
+    for i in range(250):
+        one = changed(base, rng.uniform(0.45, 0.65))
+        table[2 * i] = " ".join(one)
+        table[2 * i + 1] = " ".join(changed(one, 0.08) if i % 3 else changed(base, 0.5))
+    want = brute_near(table, 4)
+    got = by_id(minhash.near_groups(spark.createDataFrame(list(table.items()), "doc_id long, text string"), 4))
+    linked = [k for k, v in want.items() if not v[2]]
+    assert len(linked) > 100 and {k: (r.n_shingles, r.component_id, r.kept) for k, r in got.items()} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(1, 5), (5, 3), (3, 3)], "a long, b long")
     got = {r.node: r.component for r in components(links, "a", "b").collect()}
