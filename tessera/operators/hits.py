@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from dataclasses import dataclass
 
@@ -104,52 +105,82 @@ def strict_groups(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     return _numbered_hits(out.withColumn("number", number).select("rule_no", "unit_id", "number", F.explode("ts").alias("t")).select("rule_no", "unit_id", "number", "t.*"), rules, ":")
 
 
-def smallest_range(lists: list[list[int]]) -> tuple[int, int, int, list[int]] | None:
-    """(span, start, end, index into each list) of the narrowest choice of one position per sorted list.
+def greedy(places: list[int], forms: list[int], n_forms: int, distance: int) -> list[tuple[int, int]]:
+    """(index, group number) of the tokens of non-overlapping groups: the narrowest range with one token of each form
+    again and again, without the tokens already taken; of equals the one with least start and end.
 
-    Of equals the one with least start, end.
+    The best range from a token on has the next free token of each other form. Those ranges wait in a heap; one whose
+    tokens were taken meanwhile is looked up again and can only have grown, so the first that still holds is narrowest.
     """
-    heap = [(x[0], k, 0) for k, x in enumerate(lists)]
+    lists: list[list[int]] = [[] for _ in range(n_forms)]
+    for i, f in enumerate(forms):
+        lists[f].append(i)
+    after = [list(range(len(x) + 1)) for x in lists]  # the next free place in each list
+
+    def free(f: int, k: int) -> int:
+        path = after[f]
+        while path[k] != k:
+            path[k] = path[path[k]]
+            k = path[k]
+        return k
+
+    def best(i: int):
+        picks, high = [], places[i]
+        for f, x in enumerate(lists):
+            k = free(f, bisect.bisect_left(x, i))
+            if k == len(x):
+                return None
+            picks.append(k)
+            high = max(high, places[x[k]])
+        return high - places[i], places[i], high, i, picks
+
+    heap = [r for i in range(len(places)) if (r := best(i)) is not None and r[0] <= distance]
     heapq.heapify(heap)
-    highest, best = max(x[0] for x in lists), None
-    at = [0] * len(lists)
-    while True:
-        low, k, i = heap[0]
-        found = (highest - low, low, highest)
-        if best is None or found < best[:3]:
-            best = (*found, list(at))
-        if i + 1 == len(lists[k]):
-            return best
-        at[k] = i + 1
-        highest = max(highest, lists[k][i + 1])
-        heapq.heapreplace(heap, (lists[k][i + 1], k, i + 1))
+    taken, out, number = [False] * len(places), [], 0
+    while heap:
+        _, _, _, i, picks = heapq.heappop(heap)
+        if taken[i]:
+            continue
+        if any(taken[lists[f][k]] for f, k in enumerate(picks)):
+            if (r := best(i)) is not None and r[0] <= distance:
+                heapq.heappush(heap, r)
+            continue
+        number += 1
+        for f, k in enumerate(picks):
+            taken[lists[f][k]] = True
+            after[f][k] = k + 1
+            out.append((lists[f][k], number))
+    return out
 
 
 def greedy_groups(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Non-overlapping groups: the narrowest range again and again, its tokens taken away each time. ``rows`` are from ``_for_rules``."""
+    """Groups by ``greedy`` in every unit of every rule. ``rows`` are from ``_for_rules``; a task holds one unit at a time."""
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("rule_no", "unit_id", *TOKEN)) + ", number int"
+    columns = ["rule_no", "unit_id", *TOKEN]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", number int"
     limits = [(len(r.forms), r.distance) for r in rules]
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, d = limits[int(pdf["rule_no"].iloc[0])]
-        pdf = pdf.sort_values(["place", "sentence_id", "token_no"], kind="stable").reset_index(drop=True)
-        where = [pdf.index[pdf["form_no"] == f].tolist() for f in range(n)]
-        places = pdf["place"].tolist()
-        lists = [[places[i] for i in w] for w in where]
-        taken, numbers, number = [], [], 0
-        while all(lists):
-            span, _, _, at = smallest_range(lists)
-            if span > d:
-                break
-            number += 1
-            for k, i in enumerate(at):
-                taken.append(where[k].pop(i))
-                lists[k].pop(i)
-                numbers.append(number)
-        return pdf.loc[taken, ["rule_no", "unit_id", *TOKEN]].assign(number=numbers)
-
-    return _numbered_hits(rows.groupBy("rule_no", "unit_id").applyInPandas(find, schema), rules, ":")
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        rule, unit = pdf["rule_no"].to_numpy(), pdf["unit_id"].to_numpy()
+        at = [0, *((rule[1:] != rule[:-1]) | (unit[1:] != unit[:-1])).nonzero()[0] + 1, len(pdf)]
+        places, forms = pdf["place"].tolist(), pdf["form_no"].tolist()
+        found = [(x + i, n) for x, y in zip(at, at[1:]) if y > x for i, n in greedy(places[x:y], forms[x:y], *limits[rule[x]])]
+        return pdf.iloc[[i for i, _ in found]][columns].assign(number=[n for _, n in found])
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = (pdf["rule_no"] == pdf["rule_no"].iloc[-1]) & (pdf["unit_id"] == pdf["unit_id"].iloc[-1]) if len(pdf) else None
+            if last is None:
+                continue
+            yield settle(pdf[~last])
+            held = pdf[last].reset_index(drop=True)
+        if held is not None:
+            yield settle(held)
+
+    ordered = rows.select(*columns, "place", "form_no").repartition("rule_no", "unit_id").sortWithinPartitions("rule_no", "unit_id", "place", "sentence_id", "token_no")
+    return _numbered_hits(ordered.mapInPandas(run, schema), rules, ":")
 
 
 def distance_hits(tokens: DataFrame, rules: list[Rule], settings: Settings) -> Hits:

@@ -15,6 +15,7 @@ from tessera.functions.text import html_escape
 from tessera.operators import evaluate, hits, ingest, output, positions, render, select
 from tessera.plans.config import compile_authoring, compile_runtime
 from tessera.plans.rules import RuleSet
+from tessera.session import Session
 from tessera.sources import scratch
 
 FLAGSHIP = "cooccur_all"
@@ -48,7 +49,7 @@ class Corpus:
         paragraphs = ingest.paragraphs_frame(documents)
 
         def tables() -> dict[str, DataFrame]:
-            return {"documents": documents, "paragraphs": paragraphs, "sentences": ingest.sentences_frame(paragraphs), "tokens": ingest.positioned_tokens(paragraphs)}
+            return {"documents": documents, "paragraphs": paragraphs, "sentences": ingest.numbered_sentences(documents), "tokens": ingest.positioned_tokens(paragraphs)}
 
         made = tables() if raw else scratch.kept(spark, (path, stamp), tables)
         self.documents, self.paragraphs, self.sentences, self.tokens = (made[k] for k in ("documents", "paragraphs", "sentences", "tokens"))
@@ -135,12 +136,31 @@ def sentence_split_v1(spark, d):
     return ingest.numbered_sentences(Corpus(spark, d, raw=True).documents).select("sentence_id", "paragraph_id", "sentence_no_in_paragraph", "sentence_no_in_document", "sentence_text")
 
 
-@query()
+#: Sentences of the paragraphs that hold a bracket: a list is folded character by character, with the open brackets, the
+#: sentence so far, whether its end has come, and the sentences before.
+V2 = r"""
+, br AS (SELECT paragraph_id, list_reduce(regexp_extract_all(paragraph_text, '(?s).'), lambda a, ch:
+    CASE WHEN a.done AND contains('」』）)]】〉》"''''', ch) THEN {'open': a.open, 'buf': a.buf || ch, 'done': true, 'out': a.out}
+    ELSE {'open': CASE WHEN contains('(（「『【［〈《', ch) THEN a.open || ch
+                       WHEN contains(')）」』】］〉》', ch) AND contains(a.open, translate(ch, ')）」』】］〉》', '(（「『【［〈《'))
+                       THEN left(a.open, length(a.open) - strpos(reverse(a.open), translate(ch, ')）」』】］〉》', '(（「『【［〈《'))::INTEGER) ELSE a.open END,
+          'buf': CASE WHEN a.done THEN ch ELSE a.buf || ch END,
+          'done': contains('。．.!?！？', ch) AND (a.open = '' OR (length(a.open) = 1 AND a.open = translate(ch, ')）」』】］〉》', '(（「『【［〈《'))),
+          'out': CASE WHEN a.done THEN list_append(a.out, trim(a.buf)) ELSE a.out END} END,
+    {'open': '', 'buf': '', 'done': false, 'out': []::VARCHAR[]}) AS r, paragraph_text FROM par WHERE regexp_matches(paragraph_text, '[()（）「」『』【】［］〈〉《》]')),
+bl AS (SELECT paragraph_id, paragraph_text, list_filter(list_append(r.out, trim(r.buf)), lambda t: t <> '') AS t FROM br),
+bs AS (SELECT paragraph_id, CASE WHEN len(t) = 0 THEN [paragraph_text] ELSE t END AS t FROM bl)
+SELECT sentence_id, paragraph_id, sentence_no_in_paragraph, sentence_text FROM sen WHERE paragraph_id NOT IN (SELECT paragraph_id FROM bs)
+UNION ALL SELECT paragraph_id * 10000 + n, paragraph_id, n, s FROM (SELECT paragraph_id, unnest(t) AS s, unnest(range(1, len(t) + 1)) AS n FROM bs)"""
+
+
+@query(V2)
 def sentence_split_v2(spark, d):
     return ingest.sentences_frame(Corpus(spark, d, raw=True).paragraphs, inside_brackets=False).select("sentence_id", "paragraph_id", "sentence_no_in_paragraph", "sentence_text")
 
 
-@query()
+# no document has a table's rule line, so all are plain; table_sentences has the tables
+@query("SELECT paragraph_id, paragraph_no, paragraph_text, 0::BIGINT AS is_table_paragraph, NULL::BIGINT AS table_column_count, 0::BIGINT AS table_parse_error, 0::BIGINT AS table_trailing_text_detached FROM par WHERE (SELECT count(*) FROM doc WHERE contains(raw_text, '--')) = 0")
 def table_paragraphs(spark, d):
     return ingest.paragraphs_frame(Corpus(spark, d, raw=True).documents, tables=True).drop("document_id")
 
@@ -178,10 +198,38 @@ def paragraphs_rebuilt(spark, d):
     return positions.paragraphs_from_tokens(c.tokens, c.sentences).select("paragraph_id", "paragraph_text")
 
 
-@query()
+@query(r"SELECT sentence_id, len(x) AS n_tokens, array_to_string(x, '') AS sentence_text FROM (SELECT sentence_id, regexp_extract_all(sentence_text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]') AS x FROM sen)")
 def lossless_tokens(spark, d):
-    c = Corpus(spark, d)
-    return positions.sentences_from_tokens(ingest.tokens_frame(c.sentences, lossless=True)).join(c.sentences.select("sentence_id", F.col("sentence_text").alias("original")), "sentence_id").select("sentence_id", (F.col("sentence_text") == F.col("original")).alias("same"))
+    tokens = ingest.tokens_frame(Corpus(spark, d).sentences, lossless=True)
+    return positions.sentences_from_tokens(tokens).join(tokens.groupBy("sentence_id").agg(F.count(F.lit(1)).alias("n_tokens")), "sentence_id").select("sentence_id", "n_tokens", "sentence_text")
+
+
+def _supplier_documents(spark, d) -> DataFrame:
+    """A document per nation: a sentence, then a pipe table of its suppliers; text stands behind every odd table."""
+    row = F.concat(F.lit("| "), F.coalesce("s_name", F.lit("")), F.lit(" | "), F.col("s_suppkey").cast("string"), F.lit(" |"))
+    rows = spark.read.parquet(f"{d}/supplier.parquet").groupBy(F.col("s_nationkey").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("t")))), lambda x: x["t"]), "\n").alias("rows"))
+    nations = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("k"), "n_name")
+    tail = F.when(F.col("k") % 2 == 1, F.lit(" Checked (twice. Yes). Done.")).otherwise(F.lit(""))
+    text = F.concat(F.lit("Suppliers of "), "n_name", F.lit(".\n\n| name | key |\n|---|:--:|\n"), "rows", tail)
+    return ingest.documents_frame(nations.join(rows, "k").select(F.col("k").alias("doc_id"), text.alias("text"), F.lit("").alias("source"), F.lit("").alias("lang")))
+
+
+TABLES = """, su AS (SELECT s_nationkey::BIGINT AS k, n_name, list('| ' || s_name || ' | ' || s_suppkey || ' |' ORDER BY s_suppkey) AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2),
+ tp AS (SELECT k * 100000 + 1 AS paragraph_id, 0::BIGINT AS is_table_paragraph, NULL::BIGINT AS table_column_count, 0::BIGINT AS table_trailing_text_detached, ['Suppliers of ' || n_name || '.'] AS t FROM su
+  UNION ALL SELECT k * 100000 + 2, 1, 2, k % 2, list_concat(['| name | key |'], r) FROM su
+  UNION ALL SELECT k * 100000 + 3, 0, NULL, 0, ['Checked (twice. Yes).', 'Done.'] FROM su WHERE k % 2 = 1)"""
+
+
+@query(TABLES + " SELECT paragraph_id * 10000 + n AS sentence_id, paragraph_id, is_table_paragraph, n AS sentence_no_in_paragraph, s AS sentence_text FROM (SELECT paragraph_id, is_table_paragraph, unnest(t) AS s, unnest(range(1, len(t) + 1)) AS n FROM tp)")
+def table_sentences(spark, d):
+    paragraphs = ingest.paragraphs_frame(_supplier_documents(spark, d), tables=True)
+    return ingest.sentences_frame(paragraphs, inside_brackets=False).select("sentence_id", "paragraph_id", "is_table_paragraph", "sentence_no_in_paragraph", "sentence_text")
+
+
+@query(TABLES + " SELECT paragraph_id, is_table_paragraph, table_column_count, 0::BIGINT AS table_parse_error, table_trailing_text_detached, len(t) + is_table_paragraph AS n_lines FROM (SELECT * FROM tp) WHERE is_table_paragraph = 1")
+def table_descriptions(spark, d):
+    rows = ingest.paragraphs_frame(_supplier_documents(spark, d), tables=True).where("is_table_paragraph = 1")
+    return rows.select("paragraph_id", "is_table_paragraph", "table_column_count", "table_parse_error", "table_trailing_text_detached", F.size(F.split("paragraph_text", "\n")).cast("long").alias("n_lines"))
 
 
 # ---------------------------------------------------------------- token rules
@@ -375,13 +423,31 @@ def combination_counts(spark, d):
     return hits.combination_counts(positions.positioned(c.tokens, c.sentences, ["the", "of"]), list(PAIR.rules)).drop("rule_no")
 
 
-@query()
+#: Narrowest first, without the tokens of groups already taken: the sorted candidates folded into the list of taken ones.
+GREEDY = "list_reduce(c, lambda a, x: CASE WHEN {taken} THEN a ELSE list_append(a, x) END, c[1:0])"
+
+
+@query(f"""
+, v AS (SELECT a.paragraph_id, a.sentence_id, list({{'p0': a.token_no, 'p1': b.token_no}} ORDER BY abs(a.token_no - b.token_no), least(a.token_no, b.token_no), greatest(a.token_no, b.token_no)) AS c
+  FROM pos a JOIN pos b USING (sentence_id) WHERE a.normalized_form = 'the' AND b.normalized_form = 'of' AND abs(a.token_no - b.token_no) <= 4 GROUP BY 1, 2),
+g AS (SELECT paragraph_id, sentence_id, {GREEDY.format(taken="len(list_filter(a, lambda y: y.p0 = x.p0 OR y.p1 = x.p1)) > 0")} AS t FROM v),
+n AS (SELECT paragraph_id, sentence_id, unnest(t) AS x, 'pair:' || sentence_id || ':' || unnest(range(1, len(t) + 1)) AS match_group_id FROM g)
+SELECT paragraph_id, sentence_id, x.p0 AS token_no, 'pair' AS condition_id, match_group_id, 'the' AS match_role FROM n UNION ALL SELECT paragraph_id, sentence_id, x.p1, 'pair', match_group_id, 'of' FROM n""")
 def greedy_groups(spark, d):
     rules = runtime(condition("pair", forms=["the", "of"], max_token_distance=4, search_scope="sentence"), distance_matching_mode="approx")
     return Corpus(spark, d).hits(rules).select(HIT_COLUMNS)
 
 
-@query()
+@query(f"""
+, k AS (SELECT paragraph_id, count(*) FILTER (normalized_form = 'the') * count(*) FILTER (normalized_form = 'of') * count(*) FILTER (normalized_form = 'and') AS n FROM pos GROUP BY 1),
+w AS (SELECT paragraph_id, paragraph_token_position AS p, normalized_form AS f FROM pos WHERE normalized_form IN ('the', 'of', 'and')),
+v0 AS (SELECT a.paragraph_id, a.p AS p0, b.p AS p1, c.p AS p2, least(a.p, b.p, c.p) AS s, greatest(a.p, b.p, c.p) AS e FROM w a JOIN w b ON a.paragraph_id = b.paragraph_id AND b.f = 'of' AND abs(a.p - b.p) <= 8
+  JOIN w c ON a.paragraph_id = c.paragraph_id AND c.f = 'and' AND abs(a.p - c.p) <= 8 AND abs(b.p - c.p) <= 8 WHERE a.f = 'the'),
+v AS (SELECT paragraph_id, list({{'p0': p0, 'p1': p1, 'p2': p2}} ORDER BY e - s, s, e, p0, p1, p2) AS c FROM v0 GROUP BY 1),
+g AS (SELECT paragraph_id, CASE WHEN n <= 20 THEN c ELSE {GREEDY.format(taken="len(list_filter(a, lambda y: y.p0 = x.p0 OR y.p1 = x.p1 OR y.p2 = x.p2)) > 0")} END AS t FROM v JOIN k USING (paragraph_id)),
+n AS (SELECT paragraph_id, unnest(t) AS x, 'pair:' || paragraph_id || ':' || unnest(range(1, len(t) + 1)) AS match_group_id FROM g),
+o AS (SELECT paragraph_id, x.p0 AS p, match_group_id FROM n UNION ALL SELECT paragraph_id, x.p1, match_group_id FROM n UNION ALL SELECT paragraph_id, x.p2, match_group_id FROM n)
+SELECT paragraph_id, sentence_id, token_no, 'pair' AS condition_id, match_group_id, normalized_form AS match_role FROM o JOIN pos ON o.paragraph_id = pos.paragraph_id AND o.p = pos.paragraph_token_position""".replace("SELECT paragraph_id, sentence_id, token_no, 'pair'", "SELECT pos.paragraph_id, sentence_id, token_no, 'pair'"))
 def capped_groups(spark, d):
     rules = runtime(condition("pair", forms=["the", "of", "and"], max_token_distance=8), distance_match_combination_cap=20)
     return Corpus(spark, d).hits(rules).select(HIT_COLUMNS)
@@ -409,7 +475,7 @@ def token_annotations(spark, d):
     return t.select("paragraph_id", "sentence_id", "token_no", F.array_join("condition_ids", ",").alias("condition_ids_text"), F.array_join("categories", ",").alias("categories_text"), F.array_join("match_group_ids", ",").alias("groups_text"), "annotation_count")
 
 
-TAGGED = TA + """, r AS (SELECT t.*, CASE WHEN c IS NULL THEN surface ELSE '[[HIT condition_ids="' || c || '" categories="' || k || '" groups="' || g || '"]]' || surface || '[[/HIT]]' END AS tagged, CASE WHEN c IS NULL THEN 0 ELSE 1 END AS hit FROM tok t LEFT JOIN ta USING (paragraph_id, sentence_id, token_no))"""
+TAGGED = TA + """, r AS (SELECT t.*, c, CASE WHEN c IS NULL THEN surface ELSE '[[HIT condition_ids="' || c || '" categories="' || k || '" groups="' || g || '"]]' || surface || '[[/HIT]]' END AS tagged, CASE WHEN c IS NULL THEN 0 ELSE 1 END AS hit FROM tok t LEFT JOIN ta USING (paragraph_id, sentence_id, token_no))"""
 
 
 @query(TAGGED + " SELECT paragraph_id, sentence_id, string_agg(surface, '' ORDER BY token_no) AS sentence_text, string_agg(tagged, '' ORDER BY token_no) AS sentence_text_tagged, sum(hit)::BIGINT AS annotated_token_count FROM r GROUP BY 1, 2")
@@ -424,7 +490,9 @@ def rendered_paragraphs(spark, d):
     return render.rendered_paragraphs(c.tokens, render.token_annotations(c.hits(SIMPLE))).select("paragraph_id", "paragraph_text", "paragraph_text_tagged", "annotated_token_count")
 
 
-@query()
+@query(TAGGED + """, o AS (SELECT *, sum(hit) OVER (PARTITION BY paragraph_id ORDER BY sentence_id, token_no ROWS UNBOUNDED PRECEDING) AS k FROM r),
+ sg AS (SELECT paragraph_id, 2 * k + 1 - hit AS place, hit, string_agg(surface, '' ORDER BY sentence_id, token_no) AS text, max(c) AS ids FROM o GROUP BY 1, 2, 3)
+ SELECT paragraph_id, row_number() OVER (PARTITION BY paragraph_id ORDER BY place) - 1 AS n, text, hit = 1 AS is_hit, coalesce(ids, '') AS condition_ids_text FROM sg""")
 def parse_tagged(spark, d):
     c = Corpus(spark, d)
     tagged = render.rendered_paragraphs(c.tokens, render.token_annotations(c.hits(SIMPLE)))
@@ -467,6 +535,71 @@ def gui_records(spark, d):
     return output.gui_records(_export(spark, d)).select("paragraph_id", "document_id", "category1", "category2", "matched_condition_ids_text", "matched_categories_text", "manual_annotation_count")
 
 
+def _session(spark, d) -> Session:
+    c = Corpus(spark, d)
+    return Session(c.tokens, c.sentences, c.paragraphs, c.documents)
+
+
+SENTENCE_SQL = f""", sm AS (SELECT sentence_id FROM ({_S})), pm AS ({B_}),
+ se AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY paragraph_no, sentence_no_in_paragraph) AS sentence_no_in_document, sentence_id IN (SELECT * FROM sm) AS s, paragraph_id IN (SELECT * FROM pm) AS p FROM sen),
+ sx2 AS (SELECT se.sentence_id, se.paragraph_id, se.document_id, category1, category2, sentence_no_in_paragraph, sentence_no_in_document, string_agg(surface, '' ORDER BY token_no) AS sentence_text,
+  CASE WHEN s AND p THEN 'p, s' WHEN s THEN 's' ELSE 'p' END AS matched_condition_ids_text, CASE WHEN s AND p THEN 'c, q' WHEN s THEN 'c' ELSE 'q' END AS matched_categories_text,
+  count(*) FILTER ((s AND normalized_form IN ('the', 'of')) OR (p AND normalized_form = 'and')) AS annotated_token_count
+  FROM se JOIN doc USING (document_id) JOIN (SELECT sentence_id, token_no, surface, normalized_form FROM tok) USING (sentence_id) WHERE s OR p GROUP BY ALL)"""
+SENTENCE_EXPORT = ["sentence_id", "paragraph_id", "document_id", "category1", "category2", "sentence_no_in_paragraph", "sentence_no_in_document", "sentence_text", "matched_condition_ids_text", "matched_categories_text", "annotated_token_count"]
+
+
+@query(SENTENCE_SQL + f" SELECT {', '.join(SENTENCE_EXPORT)} FROM sx2")
+def sentence_export(spark, d):
+    return _session(spark, d).analyze(runtime(*SENTENCE_RULES, analysis_unit="sentence")).export.select(SENTENCE_EXPORT)
+
+
+@query(SENTENCE_SQL + " SELECT " + ", ".join(f"{c}::VARCHAR AS {c}" for c in SENTENCE_EXPORT) + " FROM sx2")
+def sentence_records(spark, d):
+    return output.gui_records(_session(spark, d).analyze(runtime(*SENTENCE_RULES, analysis_unit="sentence")).export).select(SENTENCE_EXPORT)
+
+
+REFERENCE_RULES = (
+    groups("a", {"forms": ["the", "of"], "search_scope": "sentence"}, scope="sentence"),
+    groups("b", {"forms": ["and"], "search_scope": "sentence"}, scope="sentence", required_condition_ids_all=["a"]),
+    condition("p", ["q"], forms=["to"], required_categories_any=["c"]),
+)
+REFERENCES = f""", ra AS ({_S}), rb AS (SELECT DISTINCT sentence_id FROM pos WHERE normalized_form = 'and' AND sentence_id IN (SELECT * FROM ra)),
+ rp AS (SELECT sentence_id FROM cnt WHERE paragraph_id IN ({has_any('to')}) AND paragraph_id IN (SELECT paragraph_id FROM pos WHERE sentence_id IN (SELECT * FROM ra))),
+ rt AS (SELECT sentence_id, 'a' AS condition_id FROM ra UNION ALL SELECT sentence_id, 'b' FROM rb UNION ALL SELECT sentence_id, 'p' FROM rp)"""
+
+
+@query(REFERENCES + " SELECT sentence_id, string_agg(condition_id, ', ' ORDER BY condition_id) AS matched_condition_ids_text FROM rt GROUP BY 1")
+def sentence_mode_references(spark, d):
+    c = Corpus(spark, d)
+    return select.SentenceSelection(c.evaluate(runtime(*REFERENCE_RULES, analysis_unit="sentence")), c.tokens).sentences().select("sentence_id", "matched_condition_ids_text")
+
+
+@query(REFERENCES + " SELECT pos.sentence_id, token_no, condition_id FROM pos JOIN rt USING (sentence_id) WHERE (condition_id = 'a' AND normalized_form IN ('the', 'of')) OR (condition_id = 'b' AND normalized_form = 'and') OR (condition_id = 'p' AND normalized_form = 'to')")
+def hits_by_truth(spark, d):
+    c = Corpus(spark, d)
+    rules = runtime(*REFERENCE_RULES, analysis_unit="sentence")
+    selection = select.SentenceSelection(c.evaluate(rules), c.tokens)
+    truth = selection.rows.select("sentence_id", F.explode(evaluate.matched_ids(selection.e.rules, "t_")).alias("condition_id"))
+    return c.hits(rules).join(truth, ["sentence_id", "condition_id"], "left_semi").select("sentence_id", "token_no", "condition_id")
+
+
+@query(f"""
+, l AS (SELECT paragraph_id, min(paragraph_token_position) AS s, max(paragraph_token_position) AS e FROM pos WHERE normalized_form IN ('the', 'of') AND paragraph_id IN ({A}) GROUP BY 1),
+r AS (SELECT paragraph_id, min(paragraph_token_position) AS s, max(paragraph_token_position) AS e FROM pos WHERE normalized_form IN ('and', 'der') GROUP BY 1),
+b AS (SELECT coalesce(l.paragraph_id, r.paragraph_id) AS paragraph_id, CASE WHEN r.s IS NULL OR (l.s IS NOT NULL AND (l.s, l.e) <= (r.s, r.e)) THEN 1 ELSE 2 END AS g FROM l FULL JOIN r USING (paragraph_id))
+SELECT pos.paragraph_id, sentence_id, token_no, 'o' AS condition_id, 'o:g' || g || ':paragraph:' || pos.paragraph_id AS match_group_id, normalized_form AS match_role
+FROM pos JOIN b ON pos.paragraph_id = b.paragraph_id WHERE (g = 1 AND normalized_form IN ('the', 'of')) OR (g = 2 AND normalized_form IN ('and', 'der'))""")
+def or_group_hits(spark, d):
+    return Corpus(spark, d).hits(runtime(groups("o", {"forms": ["the", "of"]}, {"forms": ["and", "der"], "match_logic": "or", "combine_logic": "or"}))).select(HIT_COLUMNS)
+
+
+@query("SELECT paragraph_id, '[x]' || chr(10) || 'tg1: and texts=[tion, the] scope=paragraph' || chr(10) || 'tg2: and not texts=[|] scope=sentence' AS text_group_explanations_text, 'x: text_groups mixed-scope promoted to paragraph (paragraph + sentence)' AS mixed_scope_warning_text FROM (SELECT paragraph_id, string_agg(sentence_text, '' ORDER BY sentence_no_in_paragraph) AS t, bool_or(NOT contains(sentence_text, '|')) AS n FROM sen GROUP BY 1) WHERE contains(t, 'tion') AND contains(t, 'the') AND n")
+def text_group_explanations(spark, d):
+    rules = runtime(condition("x", text_groups=[{"texts": ["tion", "the"], "search_scope": "paragraph"}, {"texts": ["|"], "match_logic": "not", "combine_logic": "and", "search_scope": "sentence"}]))
+    return render.explanations(Corpus(spark, d).evaluate(rules).condition_eval(), rules).select("paragraph_id", "text_group_explanations_text", "mixed_scope_warning_text")
+
+
 # ---------------------------------------------------------------- annotations, facets, neighbours
 @query("SELECT paragraph_id, count(*) AS manual_annotation_count, string_agg(label_namespace || ':' || label_key || '=' || label_value, chr(10) ORDER BY label_key) AS manual_annotation_pairs_text, 'label' AS manual_annotation_namespaces_text FROM ann GROUP BY 1")
 def annotation_summary(spark, d):

@@ -272,3 +272,47 @@ def test_rules_have_facets(spark):
     counts = {(r.facet, r.value): r["count"] for r in output.facet_counts(records, output.RULE_FACETS).collect()}
     assert counts["categories", "x"] == 1 and counts["has_distance", "yes"] == 1 and counts["scope", "sentence"] == 1
     assert output.facet_filter(records, {"has_text": ["yes"]}, output.RULE_FACETS).first().condition_id == "b"
+
+
+def test_greedy_against_trying_all():
+    """The narrowest of all combinations of free tokens, again and again."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        k, n, d = rng.choice([2, 3]), rng.randrange(1, 14), rng.randrange(0, 12)
+        places = sorted(rng.sample(range(40), n))
+        forms = [rng.randrange(k) for _ in places]
+        free, want, number = set(range(n)), [], 0
+        while True:
+            options = [c for c in itertools.product(*([i for i in free if forms[i] == f] for f in range(k)))]
+            ranges = [(max(places[i] for i in c) - min(places[i] for i in c), min(places[i] for i in c), max(places[i] for i in c), [places[i] for i in c], c) for c in options]
+            if not ranges or min(ranges)[0] > d:
+                break
+            number += 1
+            for i in min(ranges)[4]:
+                want.append((i, number))
+                free.remove(i)
+        assert hits.greedy(places, forms, k, d) == want
+
+
+def test_numbers_that_reach_the_step_are_an_error(spark):
+    docs = ingest.documents_frame(spark.createDataFrame([(1, "\n".join(["x"] * ingest.PARAGRAPH_STEP))], "doc_id long, text string").selectExpr("*", "'' source", "'' lang"))
+    with pytest.raises(Exception, match="paragraphs: at most"):
+        ingest.paragraphs_frame(docs).agg(F.max("paragraph_id")).collect()
+
+
+def test_positions_by_either_way(spark):
+    rows = [(1, "One two. Three (four. five) six!\nNext line here. And more"), (2, ""), (3, "x")]
+    docs = ingest.documents_frame(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'' source", "'' lang"))
+    paragraphs = ingest.paragraphs_frame(docs)
+    sentences = ingest.sentences_frame(paragraphs)
+    plain = ingest.tokens_frame(sentences)
+    a = positions.positioned(plain, sentences)
+    b = ingest.positioned_tokens(paragraphs)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+    only = positions.positioned(plain, sentences, ["six", "more"]).select("normalized_form", "paragraph_token_position").collect()
+    assert sorted(map(tuple, only)) == [("more", 5), ("six", 6)]
+    numbers = ingest.with_document_numbers(sentences)
+    assert sorted(map(str, numbers.collect())) == sorted(map(str, ingest.numbered_sentences(docs).select(numbers.columns).collect()))
