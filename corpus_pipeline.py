@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
 columns of documents; the last one returns a row per packed piece. Between stages the documents are written to the
 shared scratch folder and read again, so a lost executor costs no more than the stage it was in.
+
+Null and empty texts fail the quality rules and go in the first stage. Rows without an id, and rows that repeat an id
+with another text, are judged by their text in the first two stages, pass the next two untouched (no other document can
+name them), and those with an id are packed; rows that repeat both id and text go down to one in the second stage. An
+empty table stays empty through all stages, and without labels the quality stage has its base rules only. Other columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from tessera.llm.common import documents, written
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line CRF (fitted on the given labels) keep."""
+    """Documents that the base rules and the line CRF (fitted on all given labels) keep."""
     return line_crf.drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -46,7 +52,7 @@ STAGES = [
     ("best_fit_packing", stage_packing),
 ]
 
-#: The CRF, chaining and packing are not SQL; tests hold the stages against brute force.
+#: The CRF, chaining and packing are not SQL; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
