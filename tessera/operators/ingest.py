@@ -290,6 +290,48 @@ def custom_tokens(sentences: DataFrame, tokenize) -> DataFrame:
     )
 
 
+def morphemes(sentences: DataFrame, analyse) -> DataFrame:
+    """Tokens by a morphological analyser, a Python function ``text -> [(surface, form, parts of speech, unknown), ...]``.
+
+    Up to four parts of speech become ``pos1`` to ``pos4``, missing ones are empty; ``is_oov`` is 1 or 0, or null
+    where the analyser says nothing about unknown words (None).
+    """
+    kind = T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("surface", "form", "pos1", "pos2", "pos3", "pos4")), T.StructField("is_oov", T.LongType())]))
+
+    def one(surface, form, pos, unknown) -> dict:
+        pos = [*map(str, pos[:4]), "", "", "", ""][:4]
+        return {"surface": surface, "form": form, **{f"pos{i}": p for i, p in enumerate(pos, 1)}, "is_oov": None if unknown is None else int(unknown)}
+
+    @F.pandas_udf(kind)
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [one(*m) for m in analyse(t or "")])
+
+    rows = sentences.select("paragraph_id", "sentence_id", "sentence_no_in_paragraph", "is_table_paragraph", F.posexplode(found("sentence_text")).alias("n", "t"))
+    return rows.select(
+        "paragraph_id", "sentence_id", "sentence_no_in_paragraph", "is_table_paragraph", (F.col("n") + 1).cast("long").alias("token_no"), F.col("t.form").alias("normalized_form"), F.col("t.surface").alias("surface"),
+        "t.pos1", "t.pos2", "t.pos3", "t.pos4", "t.is_oov",
+    )
+
+
+#: Names of the rules that split sentences and paragraphs.
+SENTENCE_RULES = {True: "v1_split_inside_parentheses", False: "v2_ignore_inner_parentheses_punct"}
+PARAGRAPH_RULES = {True: "v3_rule_line_table_detection", False: "v1_default"}
+
+
+def build_summary(documents: DataFrame, paragraphs: DataFrame, sentences: DataFrame, tokens: DataFrame, tables: bool = False, inside_brackets: bool = False) -> dict[str, int | str]:
+    """Counters of a build and the rules it went by."""
+    rules = F.col("is_table_paragraph") == 1
+    table_lines = F.size(F.filter(F.transform(F.split("paragraph_text", "\n"), uni_trim), lambda v: v != ""))
+    p = paragraphs.agg(F.count(F.lit(1)).alias("n"), F.count_if(rules).alias("t"), F.sum("table_parse_error").alias("e"), F.sum("table_trailing_text_detached").alias("d"), F.sum(F.when(rules, table_lines)).alias("lines")).first()
+    s = sentences.agg(F.count(F.lit(1)).alias("n"), F.count_if(rules).alias("t")).first()
+    d = documents.agg(F.count(F.lit(1)).alias("n"), F.count_if(uni_trim(F.col("raw_text")) == "").alias("e")).first()
+    return {
+        "source_rows": d.n, "documents_inserted": d.n, "paragraphs_inserted": p.n, "table_paragraphs_inserted": p.t, "table_parse_error_paragraphs": p.e or 0, "table_trailing_text_detached_paragraphs": p.d or 0,
+        "table_sentences_inserted": s.t, "table_rule_lines_skipped": (p.lines or 0) - s.t, "sentences_inserted": s.n, "tokens_inserted": tokens.count(), "empty_documents": d.e,
+        "sentence_rule_version": SENTENCE_RULES[inside_brackets], "paragraph_rule_version": PARAGRAPH_RULES[tables], "merge_table_lines": int(tables),
+    }
+
+
 def corpus_stats(documents: DataFrame, paragraphs: DataFrame, sentences: DataFrame, tokens: DataFrame) -> DataFrame:
     """Counts of a build as rows (counter, value)."""
     parts = [

@@ -16,6 +16,7 @@ MATCH = ["matched_condition_ids_text", "matched_categories_text", "matched_form_
 MANUAL = ["manual_annotation_count", "manual_annotation_pairs_text", "manual_annotation_namespaces_text"]
 PARAGRAPH_COLUMNS = ["paragraph_id", "document_id", "category1", "category2", "sentence_count", "paragraph_text", "paragraph_text_tagged", "paragraph_text_highlight_html", *MATCH, *MANUAL]
 SENTENCE_COLUMNS = ["sentence_id", "paragraph_id", "document_id", "category1", "category2", "sentence_no_in_paragraph", "sentence_no_in_document", "sentence_text", "sentence_text_tagged", "sentence_text_highlight_html", *MATCH]
+NUMERIC_FACETS = ("paragraph_id", "document_id", "sentence_count", "match_group_count", "annotated_token_count", "sentence_id", "group_count")
 FACETS = {"paragraph_id": False, "document_id": False, "category1": False, "category2": False, "sentence_count": False, "matched_categories_text": True, "matched_condition_ids_text": True, "match_group_ids_text": True, "match_group_count": False, "annotated_token_count": False}
 
 
@@ -41,6 +42,26 @@ def annotation_issues(annotations: DataFrame) -> DataFrame:
     return twice.unionByName(values.select(F.lit("annotation_value_conflict").alias("code"), *keys, F.array_join("v", ", ").alias("values_text"), F.size("v").cast("long").alias("n")))
 
 
+def add_annotation(records: DataFrame, paragraph_id: int, namespace: str, key: str, value: str) -> DataFrame:
+    """Result records after one more annotation of a paragraph: count, pairs and namespaces follow without a new summary.
+
+    The pair is appended on a line of its own; namespaces stay sorted, each once. All three columns are texts in a
+    result file, and stay what they are; a count that is no number counts as 0.
+    """
+    here = F.col("paragraph_id").cast("string") == str(paragraph_id)
+    pair, space = f"{namespace.strip()}:{key.strip()}={value.strip()}", namespace.strip()
+    pairs = uni_trim(F.coalesce(F.col("manual_annotation_pairs_text"), F.lit("")))
+    spaces = F.filter(F.transform(F.split(F.coalesce("manual_annotation_namespaces_text", F.lit("")), ","), uni_trim), lambda v: v != "")
+    spaces = F.array_join(F.array_sort(F.array_union(spaces, F.array(F.lit(space)) if space else F.array().cast("array<string>"))), ", ")
+    count = F.coalesce(F.col("manual_annotation_count").cast("string").try_cast("bigint"), F.lit(0)) + 1
+    new = {
+        "manual_annotation_count": count.cast(records.schema["manual_annotation_count"].dataType),
+        "manual_annotation_pairs_text": F.when(pairs == "", F.lit(pair)).otherwise(F.concat(pairs, F.lit("\n" + pair))),
+        "manual_annotation_namespaces_text": spaces,
+    }
+    return records.withColumns({c: F.when(here, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
 # ---------------------------------------------------------------- enrichment and export
 def enriched_paragraphs(rendered: DataFrame, selected: DataFrame, paragraphs: DataFrame, documents: DataFrame, explained: DataFrame | None = None, annotations: DataFrame | None = None) -> DataFrame:
     """Rendered paragraphs with the selection's ids and categories, metadata, explanations and annotations."""
@@ -147,7 +168,28 @@ def facet_search(counts: DataFrame, query: str) -> DataFrame:
     return counts.where(F.lower(uni_trim(F.col("value"))).contains(query.strip().lower()))
 
 
+def facet_list(counts: DataFrame, query: str = "", chosen: dict[str, list[str]] | None = None) -> DataFrame:
+    """Facet values as a list shows them: ``facet, value, count, is_chosen, is_match``, in order.
+
+    Values that match the query, and apart from them (``is_match`` false) the chosen ones that don't. Ids and counts
+    are ordered by number, the others by text, empty values first.
+    """
+    wanted = F.lit(False)
+    for c, values in (chosen or {}).items():
+        wanted = wanted | ((F.col("facet") == c) & F.col("value").isin(*values)) if values else wanted
+    match = F.lower(uni_trim(F.col("value"))).contains(query.strip().lower())
+    rows = counts.withColumns({"is_chosen": wanted, "is_match": match}).where("is_match or is_chosen")
+    number = F.when(F.col("facet").isin(*NUMERIC_FACETS), F.col("value").try_cast("bigint"))
+    return rows.orderBy("facet", F.desc("is_match"), F.col("value") != "", F.when(F.col("facet").isin(*NUMERIC_FACETS), number.isNull()), number, "value")
+
+
 # ---------------------------------------------------------------- neighbours
+def context_by_location(paragraphs: DataFrame, document_id: int, paragraph_no: int, radius: int = 2) -> DataFrame:
+    """Paragraphs around a place of a document; the place itself need not exist."""
+    near = paragraphs.where((F.col("document_id") == document_id) & F.col("paragraph_no").between(max(paragraph_no - radius, 1), paragraph_no + radius))
+    return near.withColumn("is_center", F.col("paragraph_no") == paragraph_no).orderBy("paragraph_no")
+
+
 def paragraph_context(paragraphs: DataFrame, wanted: DataFrame, radius: int = 2) -> DataFrame:
     """Paragraphs around the wanted ones in their documents; the wanted one is marked."""
     centre = wanted.select(F.col("paragraph_id").alias("center_id")).join(paragraphs.select(F.col("paragraph_id").alias("center_id"), F.col("document_id"), F.col("paragraph_no").alias("center_no")), "center_id")

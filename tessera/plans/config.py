@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import os
 import json
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -326,3 +328,44 @@ def write_runtime(document_path: str, out_path: str, issues_path: str | None = N
         return 1
     Path(out_path).write_text(json.dumps(got.runtime, ensure_ascii=False, indent=2), encoding="utf-8")
     return 0
+
+
+# ---------------------------------------------------------------- documents of conditions
+#: Fixed value: the category of a condition that names none.
+NO_CATEGORY = "未分類"
+
+
+def save_document(path: str, document: dict) -> None:
+    """Write a condition document as JSON, whole or not at all; folders on the way are made."""
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    handle, temporary = tempfile.mkstemp(dir=folder, suffix=".tmp")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            json.dump(document, f, ensure_ascii=False, indent=2)
+            f.write("\n")
+        os.replace(temporary, path)
+    except BaseException:
+        os.unlink(temporary)
+        raise
+
+
+def chosen_conditions(document: dict, categories: list[str] | None = None, ids: list[str] | None = None) -> dict:
+    """The document with the conditions of the chosen categories and ids only (None: all).
+
+    Ids are made whole before: a missing one is ``condition_<place>``, one that is taken gets a number. Entries that
+    are no objects go.
+    """
+    taken: set[str] = set()
+    kept = []
+    for place, raw in enumerate(document.get("cooccurrence_conditions") or [], 1):
+        if not isinstance(raw, dict):
+            continue
+        first = str(raw.get("condition_id") or "").strip() or f"condition_{place}"
+        name = next(n for n in (first, *(f"{first}_{k}" for k in range(2, len(taken) + 3))) if n not in taken)
+        taken.add(name)
+        listed = raw.get("categories") if isinstance(raw.get("categories"), list) else [raw.get("categories")]
+        own = list(dict.fromkeys(c for c in (str(x).strip() for x in listed if x is not None) if c)) or [NO_CATEGORY]
+        if (categories is None or set(own) & set(categories)) and (ids is None or name in ids):
+            kept.append(raw | {"condition_id": name, "categories": own})
+    return document | {"cooccurrence_conditions": kept}

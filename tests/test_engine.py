@@ -316,3 +316,68 @@ def test_positions_by_either_way(spark):
     assert sorted(map(tuple, only)) == [("more", 5), ("six", 6)]
     numbers = ingest.with_document_numbers(sentences)
     assert sorted(map(str, numbers.collect())) == sorted(map(str, ingest.numbered_sentences(docs).select(numbers.columns).collect()))
+
+
+def test_one_more_annotation(spark):
+    rows = [("1", "2", "a:k=v\nb:k=w", "a, b"), ("2", "", "", ""), ("3", "x", None, None)]
+    df = spark.createDataFrame(rows, "paragraph_id string, manual_annotation_count string, manual_annotation_pairs_text string, manual_annotation_namespaces_text string")
+    for p, want in ((1, ("3", "a:k=v\nb:k=w\naa:q=1", "a, aa, b")), (2, ("1", "aa:q=1", "aa")), (3, ("1", "aa:q=1", "aa"))):
+        got = {r[0]: tuple(r[1:]) for r in output.add_annotation(df, p, " aa", "q ", "1").collect()}
+        assert got[str(p)] == want and all(got[r[0]] == r[1:] for r in rows if r[0] != str(p))
+
+
+def test_facet_list_orders_and_keeps_chosen(spark):
+    counts = spark.createDataFrame([("sentence_count", v, 1) for v in ("10", "2", "", "x")] + [("category1", v, 1) for v in ("b2", "b10", "a")], "facet string, value string, count long")
+    got = [(r.facet, r.value) for r in output.facet_list(counts).collect()]
+    assert got == [("category1", "a"), ("category1", "b10"), ("category1", "b2"), ("sentence_count", ""), ("sentence_count", "2"), ("sentence_count", "10"), ("sentence_count", "x")]
+    got = [(r.value, r.is_match, r.is_chosen) for r in output.facet_list(counts, " B", {"category1": ["a", "b2"]}).collect()]
+    assert got == [("b10", True, False), ("b2", True, True), ("a", False, True)]
+
+
+def test_context_by_location(spark):
+    df = spark.createDataFrame([(1, n, f"p{n}") for n in range(1, 8)] + [(2, 3, "other")], "document_id long, paragraph_no long, paragraph_text string")
+    assert [(r.paragraph_no, r.is_center) for r in output.context_by_location(df, 1, 2, 2).collect()] == [(1, False), (2, True), (3, False), (4, False)]
+
+
+def test_morphemes_and_summary(spark):
+    docs = ingest.documents_frame(spark.createDataFrame([(1, "Top line.\n\n| a | b |\n|---|---|\n| c | d | tail (x. y)."), (2, " ")], "doc_id long, text string").selectExpr("*", "'' source", "'' lang"))
+    paragraphs = ingest.paragraphs_frame(docs, tables=True)
+    sentences = ingest.sentences_frame(paragraphs, inside_brackets=False)
+    tokens = ingest.morphemes(sentences, lambda t: [(w, w.lower(), ("noun", "common"), None if w == "a" else w == "Top") for w in t.split()])
+    first = tokens.where("surface = 'Top'").first()
+    assert (first.pos1, first.pos2, first.pos3, first.pos4, first.is_oov, first.normalized_form) == ("noun", "common", "", "", 1, "top")
+    assert tokens.where("surface = 'a'").first().is_oov is None
+    got = ingest.build_summary(docs, paragraphs, sentences, tokens, tables=True)
+    assert got == {
+        "source_rows": 2, "documents_inserted": 2, "paragraphs_inserted": 3, "table_paragraphs_inserted": 1, "table_parse_error_paragraphs": 0, "table_trailing_text_detached_paragraphs": 1, "table_sentences_inserted": 2,
+        "table_rule_lines_skipped": 1, "sentences_inserted": 4, "tokens_inserted": tokens.count(), "empty_documents": 1, "sentence_rule_version": "v2_ignore_inner_parentheses_punct",
+        "paragraph_rule_version": "v3_rule_line_table_detection", "merge_table_lines": 1,
+    }
+
+
+def test_condition_documents(tmp_path):
+    from tessera.plans import config
+
+    doc = {"analysis_unit": "paragraph", "cooccurrence_conditions": [{"condition_id": "a", "categories": ["x", "x "]}, {"categories": "y"}, 5, {"condition_id": "a"}]}
+    whole = config.chosen_conditions(doc)["cooccurrence_conditions"]
+    assert [(c["condition_id"], c["categories"]) for c in whole] == [("a", ["x"]), ("condition_2", ["y"]), ("a_2", [config.NO_CATEGORY])]
+    assert [c["condition_id"] for c in config.chosen_conditions(doc, ["x", "y"], ["condition_2", "a_2"])["cooccurrence_conditions"]] == ["condition_2"]
+    path = tmp_path / "new" / "rules.json"
+    config.save_document(str(path), doc)
+    assert __import__("json").loads(path.read_text()) == doc and len(list(path.parent.iterdir())) == 1
+
+
+def test_results_are_kept_until_the_data_change(spark):
+    tokens, sentences = corpus(spark, TWO)
+    now = [0]
+    s = Session(tokens, sentences, stamp=lambda: now[0])
+    got = rules({"condition_id": "x", "forms": ["a", "b"]})
+    one = s.analyze(got)
+    assert s.analyze(got) is one and "Parquet" in type(one.export._jdf.queryExecution().executedPlan()).__name__ or "parquet" in one.export._jdf.queryExecution().toString().lower()
+    now[0] = 1
+    assert s.analyze(got) is not one and s.analyze(got).export.count() == 1
+
+
+def test_long_issue_lists_say_how_many_more(spark):
+    got = readers.listed(spark.range(7).selectExpr("cast(id as string)").orderBy("id"), 5, "c", "warning", "ingest")
+    assert [i.message for i in got] == ["0", "1", "2", "3", "4", "and 2 more"]
