@@ -13,8 +13,8 @@ Every decision is predicted in ``MODELS`` hashed contexts (how often the context
 far the document has come; when spelling, up to five bytes back, across the word's start). Bit counts of these contexts
 come from the training documents, less the occurrence at hand. A logistic mixer combines them with weights that are
 gated by the kind of decision, and an adaptive bias for each range of the mixed prediction refines the result. Weights
-start from the average of what all parts learn and go on learning inside each document, ``BLOCK`` decisions at a time,
-so a score doesn't depend on order or partitioning.
+and biases start alike in every document and learn inside it, ``BLOCK`` decisions at a time, so a score doesn't depend
+on order or partitioning.
 """
 
 from __future__ import annotations
@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import MULT, TO_LOWER, Chunk, arrow_map, chunks, mix, ship, span_hash, table, words, written
 
 HOLD_OUT = 10
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 DEAL_BYTES = 16 << 20
 MODELS = 6
 SLOT_BITS = 18
 RANGES = 16
 SETS = 8  # weight sets: two each for the three questions and for spelling
-BLOCK = 16
-RATE, BIAS_RATE, BIASES = 4e-3, 2e-2, 24
-FIT_RATE, FIT_BATCH = 0.02, 8192
+BLOCK = 32
+RATE, BIAS_RATE, BIASES = 8e-3, 4e-2, 24
+WEIGHT = 0.25  # that every document starts with
 LANE_TOKENS = 1 << 17
 #: Tokens that are no words. Hashes of words are above them.
 END, START, BEFORE = np.uint64(1), np.uint64(2), np.uint64(3)
@@ -163,6 +163,18 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Stable argsort: one plain sort of the keys' upper bits with the places below them, checked afterwards."""
+    n = len(keys)
+    low = np.uint64(max(1, (n - 1).bit_length()))
+    room = np.uint64(64 - int(keys.max(initial=0)).bit_length())
+    both = keys << room >> low << low | np.arange(n, dtype=np.uint64)
+    both.sort()
+    order = (both & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    k = keys[order]
+    return order if (k[1:] >= k[:-1]).all() else np.argsort(keys, kind="stable")
+
+
 def _fragments(kind: int, keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of sorted keys."""
     bucket = bucket_of(keys, buckets) if kind == UNI else keys >> NARROW
@@ -182,7 +194,7 @@ def _ask(buckets: int):
         part, rows = group.column("part")[0].as_py(), []
         train = t.train[t.row]
         for kind, keys in enumerate(t.keys):
-            order = np.argsort(keys)
+            order = stable_order(keys)
             keys, mine = keys[order], np.r_[0, np.cumsum(train[order])]
             new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             u, n = keys[new], np.diff(mine[np.r_[new, len(keys)]])
@@ -197,9 +209,13 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     """Totals of one bucket, answered to every part in the order in which it asked; sums to part -1."""
     keys = [np.cumsum(_unplanes(x), dtype=np.uint64) for x in pdf["keys"]]
     size = [len(k) for k in keys]
-    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([_unplanes(x) for x in pdf["counts"]]), minlength=len(u)).astype(np.int64)
-    answer = np.split(total[inverse], np.cumsum(size)[:-1])
+    all_ = np.concatenate(keys)
+    order = stable_order(all_)
+    new = np.r_[True, np.diff(all_[order]) > 0]
+    total = np.add.reduceat(np.concatenate([_unplanes(x) for x in pdf["counts"]]).astype(np.int64)[order], np.flatnonzero(new))
+    answer = np.empty(len(all_), np.int64)
+    answer[order] = total[np.cumsum(new) - 1]
+    answer = np.split(answer, np.cumsum(size)[:-1])
     kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
     out = [(int(p), kind, bucket, _planes(a)) for p, a in zip(pdf["part"], answer)]
     if kind == UNI:
@@ -222,7 +238,7 @@ CODED_SQL = (
 
 def _standing(keys: np.ndarray, t: Tokens, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token, its key's total, and the count as it stands: without the own document's (if it trains) later ones."""
-    order = np.argsort(keys, kind="stable")
+    order = stable_order(keys)
     k, r = keys[order], t.row[order]
     new = np.r_[True, k[1:] != k[:-1]]
     run = np.flatnonzero(new | np.r_[True, r[1:] != r[:-1]])
@@ -320,16 +336,22 @@ class Code:
         return n, self.node[at], self.bit[at]
 
 
-def _slot(m: int, x: np.ndarray) -> np.ndarray:
-    """Slot of a context of predictor ``m``."""
+def _scrambled(x: np.ndarray, m: int) -> np.ndarray:
+    """32-bit hash of a context of predictor ``m``."""
+    with np.errstate(over="ignore"):
+        return (mix(x.astype(np.uint64) + np.uint64(m + 1) * MULT) >> np.uint64(32)).astype(np.uint32)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = (x.astype(np.uint64) + np.uint64(m + 1)) * MULT
-        h = (h ^ (h >> np.uint64(29))) * MULT
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+        h = h * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA6B)
+    return h >> np.uint32(32 - SLOT_BITS)
 
 
 class Decisions:
-    """All decisions of some documents of a part, in order: a slot in each predictor's table, the bit and the weight set."""
+    """All decisions of some documents of a part: a slot in each predictor's table, the bit and the weight set."""
 
     def __init__(self, code: np.ndarray, row: np.ndarray, first: np.ndarray, novel: np.ndarray, widths: np.ndarray, huffman: Code):
         total = len(code)
@@ -351,40 +373,41 @@ class Decisions:
         body = np.flatnonzero(k >= BACK)
         n, node, bit = huffman.spread(novel[body])
         per_word = np.bincount(np.repeat(np.arange(len(widths)), widths)[body], weights=n, minlength=len(widths)).astype(np.int64)
-        # places
+        flags = sum(a.astype(np.int64) for a in asked)
         extra = np.zeros(total, np.int64)
         extra[word] = per_word
-        flags = sum(a.astype(np.int64) for a in asked)
         self.per_token = flags + extra
         start = np.cumsum(self.per_token) - self.per_token
         self.total = int(self.per_token.sum())
-        self.slots = np.empty((MODELS, self.total), np.uint32)
-        self.bit, self.set = np.empty(self.total, np.int8), np.empty(self.total, np.int8)
+        slots: list[list[np.ndarray]] = [[] for _ in range(MODELS)]
+        places, bits, sets, tokens = [], [], [], []
         at = start.copy()
         for kind, (a, q) in enumerate(zip(asked, (by_two, by_one, by_one))):
             i = np.flatnonzero(a)
-            p = at[i]
+            places.append(at[i])
             at[i] += 1
-            q, head = q[i], kind + 1
-            contexts = (q, history[i], q * 125 + history[i], q * 1024 + rare[i] * 32 + by_one[i], (far[i] * 5 + last[i]) * 5 + last2[i], (q * 16 + far[i]) * 5 + last[i])
-            for m, x in enumerate(contexts):
-                self.slots[m, p] = _slot(m, x * 4 + head)
-            self.bit[p] = level[i] == kind
-            self.set[p] = 2 * kind + (q > 3)
+            q, head, h, f, l = q[i], (kind + 1) * 8, history[i], far[i], last[i]
+            for m, x in enumerate((q, h, q * 125 + h, q * 1024 + rare[i] * 32 + by_one[i], (f * 5 + l) * 5 + last2[i], (q * 16 + f) * 5 + l)):
+                slots[m].append(_slot((x * 32 + (head + m)).astype(np.uint32)))
+            bits.append(level[i] == kind)
+            sets.append(2 * kind + (q > 3))
+            tokens.append(i)
         if len(body):
-            p = np.repeat(start[word] + flags[word] - (np.cumsum(per_word) - per_word), per_word) + np.arange(len(node))
-            b = [novel[body - j].astype(np.uint64) for j in range(1, BACK + 1)]
+            places.append(np.repeat(start[word] + flags[word] - (np.cumsum(per_word) - per_word), per_word) + np.arange(len(node)))
             so_far, prefix = np.uint64(0), []
-            for j, x in enumerate(b):
-                so_far = so_far | x << np.uint64(8 * j)
+            for j in range(BACK):
+                so_far = so_far | novel[body - (j + 1)].astype(np.uint64) << np.uint64(8 * j)
                 prefix.append(so_far)
             inside = np.minimum(k[body] - BACK, 15).astype(np.uint64)
-            for m, x in enumerate((prefix[0], prefix[1], prefix[2], prefix[3], prefix[4], prefix[0] << np.uint64(4) | inside)):
-                with np.errstate(over="ignore"):
-                    x = mix(x + np.uint64(m + 1)) & np.uint64(0xFFFFFFFFFFFFFF00)
-                self.slots[m, p] = _slot(m, np.repeat(x, n) ^ node.astype(np.uint64) << np.uint64(8))
-            self.bit[p] = bit
-            self.set[p] = 6 + np.repeat(inside > 0, n)
+            for m, x in enumerate((*prefix, prefix[0] << np.uint64(4) | inside)):
+                slots[m].append(_slot(np.repeat(_scrambled(x, m), n) ^ node))
+            bits.append(bit)
+            sets.append(6 + np.repeat(inside > 0, n))
+            tokens.append(np.repeat(word, per_word))
+        #: In no order; ``place`` is where each stands in the stream, ``token`` what it belongs to.
+        self.place, self.token = np.concatenate(places), np.concatenate(tokens)
+        self.slots = [np.concatenate(x) for x in slots]
+        self.bit, self.set = np.concatenate(bits).astype(np.int8), np.concatenate(sets).astype(np.int8)
 
 
 def lanes(codes: np.ndarray, n_tokens: np.ndarray, novel: np.ndarray, widths: np.ndarray):
@@ -411,7 +434,7 @@ def _rows(batches):
             yield x["part"].as_py(), lists, np.frombuffer(x["codes"].as_py(), np.uint16), np.frombuffer(x["novel"].as_py(), np.uint8)
 
 
-# ---------------------------------------------------------------- tables and weights
+# ---------------------------------------------------------------- tables
 GATHERED = pa.schema([("key", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 
 
@@ -427,9 +450,10 @@ def _gather(huffman: Code):
             train = ~is_held_out(x["ids"])
             for i, _, args in lanes(codes, x["n_tokens"], novel, x["novel_sizes"]):
                 d = Decisions(*args, huffman)
-                mine = np.repeat(train[i + args[1]], d.per_token)
+                mine = train[i + args[1]][d.token]
+                bit = d.bit[mine].astype(np.uint32)
                 for m in range(MODELS):
-                    counts[m] += np.bincount(d.slots[m][mine] * np.uint32(2) + d.bit[mine].astype(np.uint32), minlength=size)
+                    counts[m] += np.bincount(d.slots[m][mine] * np.uint32(2) + bit, minlength=size)
         if some >= 0:
             rows = [(r, some, _planes(x)) for r, x in enumerate(counts.reshape(MODELS * RANGES, -1)) if x.any()]
             if rows:
@@ -448,7 +472,7 @@ def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Predictions in steps of a sixteenth, starting weights, and the online pass."""
+    """Predictions in steps of a sixteenth, and the online pass."""
 
     def __init__(self, huffman: Code, counts: np.ndarray):
         n0, n1 = counts[:, 0::2], counts[:, 1::2]
@@ -456,7 +480,7 @@ class Mixer:
         #: Per predictor: predictions from all counts, and without one occurrence of a 0 or of a 1.
         versions = [(n0, n1), (np.maximum(n0 - 1, 0), n1), (n0, np.maximum(n1 - 1, 0))]
         self.steps = np.concatenate([np.round(stretched(a, b) * 16) for a, b in versions], 1).astype(np.int8)
-        self.weights = np.full((SETS, MODELS), 0.3, np.float32)
+        self.weights = np.full((SETS, MODELS), WEIGHT, np.float32)
 
     def inputs(self, d: Decisions, train: np.ndarray) -> np.ndarray:
         """Predictions (decision, predictor) as int8; ``train`` says whose own occurrence is in the counts."""
@@ -466,70 +490,48 @@ class Mixer:
             out[:, m] = self.steps[m][d.slots[m] + shift]
         return out
 
-    def learned(self, d: Decisions, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Weights after one pass of mini-batches."""
-        for k in range(0, d.total, FIT_BATCH):
-            s, xs = d.set[k : k + FIT_BATCH], x[k : k + FIT_BATCH].astype(np.float32) / 16
-            p = 1 / (1 + np.exp(-np.clip((w[s] * xs).sum(1), -30, 30)))
-            of = (s[None] == np.arange(SETS)[:, None]).astype(np.float32)
-            w = w + FIT_RATE * ((of * (d.bit[k : k + FIT_BATCH] - p)) @ xs) / np.sqrt(of.sum(1, keepdims=True) + 1) / 8
-        return w
-
-    def score(self, d: Decisions, x: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        """Bits that the decisions of each of ``n`` documents cost, learning block by block."""
-        per = np.bincount(row, weights=d.per_token, minlength=n).astype(np.int64)
+    def score(self, x: np.ndarray, bit: np.ndarray, kind: np.ndarray, per: np.ndarray) -> np.ndarray:
+        """Bits that the decisions of each document (``per`` of them in a row) cost, learning block by block.
+
+        All documents advance together, the longest first; a step is one slice.
+        """
+        n, total = len(per), len(bit)
         begin = np.cumsum(per) - per
         order = np.argsort(-per, kind="stable")
         blocks = -(-per[order] // BLOCK)
-        w = np.repeat(self.weights[None], n, 0)
-        bias = np.zeros(n * BIASES, np.float32)
-        total = np.zeros(n)
-        x = np.concatenate([x, np.zeros((1, MODELS), np.int8)])
-        sign = np.r_[d.bit * 2 - 1, 0].astype(np.float32)  # 0: nothing stands here
-        kind = np.r_[d.set, 0]
-        for step in range(int(blocks.max(initial=0))):
-            a = int(np.searchsorted(-blocks, -step, "left"))  # documents with more blocks than that
-            at = (begin[order[:a]] + step * BLOCK)[:, None] + np.arange(BLOCK)
-            at[at >= (begin + per)[order[:a], None]] = d.total
-            xs, s, k = x[at].astype(np.float32) / 16, sign[at], kind[at]
-            dot = np.einsum("abm,abm->ab", np.take_along_axis(w[:a], k[:, :, None].astype(np.int64), 1), xs)
+        lane = np.repeat(np.arange(n), blocks)
+        step = np.arange(len(lane)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        by_step = np.argsort(step, kind="stable")
+        lane, active = lane[by_step], np.bincount(step)
+        first, stop = begin[order][lane] + step[by_step] * BLOCK, (begin + per)[order][lane]
+        w = np.repeat(self.weights[None], n, 0).reshape(n * SETS, MODELS)
+        bias, cost, done = np.zeros(n * BIASES, np.float32), np.zeros(n), 0
+        sets, inside = np.arange(SETS, dtype=np.int8)[None, :, None], np.arange(BLOCK)
+        for a in active.tolist():
+            at = first[done : done + a, None] + inside
+            live = (at < stop[done : done + a, None]).astype(np.float32)
+            np.minimum(at, total - 1, out=at)
+            done += a
+            xs, k = x[at].astype(np.float32), kind[at]
+            s = (bit[at] * 2 - 1).astype(np.float32)
+            dot = np.einsum("abm,abm->ab", w[k + (np.arange(a) * SETS)[:, None]], xs)
+            dot *= np.float32(1 / 16)
             np.clip(dot, -15.9, 15.9, out=dot)
-            b = ((dot + 16) * np.float32(BIASES / 32)).astype(np.int64) + (np.arange(a) * BIASES)[:, None]
-            z = (dot + bias[b]) * s
-            q = np.exp(-z)
-            live = s != 0
-            total[:a] += (np.log1p(q) * live).sum(1)
-            e = s * q / (1 + q)
-            of = (k[:, None, :] == np.arange(SETS)[None, :, None]) * e[:, None, :]
-            w[:a] += np.float32(RATE) * (of @ xs)
+            b = ((dot + 16) * np.float32(BIASES / 32)).astype(np.int64)
+            b += (np.arange(a) * BIASES)[:, None]
+            dot += bias[b]
+            dot *= s
+            q = np.exp(-dot)
+            cost[:a] += (np.log1p(q) * live).sum(1)
+            e = s * live * q / (1 + q)
+            of = (k[:, None, :] == sets) * e[:, None, :]
+            w[: a * SETS] += np.float32(RATE / 16) * (of @ xs).reshape(a * SETS, MODELS)
             bias[: a * BIASES] += BIAS_RATE / BLOCK * np.bincount(b.ravel(), weights=e.ravel(), minlength=a * BIASES).astype(np.float32)
         out = np.zeros(n)
-        out[order] = total / np.log(2)
+        out[order] = cost / np.log(2)
         return out
 
 
-FITTED = pa.schema([("part", pa.int32()), ("x", pa.list_(pa.float64()))])
-
-
-def _fit(model):
-    """One row per part: decisions per weight set, and the weights that its training documents lead to, times that."""
-
-    def run(batches):
-        mixer: Mixer = model.value
-        for part, x, codes, novel in _rows(batches):
-            train = ~is_held_out(x["ids"])
-            w, seen = mixer.weights, np.zeros(SETS)
-            for i, _, args in lanes(codes, x["n_tokens"], novel, x["novel_sizes"]):
-                d = Decisions(*args, mixer.huffman)
-                mine = np.repeat(train[i + args[1]], d.per_token)
-                d.slots, d.bit, d.set, d.total = d.slots[:, mine], d.bit[mine], d.set[mine], int(mine.sum())
-                w = mixer.learned(d, mixer.inputs(d, np.ones(d.total, bool)), w)
-                seen += np.bincount(d.set, minlength=SETS)
-            yield table(FITTED, [part], [np.r_[seen, (w * seen[:, None]).ravel()]])
-
-    return run
-
-
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_sum", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
 
@@ -541,10 +543,14 @@ def _score(model, tokens: int):
             known = np.bincount(np.repeat(np.arange(len(n)), n), weights=(codes & 3) == 2, minlength=len(n))
             # all training tokens less the own ones, and the own ones so far: this many at most
             bits = x["bits"] + known * np.log2(np.maximum(tokens + np.where(held, n, 0), 1))
+            made = []
             for i, j, args in lanes(codes, n, novel, x["novel_sizes"]):
                 d = Decisions(*args, mixer.huffman)
-                inputs = mixer.inputs(d, np.repeat(~held[i + args[1]], d.per_token))
-                bits[i:j] += mixer.score(d, inputs, args[1], j - i)
+                order = np.empty(d.total, np.int64)
+                order[d.place] = np.arange(d.total)
+                inputs = mixer.inputs(d, ~held[i + args[1]][d.token])
+                made.append((inputs[order], d.bit[order], d.set[order], np.bincount(args[1], weights=d.per_token, minlength=j - i).astype(np.int64)))
+            bits += mixer.score(*(np.concatenate(v) for v in zip(*made)))
             yield table(SCORES, x["ids"], held, n, x["n_known"], x["base_sum"], -bits * np.log10(2), x["n_bytes"])
 
     return run
@@ -559,7 +565,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     corpus and the document's own beginning predict. ``bits_per_byte`` is the same per byte (each token and a byte).
 
     Counts of sequences stay distributed. What goes to every task is bounded: ``MODELS`` tables of 2**18 slots of bit
-    counts, a Huffman code and weights, all gathered from all training documents. A null text is empty: one end
+    counts and a Huffman code, gathered from all training documents. A null text is empty: one end
     token. Rows without an id are left out; repeated rows count one by one; without training documents all counts are
     0; an empty table gives no rows; other columns are ignored.
     """
@@ -587,12 +593,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     for r in partial.groupBy("key").applyInPandas(_sum_tables, "key int, data binary").toLocalIterator():
         counts[r.key] = _unplanes(bytes(r.data))
     mixer = Mixer(huffman, counts.reshape(MODELS, -1))
-    fitted = arrow_map(coded, _fit(spark.sparkContext.broadcast(mixer)), "part int, x array<double>")
-    sums = np.zeros(SETS * (1 + MODELS))
-    for r in fitted.select(F.posexplode("x").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
-        sums[r.at] = r.x
-    seen, w = sums[:SETS, None], sums[SETS:].reshape(SETS, MODELS)
-    mixer.weights = np.where(seen > 0, w / np.maximum(seen, 1), mixer.weights).astype(np.float32)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double, n_bytes long"
     scored = arrow_map(coded, _score(spark.sparkContext.broadcast(mixer), tokens), schema)
     norm = float(np.log10(tokens + 0.1 * (distinct + 1)))
