@@ -32,7 +32,7 @@ from tessera.llm.common import MULT, TO_LOWER, Chunk, arrow_map, chunks, mix, sh
 
 HOLD_OUT = 10
 PART_BYTES = 4 << 20
-DEAL_BYTES = 16 << 20
+DEAL_BYTES = 8 << 20
 MODELS = 6
 SLOT_BITS = 18
 RANGES = 16
@@ -40,12 +40,12 @@ SETS = 8  # weight sets: two each for the three questions and for spelling
 BLOCK = 32
 RATE, BIAS_RATE, BIASES = 8e-3, 4e-2, 24
 WEIGHT = 0.25  # that every document starts with
-LANE_TOKENS = 1 << 17
+LANE_TOKENS = 1 << 16
 #: Tokens that are no words. Hashes of words are above them.
 END, START, BEFORE = np.uint64(1), np.uint64(2), np.uint64(3)
 UNI, BI, TRI = 0, 1, 2
 #: Two- and three-word sequences are told apart by the bucket and so many bits of their hash.
-NARROW = np.uint64(36)
+NARROW = np.uint64(34)
 #: Bytes before a spelled word that are kept as its context.
 BACK = 5
 
