@@ -73,7 +73,7 @@ class PairTable:
 
 
 class ByteBpe:
-    def __init__(self, path: str, pattern: str | None = None, keep: int = 300_000):
+    def __init__(self, path: str, pattern: str | None = None, keep: int = 800_000):
         import public_tokenizers
         import regex
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from tessera.llm import byte_bpe
 from tessera.llm.common import arrow_map, chunks, table
 
 LEAF = 32
+#: Leaves that hold more than this on average are dealt anew, with all others.
+MOST = 128
 #: The split pattern looks at fewer characters than this behind a match.
 AHEAD = 4
 
@@ -35,10 +39,11 @@ class TokenTree:
 
     def __init__(self, pieces: list[str], bpe: byte_bpe.ByteBpe, counts: list[int] | None = None):
         self.bpe, self.reencoded = bpe, 0
-        self._build(list(zip(pieces, self._counts(pieces) if counts is None else counts)))
+        self._build(pieces, self._counts(pieces) if counts is None else counts)
 
-    def _build(self, both: list[tuple[str, int]]) -> None:
-        self.leaves = [both[i : i + LEAF] for i in range(0, len(both), LEAF)] or [[]]
+    def _build(self, pieces: list[str], counts: list[int]) -> None:
+        """Leaves as two lists, of pre-tokens and of their numbers of tokens; then the sums."""
+        self.leaves = [(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for i in range(len(self.leaves)):
@@ -47,12 +52,16 @@ class TokenTree:
             self._pull(i)
 
     def _counts(self, pieces: list[str]) -> list[int]:
-        self.bpe.learn(pieces)
-        return [n >> 2 for n in map(len, map(self.bpe.known.__getitem__, pieces))]
+        known = self.bpe.known
+        try:
+            return [len(known[p]) >> 2 for p in pieces]
+        except KeyError:
+            self.bpe.learn(pieces)
+            return [len(known[p]) >> 2 for p in pieces]
 
     def _sum(self, leaf: int) -> None:
-        pieces = self.leaves[leaf]
-        self.chars[self.size + leaf], self.tokens[self.size + leaf] = sum(len(p) for p, _ in pieces), sum(n for _, n in pieces)
+        pieces, counts = self.leaves[leaf]
+        self.chars[self.size + leaf], self.tokens[self.size + leaf] = len("".join(pieces)), sum(counts)
 
     def _pull(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -63,12 +72,12 @@ class TokenTree:
         return self.tokens[1]
 
     @property
-    def pieces(self) -> list[tuple[str, int]]:
-        return [x for leaf in self.leaves for x in leaf]
+    def pieces(self) -> tuple[list[str], list[int]]:
+        return [p for leaf, _ in self.leaves for p in leaf], [n for _, leaf in self.leaves for n in leaf]
 
     @property
     def text(self) -> str:
-        return "".join(p for p, _ in self.pieces)
+        return "".join(p for leaf, _ in self.leaves for p in leaf)
 
     def prefix_count(self, position: int) -> int:
         """Tokens of the pre-tokens that end at or before a character position."""
@@ -78,7 +87,7 @@ class TokenTree:
             if i & 1:
                 total += self.tokens[i - 1]
             i >>= 1
-        for p, t in self.leaves[leaf]:
+        for p, t in zip(*self.leaves[leaf]):
             start += len(p)
             if start > position:
                 break
@@ -99,56 +108,49 @@ class TokenTree:
         start = min(max(start, 0), self.chars[1])
         end = min(start + max(length, 0), self.chars[1])
         first, at = self._find(max(start - 1, 0))
-        k, old = 0, self.leaves[first]
-        while k < len(old) and at + len(old[k][0]) <= start - 1:
-            at += len(old[k][0])
-            k += 1
-        head, window, ends = old[:k], old[k:], {}  # ends: number of window pieces up to an old position
-        until, last = at, first + 1
-
-        def note(pieces, done):
-            nonlocal until
-            for i, (p, _) in enumerate(pieces):
-                until += len(p)
-                ends[until] = done + i + 1
-
-        ends[at] = 0
-        note(window, 0)
+        old, sizes = self.leaves[first]
+        ends = list(accumulate(map(len, old), initial=at))  # old positions of the boundaries
+        k = max(bisect_right(ends, start - 1) - 1, 0)
+        at, ends, window, counts, last = ends[k], ends[k:], old[k:], sizes[k:], first + 1
         need = end + 64
         while True:
-            while until < need and last < len(self.leaves):
-                note(self.leaves[last], len(window))
-                window = window + self.leaves[last]
-                last += 1
-            whole = last == len(self.leaves)
-            was = "".join(p for p, _ in window)
+            while ends[-1] < need and last < len(self.leaves):
+                more, sizes_ = self.leaves[last]
+                ends += list(accumulate(map(len, more), initial=ends[-1]))[1:]
+                window, counts, last = window + more, counts + sizes_, last + 1
+            stop = min(bisect_left(ends, need) + 1, len(window))  # no more of the last leaf than is needed
+            whole = last == len(self.leaves) and stop == len(window)
+            was = "".join(window[:stop])
             now = was[: start - at] + new + was[end - at :]
             shift, behind = at + (end - start) - len(new), start - at + len(new)  # old position = new one + shift
             fresh, pos, kept = [], 0, None
             for m in self.bpe.pattern.finditer(now):
-                if pos >= behind and pos + shift in ends:
-                    kept = ends[pos + shift]
-                    break
+                if pos >= behind:
+                    kept = bisect_left(ends, pos + shift)
+                    if ends[kept] == pos + shift:
+                        break
+                    kept = None
                 if m.end() > len(now) - AHEAD and not whole:
                     break
                 fresh.append(m.group())
                 pos = m.end()
             else:
-                kept = len(window)
+                kept = len(window) if whole else None
             if kept is not None:
                 break
-            need = until + 2 * (until - at) + 64
+            need += 2 * (need - at) + 64
         self.reencoded += len(fresh)
-        both = head + list(zip(fresh, self._counts(fresh))) + window[kept:]
+        pieces, numbers = old[:k] + fresh + window[kept:], sizes[:k] + self._counts(fresh) + counts[kept:]
         room = last - first
-        if len(both) > 2 * LEAF * room:
-            self._build([x for leaf in self.leaves[:first] for x in leaf] + both + [x for leaf in self.leaves[last:] for x in leaf])
+        if len(pieces) > MOST * room:
+            before, after = self.leaves[:first], self.leaves[last:]
+            self._build([p for x, _ in before for p in x] + pieces + [p for x, _ in after for p in x], [n for _, x in before for n in x] + numbers + [n for _, x in after for n in x])
             return
-        share = max(1, -(-len(both) // room))
+        share = max(1, -(-len(pieces) // room))
         for i in range(room):
-            self.leaves[first + i] = both[i * share : (i + 1) * share]
+            self.leaves[first + i] = pieces[i * share : (i + 1) * share], numbers[i * share : (i + 1) * share]
             self._sum(first + i)
-        for i in {(self.size + first + j) >> 1 for j in range(room)} - {0}:
+        for i in {(self.size + first + j) >> 1 for j in range(room)} if room > 1 else ((self.size + first) >> 1,):
             while i:
                 self._pull(i)
                 i >>= 1
@@ -157,11 +159,13 @@ class TokenTree:
 #: What the masking edits replace: e-mail addresses, runs of three or more digits, runs of a mark.
 ADDRESS = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+")
 MASKED = re.compile(r"[0-9]{3,}|([*$%&#|!])\1{2,}")
+NUMBERS = re.compile(r"[0-9]{3,}")
+RUNS = [c * 3 for c in "*$%&#|!"]
 
 
 def masking_edits(text: str, mask: str = " <masked> ") -> list[tuple[int, int, str]]:
     """(start, length, replacement), last place first, so that earlier positions hold."""
-    found = [m.span() for m in MASKED.finditer(text)]
+    found = [m.span() for m in (MASKED if any(r in text for r in RUNS) else NUMBERS).finditer(text)]
     if "@" in text:
         whole = [m.span() for m in ADDRESS.finditer(text)]
         found = sorted(whole + [f for f in found if not any(a < f[1] and f[0] < b for a, b in whole)])
@@ -267,8 +271,8 @@ def apply_edits(trees: DataFrame, edits: DataFrame, vocabulary: str | None = Non
                 tree = TokenTree([text[x:y] for x, y in zip([0, *stop], stop)], bpe, tokens)
                 for start, length, new in _given(todo):
                     tree.replace(start, length, new)
-                both = tree.pieces
-                for col, v in zip(cols, (doc, "".join(p for p, _ in both), [len(p) for p, _ in both], [n for _, n in both], tree.reencoded)):
+                pieces, counts = tree.pieces
+                for col, v in zip(cols, (doc, "".join(pieces), list(map(len, pieces)), counts, tree.reencoded)):
                     col.append(v)
             yield table(schema, *cols)
 
