@@ -25,6 +25,8 @@ FEATURES = ("bias", "first", "short", "long", "ends_sentence", "some_symbols", "
 BIT = {name: i for i, name in enumerate(FEATURES)}
 #: A line is widespread if it stands behind at least so many different lines.
 WIDESPREAD = 5
+#: At most so many lines count as hot, and those only from a thousand occurrences on.
+HOT_LINES = 5000
 #: Most distinct (quality, mask, next mask) that the fit takes, the most frequent first.
 FIT_PAIRS = 200_000
 WINDOW_CODES = np.random.default_rng(11).integers(1, 1 << 63, 5, dtype=np.uint64) | np.uint64(1)
@@ -261,8 +263,13 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     schema = f"row long, doc_id long, key binary, {counts}, base_failed boolean, masks array<int>, words array<int>, lines array<struct<h:long,p:int>>"
     first = written(arrow_map(rows, run, schema), "measured")
     lines = first.select("row", F.posexplode("lines").alias("at", "line")).select("row", "at", "line.h", "line.p")
-    wide = lines.select("h", "p").distinct().groupBy("h").count().where(F.col("count") >= WIDESPREAD).select("h")
-    marks = lines.select("row", "at", "h").join(wide, "h", "left_semi").groupBy("row").agg(F.collect_list("at").alias("wide"))
+    # the lines at hand are many where a line is frequent: those few lines are broadcast, the others joined
+    limit = max(1000, (first.agg(F.sum(F.size("lines"))).first()[0] or 0) // HOT_LINES)
+    wide = lines.groupBy("h", "p").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("behind"), F.sum("n").alias("n")).where(F.col("behind") >= WIDESPREAD)
+    hot = F.broadcast(wide.where(F.col("n") >= limit).select("h", F.lit(True).alias("hot")))
+    known = lines.select("row", "at", "h").join(hot, "h", "left")
+    cold = known.where("hot is null").select("row", "at", "h").join(wide.where(F.col("n") < limit).select("h"), "h", "left_semi")
+    marks = known.where("hot").select("row", "at").unionByName(cold.select("row", "at")).groupBy("row").agg(F.collect_list("at").alias("wide"))
     marked = first.drop("lines").join(marks, "row", "left")
     bit = F.lit(1 << BIT["widespread"])
     masks = F.when(F.col("wide").isNull(), F.col("masks")).otherwise(F.transform("masks", lambda m, i: F.when(F.array_contains("wide", i), m.bitwiseOR(bit)).otherwise(m)))
