@@ -10,6 +10,8 @@ from tessera.llm.common import written
 
 #: At most so many nodes count as hot, and those only from a thousand edges on.
 HOT_NODES = 5000
+#: So many edges may meet in one task; below, no node is looked for that has too many.
+FEW = 200_000
 
 
 def _least(edges: DataFrame, total: int) -> DataFrame:
@@ -19,6 +21,8 @@ def _least(edges: DataFrame, total: int) -> DataFrame:
     a star stay where they are; only the others are joined by a shuffle.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    if total <= FEW:
+        return edges.join(least.select("u", "m"), "u")
     limit = max(1000, total // HOT_NODES)
     hot = least.where(F.col("n") >= limit).select("u", F.col("m").alias("hot"))
     marked = edges.join(F.broadcast(hot), "u", "left")

@@ -10,6 +10,8 @@ from tessera.llm.common import written
 SALT_ROWS = 2000
 #: At most so many documents count as hot, and those only from ``SALT_ROWS`` partners on.
 HOT_DOCS = 5000
+#: So many rows may meet in one task; below, no key is looked for that has too many.
+FEW = 200_000
 
 
 def join_sizes(rows: DataFrame, sizes: DataFrame, key: str, total: int) -> DataFrame:
@@ -17,6 +19,8 @@ def join_sizes(rows: DataFrame, sizes: DataFrame, key: str, total: int) -> DataF
 
     Keys with many rows are broadcast (``HOT_DOCS`` at most, as there are ``total`` rows in all), the others joined.
     """
+    if total <= FEW:
+        return rows.join(sizes, key)
     limit = max(1000, total // HOT_DOCS)
     packed = F.struct(*(c for c in sizes.columns if c != key)).alias("__s")
     marked = rows.join(F.broadcast(sizes.where(F.col("n") >= limit).select(key, packed)), key, "left")

@@ -281,6 +281,23 @@ def test_recall_of_links_in_a_crowd(spark):
     assert len(linked) > 100 and {k: (r.n_shingles, r.component_id, r.kept) for k, r in got.items()} == want
 
 
+def test_hot_stars_and_families(spark, monkeypatch):
+    """The plans for nodes and families with many rows give what the plain ones give."""
+    import tessera.llm.components as comp
+    import tessera.llm.pairs as pairs
+
+    links = spark.createDataFrame([(10, 100 + i) for i in range(1500)] + [(5, 1599)] + [(5000 + i, 5001 + i) for i in range(20)], "a long, b long")
+    want = {r.node: r.component for r in components(links, "a", "b").collect()}
+    assert len(want) == 1523 and set(want.values()) == {5, 5000}
+    rows = spark.createDataFrame([(1, i) for i in range(1200)] + [(2, 1), (3, 1)], "k long, x long")
+    sizes = rows.where("k <> 3").groupBy("k").count().withColumnRenamed("count", "n")
+    plain = sorted(map(tuple, pairs.join_sizes(rows, sizes, "k", 1202).select("k", "x", "n").collect()))
+    monkeypatch.setattr(comp, "FEW", 0)
+    monkeypatch.setattr(pairs, "FEW", 0)
+    assert {r.node: r.component for r in components(links, "a", "b").collect()} == want
+    assert sorted(map(tuple, pairs.join_sizes(rows, sizes, "k", 1202).select("k", "x", "n").collect())) == plain and len(plain) == 1201
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(1, 5), (5, 3), (3, 3)], "a long, b long")
     got = {r.node: r.component for r in components(links, "a", "b").collect()}
