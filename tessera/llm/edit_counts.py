@@ -25,13 +25,16 @@ LEAF = 32
 MOST = 128
 #: The split pattern looks at fewer characters than this behind a match.
 AHEAD = 4
+#: What follows a pre-token can change it up to here: of a run of spaces the last one goes to the word behind it
+#: (``\s+(?!\S)``), and a mark before two letters can be a contraction. Both look one character past the next one.
+BACK = 2
 
 
 class TokenTree:
     """Pre-tokens of one text in leaves of about ``LEAF``; inner nodes hold sums of characters and of tokens.
 
-    ``replace`` starts at the pre-token that holds the character before the edit (the split pattern looks a few
-    characters ahead and never back, so earlier pre-tokens can't change) and stops at the first old boundary behind
+    ``replace`` starts at the pre-token that holds the character ``BACK`` before the edit (the split pattern looks that
+    far ahead and never back, so earlier pre-tokens can't change) and stops at the first old boundary behind
     the edit that the new split meets again. Only those pre-tokens are encoded anew, and no more of the text is read
     than the leaves they are in. When what comes in no longer fits the leaves that it replaces, the leaves are dealt
     anew, without encoding anything.
@@ -107,10 +110,10 @@ class TokenTree:
     def replace(self, start: int, length: int, new: str) -> None:
         start = min(max(start, 0), self.chars[1])
         end = min(start + max(length, 0), self.chars[1])
-        first, at = self._find(max(start - 1, 0))
+        first, at = self._find(max(start - BACK, 0))
         old, sizes = self.leaves[first]
         ends = list(accumulate(map(len, old), initial=at))  # old positions of the boundaries
-        k = max(bisect_right(ends, start - 1) - 1, 0)
+        k = max(bisect_right(ends, start - BACK) - 1, 0)
         at, ends, window, counts, last = ends[k], ends[k:], old[k:], sizes[k:], first + 1
         need = end + 64
         while True:

@@ -357,6 +357,48 @@ def test_token_tree_against_recounting():
         assert tree.prefix_count(len(t)) == tree.count
 
 
+#: What makes pre-tokens depend on what stands behind them: runs of spaces, contractions, marks, digits, other scripts.
+AWKWARD = [" ", " ", "  ", "\n", "\n\n", "\t", "\u3000", "a", "ll", "l", "s", "re", "'", "'", "’", "12", "345", ".", ",!", "###", "é", "日本", "🎉", "<|endoftext|>"]
+
+
+def awkward(rng, most):
+    return "".join(rng.choice(AWKWARD) for _ in range(rng.randrange(most)))
+
+
+def test_ten_thousand_awkward_edits():
+    m, enc, rng = byte_bpe.model(byte_bpe.default_path()), tik(), random.Random(31)
+    tree = edit_counts.TokenTree(m.pattern.findall("x\n\n12345 y"), m)
+    tree.replace(3, 5, " <masked> ")
+    assert tree.count == len(enc.encode_ordinary("x\n\n <masked>  y"))
+    for k in range(4000):
+        t = awkward(rng, 14)
+        tree = edit_counts.TokenTree(m.pattern.findall(t), m)
+        for _ in range(rng.randint(1, 4)):
+            a, n, new = rng.randint(0, len(t)), rng.randrange(5), awkward(rng, 5)
+            t = t[:a] + new + t[a + n :]
+            tree.replace(a, n, new)
+            assert tree.text == t and tree.pieces[0] == m.pattern.findall(t), (k, t)
+        assert tree.count == len(enc.encode_ordinary(t)), (k, t)
+
+
+def test_awkward_edits_through_kept_trees(spark):
+    enc, rng = tik(), random.Random(37)
+    texts_, edits, want = [], [], []
+    for k in range(600):
+        t = awkward(rng, 30)
+        texts_.append((k, t))
+        todo = []
+        for _ in range(rng.randint(0, 3)):
+            a, n, new = rng.randint(0, len(t)), rng.randrange(4), awkward(rng, 4)
+            todo.append((a, n, new))
+            t = t[:a] + new + t[a + n :]
+        edits.append((k, todo))
+        want.append((k, len(enc.encode_ordinary(t))))
+    trees = edit_counts.build_trees(spark.createDataFrame(texts_, "doc_id long, text string"))
+    after = edit_counts.apply_edits(trees, spark.createDataFrame(edits, "doc_id long, edits array<struct<start:int,length:int,replacement:string>>"))
+    assert sorted((r.doc_id, r.n_tokens) for r in edit_counts.tree_counts(after).collect()) == want
+
+
 def test_leaves_split_and_edits_stay_local():
     m, enc = byte_bpe.model(byte_bpe.default_path()), tik()
     t = words_of(random.Random(1), 4000)
