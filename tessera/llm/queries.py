@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chaining, context_mixing, edit_counts, exact_dedup, line_crf, merkle, minhash, packing, suffix_dedup, token_files
+from tessera.llm import byte_bpe, chaining, context_mixing, edit_counts, exact_dedup, line_crf, merkle, minhash, packing, suffix_dedup, token_files, whitening
 from tessera.llm.common import documents, scratch_root
 
 
@@ -58,6 +58,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(documents(spark, sf_dir))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_collinear_chaining,
         op10_context_mixing,
         op11_merkle_manifest,
+        op12_embedding_whitening,
     )
 }
 
