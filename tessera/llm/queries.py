@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chaining, context_mixing, edit_counts, exact_dedup, line_crf, merkle, minhash, packing, suffix_dedup, token_files, whitening
+from tessera.llm import byte_bpe, chaining, context_mixing, edit_counts, exact_dedup, line_crf, merkle, minhash, packing, suffix_dedup, token_files, toxicity, whitening
 from tessera.llm.common import documents, scratch_root
 
 
@@ -62,6 +62,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=4)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_context_mixing,
         op11_merkle_manifest,
         op12_embedding_whitening,
+        op13_toxicity,
     )
 }
 
