@@ -110,10 +110,15 @@ def text_key(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of a struct ``row``: what stages pack, so that no name of theirs can meet a user's."""
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def ambiguous_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Column ``__id``: the ids that name different texts."""
-    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id"))
-    return ids.agg(F.min(text_key(text_col)).alias("a"), F.max(text_key(text_col)).alias("b")).where("a <> b").select("__id")
+    """Column ``id``: the ids that name different texts."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("k")).where("id is not null").groupBy("id")
+    return ids.agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("id")
 
 
 def ascii_lower(c):

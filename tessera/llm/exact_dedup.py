@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, written
+from tessera.llm.common import ascii_lower, unpacked, written
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fold_case: bool = True) -> DataFrame:
@@ -46,12 +46,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = F.unhex(F.sha2(ascii_lower(text) if fold_case else text, 256))
     rows = exact_groups(docs, id_col, text_col, "min", fold_case).groupBy(F.col(id_col).alias("__i"), F.unhex("text_sha256").alias("__s"), "kept").agg(F.count(F.lit(1)).alias("__n"))
     others = written(rows.where("not kept or __n > 1"), "copies")  # what is dropped, and what stays once of several
-    keyed = docs.withColumn("__sha", sha)
+    keyed = docs.select(F.col(id_col).alias("id"), sha.alias("sha"), F.struct("*").alias("row"))
 
     def same(t: DataFrame):
-        return F.col(id_col).eqNullSafe(t["__i"]) & (F.col("__sha") == t["__s"])
+        return F.col("id").eqNullSafe(t["__i"]) & (F.col("sha") == t["__s"])
 
     several = others.where("kept").select("__i", "__s")
-    once = keyed.join(several, same(several), "left_semi").dropDuplicates([id_col, "__sha"])
+    once = keyed.join(several, same(several), "left_semi").dropDuplicates(["id", "sha"])
     gone = others.select("__i", "__s")
-    return keyed.join(gone, same(gone), "left_anti").unionByName(once).select(docs.columns)
+    return unpacked(keyed.join(gone, same(gone), "left_anti").unionByName(once), docs)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Chunk, arrow_map, chunks, mix, span_hash, table, words, written
+from tessera.llm.common import Chunk, arrow_map, chunks, mix, span_hash, table, unpacked, words, written
 
 FEATURES = ("bias", "first", "short", "long", "ends_sentence", "some_symbols", "many_symbols", "pipes", "shouting", "shouted_words", "digits", "repeated", "few_distinct", "marked_words", "long_words", "widespread")
 BIT = {name: i for i, name in enumerate(FEATURES)}
@@ -330,6 +330,6 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, share: float = 0.5, id_col
     they fail the base; an empty table stays empty; without labels only the base rules reject.
     """
     lines = measured(docs, id_col, text_col)
-    rejected = _verdicts(lines, fit_on(lines, labels), share).where(~F.col("kept")).select(F.col("key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    return keyed.join(rejected, "__key", "left_anti").select(docs.columns)
+    rejected = _verdicts(lines, fit_on(lines, labels), share).where(~F.col("kept")).select("key").distinct()
+    keyed = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("key"), F.struct("*").alias("row"))
+    return unpacked(keyed.join(rejected, "key", "left_anti"), docs)

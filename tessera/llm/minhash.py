@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import TO_LOWER, Chunk, ambiguous_ids, arrow_map, chunks, mix, span_hash, table, words, written
+from tessera.llm.common import TO_LOWER, Chunk, ambiguous_ids, arrow_map, chunks, mix, span_hash, table, unpacked, words, written
 from tessera.llm.components import components
 from tessera.llm.pairs import join_sizes, side_by_side
 
@@ -284,7 +284,7 @@ def drop_near(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col
     Rows without an id, and rows whose id names different texts, are not compared and stay. Rows that repeat an id and
     its text stay or go together. Null, empty and blank texts stay; an empty table stays empty.
     """
-    doubtful = ambiguous_ids(docs, id_col, text_col)
-    certain = docs.join(doubtful, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
-    dropped = near_groups(certain, shingle_words, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
+    certain = packed.select("id", "text").join(ambiguous_ids(docs, id_col, text_col), "id", "left_anti")
+    dropped = near_groups(certain, shingle_words, percent, "id", "text").where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    return unpacked(packed.select("id", "row").join(dropped, "id", "left_anti"), docs)

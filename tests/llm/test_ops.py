@@ -669,9 +669,10 @@ def brute_passages(rows, size=50):
 
 
 def test_passages_against_all_runs(spark):
-    """Whatever exact run of 60 words or more an earlier document has is covered; texts without one are left alone."""
+    """Whatever exact run of 50 words or more an earlier document has is covered; texts without one are left alone."""
     rng = random.Random(31)
-    pool = [words_of(rng, rng.choice([55, 60, 90, 200]), 10**6) for _ in range(12)]
+    pool = [words_of(rng, rng.choice([50, 51, 60, 90, 200]), 10**6) for _ in range(12)]
+    pool += [" ".join(p.split()[k : k + 55]) for p in pool for k in (0, 7) if len(p.split()) > 70]
     rows = []
     for d in range(60):
         parts = [words_of(rng, rng.randrange(5, 60), 10**6) for _ in range(4)]
@@ -689,6 +690,52 @@ def test_passages_against_all_runs(spark):
     assert missed == 0 and all(len(found[d] - want[d]) <= 6 * (1 + len(want[d]) // 50) if want[d] else not found[d] for d in want)
 
 
+def test_runs_of_fifty_words_with_overlapping_holders(spark):
+    """Passages of exactly 50 words, of which earlier documents hold 49 words, overlapping parts, or all."""
+    rng, rows = random.Random(41), []
+    for i in range(40):
+        fill = lambda: words_of(rng, 30, 10**6)
+        p = words_of(rng, 50, 10**6).split()
+        holders = [p[:49], p[1:], p[:30], p[20:], p[:49], p, p[3:], p[:49] + ["x"], p]
+        rows += [(1000 * i + k, f"{fill()} {' '.join(h)} {fill()}") for k, h in enumerate(holders)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 6):
+        got = collections.defaultdict(list)
+        for r in chaining.passages(df.repartition(parts)).collect():
+            got[r.doc_id].append(r)
+        assert {d for d in got} == {1000 * i + 8 for i in range(40)} and all(r.n_words >= 50 and r.other_id % 1000 == 5 for x in got.values() for r in x)
+
+
+def test_recall_at_low_identity(spark):
+    """100-word passages in which 18 words are others: at least nine of ten are found."""
+    rng, rows = random.Random(43), []
+    for i in range(100):
+        p = words_of(rng, 100, 10**6).split()
+        q = list(p)
+        for k in rng.sample(range(100), 18):
+            q[k] = "edit" + words_of(rng, 1, 10**6)
+        rows += [(i, f"{words_of(rng, 40, 10**6)} {' '.join(p)}"), (1000 + i, f"{' '.join(q)} {words_of(rng, 40, 10**6)}")]
+    got = {(r.doc_id, r.other_id) for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((1000 + i, i) in got for i in range(100)) >= 90
+
+
+def test_no_internal_name_meets_a_column(spark):
+    """Every dropping stage with columns of all names that the operators use themselves."""
+    from tessera.llm import common
+
+    names = ["__id", "__left", "__spans", "__t", "__sha", "__i", "__s", "__n", "__key", "__h", "__k", "key", "kept", "row", "left", "id", "sha", "spans", "family", "rep", "doc", "other", "a", "b", "text_sha256", "component_id"]
+    passage = words_of(random.Random(8), 70, 5000)
+    rows = [(1, words_of(random.Random(1), 60) + " " + passage), (2, passage + " " + words_of(random.Random(2), 60)), (3, words_of(random.Random(1), 60) + " " + passage), (4, "too short")]
+    docs = spark.createDataFrame([(i, t, len(t), *(f"{n}{i}" for n in names)) for i, t in rows], "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for stage, stay in ((lambda d: line_crf.drop_rejected(d, labels), {1, 2, 3}), (exact_dedup.drop_copies, {1, 2, 4}), (minhash.drop_near, {1, 2, 4}), (lambda d: chaining.drop_passages(d, length_col="n_chars"), {1, 2, 4})):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = out.collect()
+        assert {r.doc_id for r in got} == stay and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names) and all(r.n_chars == len(r.text) for r in got)
+    assert common.unpacked(docs.select(F.struct("*").alias("row")), docs).columns == docs.columns
+
+
 def test_edited_passages_are_found_whole(spark):
     """Two dropped words, and an edit every 12 words (identity 0.92), cost no part of a passage."""
     rng = random.Random(1)
