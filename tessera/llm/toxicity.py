@@ -1,7 +1,7 @@
 """Toxicity scores: gradient-boosted trees over dense features of a text, calibrated by isotonic regression.
 
 A lexicon of whole words and of beginnings of words is learnt from the labelled texts: how many of the toxic and of the
-clean ones hold each, over all of them. A text's features are densities of that lexicon, plain and behind letters
+clean ones hold each. A text's features are densities of that lexicon, plain and behind letters
 written as digits or signs, how near its words stand to a second person, and rates of capitals, punctuation and
 disguised words. Labelled texts see a lexicon that their own fold had no part in. Trees are fitted on three folds and
 calibrated on the fourth; scoring is one pass over the corpus.
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import TO_LOWER, Chunk, arrow_map, chunks, span_hash, table, words, written
 
 FOLDS = 4
-#: Entries of the lexicon at most: the ones with the highest lower bounds. The fit's only bound.
+#: Entries of the lexicon at most: the ones with the highest lower bounds.
 LEXICON = 8192
+#: Labelled rows of the fit: all up to so many, beyond that the share of them that a hash of the id picks.
+FIT_ROWS = 200_000
 #: A lexicon entry is in so many toxic texts at least, and its log-odds less two deviations are above this.
 SUPPORT = 3
 LEAST = 0.5
@@ -82,7 +84,7 @@ COUNTS = pa.schema([("key", pa.binary()), ("fold", pa.int32()), ("toxic", pa.int
 def _count(batches):
     """Rows (fold * 2 + toxic, text): in how many texts of each fold and class each key stands. Keys are the bytes of a
     word, or of a beginning and ``*``."""
-    for c in chunks(batches, 8 << 20):
+    for c in chunks(batches, 4 << 20):
         data = TO_LOWER[c.data]
         start, end, row = _bare(c)
         for k, (who, h) in enumerate(_hashes(data, start, end)):
@@ -251,25 +253,34 @@ class Model:
         return out.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.999 * F.col("share") + 0.001 * F.col("p"))).alias("score"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """``kind, text``: each labelled text once, with its fold (by the text's digest) and class (the majority's).
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = FIT_ROWS) -> DataFrame:
+    """``kind, text``: each labelled text once (rows that repeat its id and text: as often), with its fold (by the text's
+    digest) and class (the majority's).
 
-    Held-out rows are left out before anything is joined; copies collapse in the map-side combine.
+    Held-out rows are left out before anything is joined. The labels that are used number about ``most`` at most, so they,
+    and then one row for each different text, are broadcast: no text is shuffled or written, it is read once more
+    where it is needed.
     """
-    told = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col).cast("long"))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+    told = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col).cast("long"))).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y"))
+    number = told.count()
+    if number > most:
+        told = told.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * most / number))
+    told = written(told.groupBy("id").agg(F.avg("y").alias("y")), "labels")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(~held_out(F.col("id")))
-    texts = rows.join(told, "id").groupBy(F.unhex(F.md5("text")).alias("h")).agg(F.first("text").alias("text"), F.avg("y").alias("y"))
-    fold = F.pmod(F.xxhash64("h"), F.lit(FOLDS))
-    return texts.select((fold * 2 + F.when(F.col("y") >= 0.5, 1).otherwise(0)).cast("long").alias("kind"), "text")
+    digests = rows.join(F.broadcast(told), "id").select("id", F.unhex(F.md5("text")).alias("h"), "y")
+    fold = F.pmod(F.xxhash64("h"), F.lit(FOLDS)) * 2
+    texts = written(digests.groupBy("h").agg(F.min("id").alias("id"), F.avg("y").alias("y")).select("id", "h", (fold + F.when(F.col("y") >= 0.5, 1).otherwise(0)).cast("long").alias("kind")), "texts")
+    found = rows.join(F.broadcast(texts), "id").where(F.unhex(F.md5("text")) == F.col("h"))
+    return found.select("kind", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", trees: int = 16, depth: int = 4) -> Model:
-    """Lexicon, trees and calibration from all labelled rows that aren't held out.
+    """Lexicon, trees and calibration from the labelled rows that aren't held out (see ``FIT_ROWS``).
 
     Without two classes in the folds of the trees every score is the share of toxic texts (0 without labels); without
     two in the fold of the calibration scores are the trees' own.
     """
-    texts = written(labelled(docs, labels, id_col, text_col, label_col), "labelled")
+    texts = labelled(docs, labels, id_col, text_col, label_col)
     counts, sizes = lexicon(texts)
     toxic, total = sum(n for (_, t), n in sizes.items() if t), sum(sizes.values())
     fitted = [{t for (f, t), n in sizes.items() if (f < FOLDS - 1) == part and n} for part in (True, False)]
@@ -283,8 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, seed=7).fit(rows.where(F.col("fold") < FOLDS - 1))
     calibration = None
     if fitted[1] == {0, 1}:
-        apart = model.transform(rows.where(F.col("fold") == FOLDS - 1)).select("label", vector_to_array("probability")[1].alias("p"))
-        calibration = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="share").fit(apart)
+        # equal probabilities go in as one row with their number
+        apart = model.transform(rows.where(F.col("fold") == FOLDS - 1)).groupBy(vector_to_array("probability")[1].alias("p")).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("n"))
+        calibration = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="n", predictionCol="share").fit(apart)
     return Model(all_, model, calibration, toxic / total)
 
 

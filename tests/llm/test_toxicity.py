@@ -119,3 +119,12 @@ def test_awkward_rows(spark):
     by = {r.doc_id: r.score for r in got}
     assert by[5000] == by[5001] and by[5002] > 0.3
     assert toxicity.score(docs.limit(0), labels).count() == 0 and toxicity.score(docs, labels.limit(0)).where("score <> 0").count() == 0
+
+
+def test_a_fit_on_a_bounded_share(spark):
+    docs, labels = frames(spark, corpus())
+    n = toxicity.labelled(docs, labels, most=200).count()
+    assert 120 < n < 280 and toxicity.labelled(docs, labels).count() == sum(not apart(i) for i in range(900))
+    same = spark.createDataFrame([(1, "copy", "x", 1, "y", 0.0), (1, "other text", "x", 1, "y", 0.0), (3, "copy", "x", 1, "y", 0.0), (4, None, "x", 1, "y", 0.0)], SCHEMA)
+    told = spark.createDataFrame([(1, 1), (3, 1), (4, 0), (4, 0)], "doc_id long, toxic int")
+    assert sorted(r.text for r in toxicity.labelled(same, told).collect()) == sorted(t for t, i in (("", 4), ("copy", 1), ("other text", 1)) if not apart(i))
