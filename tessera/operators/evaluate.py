@@ -1,24 +1,29 @@
-"""Evaluation of a whole rule set in one plan.
-
-Tokens of the rules' vocabulary are aggregated once per sentence and once per paragraph into the set of forms present,
-whose size the vocabulary bounds; distance tests are range frames over positions, one for each (scope, distance).
-Every group, text and annotation test is then a boolean expression on a unit's row, rules are combinations of those,
-and references between rules are expressions over earlier rules' columns: no shuffle per rule.
+"""Evaluation of a whole rule set in one plan whose size doesn't depend on the number of rules.
+
+Rules are data (``plans/ruledata.py``): atoms (forms, texts, labels, distances), programs that chain atoms, and rules that
+need programs and other rules. Each of these is one literal array that every row looks itself up in, so a thousand
+rules make the same handful of expressions as one. Tokens of the rules' vocabulary are aggregated once per sentence and
+once per paragraph into the set of forms present; a unit's row then names the atoms that hold, found through the atoms
+of its forms, then the programs of those, then the rules of those, each as a list of numbers. Only what a unit touches
+is evaluated. Distance atoms are one plan too: rows (atom, unit, place) with the last and the next place of each of the
+atom's forms as running columns.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.positions import paragraph_texts, positioned
-from tessera.plans.rules import FormGroup, Rule, RuleSet, TextGroup
+from tessera.plans.ruledata import RuleData
+from tessera.plans.rules import RuleSet
 
 UNIT = {"sentence": "sentence_id", "paragraph": "paragraph_id"}
 POSITION = {"sentence": "sentence_token_position", "paragraph": "paragraph_token_position"}
+NUMBERS = "array<int>"
 
 
 def strings(values) -> Column:
@@ -29,153 +34,168 @@ def false_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-# ---------------------------------------------------------------- distance tests
-def near_name(kind: str, scope: str, distance: int) -> str:
-    return f"near_{kind}_{scope}_{distance}"
+def literal(data: list, schema: str) -> Column:
+    """Data as one literal: the optimizer reads the JSON once, so the plan holds one node however long the list is."""
+    return F.from_json(F.lit(json.dumps(data, ensure_ascii=False)), schema)
+
+
+def numbers(values=()) -> Column:
+    return literal(list(values), NUMBERS)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. (A column that is named inside a lambda may be put there as the expression
+    it stands for, and then be computed anew for every element.)"""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# ---------------------------------------------------------------- atoms and programs of a unit
+def numbered_forms(tokens: DataFrame, forms: dict[str, int]) -> DataFrame:
+    """Tokens that have one of the forms, with its number; the vocabulary of the rules is broadcast."""
+    table = tokens.sparkSession.createDataFrame(list(forms.items()) or [("", -1)], "normalized_form string, form_no int")
+    return tokens.join(F.broadcast(table), "normalized_form")
+
+
+def touched(numbers_: Column, index: list[list[int]]) -> Column:
+    """What the given numbers lead to, each once."""
+    table = literal(index, f"array<{NUMBERS}>")
+    return F.array_distinct(F.flatten(F.transform(numbers_, lambda n: F.get(table, n))))
+
+
+def form_atoms(forms: Column, data: RuleData, scope: str) -> Column:
+    """Atoms of the scope that hold for a set of forms: enough of theirs are there, and none that they exclude."""
+    if not data.has_form_atoms(scope):
+        return numbers()
+    atoms = literal(data.form_atoms(), f"array<struct<need:{NUMBERS},least:int,without:{NUMBERS}>>")
+
+    def holds(forms: Column, atom: Column) -> Column:
+        return (F.size(F.array_intersect(forms, atom["need"])) >= atom["least"]) & ~F.arrays_overlap(forms, atom["without"])
+
+    return let(forms, lambda fs: F.filter(touched(fs, data.atoms_of_forms(scope)), lambda a: holds(fs, F.get(atoms, a))))
+
 
+def text_atoms(text: Column, data: RuleData, scope: str) -> Column:
+    """Atoms of the scope whose literal texts stand in the text."""
+    atoms = data.text_atoms(scope)
+    if not atoms:
+        return numbers()
+    table = literal(atoms, "array<struct<atom:int,texts:array<string>,every:boolean>>")
 
-def with_windows(tokens: DataFrame, wanted: set[tuple[str, str, int]]) -> DataFrame:
-    """Add, for each (kind, scope, distance), the set of forms from a token on (ahead) or on both sides (around)."""
-    for kind, scope, d in sorted(wanted):
-        keys = ["paragraph_id"] if scope == "paragraph" else ["paragraph_id", "sentence_id"]
-        frame = Window.partitionBy(*keys).orderBy(POSITION[scope]).rangeBetween(0 if kind == "ahead" else -d, d)
-        tokens = tokens.withColumn(near_name(kind, scope, d), F.collect_set("normalized_form").over(frame))
-    return tokens
+    def holds(text: Column, a: Column) -> Column:
+        return F.when(a["every"], F.forall(a["texts"], lambda t: text.contains(t))).otherwise(F.exists(a["texts"], lambda t: text.contains(t)))
 
+    return F.transform(let(text, lambda x: F.filter(table, lambda a: holds(x, a))), lambda a: a["atom"])
 
-def together(near: Column, forms: tuple[str, ...]) -> Column:
-    return F.size(F.array_intersect(near, strings(forms))) == len(forms)
 
+def label_atoms(labels: Column, data: RuleData) -> Column:
+    atoms = data.label_atoms()
+    if not atoms:
+        return numbers()
+    table = literal(atoms, "array<struct<atom:int,labels:array<string>>>")
+    held = let(labels, lambda ls: F.filter(table, lambda a: F.size(F.array_intersect(ls, a["labels"])) == F.size(a["labels"])))
+    return F.transform(held, lambda a: a["atom"])
 
-def window_hit(group: FormGroup, scope: str) -> Column:
-    """Whether a token is an anchor (or any form, in or groups) whose window satisfies the group."""
-    near, form = F.col(near_name("around", scope, group.distance)), F.col("normalized_form")
-    hit = (form == group.anchor_form) & together(near, group.forms) if group.match_logic == "and" else form.isin(*group.forms)
-    return hit & ~F.arrays_overlap(near, strings(group.exclude_forms)) if group.exclude_forms else hit
 
+def programs(facts: Column, data: RuleData, scope: str) -> Column:
+    """Programs of the scope that hold for a unit's facts (bound by ``let``): chains of and, or and not, from the left."""
+    steps = data.steps(scope)
+    if not steps:
+        return numbers()
+    table = literal(steps, "array<array<struct<either:boolean,fact:int,negate:boolean>>>")
 
-def spread_hit(rule: Rule) -> Column:
-    """Whether all forms of the rule stand within its distance from this token on."""
-    return together(F.col(near_name("ahead", rule.search_scope, rule.distance)), rule.forms)
+    def holds(p: Column) -> Column:
+        def step(value: Column, s: Column) -> Column:
+            now = F.array_contains(facts, s["fact"]) != s["negate"]
+            return F.when(s["either"], value | now).otherwise(value & now)
 
+        return F.aggregate(F.get(table, p), F.lit(False), step)
 
-# ---------------------------------------------------------------- group chains
-@dataclass
-class Chained:
-    scope: str
-    value: Column
+    return F.filter(F.array_union(touched(facts, data.programs_of_facts(scope)), numbers(data.always(scope))), holds)
 
 
-def chain(groups, test: Callable[[int, object], Column], promote: Callable[[Column], Column]) -> Chained:
-    """Left-associative combination; where scopes differ the sentence side becomes "some sentence of the paragraph"."""
-    out: Chained | None = None
-    for i, g in enumerate(groups):
-        now = Chained(g.search_scope, test(i, g))
-        if out is None:
-            out = now
-            continue
-        if out.scope != now.scope:
-            out = Chained("paragraph", promote(out.value) if out.scope == "sentence" else out.value)
-            now = Chained("paragraph", promote(now.value) if now.scope == "sentence" else now.value)
-        out = Chained(out.scope, out.value & now.value if g.combine_logic == "and" else out.value | now.value)
-    return out
+# ---------------------------------------------------------------- distance atoms
+def near_rows(tokens: DataFrame, data: RuleData) -> DataFrame:
+    """``atom, unit_id, place, slot`` and the tokens' columns: a token once for each distance atom that has its form.
+
+    ``slot`` numbers the atom's forms, the anchor first; excluded forms have slot -1.
+    """
+    index = literal(data.near_of_forms(), "array<array<struct<atom:int,slot:int,sentence:boolean>>>")
+    rows = tokens.withColumn("near", F.explode(F.get(index, F.col("form_no")))).select(*tokens.columns, "near.*")
+    by = F.col("sentence")
+    return rows.withColumns({"unit_id": F.when(by, F.col("sentence_id")).otherwise(F.col("paragraph_id")), "place": F.when(by, F.col(POSITION["sentence"])).otherwise(F.col(POSITION["paragraph"]))})
 
 
-def form_test(forms: Column, group: FormGroup, windowed: Column | None) -> Column:
-    if windowed is not None:
-        return false_if_null(windowed)
-    if group.match_logic == "not":
-        return ~F.arrays_overlap(forms, strings(group.forms))
-    hit = together(forms, group.forms) if group.match_logic == "and" else F.arrays_overlap(forms, strings(group.forms))
-    return hit & ~F.arrays_overlap(forms, strings(group.exclude_forms)) if group.exclude_forms else hit
+def qualified(rows: DataFrame, data: RuleData) -> DataFrame:
+    """``near_rows`` with ``good``: the token is an anchor (or any form, for or atoms) whose surroundings satisfy the atom.
+
+    State per token are the last and the next place of each form of its atom, whatever the distance and however many
+    tokens lie within it. One exchange by (atom, unit), two sorts.
+    """
+    info = literal(data.near_atoms(), "array<struct<distance:bigint,slots:int,kind:string,anchored:boolean>>")
+    rows = rows.withColumn("info", F.get(info, F.col("atom")))
+    unit = Window.partitionBy("atom", "unit_id")
+    behind = unit.orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = unit.orderBy(F.col("place").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    slots = range(-1, data.most_slots)
+    rows = rows.withColumns({f"last{k + 1}": F.max(F.when(F.col("slot") == k, F.col("place"))).over(behind) for k in slots})
+    rows = rows.withColumns({f"next{k + 1}": F.min(F.when(F.col("slot") == k, F.col("place"))).over(ahead) for k in slots})
+    d, kind = F.col("info.distance"), F.col("info.kind")
 
+    def near(k: int) -> Column:
+        before = false_if_null((F.col("place") - F.col(f"last{k + 1}") <= d) & (kind != "ahead"))
+        return before | false_if_null(F.col(f"next{k + 1}") - F.col("place") <= d)
 
-def text_test(text: Column, group: TextGroup) -> Column:
-    found = [text.contains(F.lit(t)) for t in group.texts]
-    out = found[0]
-    for f in found[1:]:
-        out = out & f if group.match_logic == "and" else out | f
-    return ~out if group.match_logic == "not" else out
+    good = (F.col("slot") >= 0) & ~near(-1) & (~F.col("info.anchored") | (F.col("slot") == 0))
+    for k in range(data.most_slots):
+        good = good & ((kind == "any") | (F.col("info.slots") <= k) | near(k))
+    return rows.withColumn("good", good).drop(*(f"{n}{k + 1}" for n in ("last", "next") for k in slots))
+
+
+def near_atoms(tokens: DataFrame, data: RuleData) -> dict[str, DataFrame]:
+    """``unit_id, near``: the distance atoms that hold in each sentence and in each paragraph."""
+    held = qualified(near_rows(tokens, data), data).where("good").select("sentence", "unit_id", "atom").distinct()
+    lists = held.groupBy("sentence", "unit_id").agg(F.collect_list("atom").alias("near"))
+    return {s: lists.where(F.col("sentence") == (s == "sentence")).select("unit_id", "near") for s in UNIT}
 
 
 class Evaluation:
     """Rules over one corpus. ``sentences`` needs sentence_text if a rule has text groups.
 
-    ``sentence_rows`` has a row per sentence of a candidate paragraph with a column ``s<i>`` for each rule that
-    decides by sentence; ``paragraph_rows`` one per candidate paragraph with ``token_<i>, text_<i>, annot_<i>,
-    base_<i>`` and, with references applied, ``m_<i>``; i counts rules in their order of evaluation. Candidates are
-    paragraphs with a token of the vocabulary or an annotation, or all if a rule needs texts or only references.
+    ``sentence_rows`` has a row per sentence of a candidate paragraph with ``forms`` and ``held``, the numbers of its
+    forms and of the sentence programs that hold; ``paragraph_rows`` one per candidate paragraph with ``counts`` (in how
+    many sentences each sentence program holds), ``held`` (paragraph programs), ``parted`` (rules whose token and text
+    parts hold), ``base`` (and whose annotations do) and, with references applied, ``matched``. Numbers of rules count
+    them in their order of evaluation. Candidates are paragraphs with a token of the vocabulary or an annotation, or all
+    if a rule needs texts or only references.
     """
 
     def __init__(self, rules: RuleSet, tokens: DataFrame, sentences: DataFrame, annotations: DataFrame | None = None):
         self.rule_set, self.rules = rules, rules.ordered()
+        self.data = RuleData(self.rules)
         self.sentences, self.annotations = sentences, annotations
         self.tokens = positioned(tokens, sentences, rules.vocabulary)
         self.needs_text = any(r.text_groups for r in self.rules)
         self.all_paragraphs = self.needs_text or any(not r.has_base for r in self.rules)
-        self._promoted: list[tuple[str, Column]] = []
-
-    # -------------------------------------------------------- unit rows
-    def _windows(self) -> set[tuple[str, str, int]]:
-        wanted = {("around", g.search_scope, g.distance) for r in self.rules if r.uses_groups for g in r.form_groups if g.distance is not None}
-        return wanted | {("ahead", r.search_scope, r.distance) for r in self.rules if not r.uses_groups and r.distance is not None}
-
-    def _window_columns(self, scope: str) -> dict[str, Column]:
-        out = {}
-        for i, r in enumerate(self.rules):
-            if r.uses_groups:
-                out |= {f"w{i}_{k}": window_hit(g, scope) for k, g in enumerate(r.form_groups) if g.distance is not None and g.search_scope == scope}
-            elif r.distance is not None and r.search_scope == scope:
-                out[f"d{i}"] = spread_hit(r)
-        return out
-
-    def _unit_aggregate(self, tokens: DataFrame, scope: str) -> DataFrame:
-        keys = ["paragraph_id"] if scope == "paragraph" else ["paragraph_id", "sentence_id"]
-        hits = [F.bool_or(c).alias(f"{n}_{scope}") for n, c in self._window_columns(scope).items()]
-        return tokens.groupBy(*keys).agg(F.collect_set("normalized_form").alias(f"forms_{scope}"), *hits)
-
-    def _token_value(self, i: int, r: Rule) -> Chained:
-        def test(k: int, g: FormGroup) -> Column:
-            return form_test(F.col(f"forms_{g.search_scope}"), g, F.col(f"w{i}_{k}_{g.search_scope}") if g.distance is not None else None)
-
-        if r.uses_groups:
-            return chain(r.form_groups, test, self._promote)
-        forms, scope = F.col(f"forms_{r.search_scope}"), r.search_scope
-        if r.distance is not None:
-            return Chained(scope, false_if_null(F.col(f"d{i}_{scope}")))
-        return Chained(scope, together(forms, r.forms) if r.form_match_logic == "all" else F.arrays_overlap(forms, strings(r.forms)))
-
-    def _promote(self, value: Column) -> Column:
-        """A sentence expression as a column of the paragraph: some sentence has it."""
-        name = f"p{len(self._promoted)}"
-        self._promoted.append((name, value))
-        return F.col(name)
 
     def build(self) -> Evaluation:
-        windowed = with_windows(self.tokens, self._windows())
-        by_sentence, by_paragraph = self._unit_aggregate(windowed, "sentence"), self._unit_aggregate(windowed, "paragraph")
+        data, tokens = self.data, numbered_forms(self.tokens, self.data.forms)
+        near = near_atoms(tokens, data) if data.near_atoms() else {}
+        by_sentence = tokens.groupBy("paragraph_id", "sentence_id").agg(F.collect_set("form_no").alias("forms"))
+        by_paragraph = tokens.groupBy("paragraph_id").agg(F.collect_set("form_no").alias("forms"))
         cols = ["paragraph_id", "sentence_id", "sentence_no_in_paragraph", "is_table_paragraph", *(["sentence_text"] if self.needs_text else [])]
-        units = self.sentences.select(*cols).join(by_sentence, ["paragraph_id", "sentence_id"], "left").withColumn("forms_sentence", F.coalesce("forms_sentence", strings(())))
-        sentence_cols: dict[str, Column] = {}
-        paragraph_cols: dict[str, Column] = {}
-        counts: dict[str, Column] = {}
-        for i, r in enumerate(self.rules):
-            for name, value in (("token", self._token_value(i, r) if r.forms else None), ("text", chain(r.text_groups, lambda _, g: text_test(F.col(f"{g.search_scope}_text"), g), self._promote) if r.text_groups else None)):
-                if value is None:
-                    continue
-                if value.scope == "sentence":
-                    sentence_cols[f"s_{name}_{i}"] = value.value
-                    counts[f"{name}_units_{i}"] = F.count_if(F.col(f"s_{name}_{i}"))
-                    paragraph_cols[f"{name}_{i}"] = F.col(f"{name}_units_{i}") > 0
-                else:
-                    paragraph_cols[f"{name}_{i}"] = value.value
-                    paragraph_cols[f"{name}_units_{i}"] = value.value.cast("long")
-        for name, value in self._promoted:
-            sentence_cols[f"s_{name}"] = value
-            counts[name] = F.bool_or(F.col(f"s_{name}"))
-        self.sentence_rows = units.withColumns(sentence_cols) if sentence_cols else units
-        rolled = self.sentence_rows.groupBy("paragraph_id").agg(F.count(F.lit(1)).alias("sentence_count"), *(c.alias(n) for n, c in counts.items()))
-        rows = rolled.join(by_paragraph, "paragraph_id", "left")
+        units = self.sentences.select(*cols).join(by_sentence, ["paragraph_id", "sentence_id"], "left").withColumn("forms", F.coalesce("forms", numbers()))
+        units = self._with_near(units, near, "sentence")
+        text = text_atoms(F.col("sentence_text"), data, "sentence") if self.needs_text else numbers()
+        facts = F.concat(form_atoms(F.col("forms"), data, "sentence"), text, "near")
+        self.sentence_rows = units.withColumn("held", let(facts, lambda f: programs(f, data, "sentence"))).drop("near")
+        rows = self.sentence_rows.groupBy("paragraph_id").agg(F.count(F.lit(1)).alias("sentence_count"))
+        if data.steps("sentence"):
+            each = self.sentence_rows.select("paragraph_id", F.explode("held").alias("program")).groupBy("paragraph_id", "program").agg(F.count(F.lit(1)).alias("n"))
+            rows = rows.join(each.groupBy("paragraph_id").agg(F.collect_list(F.struct("program", "n")).alias("counts")), "paragraph_id", "left")
+        else:
+            rows = rows.withColumn("counts", F.lit(None))
+        rows = rows.withColumn("counts", F.coalesce(F.col("counts").cast("array<struct<program:int,n:bigint>>"), F.array().cast("array<struct<program:int,n:bigint>>")))
+        rows = self._with_near(rows.join(by_paragraph, "paragraph_id", "left"), near, "paragraph")
         if self.needs_text:
             rows = rows.join(paragraph_texts(self.sentences).select("paragraph_id", "paragraph_text"), "paragraph_id")
         if self.annotations is not None:
@@ -184,102 +204,82 @@ class Evaluation:
         else:
             rows = rows.withColumn("labels", F.lit(None).cast("array<string>"))
         if not self.all_paragraphs:
-            rows = rows.where(F.col("forms_paragraph").isNotNull() | F.col("labels").isNotNull())
-        rows = rows.withColumn("forms_paragraph", F.coalesce("forms_paragraph", strings(()))).withColumn("labels", F.coalesce("labels", strings(())))
-        rows = rows.withColumns(paragraph_cols) if paragraph_cols else rows
-        annot = {f"annot_{i}": F.size(F.array_intersect("labels", strings([f.label for f in r.annotation_filters]))) == len(r.annotation_filters) for i, r in enumerate(self.rules) if r.annotation_filters}
-        rows = rows.withColumns(annot) if annot else rows
-        rows = rows.withColumns({f"base_{i}": self._base(i, r) for i, r in enumerate(self.rules)}) if self.rules else rows
-        self.paragraph_rows = self._with_references(rows)
+            rows = rows.where(F.col("forms").isNotNull() | F.col("labels").isNotNull())
+        rows = rows.withColumns({"forms": F.coalesce("forms", numbers()), "labels": F.coalesce("labels", strings(()))})
+        self.paragraph_rows = rule_columns(rows, data, F.col("paragraph_text") if self.needs_text else None)
         return self
 
     @staticmethod
-    def _base(i: int, r: Rule) -> Column:
-        parts = [F.col(f"{n}_{i}") for n, has in (("token", r.forms), ("annot", r.annotation_filters), ("text", r.text_groups)) if has]
-        out = F.lit(bool(parts))
-        for p in parts:
-            out = out & false_if_null(p)
-        return out
-
-    # -------------------------------------------------------- references
-    def reference_verdict(self, i: int, r: Rule, matched: Callable[[int], Column], categories_of: Callable[[int], Column] | None = None) -> Column:
-        """References of rule i against the rules before it. An unknown id never matched."""
-        categories_of = categories_of or matched
-        index = {x.id: k for k, x in enumerate(self.rules[:i])}
-
-        def has_id(name: str) -> Column:
-            return matched(index[name]) if name in index else F.lit(False)
-
-        def has_category(name: str) -> Column:
-            return any_of([categories_of(k) for k, x in enumerate(self.rules[:i]) if name in x.categories])
-
-        tests = [has_category(c) for c in r.required_categories_all] + [has_id(x) for x in r.required_ids_all]
-        if r.required_categories_any:
-            tests.append(any_of([has_category(c) for c in r.required_categories_any]))
-        if r.required_ids_any:
-            tests.append(any_of([has_id(x) for x in r.required_ids_any]))
-        if r.excluded_ids_any:
-            tests.append(~any_of([has_id(x) for x in r.excluded_ids_any]))
-        out = F.lit(True)
-        for t in tests:
-            out = out & t
-        return out
-
-    def _with_references(self, rows: DataFrame) -> DataFrame:
-        """One projection per layer of rules that refer to each other; the first layer has all without references."""
-        done: set[int] = set()
-        while len(done) < len(self.rules):
-            layer = {}
-            for i, r in enumerate(self.rules):
-                if i in done or (r.has_reference and any(k not in done for k in self._needed(i, r))):
-                    continue
-                value = F.col(f"base_{i}") if r.has_base else F.lit(True)
-                if r.has_reference:
-                    value = value & self.reference_verdict(i, r, lambda k: F.col(f"m_{k}"))
-                layer[i] = value
-            rows = rows.withColumns({f"m_{i}": v for i, v in layer.items()})
-            done |= set(layer)
-        return rows
-
-    def _needed(self, i: int, r: Rule) -> set[int]:
-        wanted = set(r.required_categories_all) | set(r.required_categories_any)
-        return {k for k, x in enumerate(self.rules[:i]) if x.id in r.referenced_ids or wanted & set(x.categories)}
+    def _with_near(rows: DataFrame, near: dict[str, DataFrame], scope: str) -> DataFrame:
+        if not near:
+            return rows.withColumn("near", numbers())
+        found = near[scope].withColumnRenamed("unit_id", UNIT[scope])
+        return rows.join(found, UNIT[scope], "left").withColumn("near", F.coalesce("near", numbers()))
 
     # -------------------------------------------------------- long form
-    def condition_eval(self) -> DataFrame:
-        """One row per (paragraph, rule): its partial verdicts, counts and the verdict."""
+    def condition_eval(self, only_matched: bool = False) -> DataFrame:
+        """One row per (paragraph, rule), or per matched rule: its partial verdicts, counts and the verdict."""
+        which = F.col("matched") if only_matched else F.sequence(F.lit(0), F.lit(len(self.rules) - 1))
+        if not self.rules:
+            which = numbers()
+        info = literal(
+            self.data.info(), f"array<struct<id:string,category_text:string,scope:string,logic:string,forms:{NUMBERS},token:int,annot:int,text:int,counted:int>>"
+        )
+        rows = self.paragraph_rows.withColumn("rule_no", F.explode(which)).withColumn("i", F.get(info, F.col("rule_no")))
 
-        def one(i: int, r: Rule) -> Column:
-            def flag(name: str, has) -> Column:
-                return (false_if_null(F.col(f"{name}_{i}")) if has else F.lit(None).cast("boolean")).alias(f"{name}_is_match")
+        def flag(part: str) -> Column:
+            return F.when(F.col(f"i.{part}") >= 0, F.array_contains("held", F.col(f"i.{part}"))).alias(f"{part}_is_match")
 
-            units = F.coalesce(F.col(f"token_units_{i}"), F.lit(0)).cast("long") if r.forms else F.lit(0).cast("long")
-            sentence_unit = self._scope(r) == "sentence"
-            return F.struct(
-                F.lit(r.id).alias("condition_id"), F.lit(r.category_text).alias("category_text"), F.lit(self._scope(r)).alias("unit_scope"), F.lit(r.form_match_logic).alias("form_match_logic"),
-                F.lit(len(r.forms)).cast("long").alias("required_form_count"), F.size(F.array_intersect("forms_paragraph", strings(r.forms))).cast("long").alias("present_form_count"),
-                (F.col("sentence_count") if sentence_unit else F.lit(1)).cast("long").alias("unit_count"), units.alias("matched_unit_count"),
-                flag("token", r.forms), flag("annot", r.annotation_filters), flag("text", r.text_groups), F.col(f"base_{i}").alias("base_is_match"), F.col(f"m_{i}").alias("is_match"),
-            )
+        # units where the token part holds: sentences, or the paragraph itself
+        n = F.filter("counts", lambda c: c["program"] == F.col("i.counted"))
+        units = F.when(F.col("i.token") < 0, 0).when(F.col("i.counted") >= 0, F.coalesce(F.get(n, F.lit(0))["n"], F.lit(0))).otherwise(F.array_contains("held", F.col("i.token")).cast("long"))
+        return rows.select(
+            "paragraph_id", F.col("i.id").alias("condition_id"), F.col("i.category_text").alias("category_text"), F.col("i.scope").alias("unit_scope"), F.col("i.logic").alias("form_match_logic"),
+            F.size("i.forms").cast("long").alias("required_form_count"), F.size(F.array_intersect("forms", "i.forms")).cast("long").alias("present_form_count"),
+            F.when(F.col("i.scope") == "sentence", F.col("sentence_count")).otherwise(1).cast("long").alias("unit_count"), units.cast("long").alias("matched_unit_count"),
+            flag("token"), flag("annot"), flag("text"), F.array_contains("base", F.col("rule_no")).alias("base_is_match"), F.array_contains("matched", F.col("rule_no")).alias("is_match"),
+        )
 
-        return self.paragraph_rows.select("paragraph_id", F.inline(F.array(*(one(i, r) for i, r in enumerate(self.rules)))))
 
-    @staticmethod
-    def _scope(r: Rule) -> str:
-        scopes = {g.search_scope for g in r.form_groups} if r.uses_groups else {r.search_scope}
-        return scopes.pop() if len(scopes) == 1 else "paragraph"
+def rule_columns(rows: DataFrame, data: RuleData, text: Column | None) -> DataFrame:
+    """``held, parted, base, matched`` of paragraphs from ``forms, near, labels, counts``."""
+    promoted = F.transform("counts", lambda c: c["program"] + data.first_promoted)
+    facts = F.concat(form_atoms(F.col("forms"), data, "paragraph"), text_atoms(text, data, "paragraph") if text is not None else numbers(), label_atoms(F.col("labels"), data), "near", promoted)
+    table = literal(data.parts(), f"array<struct<parts:{NUMBERS},annot:int>>")
+
+    def parted(held: Column) -> Column:
+        return F.filter(touched(held, data.rules_of_programs()), lambda r: F.forall(F.get(table, r)["parts"], lambda p: F.array_contains(held, p)))
+
+    def based(held: Column, parted: Column) -> Column:
+        return F.filter(parted, lambda r: (F.get(table, r)["annot"] < 0) | F.array_contains(held, F.get(table, r)["annot"]))
+
+    def verdict(held: Column) -> Column:
+        return let(parted(held), lambda p: let(based(held, p), lambda b: F.struct(held.alias("held"), p.alias("parted"), b.alias("base"), with_references(b, data).alias("matched"))))
+
+    rows = rows.withColumn("v", let(facts, lambda f: let(programs(f, data, "paragraph"), verdict))).drop("near")
+    return rows.withColumns({c: F.col("v")[c] for c in ("held", "parted", "base", "matched")}).drop("v")
+
+
+def with_references(base: Column, data: RuleData) -> Column:
+    """Rules that hold once their references are looked up, in the order of evaluation; references point back only."""
+    free = F.array_union(F.array_intersect(base, numbers(data.free())), numbers(data.unbound()))
+    bound = data.bound()
+    if not bound:
+        return free
+    table = literal(bound, f"array<struct<rule:int,based:boolean,tests:array<struct<any:{NUMBERS},negate:boolean>>>>")
 
+    def step(matched: Column, r: Column) -> Column:
+        holds = (~r["based"] | F.array_contains(base, r["rule"])) & F.forall(r["tests"], lambda t: F.arrays_overlap(matched, t["any"]) != t["negate"])
+        return F.when(holds, F.concat(matched, F.array(r["rule"]))).otherwise(matched)
 
-def any_of(tests: list[Column]) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+    return F.aggregate(table, free, step)
 
 
-def matched_ids(rules: tuple[Rule, ...], prefix: str = "m_") -> Column:
-    return F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"{prefix}{i}"), F.lit(r.id)) for i, r in enumerate(rules)))))
+def matched_ids(data: RuleData, matched: Column) -> Column:
+    ids = literal([r.id for r in data.rules], "array<string>")
+    return F.array_sort(F.transform(matched, lambda r: F.get(ids, r)))
 
 
-def matched_categories(rules: tuple[Rule, ...], prefix: str = "m_") -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*(F.when(F.col(f"{prefix}{i}"), strings(r.categories)).otherwise(strings(())) for i, r in enumerate(rules))))))
+def matched_categories(data: RuleData, matched: Column) -> Column:
+    categories = literal([list(r.categories) for r in data.rules], "array<array<string>>")
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(matched, lambda r: F.get(categories, r)))))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import bisect
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.evaluate import POSITION, UNIT, near_name, strings, together, with_windows
+from tessera.operators.evaluate import POSITION, let, literal, near_rows, numbered_forms, qualified, strings
 from tessera.plans.rules import FormGroup, Rule, RuleSet, Settings
 
 TOKEN = ["paragraph_id", "sentence_id", "sentence_no_in_paragraph", "is_table_paragraph", "token_no", "sentence_token_position", "paragraph_token_position", "normalized_form", "surface"]
@@ -32,42 +33,46 @@ def is_grouped(rule: Rule) -> bool:
     return len(g) > 1 or any(x.match_logic == "not" or x.anchor_form or x.exclude_forms or (x.match_logic == "or" and x.distance is not None) for x in g)
 
 
-def _hit(rule: Rule, group_id: Column) -> list[Column]:
-    return [*map(F.col, TOKEN), F.lit(rule.id).alias("condition_id"), F.lit(rule.category_text).alias("category_text"), strings(rule.categories).alias("categories"), group_id.alias("match_group_id"), F.col("normalized_form").alias("match_role")]
-
-
 # ---------------------------------------------------------------- plain and distance rules
-def _by_number(rules: list[Rule], value) -> Column:
-    """A literal of each rule, looked up by the rule's number in the list."""
-    return F.element_at(F.array(*(value(r) for r in rules)), F.col("rule_no") + 1)
+def _by_number(values: list, kind: str) -> Column:
+    """A value of each rule, looked up by the rule's number in the list."""
+    return F.get(literal(values, f"array<{kind}>"), F.col("rule_no"))
 
 
 def _for_rules(tokens: DataFrame, rules: list[Rule]) -> DataFrame:
     """Tokens once for each rule that has their form: ``rule_no, form_no, unit_id, place`` and the token's columns.
 
-    The rules are a literal that each row looks itself up in, so any number of rules is one pass and no join.
+    The rules are a literal that each row looks itself up in, so any number of rules is one pass; only the vocabulary is
+    joined, by a broadcast.
     """
-    by_form: dict[str, list[Column]] = {}
+    by_form: dict[str, list[dict]] = {}
     for i, r in enumerate(rules):
         for k, f in enumerate(r.forms):
-            by_form.setdefault(f, []).append(F.struct(F.lit(i).alias("rule_no"), F.lit(k).alias("form_no"), F.lit(r.search_scope == "sentence").alias("by_sentence")))
-    table = F.create_map(*(x for f, cols in by_form.items() for x in (F.lit(f), F.array(*cols))))
-    rows = tokens.where(F.col("normalized_form").isin(*by_form)).select(*TOKEN, F.explode(F.element_at(table, F.col("normalized_form"))).alias("r")).select(*TOKEN, "r.*")
+            by_form.setdefault(f, []).append({"rule_no": i, "form_no": k, "by_sentence": r.search_scope == "sentence"})
+    table = literal(list(by_form.values()), "array<array<struct<rule_no:int,form_no:int,by_sentence:boolean>>>")
+    known = numbered_forms(tokens, {f: n for n, f in enumerate(by_form)})
+    rows = known.select(*TOKEN, F.explode(F.get(table, F.col("form_no"))).alias("r")).select(*TOKEN, "r.*")
     return rows.withColumns({"unit_id": F.when(F.col("by_sentence"), F.col("sentence_id")).otherwise(F.col("paragraph_id")), "place": F.when(F.col("by_sentence"), F.col(POSITION["sentence"])).otherwise(F.col(POSITION["paragraph"]))})
 
 
+def _rule_columns(rule: Column) -> list[Column]:
+    return [rule["id"].alias("condition_id"), rule["category_text"].alias("category_text"), rule["categories"].alias("categories")]
+
+
+def _named(rules: list[Rule]) -> Column:
+    return _by_number([{"id": r.id, "category_text": r.category_text, "categories": r.categories} for r in rules], "struct<id:string,category_text:string,categories:array<string>>")
+
+
 def _numbered_hits(rows: DataFrame, rules: list[Rule], middle: str) -> DataFrame:
     """Hit rows from ``rule_no, unit_id, number`` and the token's columns."""
-    rule = _by_number(rules, lambda r: F.struct(F.lit(r.id).alias("id"), F.lit(r.category_text).alias("category_text"), strings(r.categories).alias("categories")))
     group = F.concat(F.col("rule.id"), F.lit(":"), F.col("unit_id").cast("string"), F.lit(middle), F.col("number").cast("string"))
-    rows = rows.withColumn("rule", rule)
-    return rows.select(*TOKEN, F.col("rule.id").alias("condition_id"), F.col("rule.category_text").alias("category_text"), F.col("rule.categories").alias("categories"), group.alias("match_group_id"), F.col("normalized_form").alias("match_role"))
+    return rows.withColumn("rule", _named(rules)).select(*TOKEN, *_rule_columns(F.col("rule")), group.alias("match_group_id"), F.col("normalized_form").alias("match_role"))
 
 
 def simple_hits(tokens: DataFrame, rules: list[Rule]) -> DataFrame:
     """Every token of each rule's forms, in units that have all of them (or any, for any-rules). One exchange for all rules."""
     unit = Window.partitionBy("rule_no", "unit_id")
-    needed = _by_number(rules, lambda r: F.lit(len(r.forms) if r.form_match_logic == "all" else 1))
+    needed = _by_number([len(r.forms) if r.form_match_logic == "all" else 1 for r in rules], "int")
     rows = _for_rules(tokens, rules).withColumns({"present": F.size(F.collect_set("form_no").over(unit)), "number": F.row_number().over(unit.orderBy("place", "sentence_id", "token_no"))})
     return _numbered_hits(rows.where(F.col("present") >= needed), rules, ":token:")
 
@@ -75,7 +80,7 @@ def simple_hits(tokens: DataFrame, rules: list[Rule]) -> DataFrame:
 def combination_counts(tokens: DataFrame, rules: list[Rule]) -> DataFrame:
     """``rule_no, unit_id, combination_count``: the product of the forms' numbers of tokens (2**62 at most), of units that have all forms."""
     each = _for_rules(tokens, rules).groupBy("rule_no", "unit_id", "form_no").agg(F.count(F.lit(1)).alias("n"))
-    whole = each.groupBy("rule_no", "unit_id").agg(F.collect_list("n").alias("n")).where(F.size("n") == _by_number(rules, lambda r: F.lit(len(r.forms))))
+    whole = each.groupBy("rule_no", "unit_id").agg(F.collect_list("n").alias("n")).where(F.size("n") == _by_number([len(r.forms) for r in rules], "int"))
     number = "decimal(38,0)"
     product = F.aggregate("n", F.lit(1).cast(number), lambda a, x: F.least(a * x.cast("decimal(19,0)"), F.lit(2**62).cast("decimal(38,0)")).cast(number))
     return whole.select("rule_no", "unit_id", product.cast("long").alias("combination_count"))
@@ -89,8 +94,8 @@ def strict_groups(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     hold them, so a frequent form in a long unit is never joined with all others. The number of exchanges follows the
     longest rule, not the number of rules.
     """
-    d = _by_number(rules, lambda r: F.lit(r.distance).cast("long"))
-    size = _by_number(rules, lambda r: F.lit(len(r.forms)))
+    d = _by_number([r.distance for r in rules], "bigint")
+    size = _by_number([len(r.forms) for r in rules], "int")
     sides = rows.select("rule_no", "unit_id", "form_no", "place", F.struct(*TOKEN).alias("t"), d.alias("d"), size.alias("size"))
     now = sides.where("form_no = 0").select("rule_no", "unit_id", "d", "size", F.array("place").alias("places"), F.array("t").alias("ts"), F.col("place").alias("start"), F.col("place").alias("end"))
     out = now.where("size = 1")
@@ -191,7 +196,7 @@ def distance_hits(tokens: DataFrame, rules: list[Rule], settings: Settings) -> H
     counts = combination_counts(tokens, rules)
     limit = settings.distance_match_strict_safety_limit if mode == "strict" else settings.distance_match_combination_cap
     rows = rows.join(counts, ["rule_no", "unit_id"])
-    rule_id = _by_number(rules, lambda r: F.lit(r.id))
+    rule_id = _by_number([r.id for r in rules], "string")
     if mode == "strict":
         message = F.concat(F.lit("distance_match_strict_limit_exceeded: "), rule_id, F.lit(", unit "), F.col("unit_id").cast("string"), F.lit(", combinations "), F.col("combination_count").cast("string"))
         return Hits(strict_groups(rows.where(F.when(F.col("combination_count") <= limit, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))), rules), None)
@@ -201,75 +206,172 @@ def distance_hits(tokens: DataFrame, rules: list[Rule], settings: Settings) -> H
 
 
 # ---------------------------------------------------------------- group rules
-def _candidates(tokens: DataFrame, rule: Rule, number: int, g: FormGroup) -> DataFrame:
-    """``paragraph_id, unit_id, rows, start, end`` of the units where the group holds; a not group has no rows."""
-    unit, position, scope = UNIT[g.search_scope], POSITION[g.search_scope], g.search_scope
-    keys = [F.col("paragraph_id"), F.col(unit).alias("unit_id")]
-    if g.match_logic == "not":
-        units = tokens.groupBy(*keys).agg(F.bool_or(F.col("normalized_form").isin(*g.forms)).alias("has")).where("not has")
-        return units.select("paragraph_id", "unit_id", F.array().cast(_rows_type(tokens)).alias("rows"), F.lit(FAR).cast("long").alias("start"), F.lit(FAR).cast("long").alias("end"))
-    rows = tokens.where(F.col("normalized_form").isin(*g.forms, *g.exclude_forms))
-    mine, own = F.col("normalized_form").isin(*g.forms), Window.partitionBy("paragraph_id", unit)
-    if g.distance is not None:
-        rows = with_windows(rows, {("around", scope, g.distance)})
-        near = F.col(near_name("around", scope, g.distance))
-        good = (F.col("normalized_form") == g.anchor_form) & together(near, g.forms) if g.match_logic == "and" else mine
-        good = good & ~F.arrays_overlap(near, strings(g.exclude_forms)) if g.exclude_forms else good
-        rank = F.lit(0) if g.match_logic == "and" else F.array_position(strings(g.forms), F.col("normalized_form")).cast("int")
-        # the first anchor that qualifies: by form, then by position
-        anchor = F.min(F.when(good, F.struct(rank.alias("r"), F.col(position).alias("p")))).over(own)["p"]
-        rows = rows.withColumn("anchor", anchor).where(F.col("anchor").isNotNull() & mine & (F.abs(F.col(position) - F.col("anchor")) <= g.distance))
-    else:
-        present = F.collect_set("normalized_form").over(own)
-        good = together(present, g.forms) if g.match_logic == "and" else F.arrays_overlap(present, strings(g.forms))
-        good = good & ~F.arrays_overlap(present, strings(g.exclude_forms)) if g.exclude_forms else good
-        rows = rows.withColumn("good", good).where(F.col("good") & mine)
-    hit = F.struct(*TOKEN, F.concat(F.lit(f"{rule.id}:g{number}:{scope}:"), F.col(unit).cast("string")).alias("match_group_id"))
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("rows"), F.min(position).alias("start"), F.max(position).alias("end"))
-
-
-def _rows_type(tokens: DataFrame) -> str:
-    kinds = dict(tokens.dtypes)
-    return f"array<struct<{','.join(f'{c}:{kinds[c]}' for c in TOKEN)},match_group_id:string>>"
-
-
-def _rank(prefix: str = "") -> Column:
-    """Order of candidates: those with rows first, then by start, end and unit."""
-    empty = F.size(f"{prefix}rows") == 0
-    return F.struct(empty.alias("e"), F.when(empty, FAR).otherwise(F.col(f"{prefix}start")).alias("s"), F.when(empty, FAR).otherwise(F.col(f"{prefix}end")).alias("n"), F.col(f"{prefix}unit_id").alias("u"))
-
-
-def _promoted(c: DataFrame) -> DataFrame:
-    best = c.groupBy("paragraph_id").agg(F.min_by(F.struct("rows", "start", "end"), _rank()).alias("b"))
-    return best.select("paragraph_id", F.col("paragraph_id").alias("unit_id"), "b.rows", "b.start", "b.end")
-
-
-def group_hits(tokens: DataFrame, rule: Rule) -> DataFrame:
-    """Hits of a rule with groups: candidates per group and unit, combined from the left."""
+class GroupData:
+    """The form groups of some rules as numbered data.
+
+    A rule's groups up to the first whose scope differs are one segment, which is folded unit by unit; each later one is a
+    segment of its own. Rules with several segments go on at their paragraphs.
+    """
+
+    def __init__(self, rules: list[Rule]):
+        self.groups: list[tuple[int, int, int, FormGroup]] = []  # rule, segment, number in the rule, group
+        self.forms: dict[str, int] = {}
+        for k, r in enumerate(rules):
+            first = next((n for n, g in enumerate(r.form_groups) if g.search_scope != r.form_groups[0].search_scope), len(r.form_groups))
+            for n, g in enumerate(r.form_groups):
+                self.groups.append((k, max(0, n - first + 1), n, g))
+                for f in (*g.forms, *g.exclude_forms):
+                    self.forms.setdefault(f, len(self.forms))
+        self.mixed = [k for k, r in enumerate(rules) if len({g.search_scope for g in r.form_groups}) > 1]
+        self.rules = rules
+
+    @staticmethod
+    def _ordered(g: FormGroup) -> tuple[str, ...]:
+        """An and group's anchor comes first; or groups rank their forms as written."""
+        return (g.anchor_form, *(f for f in g.forms if f != g.anchor_form)) if g.match_logic == "and" and g.anchor_form in g.forms else g.forms
+
+    def near_of_forms(self) -> list[list[dict]]:
+        out: list[list[dict]] = [[] for _ in self.forms]
+        for n, (_, _, _, g) in enumerate(self.groups):
+            for slot, f in [*enumerate(self._ordered(g)), *((-1, f) for f in g.exclude_forms)]:
+                out[self.forms[f]].append({"atom": n, "slot": slot, "sentence": g.search_scope == "sentence"})
+        return out
+
+    def near_atoms(self) -> list[dict]:
+        return [
+            {"distance": g.distance if g.distance is not None else -1, "slots": len(g.forms), "kind": "around" if g.match_logic == "and" and g.distance is not None else "any", "anchored": g.match_logic == "and" and g.distance is not None}
+            for _, _, _, g in self.groups
+        ]
+
+    @property
+    def most_slots(self) -> int:
+        return max((len(g.forms) for _, _, _, g in self.groups if g.distance is not None), default=0)
+
+    def info(self) -> list[dict]:
+        return [
+            {"rule": k, "segment": s, "number": n, "name": f"{self.rules[k].id}:g{n + 1}:{g.search_scope}:", "negate": g.match_logic == "not", "near": g.distance is not None, "every": g.match_logic == "and", "least": len(g.forms) if g.match_logic == "and" else 1, "distance": g.distance or 0}
+            for k, s, n, g in self.groups
+        ]
+
+    def steps(self) -> list[list[list[dict]]]:
+        """For each rule and segment: number of the group, whether it is joined by or (as the first of a segment is to
+        nothing), whether it is a not group."""
+        out: list[list[list[dict]]] = [[] for _ in self.rules]
+        for k, s, n, g in self.groups:
+            out[k] += [[]] * (s + 1 - len(out[k]))
+            out[k][s] = [*out[k][s], {"number": n, "either": g.combine_logic != "and" or not out[k][s], "negate": g.match_logic == "not"}]
+        return out
+
+    def chains(self) -> list[list[dict]]:
+        """For each rule the segments: joined by or, and whether one holds in a unit that has none of its forms."""
+        out = []
+        for rule, segments in zip(self.rules, self.steps()):
+            chain = []
+            for steps in segments:
+                value = False
+                for s in steps:
+                    value = value or s["negate"] if s["either"] else value and s["negate"]
+                chain.append({"either": rule.form_groups[steps[0]["number"]].combine_logic != "and", "empty": value})
+            out.append(chain)
+        return out
+
+
+GROUP_INFO = "struct<rule:int,segment:int,number:int,name:string,negate:boolean,near:boolean,every:boolean,least:int,distance:bigint>"
+
+
+def _candidates(tokens: DataFrame, data: GroupData) -> DataFrame:
+    """``rule, segment, number, paragraph_id, unit_id, has, rows, start, end``: the tokens of every group in every unit
+    where it holds; ``has`` marks units with a form of a not group. One exchange for all groups of all rules."""
+    near = near_rows(numbered_forms(tokens, data.forms), data)
+    rows = qualified(near, data) if data.most_slots else near.withColumn("good", F.lit(False))
+    info, unit = literal(data.info(), f"array<{GROUP_INFO}>"), Window.partitionBy("atom", "unit_id")
+    rows = rows.withColumn("g", F.get(info, F.col("atom")))
+    rank = F.when(F.col("g.every"), 0).otherwise(F.col("slot"))
+    # the first anchor that qualifies: by form, then by position
+    anchor = F.min(F.when(F.col("good"), F.struct(rank.alias("r"), F.col("place").alias("p")))).over(unit)["p"]
+    present, excluded = F.size(F.collect_set(F.when(F.col("slot") >= 0, F.col("slot"))).over(unit)), F.bool_or(F.col("slot") < 0).over(unit)
+    rows = rows.withColumns({"anchor": anchor, "present": present, "excluded": excluded}).where("slot >= 0")
+    within = F.when(F.col("g.near"), F.abs(F.col("place") - F.col("anchor")) <= F.col("g.distance")).otherwise((F.col("present") >= F.col("g.least")) & ~F.col("excluded"))
+    rows = rows.where(F.col("g.negate") | within)
+    hit = F.when(~F.col("g.negate"), F.struct(*TOKEN, F.concat("g.name", F.col("unit_id").cast("string")).alias("match_group_id")))
+    found = rows.groupBy("atom", "unit_id", "paragraph_id").agg(F.first("g").alias("g"), F.array_sort(F.collect_list(hit)).alias("rows"), F.min("place").alias("start"), F.max("place").alias("end"))
+    return found.select("g.rule", "g.segment", "g.number", "paragraph_id", "unit_id", F.col("g.negate").alias("has"), "rows", "start", "end")
+
+
+def _order(c: Column) -> Column:
+    """Order of candidates: those with rows first, then by start and end."""
+    empty = F.size(c["rows"]) == 0
+    return F.struct(empty.alias("e"), F.when(empty, FAR).otherwise(c["start"]).alias("s"), F.when(empty, FAR).otherwise(c["end"]).alias("n"))
+
+
+def _candidate(kind: str, ok, rows: Column, start: Column, end: Column) -> Column:
+    return F.struct((F.lit(ok) if isinstance(ok, bool) else ok).alias("ok"), rows.cast(kind).alias("rows"), start.cast("long").alias("start"), end.cast("long").alias("end"))
+
+
+def _combined(kind: str, left: Column, right: Column, either: Column) -> Column:
+    """And: both, with the tokens of both. Or: the better one of those that hold."""
+    rows = F.concat(left["rows"], right["rows"])
+    places = F.transform(rows, lambda x: x["paragraph_token_position"])
+    both = _candidate(kind, left["ok"] & right["ok"], F.when(left["ok"] & right["ok"], rows).otherwise(F.array()), F.coalesce(F.array_min(places), F.lit(FAR)), F.coalesce(F.array_max(places), F.lit(FAR)))
+    take_left = left["ok"] & (~right["ok"] | (_order(left) <= _order(right)))
+    return F.when(~either, both).when(take_left, left).otherwise(right)
+
+
+def _folded(kind: str, steps: Column, of: Callable[[Column], Column]) -> Column:
+    """Candidates of the steps combined from the left."""
+    none = _candidate(kind, False, F.array(), F.lit(FAR), F.lit(FAR))
+    return F.aggregate(steps, none, lambda c, s: let(of(s), lambda now: _combined(kind, c, now, s["either"])))
+
+
+def group_hits(tokens: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Hits of all rules with groups: candidates per group and unit, combined from the left inside one row.
+
+    The exchanges are those of the candidates, of the units, and, if scopes are mixed, of the paragraphs, whatever the
+    number of rules.
+    """
+    data, kinds = GroupData(rules), dict(tokens.dtypes)
     tokens = tokens.select(*TOKEN)
-    left, scope = _candidates(tokens, rule, 1, rule.form_groups[0]), rule.form_groups[0].search_scope
-    for number, g in enumerate(rule.form_groups[1:], 2):
-        right = _candidates(tokens, rule, number, g)
-        if scope != g.search_scope:
-            left, right, scope = _promoted(left), _promoted(right), "paragraph"
-        l, r = (x.select("paragraph_id", "unit_id", *(F.col(c).alias(f"{p}{c}") for c in ("rows", "start", "end"))) for x, p in ((left, "l_"), (right, "r_")))
-        if g.combine_logic == "and":
-            both = l.join(r, ["paragraph_id", "unit_id"]).select("paragraph_id", "unit_id", F.concat("l_rows", "r_rows").alias("rows"))
-            places = F.transform("rows", lambda x: x["paragraph_token_position"])
-            left = both.select("*", F.coalesce(F.array_min(places), F.lit(FAR)).alias("start"), F.coalesce(F.array_max(places), F.lit(FAR)).alias("end"))
-        else:
-            either = l.join(r, ["paragraph_id", "unit_id"], "full_outer").withColumns({"l_unit_id": F.col("unit_id"), "r_unit_id": F.col("unit_id")})
-            take_left = F.col("r_rows").isNull() | (F.col("l_rows").isNotNull() & (_rank("l_") <= _rank("r_")))
-            left = either.select("paragraph_id", "unit_id", *(F.when(take_left, F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")).alias(c) for c in ("rows", "start", "end")))
-    exploded = left.select(F.explode("rows").alias("h")).select("h.*")
-    return exploded.select(*_hit(rule, F.col("match_group_id"))).distinct()
+    kind = f"array<struct<{','.join(f'{c}:{kinds[c]}' for c in TOKEN)},match_group_id:string>>"
+    parts = _candidates(tokens, data).groupBy("rule", "segment", "paragraph_id", "unit_id").agg(F.collect_list(F.struct("number", "has", "rows", "start", "end")).alias("parts"))
+    steps = F.get(F.get(literal(data.steps(), "array<array<array<struct<number:int,either:boolean,negate:boolean>>>>"), F.col("rule")), F.col("segment"))
+
+    def of_group(s: Column) -> Column:
+        mine = F.get(F.filter("parts", lambda p: p["number"] == s["number"]), F.lit(0))
+        empty = _candidate(kind, False, F.array(), F.lit(FAR), F.lit(FAR))
+        absent = _candidate(kind, True, F.array(), F.lit(FAR), F.lit(FAR))
+        return F.when(s["negate"], F.when(mine.isNull(), absent).otherwise(empty)).when(mine.isNull(), empty).otherwise(_candidate(kind, True, mine["rows"], mine["start"], mine["end"]))
+
+    units = parts.withColumn("c", _folded(kind, steps, of_group))
+    plain = [k for k in range(len(rules)) if k not in data.mixed]
+    out = units.where(F.col("rule").isin(plain)).select("rule", "c") if plain else None
+    if data.mixed:
+        # the best unit of each segment and paragraph; one without any of the forms may hold too
+        sizes = tokens.groupBy("paragraph_id").agg(F.count_distinct("sentence_id").alias("n_sentences"))
+        ok = F.col("c.ok")
+        best = units.where(F.col("rule").isin(data.mixed)).groupBy("rule", "segment", "paragraph_id").agg(
+            F.min_by(F.when(ok, F.col("c")), F.when(ok, F.struct(_order(F.col("c")).alias("o"), F.col("unit_id").alias("u")))).alias("c"), F.count(F.lit(1)).alias("seen")
+        )
+        best = best.groupBy("rule", "paragraph_id").agg(F.collect_list(F.struct("segment", "c", "seen")).alias("parts")).join(sizes, "paragraph_id")
+        chains = [[{**s, "segment": n, "sentence": next(g.search_scope for k, x, _, g in data.groups if (k, x) == (r, n)) == "sentence"} for n, s in enumerate(c)] for r, c in enumerate(data.chains())]
+        chain = F.get(literal(chains, "array<array<struct<either:boolean,empty:boolean,segment:int,sentence:boolean>>>"), F.col("rule"))
+
+        def of_segment(s: Column) -> Column:
+            mine = F.get(F.filter("parts", lambda p: p["segment"] == s["segment"]), F.lit(0))
+            all_units = F.when(s["sentence"], F.col("n_sentences")).otherwise(1)
+            holds = s["empty"] & (mine.isNull() | (mine["seen"] < all_units))
+            return F.when(mine["c"].isNotNull(), mine["c"]).otherwise(_candidate(kind, holds, F.array(), F.lit(FAR), F.lit(FAR)))
+
+        promoted = best.select("rule", _folded(kind, chain, of_segment).alias("c"))
+        out = promoted if out is None else out.unionByName(promoted)
+    exploded = out.where("c.ok").select(F.col("rule").alias("rule_no"), F.explode("c.rows").alias("h")).select("rule_no", "h.*").withColumn("rule", _named(rules))
+    return exploded.select(*TOKEN, *_rule_columns(F.col("rule")), "match_group_id", F.col("normalized_form").alias("match_role")).distinct()
 
 
 # ---------------------------------------------------------------- all rules
 def locate(tokens: DataFrame, rules: RuleSet) -> Hits:
     """Hits of all rules that have forms. ``tokens`` are positioned.
 
-    Plain rules are one plan, distance rules another, whatever their number; each rule with groups adds its own.
+    Plain rules are one plan, distance rules another, rules with groups a third, whatever their number.
     """
     formed = [r for r in rules.rules if r.forms]
     grouped = [r for r in formed if is_grouped(r)]
@@ -277,7 +379,7 @@ def locate(tokens: DataFrame, rules: RuleSet) -> Hits:
     plain = [r for r in formed if not is_grouped(r) and r.distance is None]
     found = [Hits(simple_hits(tokens, plain), None)] if plain else []
     found += [distance_hits(tokens, near, rules.settings)] if near else []
-    found += [Hits(group_hits(tokens, r), None) for r in grouped]
+    found += [Hits(group_hits(tokens, grouped), None)] if grouped else []
     if not found:
         return Hits(tokens.limit(0).select(*TOKEN, *((strings(()) if c == "categories" else F.lit("")).alias(c) for c in HIT[len(TOKEN) :])), None)
     rows = found[0].rows

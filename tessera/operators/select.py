@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.evaluate import Evaluation, any_of, false_if_null, matched_categories, matched_ids
-from tessera.plans.rules import Rule
+from tessera.operators.evaluate import NUMBERS, Evaluation, false_if_null, let, literal, matched_categories, matched_ids, numbers
 
 
 def enough(matched: Column, evaluation: Evaluation) -> Column:
@@ -19,8 +18,8 @@ def select_paragraphs(evaluation: Evaluation) -> DataFrame:
 
     Those with most matched rules stay, of equals the ones with the smaller id.
     """
-    rules = evaluation.rules
-    rows = evaluation.paragraph_rows.select("paragraph_id", matched_ids(rules).alias("condition_ids"), matched_categories(rules).alias("categories"), "sentence_count")
+    data, matched = evaluation.data, F.col("matched")
+    rows = evaluation.paragraph_rows.select("paragraph_id", matched_ids(data, matched).alias("condition_ids"), matched_categories(data, matched).alias("categories"), "sentence_count")
     rows = rows.withColumn("matched_condition_count", F.size("condition_ids").cast("long")).where(enough(F.col("matched_condition_count"), evaluation) & (F.col("matched_condition_count") > 0))
     return top(rows, evaluation.rule_set.settings.max_reconstructed_paragraphs).select(
         "paragraph_id", "sentence_count", "matched_condition_count", F.array_join("condition_ids", ", ").alias("matched_condition_ids_text"), F.array_join("categories", ", ").alias("matched_categories_text")
@@ -36,64 +35,57 @@ def top(rows: DataFrame, most: int) -> DataFrame:
 
 
 class SentenceSelection:
-    """Sentence mode: a truth value per (sentence, rule).
+    """Sentence mode: ``truth``, the numbers of the rules that hold in each sentence.
 
     Rules that decide by sentence need a hit there: a positive group of them must hold in the sentence, so that the not
     side of an or alone is no match. Rules that decide by paragraph hold in all its sentences. Text groups add to
     that; annotation filters count through the paragraph's verdict. References to categories look at the paragraph,
-    references to rules at the sentence or paragraph by the rule's scope.
+    references to rules at the sentence or paragraph by the rule's scope; rules that refer to each other go layer by
+    layer, and each layer looks once at the sentences of the whole paragraph.
     """
 
     def __init__(self, evaluation: Evaluation, all_tokens: DataFrame):
         self.e = e = evaluation
-        base = e.paragraph_rows.select("paragraph_id", *(f"base_{i}" for i in range(len(e.rules))), *(f"text_{i}" for i, r in enumerate(e.rules) if r.text_groups))
-        rows = e.sentence_rows.join(base, "paragraph_id")
+        rows = e.sentence_rows.join(e.paragraph_rows.select("paragraph_id", "parted", "base"), "paragraph_id")
         displayed = all_tokens.select("paragraph_id", "sentence_id").distinct().withColumn("has_display_tokens", F.lit(True))
         rows = rows.join(displayed, ["paragraph_id", "sentence_id"], "left").withColumn("has_display_tokens", false_if_null(F.col("has_display_tokens")))
-        self.scopes = [self._scope(i, r) for i, r in enumerate(e.rules)]
-        for i, r in enumerate(e.rules):  # references point to earlier rules only
-            truth = self._truth(i, r)
-            if r.has_reference:
-                truth = truth & e.reference_verdict(i, r, self._matched, lambda k: F.col(f"pt_{k}"))
-            rows = rows.withColumn(f"t_{i}", truth)
-            if any(i in e._needed(k, x) for k, x in enumerate(e.rules) if x.has_reference):
-                rows = rows.withColumn(f"pt_{i}", F.max(f"t_{i}").over(Window.partitionBy("paragraph_id")))
-        self.rows = rows
-
-    def _scope(self, i: int, r: Rule) -> str:
-        return "sentence" if r.overall_scope == "sentence" or (not r.uses_groups and r.search_scope == "sentence") else "paragraph"
-
-    def _matched(self, k: int) -> Column:
-        return F.col(f"t_{k}" if self.scopes[k] == "sentence" else f"pt_{k}")
-
-    def _truth(self, i: int, r: Rule) -> Column:
-        if not r.has_base:
-            return F.lit(True)
-        names = self.e.sentence_rows.columns
-        if self.scopes[i] == "paragraph":
-            return F.col(f"base_{i}")
-        parts = []
-        if r.forms:
-            if f"s_token_{i}" in names:
-                hit = F.col(f"s_token_{i}")
-                if r.uses_groups and any(g.match_logic == "not" for g in r.form_groups):
-                    hit = hit & any_of([F.arrays_overlap("forms_sentence", F.array(*map(F.lit, g.forms))) for g in r.form_groups if g.match_logic != "not"])
-            else:
-                hit = F.col(f"base_{i}") & F.arrays_overlap("forms_sentence", F.array(*map(F.lit, r.forms)))
-            parts.append(hit)
-        elif r.annotation_filters and not r.text_groups:
-            parts.append(F.lit(False))
-        if r.text_groups:
-            parts.append(F.col(f"s_text_{i}") if f"s_text_{i}" in names else F.col(f"text_{i}"))
-        out = F.lit(True)
-        for p in parts:
-            out = out & false_if_null(p)
-        return out
+        rows = rows.withColumn("own", self._own()).drop("parted", "base", "held", "forms")
+        rows = rows.withColumn("truth", F.array_union(F.array_intersect("own", numbers(e.data.free())), numbers(e.data.unbound())))
+        for layer in e.data.layers():
+            around = F.collect_list("truth").over(Window.partitionBy("paragraph_id"))
+            rows = rows.withColumn("around", F.array_distinct(F.flatten(around))).withColumn("truth", F.concat("truth", self._bound(layer))).drop("around")
+        self.rows = rows.drop("own")
+
+    def _own(self) -> Column:
+        """Rules that hold in the sentence as far as they themselves go."""
+        table = literal(self.e.data.by_sentence(), f"array<struct<whole:boolean,programs:{NUMBERS},touch:{NUMBERS},based:boolean,never:boolean>>")
+
+        def holds(u: Column, n: Column) -> Column:
+            r, base = F.get(table, n), F.array_contains(u["base"], n)
+            here = F.forall(r["programs"], lambda p: F.array_contains(u["held"], p)) & ((F.size(r["touch"]) == 0) | F.arrays_overlap(u["forms"], r["touch"]))
+            return F.when(r["whole"], base).otherwise(here & ~r["never"] & (~r["based"] | base))
+
+        return let(F.struct("base", "held", "forms", "parted"), lambda u: F.filter(u["parted"], lambda n: holds(u, n)))
+
+    def _bound(self, layer: list[int]) -> Column:
+        """Rules of a layer whose references hold."""
+        data = self.e.data
+
+        def split(ids: list[int], categories: list[int], negate: bool) -> dict:
+            here = [k for k in ids if data.mode_scope(data.rules[k]) == "sentence"]
+            return {"here": here, "around": [k for k in ids if k not in here] + categories, "negate": negate}
+
+        table = literal([{"rule": k, "based": data.rules[k].has_base, "tests": [split(*t) for t in data.tests(k)]} for k in layer], f"array<struct<rule:int,based:boolean,tests:array<struct<here:{NUMBERS},around:{NUMBERS},negate:boolean>>>>")
+
+        def holds(u: Column, r: Column) -> Column:
+            return (~r["based"] | F.array_contains(u["own"], r["rule"])) & F.forall(r["tests"], lambda t: (F.arrays_overlap(u["truth"], t["here"]) | F.arrays_overlap(u["around"], t["around"])) != t["negate"])
+
+        return let(F.struct("own", "truth", "around"), lambda u: F.transform(F.filter(table, lambda r: holds(u, r)), lambda r: r["rule"]))
 
     def sentences(self) -> DataFrame:
         """Selected sentences that can be displayed, of the paragraphs that the cap leaves."""
-        rules = self.e.rules
-        rows = self.rows.select("paragraph_id", "sentence_id", "sentence_no_in_paragraph", "has_display_tokens", matched_ids(rules, "t_").alias("condition_ids"), matched_categories(rules, "t_").alias("categories"))
+        data, truth = self.e.data, F.col("truth")
+        rows = self.rows.select("paragraph_id", "sentence_id", "sentence_no_in_paragraph", "has_display_tokens", matched_ids(data, truth).alias("condition_ids"), matched_categories(data, truth).alias("categories"))
         rows = rows.withColumn("matched_condition_count", F.size("condition_ids").cast("long"))
         per = rows.groupBy("paragraph_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("condition_ids")))).cast("long").alias("matched_condition_count"))
         kept = top(per.where(enough(F.col("matched_condition_count"), self.e) & (F.col("matched_condition_count") > 0)), self.e.rule_set.settings.max_reconstructed_paragraphs)

@@ -580,7 +580,7 @@ def hits_by_truth(spark, d):
     c = Corpus(spark, d)
     rules = runtime(*REFERENCE_RULES, analysis_unit="sentence")
     selection = select.SentenceSelection(c.evaluate(rules), c.tokens)
-    truth = selection.rows.select("sentence_id", F.explode(evaluate.matched_ids(selection.e.rules, "t_")).alias("condition_id"))
+    truth = selection.rows.select("sentence_id", F.explode(evaluate.matched_ids(selection.e.data, F.col("truth"))).alias("condition_id"))
     return c.hits(rules).join(truth, ["sentence_id", "condition_id"], "left_semi").select("sentence_id", "token_no", "condition_id")
 
 

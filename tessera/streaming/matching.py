@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import ingest
-from tessera.operators.evaluate import chain, form_test, matched_categories, matched_ids, text_test
+from tessera.operators.evaluate import literal, matched_categories, matched_ids, numbers, rule_columns, strings
+from tessera.plans.ruledata import RuleData
 from tessera.plans.rules import RuleSet
 
 
@@ -17,18 +18,16 @@ def match_paragraphs(documents: DataFrame, rules: RuleSet) -> DataFrame:
     batch plan.
     """
     rows = ingest.paragraphs_frame(documents).select("paragraph_id", "document_id", F.col("paragraph_text").alias("paragraph_text"))
-    rows = rows.withColumn("forms_paragraph", F.array_distinct(F.regexp_extract_all(F.lower("paragraph_text"), F.lit(ingest.TOKEN), F.lit(0))))
-    verdicts = {}
-    for i, r in enumerate(rules.rules):
+    for r in rules.rules:
         scopes = {g.search_scope for g in (*r.form_groups, *r.text_groups)} | {r.search_scope}
         if r.has_reference or r.annotation_filters or r.distance is not None or any(g.distance is not None for g in r.form_groups) or scopes != {"paragraph"}:
             raise ValueError(f"rule {r.id} can't be decided on one paragraph")
-        parts = [chain(r.form_groups, lambda _, g: form_test(F.col("forms_paragraph"), g, None), None)] if r.forms else []
-        parts += [chain(r.text_groups, lambda _, g: text_test(F.col("paragraph_text"), g), None)] if r.text_groups else []
-        value = parts[0].value
-        for p in parts[1:]:
-            value = value & p.value
-        verdicts[f"m_{i}"] = value
-    rows = rows.withColumns(verdicts).withColumns({"ids": matched_ids(rules.rules), "categories": matched_categories(rules.rules)})
+    data = RuleData(rules.rules)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("paragraph_text"), F.lit(ingest.TOKEN), F.lit(0)))
+    known = literal(list(data.forms), "array<string>")
+    forms = F.transform(F.array_intersect(words, known), lambda w: (F.array_position(known, w) - 1).cast("int"))
+    rows = rows.withColumns({"forms": forms, "labels": strings(()), "near": numbers(), "counts": F.array().cast("array<struct<program:int,n:bigint>>")})
+    rows = rule_columns(rows, data, F.col("paragraph_text"))
+    rows = rows.withColumns({"ids": matched_ids(data, F.col("matched")), "categories": matched_categories(data, F.col("matched"))})
     needed = len(rules.rules) if rules.settings.condition_match_logic == "all" else 1
     return rows.where(F.size("ids") >= needed).select("paragraph_id", "document_id", "paragraph_text", F.array_join("ids", ", ").alias("matched_condition_ids_text"), F.array_join("categories", ", ").alias("matched_categories_text"))
