@@ -126,7 +126,8 @@ def near_rows(tokens: DataFrame, data: RuleData) -> DataFrame:
 
 
 def qualified(rows: DataFrame, data: RuleData) -> DataFrame:
-    """``near_rows`` with ``good``: the token is an anchor (or any form, for or atoms) whose surroundings satisfy the atom.
+    """``near_rows`` with ``good``: the token is an anchor (or any form, for or atoms) whose surroundings satisfy the atom;
+    ``together``: how many of the atom's forms its surroundings have.
 
     State per token are the last and the next place of each form of its atom, whatever the distance and however many
     tokens lie within it. One exchange by (atom, unit), two sorts.
@@ -148,7 +149,8 @@ def qualified(rows: DataFrame, data: RuleData) -> DataFrame:
     good = (F.col("slot") >= 0) & ~near(-1) & (~F.col("info.anchored") | (F.col("slot") == 0))
     for k in range(data.most_slots):
         good = good & ((kind == "any") | (F.col("info.slots") <= k) | near(k))
-    return rows.withColumn("good", good).drop(*(f"{n}{k + 1}" for n in ("last", "next") for k in slots))
+    together = sum(((F.col("info.slots") > k) & near(k)).cast("int") for k in range(data.most_slots))
+    return rows.withColumns({"good": good, "together": together}).drop("info").drop(*(f"{n}{k + 1}" for n in ("last", "next") for k in slots))
 
 
 def near_atoms(tokens: DataFrame, data: RuleData) -> dict[str, DataFrame]:

@@ -387,3 +387,21 @@ def locate(tokens: DataFrame, rules: RuleSet) -> Hits:
         rows = rows.unionByName(f.rows)
     warnings = [f.warnings for f in found if f.warnings is not None]
     return Hits(rows, warnings[0] if warnings else None)
+
+
+# ---------------------------------------------------------------- references to categories
+def by_categories(hits: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Hits of rules whose required categories have hits in the same paragraph; rules without such clauses keep theirs.
+
+    A paragraph's categories are those of its hits, gathered once; all rules look their clauses up in one literal.
+    """
+    needs = literal(
+        {r.id: {"every": list(r.required_categories_all), "some": list(r.required_categories_any)} for r in rules if r.required_categories_all or r.required_categories_any},
+        "map<string,struct<every:array<string>,some:array<string>>>",
+    )
+    there = hits.select("paragraph_id", F.explode("categories").alias("c")).distinct().groupBy("paragraph_id").agg(F.collect_list("c").alias("there"))
+    need = F.try_element_at(needs, F.col("condition_id"))
+    rows = hits.where(F.col("condition_id").isin([r.id for r in rules])).join(there, "paragraph_id").withColumn("need", need)
+    every = F.size(F.array_intersect("need.every", "there")) == F.size(F.array_distinct("need.every"))
+    some = (F.size("need.some") == 0) | F.arrays_overlap("need.some", "there")
+    return rows.where(F.col("need").isNull() | (every & some)).select(hits.columns)

@@ -93,3 +93,57 @@ class SentenceSelection:
         return rows.join(kept.select("paragraph_id"), "paragraph_id", "left_semi").select(
             "paragraph_id", "sentence_id", "sentence_no_in_paragraph", "matched_condition_count", F.array_join("condition_ids", ", ").alias("matched_condition_ids_text"), F.array_join("categories", ", ").alias("matched_categories_text")
         )
+
+
+# ---------------------------------------------------------------- summaries of both grains
+def detail_summary(condition_eval: DataFrame, truth: DataFrame, categories: dict[str, tuple[str, ...]], every: bool = False) -> DataFrame:
+    """Paragraphs' summary from the truth of their sentences.
+
+    A rule is matched in a paragraph if ``truth`` (paragraph_id, condition_id; any number of rows) has it there, whatever the
+    paragraph's own verdict in ``condition_eval`` is. Returns ``paragraph_id, condition_count, matched_condition_count,
+    is_selected, matched_condition_ids_text, matched_categories_text``; with ``every`` all rules have to match.
+    """
+    found = truth.select("paragraph_id", "condition_id").distinct().withColumn("found", F.lit(True))
+    rows = condition_eval.select("paragraph_id", "condition_id").join(found, ["paragraph_id", "condition_id"], "left")
+    ids = F.array_sort(F.collect_set(F.when(F.col("found"), F.col("condition_id"))))
+    per = rows.groupBy("paragraph_id").agg(F.count(F.lit(1)).alias("condition_count"), ids.alias("ids"))
+    table = literal({k: list(v) for k, v in categories.items()}, "map<string,array<string>>")
+    matched = F.size("ids").cast("long")
+    return per.select(
+        "paragraph_id", "condition_count", matched.alias("matched_condition_count"), (matched >= (F.col("condition_count") if every else F.lit(1))).alias("is_selected"), F.array_join("ids", ", ").alias("matched_condition_ids_text"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform("ids", lambda i: F.coalesce(F.try_element_at(table, i), F.array().cast("array<string>")))))), ", ").alias("matched_categories_text"),
+    )
+
+
+#: What a summary has in each grain.
+SUMMARY = ["condition_count", "is_selected", "condition_ids", "categories"]
+
+
+def inherited(sentences: DataFrame, sentence_summary: DataFrame, paragraph_summary: DataFrame) -> DataFrame:
+    """Sentences' summaries with what their paragraphs matched.
+
+    ``sentences`` (sentence_id, paragraph_id) are all there are; summaries have the columns of ``SUMMARY`` (ids and categories
+    as arrays). Counts of rules add up, ids and categories unite in order, and a sentence that has no summary takes
+    its paragraph's selection; without either it has nothing and isn't selected.
+    """
+    own = sentence_summary.select("sentence_id", F.struct(*SUMMARY).alias("s"))
+    above = paragraph_summary.select("paragraph_id", F.struct(*SUMMARY).alias("p"))
+    rows = sentences.select("sentence_id", "paragraph_id").distinct().join(own, "sentence_id", "left").join(above, "paragraph_id", "left")
+    none = F.array().cast("array<string>")
+
+    def united(c: str) -> Column:
+        return F.array_sort(F.array_union(F.coalesce(F.col("s")[c], none), F.coalesce(F.col("p")[c], none)))
+
+    rows = rows.withColumns({"ids": united("condition_ids"), "all_categories": united("categories")})
+    return rows.select(
+        "sentence_id", "paragraph_id", (F.coalesce("s.condition_count", F.lit(0)) + F.coalesce("p.condition_count", F.lit(0))).cast("long").alias("condition_count"), F.size("ids").cast("long").alias("matched_condition_count"),
+        F.coalesce("s.is_selected", "p.is_selected", F.lit(False)).alias("is_selected"), F.array_join("ids", ", ").alias("matched_condition_ids_text"), F.array_join("all_categories", ", ").alias("matched_categories_text"),
+    )
+
+
+def overwritten(rows: DataFrame, details: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the values of ``details`` (a row per key at most) where it has one; columns that only it has are added."""
+    both = [c for c in details.columns if c != key]
+    packed = details.select(F.col(key).alias("__key"), F.struct(*both).alias("__new"))
+    joined = rows.join(packed, rows[key] == F.col("__key"), "left")
+    return joined.select(*((F.coalesce(F.col("__new")[c], F.col(c)).alias(c) if c in both else F.col(c)) for c in rows.columns), *(F.col("__new")[c].alias(c) for c in both if c not in rows.columns))

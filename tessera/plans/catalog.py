@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import html_escape
-from tessera.operators import evaluate, hits, ingest, output, positions, render, select
+from tessera.operators import evaluate, groups as group_units, hits, ingest, output, positions, render, select
 from tessera.plans.config import compile_authoring, compile_runtime
 from tessera.plans.rules import RuleSet
 from tessera.session import Session
@@ -651,3 +651,80 @@ def paragraph_context(spark, d):
 def neighbour_locations(spark, d):
     turns = _turns(spark, d)
     return output.neighbours(output.paragraph_context(turns, turns.select("paragraph_id")))
+
+
+# ---------------------------------------------------------------- counts of groups, summaries of both grains
+COUNTED = runtime(
+    groups("or window", {"forms": ["to", "that"], "match_logic": "or", "max_token_distance": 3, "exclude_forms_any": ["the"]}),
+    groups("and window", {"forms": ["of", "the", "and"], "anchor_form": "of", "max_token_distance": 5}, {"forms": ["in", "to", "is", "that"], "match_logic": "or", "combine_logic": "and"}),
+    groups("mixed", {"forms": ["the", "of"], "search_scope": "sentence"}, {"forms": ["and", "in", "to"], "match_logic": "or", "combine_logic": "and", "search_scope": "paragraph"}),
+    groups("not", {"forms": ["the"]}, {"forms": ["in", "to"], "match_logic": "not", "combine_logic": "and"}),
+    groups("by sentence", {"forms": ["der", "die"], "match_logic": "or", "search_scope": "sentence"}, {"forms": ["und"], "match_logic": "not", "combine_logic": "or", "search_scope": "sentence"}, scope="sentence"),
+)
+
+
+def _present(forms: str, unit: str = "paragraph_id", least: int = 1) -> str:
+    return f"SELECT paragraph_id, {unit} AS u, count(DISTINCT normalized_form) AS n FROM pos WHERE normalized_form IN ({forms}) GROUP BY 1, 2 HAVING n >= {least}"
+
+
+_WITHIN = "EXISTS (SELECT 1 FROM pos b WHERE b.paragraph_id = a.paragraph_id AND b.normalized_form = '{f}' AND abs(b.paragraph_token_position - a.paragraph_token_position) <= 3)"
+
+
+@query(f"""
+, oa AS (SELECT a.*, {_WITHIN.format(f="to")}::INT + {_WITHIN.format(f="that")}::INT AS n, row_number() OVER (PARTITION BY paragraph_id ORDER BY normalized_form = 'that', paragraph_token_position) AS k
+         FROM pos a WHERE normalized_form IN ('to', 'that') AND NOT {_WITHIN.format(f="the")}),
+aw AS ({around("of", ("of", "the", "and"), 5)}), wi AS ({_present("'in', 'to', 'is', 'that'")}),
+ms AS (SELECT DISTINCT paragraph_id FROM ({_present("'the', 'of'", "sentence_id", 2)})), mp AS ({_present("'and', 'in', 'to'")}),
+sd AS ({_present("'der', 'die'", "sentence_id")}), su AS (SELECT DISTINCT sentence_id FROM pos WHERE normalized_form = 'und')
+SELECT 'or window' AS condition_id, paragraph_id, 'paragraph' AS unit_scope, paragraph_id AS unit_id, n::BIGINT AS matched_form_count, true AS distance_is_match FROM oa WHERE k = 1
+UNION ALL SELECT 'and window', paragraph_id, 'paragraph', paragraph_id, greatest(3, n), true FROM aw JOIN wi USING (paragraph_id)
+UNION ALL SELECT 'mixed', paragraph_id, 'paragraph', paragraph_id, greatest(2, n), true FROM ms JOIN mp USING (paragraph_id)
+UNION ALL SELECT 'not', paragraph_id, 'paragraph', paragraph_id, 2, true FROM ({has_any("the")} EXCEPT {has_any("in", "to")})
+UNION ALL SELECT 'by sentence', sen.paragraph_id, 'sentence', sen.sentence_id, greatest(coalesce(n, 0), CASE WHEN su.sentence_id IS NULL THEN 1 ELSE 0 END), true
+  FROM sen LEFT JOIN sd ON sd.u = sen.sentence_id LEFT JOIN su ON su.sentence_id = sen.sentence_id WHERE n IS NOT NULL OR su.sentence_id IS NULL""")
+def group_counts(spark, d):
+    c = Corpus(spark, d)
+    return group_units.matched_units(positions.positioned(c.tokens, c.sentences, COUNTED.vocabulary), c.sentences.select("paragraph_id", "sentence_id"), list(COUNTED.rules))
+
+
+NEEDING = runtime(condition("a", ["x", "z"], forms=["the", "of"]), condition("b", ["y"], forms=["and"], required_categories_all=["x"]), condition("c", ["y"], forms=["in"], required_categories_any=["q", "y"]), condition("d", ["w"], forms=["to"], required_categories_any=["q"]))
+
+
+@query(f""", h AS (SELECT p.*, c, k FROM pos p JOIN (SELECT paragraph_id, 'a' AS c, ['the', 'of'] AS f, ['x'] AS k FROM ({has_all("the", "of")}) UNION ALL SELECT paragraph_id, 'b', ['and'], ['y'] FROM ({has_any("and")})
+  UNION ALL SELECT paragraph_id, 'c', ['in'], ['y'] FROM ({has_any("in")})) m ON m.paragraph_id = p.paragraph_id AND list_contains(f, normalized_form))
+SELECT paragraph_id, sentence_id, token_no, c AS condition_id FROM h WHERE c IN ('a', 'c') OR paragraph_id IN ({has_all("the", "of")})""")
+def hits_by_category(spark, d):
+    found = Corpus(spark, d).hits(NEEDING)
+    return hits.by_categories(found, list(NEEDING.rules)).select("paragraph_id", "sentence_id", "token_no", "condition_id")
+
+
+BOTH_GRAINS = (groups("s", {"forms": ["the", "of"], "search_scope": "sentence"}, scope="sentence"), condition("p", ["q", "r"], forms=["and"]), condition("never", ["n"], forms=["xyzzy"]))
+
+
+@query(f""", sp AS (SELECT DISTINCT paragraph_id, 's' AS c, ['c'] AS k FROM pos WHERE sentence_id IN ({_S}) UNION ALL SELECT paragraph_id, 'p', ['q', 'r'] FROM ({B_})),
+u AS (SELECT DISTINCT paragraph_id FROM pos WHERE normalized_form IN ('the', 'of', 'and', 'xyzzy'))
+SELECT u.paragraph_id, 3::BIGINT AS condition_count, count(c) AS matched_condition_count, count(c) > 0 AS is_selected, coalesce(string_agg(c, ', ' ORDER BY c), '') AS matched_condition_ids_text,
+  array_to_string(list_sort(list_distinct(flatten(coalesce(list(k) FILTER (c IS NOT NULL), [])))), ', ') AS matched_categories_text FROM u LEFT JOIN sp USING (paragraph_id) GROUP BY 1""")
+def detail_summary(spark, d):
+    c, rules = Corpus(spark, d), runtime(*BOTH_GRAINS, analysis_unit="sentence")
+    e = c.evaluate(rules)
+    rows = select.SentenceSelection(e, c.tokens).rows
+    truth = rows.select("paragraph_id", F.explode(evaluate.matched_ids(e.data, F.col("truth"))).alias("condition_id"))
+    return select.detail_summary(e.condition_eval(), truth, {r.id: r.categories for r in rules.rules})
+
+
+@query(f""", si AS (SELECT DISTINCT sentence_id FROM pos WHERE sentence_id IN ({_S})), pi AS ({B_}),
+u AS (SELECT DISTINCT paragraph_id FROM pos WHERE normalized_form IN ('the', 'of', 'and'))
+SELECT sen.sentence_id, sen.paragraph_id, (CASE WHEN si.sentence_id IS NULL THEN 0 ELSE 1 END + CASE WHEN u.paragraph_id IS NULL THEN 0 ELSE 2 END)::BIGINT AS condition_count,
+  (CASE WHEN si.sentence_id IS NULL THEN 0 ELSE 1 END + CASE WHEN pi.paragraph_id IS NULL THEN 0 ELSE 1 END)::BIGINT AS matched_condition_count, si.sentence_id IS NOT NULL OR pi.paragraph_id IS NOT NULL AS is_selected,
+  concat_ws(', ', CASE WHEN pi.paragraph_id IS NULL THEN NULL ELSE 'p' END, CASE WHEN si.sentence_id IS NULL THEN NULL ELSE 's' END) AS matched_condition_ids_text,
+  concat_ws(', ', CASE WHEN si.sentence_id IS NULL THEN NULL ELSE 'c' END, CASE WHEN pi.paragraph_id IS NULL THEN NULL ELSE 'q' END) AS matched_categories_text
+FROM sen LEFT JOIN si USING (sentence_id) LEFT JOIN pi ON pi.paragraph_id = sen.paragraph_id LEFT JOIN u ON u.paragraph_id = sen.paragraph_id""")
+def inherited_summary(spark, d):
+    c = Corpus(spark, d)
+    own = hits.locate(positions.positioned(c.tokens, c.sentences, ["the", "of"]), runtime(SENTENCE_RULES[0])).rows.select("sentence_id").distinct()
+    summary = own.select("sentence_id", F.lit(1).alias("condition_count"), F.lit(True).alias("is_selected"), F.array(F.lit("s")).alias("condition_ids"), F.array(F.lit("c")).alias("categories"))
+    e = c.evaluate(runtime(SENTENCE_RULES[1], condition("a", forms=["the", "of"])))
+    matched = F.filter("matched", lambda r: r == 0)
+    above = e.paragraph_rows.select("paragraph_id", F.lit(2).alias("condition_count"), (F.size(matched) > 0).alias("is_selected"), evaluate.matched_ids(e.data, matched).alias("condition_ids"), evaluate.matched_categories(e.data, matched).alias("categories"))
+    return select.inherited(c.sentences, summary, above)
