@@ -249,6 +249,49 @@ def test_stream_matches_as_batch(spark, tmp_path):
         match_paragraphs(stream, rules({"condition_id": "x", "forms": ["a"], "max_token_distance": 1}))
 
 
+def test_store_appends_cost_the_run_only(spark, tmp_path):
+    from tessera.sources.store import Conflict, Store
+
+    def files(run):
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "c" / "runs" / run).rglob("*") if p.is_file()}
+
+    store = Store(spark, (tmp_path / "c").as_uri())
+    assert not store.exists() and store.runs() == []
+    docs = spark.createDataFrame([("a", "b", "One two. Three."), ("a", "b", "Four.")], "category1 string, category2 string, raw_text string")
+    first, _ = store.build(docs)
+    before = files(first)
+    second, _ = store.build(docs)
+    assert files(first) == before and store.runs() == [first, second] and sorted(r.document_id for r in store.table("documents").collect()) == [1, 2, 3, 4]
+    # a build that fails leaves folder and manifest as they were
+    manifests = sorted(p.name for p in (tmp_path / "c" / "manifests").glob("[0-9]*"))
+    assert store.build(docs.drop("category1"))[0] is None and sorted(p.name for p in (tmp_path / "c" / "manifests").glob("[0-9]*")) == manifests
+    assert sorted(p.name for p in (tmp_path / "c" / "runs").iterdir()) == sorted([first, second])
+    # a commit that another build has overtaken starts from the newer manifest
+    other, calls = Store(spark, (tmp_path / "c").as_uri()), []
+
+    def overtaken(runs):
+        if not calls:
+            calls.append(other._commit(lambda r: [*r, {"id": "other", "last_document": 9}]))
+        return [*runs, {"id": "mine", "last_document": 9}]
+
+    assert [r["id"] for r in store._commit(overtaken)] == [first, second, "other", "mine"]
+    store._commit(lambda runs: [r for r in runs if r["id"] in (first, second)])
+
+    def always(runs):
+        other._commit(lambda r: r)
+        return runs
+
+    with pytest.raises(Conflict):
+        store._commit(always)
+    store.purge(first)
+    assert store.runs() == [second] and not files(first) and store.table("tokens").where(F.col("run_id") == first).count() == 0
+    (tmp_path / "c" / "runs" / "orphan").mkdir()
+    assert store.vacuum() == ["orphan"] and store.vacuum() == [] and len(list((tmp_path / "c" / "manifests").glob("[0-9]*.json"))) <= 2
+    store.purge(second)
+    with pytest.raises(FileNotFoundError):
+        store.table("documents")
+
+
 def test_store_appends_swaps_and_purges(spark, tmp_path):
     from tessera.sources.store import Store
 
