@@ -131,6 +131,27 @@ def write_csv(df: DataFrame, path: str, bom: bool = False, crlf: bool = False) -
     return n
 
 
+#: The fields of a warning in the meta file.
+WARNING_FIELDS = (
+    "code", "message", "conditionId", "unitId", "requestedMode", "usedMode", "combinationCount", "combinationCap", "safetyLimit", "severity", "scope", "fieldName", "queryName", "dbPath", "targetId", "rowNumber",
+)
+
+
+def fallback_message(warning: dict, cap: int) -> dict:
+    """A unit whose combinations exceeded the cap, as the meta file says it."""
+    known = {
+        "code": "distance_match_fallback", "message": f"{warning['combination_count']} combinations are more than the cap of {cap}; the greedy search was used", "conditionId": warning["condition_id"], "unitId": warning["unit_id"],
+        "requestedMode": "auto-approx", "usedMode": "approx", "combinationCount": warning["combination_count"], "combinationCap": cap,
+    }
+    return {f: known.get(f) for f in WARNING_FIELDS}
+
+
+def issue_message(issue) -> dict:
+    """An issue of the rules or of reading, with the same fields."""
+    known = {"code": issue.code, "message": issue.message, "conditionId": issue.condition_id, "severity": issue.severity, "scope": issue.scope, "fieldName": issue.field_name}
+    return {f: known.get(f) for f in WARNING_FIELDS}
+
+
 def write_meta(path: str, **values) -> None:
     handle, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp")
     with os.fdopen(handle, "w", encoding="utf-8") as f:

@@ -204,6 +204,49 @@ def test_text_folder(spark, tmp_path):
     assert readers.text_folder(spark, str(tmp_path / "sub"), (str(tmp_path),))[1][0].code == "forbidden_input_dir"
 
 
+def test_text_folder_of_any_file_system(spark, tmp_path):
+    (tmp_path / "in" / "a" / "secret").mkdir(parents=True)
+    (tmp_path / "in" / "b").mkdir()
+    for name, text in (("x_y.txt", "top"), ("a/p_q.md", "kept"), ("a/secret/no_no.txt", "hidden"), ("b/r_s.txt", "beside"), ("b/t_u.bin", "other")):
+        (tmp_path / "in" / name).write_text(text)
+    (tmp_path / "in" / "link").symlink_to(tmp_path / "in" / "a" / "secret")
+    (tmp_path / "elsewhere").symlink_to(tmp_path / "in")
+    want = [("a/p_q.md", "kept"), ("b/r_s.txt", "beside"), ("x_y.txt", "top")]
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shelf.link./in", (tmp_path / "in").as_uri())
+    (tmp_path / "in" / "a" / "secret").chmod(0)  # whoever lists it fails, unless it is root
+    try:
+        for folder, hidden in ((str(tmp_path / "in"), str(tmp_path / "in" / "a" / "secret")), ((tmp_path / "elsewhere").as_uri(), (tmp_path / "in" / "link").as_uri()), ("viewfs://shelf/in", "viewfs://shelf/in/a/secret")):
+            rows, issues = readers.text_folder(spark, folder, (hidden, *(["viewfs://shelf/in/link"] if folder.startswith("viewfs") else [])))
+            assert issues == [] and sorted((r.relative_path, r.raw_text) for r in rows.collect()) == want
+    finally:
+        (tmp_path / "in" / "a" / "secret").chmod(0o755)
+    assert readers.text_folder(spark, "viewfs://shelf/in/a", ("viewfs://shelf/in",))[1][0].code == "forbidden_input_dir"
+    assert readers.text_folder(spark, "viewfs://shelf/in/none")[1][0].code == "input_dir_not_found"
+    assert readers.text_folder(spark, "viewfs://shelf/in/x_y.txt")[1][0].code == "input_dir_not_directory"
+    assert readers.text_folder(spark, str(tmp_path / "in" / "a"), (str(tmp_path / "in" / "a" / "secret"),))[0].count() == 1
+
+
+def test_latest_text_of_each_stem(spark):
+    import datetime
+    import random
+    import re
+
+    rng = random.Random(5)
+    paths = [f"/{rng.choice('mn')}/{rng.choice(['a', 'b-c', 'b'])}-{y}-{m:02}-{d:02}_10-00-{s:02}.{e}" for y in (2024, 2025) for m in (1, 2, 13) for d in (1, 30) for s in (0, 59, 60) for e in ("md", "MD", "txt")]
+    paths += ["/m/a.md", "/m/-2025-01-01_00-00-00.md", "/m/z-2025-1-1_00-00-00.md", "/n/t-2025-01-01_00-00-00.md", "/m/t-2025-01-01_00-00-00.md"]
+    best = {}
+    for p in sorted(set(paths), key=lambda p: (p.rpartition("/")[2], p)):
+        m = re.fullmatch(r"(.+)-(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2})\.[mM][dD]", p.rpartition("/")[2])
+        try:
+            at = m and datetime.datetime.strptime(m[2], "%Y-%m-%d_%H-%M-%S")
+        except ValueError:
+            continue
+        if m and (m[1] not in best or at > best[m[1]][0]):
+            best[m[1]] = (at, p)
+    got = {r.stem: r.path for r in readers.latest_texts(spark.createDataFrame([(p,) for p in paths], "source_file_path string")).collect()}
+    assert got == {k: p for k, (_, p) in best.items()} and got["t"] == "/m/t-2025-01-01_00-00-00.md"
+
+
 @pytest.fixture()
 def database(tmp_path):
     path = str(tmp_path / "c.db")
