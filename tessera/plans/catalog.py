@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import html_escape
-from tessera.operators import evaluate, groups as group_units, hits, ingest, output, positions, render, select
+from tessera.operators import evaluate, groups as group_units, hits, ingest, lattice, output, positions, render, select
 from tessera.plans.config import compile_authoring, compile_runtime
 from tessera.plans.rules import RuleSet
 from tessera.session import Session
@@ -728,3 +728,16 @@ def inherited_summary(spark, d):
     matched = F.filter("matched", lambda r: r == 0)
     above = e.paragraph_rows.select("paragraph_id", F.lit(2).alias("condition_count"), (F.size(matched) > 0).alias("is_selected"), evaluate.matched_ids(e.data, matched).alias("condition_ids"), evaluate.matched_categories(e.data, matched).alias("categories"))
     return select.inherited(c.sentences, summary, above)
+
+
+# ---------------------------------------------------------------- dictionary tokens; tests hold the path against all segmentations
+@query()
+def dictionary_tokens(spark, d):
+    """Documents by a dictionary of the benchmark's words and of their beginnings: frequent and long ones are cheap."""
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''")
+    pieces = words.select(F.explode(F.array_distinct(F.array("w", F.substring("w", 1, 3), F.substring("w", 1, 5)))).alias("surface"))
+    cost = 4000 - 300 * F.least(F.lit(10), F.floor(F.log2("n"))) - 200 * F.least(F.lit(8), F.length("surface"))
+    entries = pieces.groupBy("surface").agg(F.count(F.lit(1)).alias("n")).select("surface", cost.cast("long").alias("cost"), F.array(F.when(F.length("surface") > 3, F.lit("long")).otherwise(F.lit("short"))).alias("pos"))
+    connections = spark.createDataFrame([("short", "short", 800), ("long", "short", 100), ("unknown", "unknown", 50)], "left string, right string, cost int")
+    tokens = lattice.dictionary_tokens(Corpus(spark, d).sentences, entries, connections)
+    return tokens.select("sentence_id", "token_no", "surface", "normalized_form", "pos1", "pos2", "is_oov")

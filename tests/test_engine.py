@@ -247,6 +247,37 @@ def test_latest_text_of_each_stem(spark):
     assert got == {k: p for k, (_, p) in best.items()} and got["t"] == "/m/t-2025-01-01_00-00-00.md"
 
 
+def test_cheapest_path_against_all_segmentations(spark):
+    import random
+
+    from tessera.operators.lattice import START, Entry, Lattice, dictionary_tokens
+
+    rng = random.Random(13)
+    for _ in range(150):
+        entries = [Entry("".join(rng.choice("abと1") for _ in range(rng.randint(1, 4))), rng.choice([100, 200, 30_000]), "f", (rng.choice("xyz"),)) for _ in range(rng.randint(0, 9))]
+        costs = {(a, b): rng.choice([0, 50, 100]) for a in ("x", "y", "unknown", START) for b in ("x", "z", "unknown")}
+        made, text = Lattice(entries, costs), "".join(rng.choice("abと1?") for _ in range(rng.randint(1, 7)))
+
+        def paths(i, left):
+            if i == len(text):
+                yield 0, []
+                return
+            for e in made.candidates(text, i):
+                for cost, rest in paths(i + len(e.surface), e.pos[0]):
+                    yield costs.get((left, e.pos[0]), 0) + e.cost + cost, [e, *rest]
+
+        best = min(paths(0, START), key=lambda c: (c[0], len(c[1]), [(-len(e.surface), e.pos, e.form) for e in c[1]]))
+        assert [(e.surface, e.pos) for e in made.path(text)] == [(e.surface, e.pos) for e in best[1]], (text, entries)
+    words = [("東京都", 100, None, ["noun", "name"], ["東京", "都"], None), ("東京", 300, None, ["noun"], None, None), ("に", 10, "に", ["particle"], None, None), ("行く", 200, "行く", None, None, None), ("x y", 1, None, None, None, None), (None, 1, None, None, None, None)]
+    table = spark.createDataFrame(words, "surface string, cost int, form string, pos array<string>, parts_a array<string>, parts_b array<string>")
+    sentences = spark.createDataFrame([(1, 1, 1, 0, "東京都に 行くABC12"), (2, 1, 2, 0, None), (3, 1, 3, 0, " ")], SENTENCE)
+    got = {m: [(r.surface, r.pos1, r.is_oov) for r in dictionary_tokens(sentences, table, mode=m).orderBy("sentence_id", "token_no").collect()] for m in "AC"}
+    tail = [("に", "particle", 0), ("行く", "", 0), ("ABC", "unknown", 1), ("12", "unknown", 1)]
+    assert got == {"C": [("東京都", "noun", 0), *tail], "A": [("東京", "noun", 0), ("都", "unknown", 1), *tail]}
+    with pytest.raises(ValueError):
+        dictionary_tokens(sentences, table, mode="D")
+
+
 @pytest.fixture()
 def database(tmp_path):
     path = str(tmp_path / "c.db")
