@@ -152,6 +152,21 @@ def issue_message(issue) -> dict:
     return {f: known.get(f) for f in WARNING_FIELDS}
 
 
+def write_view(records: DataFrame, path: str) -> int:
+    """The records that a filter left, as a CSV for spreadsheets (byte-order mark, CRLF). They have to be of one unit.
+
+    Records have ``sentence_id`` where they are sentences; a frame whose rows have it in part only mixes units. No record
+    is an error, as there is nothing to save.
+    """
+    by_sentence = F.count("sentence_id") if "sentence_id" in records.columns else F.lit(0)
+    found = records.agg(F.count(F.lit(1)).alias("n"), by_sentence.alias("s")).first()
+    if not found.n:
+        raise ValueError("there are no records to save")
+    if found.s not in (0, found.n):
+        raise ValueError(f"{found.s} of {found.n} records are sentences, the others paragraphs; a file has one unit")
+    return write_csv(records if found.s or "sentence_id" not in records.columns else records.drop("sentence_id"), path, bom=True, crlf=True)
+
+
 def write_meta(path: str, **values) -> None:
     handle, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), suffix=".tmp")
     with os.fdopen(handle, "w", encoding="utf-8") as f:

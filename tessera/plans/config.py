@@ -369,3 +369,44 @@ def chosen_conditions(document: dict, categories: list[str] | None = None, ids:
         if (categories is None or set(own) & set(categories)) and (ids is None or name in ids):
             kept.append(raw | {"condition_id": name, "categories": own})
     return document | {"cooccurrence_conditions": kept}
+
+
+# ---------------------------------------------------------------- one form group for flat conditions, and back
+#: Keys that say what a flat condition's forms have to do, and the mark of a condition that was flat.
+FLAT = ("forms", "form_match_logic", "search_scope", "max_token_distance")
+WAS_FLAT = "projected_from_legacy"
+
+
+def as_groups(condition: dict) -> dict:
+    """A flat condition with its forms as one form group, marked, for an editor that knows groups only.
+
+    A condition that has groups, or no word about forms, stays as it is.
+    """
+    if condition.get("form_groups") or not any(condition.get(k) not in (None, []) for k in FLAT):
+        return condition
+    group = {"forms": condition.get("forms") or []}
+    if condition.get("form_match_logic") is not None:
+        group["match_logic"] = "or" if str(condition["form_match_logic"]).strip().lower() == "any" else "and"
+    group |= {k: condition[k] for k in ("search_scope", "max_token_distance") if condition.get(k) is not None}
+    return {k: v for k, v in condition.items() if k not in FLAT} | {"form_groups": [group], WAS_FLAT: True}
+
+
+def as_flat(condition: dict) -> dict:
+    """The inverse: a marked condition goes back to flat keys if its one group still says no more than those can.
+
+    That is one group that isn't combined, negated, anchored or excluding. Otherwise it keeps its groups; the mark goes
+    either way.
+    """
+    marked, groups = condition.get(WAS_FLAT), condition.get("form_groups") or []
+    out = {k: v for k, v in condition.items() if k != WAS_FLAT}
+    if not marked or len(groups) != 1:
+        return out
+    (g,) = groups
+    if g.get("match_logic") not in (None, "and", "or") or g.get("combine_logic") is not None or g.get("anchor_form") is not None or g.get("exclude_forms_any"):
+        return out
+    del out["form_groups"]
+    if g.get("forms"):
+        out["forms"] = g["forms"]
+    if g.get("match_logic") is not None:
+        out["form_match_logic"] = "any" if g["match_logic"] == "or" else "all"
+    return out | {k: g[k] for k in ("search_scope", "max_token_distance") if g.get(k) is not None}

@@ -278,6 +278,16 @@ def test_cheapest_path_against_all_segmentations(spark):
         dictionary_tokens(sentences, table, mode="D")
 
 
+def test_a_view_has_one_unit(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None, "a"), (2, None, "b")], "paragraph_id long, sentence_id long, t string")
+    assert output.write_view(rows, str(tmp_path / "v.csv")) == 2 and (tmp_path / "v.csv").read_bytes() == b"\xef\xbb\xbfparagraph_id,t\r\n1,a\r\n2,b\r\n"
+    assert output.write_view(rows.withColumn("sentence_id", F.col("paragraph_id")), str(tmp_path / "v.csv")) == 2
+    for bad in (rows.limit(0), rows.union(spark.createDataFrame([(3, 31, "c")], rows.schema))):
+        with pytest.raises(ValueError):
+            output.write_view(bad, str(tmp_path / "w.csv"))
+    assert not (tmp_path / "w.csv").exists()
+
+
 @pytest.fixture()
 def database(tmp_path):
     path = str(tmp_path / "c.db")

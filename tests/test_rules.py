@@ -104,3 +104,24 @@ def test_authoring_files(tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"format": FORMAT, "rules": [{"id": "a", "label": "l", "match": {"text_any": ["t"]}}]}))
     assert write_runtime(str(tmp_path / "a.json"), str(tmp_path / "r.json"), str(tmp_path / "i.json")) == 0
     assert load_runtime(tmp_path / "r.json").rules[0].id == "a"
+
+
+def test_flat_conditions_become_groups_and_come_back():
+    import itertools
+
+    from tessera.plans.config import WAS_FLAT, as_flat, as_groups
+
+    values = {"forms": [None, [], ["a"], ["b", "a"]], "form_match_logic": [None, "any", "all"], "search_scope": [None, "sentence", "paragraph"], "max_token_distance": [None, 0, 4]}
+    for combination in itertools.product(*values.values()):
+        flat = {"condition_id": "x", "categories": ["c"], "text_groups": [{"texts": ["t"]}], "note": 1} | {k: v for k, v in zip(values, combination) if v is not None}
+        grouped = as_groups(flat)
+        back = as_flat(grouped)
+        assert back == {k: v for k, v in flat.items() if v != []} or (back == flat and not grouped.get(WAS_FLAT))
+        assert compile_rules([back])[0] == compile_rules([flat])[0]
+        assert grouped is flat or (len(grouped["form_groups"]) == 1 and not set(grouped) & set(values))
+    edited = as_groups({"condition_id": "x", "forms": ["a", "b"], "form_match_logic": "all"})
+    for change in ({"anchor_form": "a"}, {"exclude_forms_any": ["z"]}, {"match_logic": "not"}, {"combine_logic": "and"}):
+        kept = as_flat(edited | {"form_groups": [edited["form_groups"][0] | change]})
+        assert "forms" not in kept and len(kept["form_groups"]) == 1 and WAS_FLAT not in kept
+    assert len(as_flat(edited | {"form_groups": edited["form_groups"] * 2})["form_groups"]) == 2
+    assert as_flat({"form_groups": [{"forms": ["a"]}]}) == {"form_groups": [{"forms": ["a"]}]}
