@@ -189,6 +189,36 @@ def test_token_files(spark, docs, table, empty, tmp_path):
     assert token_files.digests(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_are_laid_out_for_selective_reads(spark, tmp_path):
+    """Encodings, row groups in order of ids, and page indexes of the files; a selective read opens few row groups."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, words_of(rng, 120)) for i in range(600)], "doc_id long, text string")
+    token_files.write_tokens(df, str(tmp_path / "t"), row_group_bytes=16 << 10, page_bytes=2 << 10)
+    seen = 0
+    for path in sorted(glob.glob(f"{tmp_path}/t/*.parquet")):
+        meta = pq.ParquetFile(path).metadata
+        assert meta.num_row_groups > 1
+        groups = []
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            ids, tokens = columns["doc_id"], columns["tokens.list.element"]
+            assert {"RLE_DICTIONARY", "PLAIN_DICTIONARY", "DELTA_BINARY_PACKED"} & set(tokens.encodings) and {"RLE_DICTIONARY", "PLAIN_DICTIONARY", "DELTA_BINARY_PACKED"} & set(ids.encodings)
+            assert all(c.has_offset_index and c.has_column_index for c in (ids, columns["n_tokens"]))
+            groups.append((ids.statistics.min, ids.statistics.max))
+        assert groups == sorted(groups) and all(a[1] < b[0] for a, b in zip(groups, groups[1:]))
+        assert sum(a <= 77 <= b for a, b in groups) <= 1
+        seen += meta.num_rows
+    assert seen == 600
+    plan = token_files.read_tokens(spark, str(tmp_path / "t"), [77])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [EqualTo(doc_id,77)" in plan.replace("In(doc_id, [77])", "EqualTo(doc_id,77)") or "doc_id" in plan.split("PushedFilters:")[1][:60]
+    read = token_files.read_metadata(spark, str(tmp_path / "t"))._jdf.queryExecution().executedPlan().toString()
+    assert "tokens:array" not in read
+
+
 def test_added_tokens_as_the_library_has_them():
     from tokenizers import Tokenizer
 
