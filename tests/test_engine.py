@@ -508,3 +508,10 @@ def test_results_are_kept_until_the_data_change(spark):
 def test_long_issue_lists_say_how_many_more(spark):
     got = readers.listed(spark.range(7).selectExpr("cast(id as string)").orderBy("id"), 5, "c", "warning", "ingest")
     assert [i.message for i in got] == ["0", "1", "2", "3", "4", "and 2 more"]
+
+
+def test_details_overwrite_a_summary(spark):
+    rows = spark.createDataFrame([(1, "a", "b"), (2, "c", None), (3, None, "d")], "k long, x string, y string")
+    details = spark.createDataFrame([(1, "new", None, 5), (3, "n3", "y3", None), (9, "z", "z", 1)], "k long, x string, y string, more long")
+    got = sorted(map(tuple, select.overwritten(rows, details, "k").collect()))
+    assert got == [(1, "new", "b", 5), (2, "c", None, None), (3, "n3", "y3", None)]
