@@ -32,7 +32,7 @@ def side_by_side(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows ``a, b, role, text, *others`` of pairs (a, b, *others): role 0 has the text of a (b = a) and stands before
     its partners, role 1 the text of b.
 
-    Partners of one a come in order within a task. A hot a is salted by the number of its partners, with one copy
+    Other columns of ``docs`` follow at the end. Partners of one a come in order within a task. A hot a is salted by the number of its partners, with one copy
     of its text for each salt; the list of hot ones is broadcast and has ``HOT_DOCS`` rows at most, by their number of
     partners. The join is by sort and merge at every size, so that the plan doesn't change with it.
     """
@@ -43,6 +43,7 @@ def side_by_side(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     numbered = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt"), *others)
     leaders = numbered.select("a", "salt").distinct().select("a", F.col("a").alias("b"), "salt", F.lit(0).alias("role"))
     members = leaders.unionByName(numbered.withColumn("role", F.lit(1)), allowMissingColumns=True)
-    texts = docs.select(F.col("doc_id").alias("b"), "text").hint("merge")
+    further = [c for c in docs.columns if c not in ("doc_id", "text")]
+    texts = docs.select(F.col("doc_id").alias("b"), "text", *further).hint("merge")
     ordered = texts.join(members, "b").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "b")
-    return ordered.select("a", "b", "role", "text", *others)
+    return ordered.select("a", "b", "role", "text", *others, *further)
