@@ -766,6 +766,25 @@ def test_no_internal_name_meets_a_column(spark):
     assert common.unpacked(docs.select(F.struct("*").alias("row")), docs).columns == docs.columns
 
 
+def test_seeds_survive_the_exchange():
+    rng = np.random.default_rng(4)
+    for dtype in (chaining.SEED, chaining.LONG, chaining.MATCH):
+        for n in (0, 1, 500):
+            s = np.frombuffer(rng.bytes(dtype.itemsize * n), dtype).copy()
+            got = chaining._unpacked(chaining._packed(s), dtype)
+            assert sorted(r.tobytes() for r in got) == sorted(r.tobytes() for r in s)
+
+
+def test_rows_without_an_id_and_odd_names_pass_the_cutting(spark):
+    passage = words_of(random.Random(8), 70, 5000)
+    rows = [(1, "x " + passage, 1, 1, "p"), (2, passage + " y", 2, 2, "q"), (2, passage + " y", 2, 2, "q"), (None, passage, 3, 3, "r"), (5, None, 4, 4, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, rest int, `a.b` int, `c``d` string")
+    out = chaining.drop_passages(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    want = [(1, "x " + passage, 1, 1, "p"), (2, " y", 2, 2, "q"), (2, " y", 2, 2, "q"), (None, passage, 3, 3, "r"), (5, None, 4, 4, None)]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_edited_passages_are_found_whole(spark):
     """Two dropped words, and an edit every 12 words (identity 0.92), cost no part of a passage."""
     rng = random.Random(1)
