@@ -191,7 +191,8 @@ class Evaluation:
             rows = rows.withColumn("counts", F.lit(None))
         rows = rows.withColumn("counts", F.coalesce(F.col("counts").cast("array<struct<program:int,n:bigint>>"), F.array().cast("array<struct<program:int,n:bigint>>")))
         rows = self._with_near(rows.join(by_paragraph, "paragraph_id", "left"), near, "paragraph")
-        if self.needs_text:
+        whole = bool(data.text_atoms("paragraph"))  # texts of paragraphs are only put together for rules that look there
+        if whole:
             rows = rows.join(paragraph_texts(self.sentences).select("paragraph_id", "paragraph_text"), "paragraph_id")
         if self.annotations is not None:
             labels = self.annotations.groupBy("paragraph_id").agg(F.collect_set("annotation_pair").alias("labels"))
@@ -201,7 +202,7 @@ class Evaluation:
         if not self.all_paragraphs:
             rows = rows.where(F.col("forms").isNotNull() | F.col("labels").isNotNull())
         rows = rows.withColumns({"forms": F.coalesce("forms", numbers()), "labels": F.coalesce("labels", strings(()))})
-        self.paragraph_rows = rule_columns(rows, data, F.col("paragraph_text") if self.needs_text else None)
+        self.paragraph_rows = rule_columns(rows, data, F.col("paragraph_text") if whole else None)
         return self
 
     @staticmethod
