@@ -1,11 +1,19 @@
 """Fuzzy repeated passages by collinear chaining of shared word k-mers.
 
-Seeds are minimizers of two kinds. Short ones (5 words) survive edits; each is matched with its first holder. Long ones
-(40 words) carry ten words of each side: a run of 50 words that two documents share always holds one long minimizer of
-both, and the words left and right of it in the run are ten together. So a long seed is matched by each of the eleven
-ways to part those ten words, with the first holder that agrees: whatever exact run of 50 words an earlier document has
-is compared with such a document, however many others hold a part of it. Matches are made inside each task first, then
-over all, so a passage that a third of all documents share gives a few matches per place and never one per pair.
+Seeds are minimizers of two kinds: short ones (5 words), which survive edits, and long ones (40 words), which most exact
+copies share. Both are exchanged by hash alone first. A seed of few places (``ALL``) is matched with every earlier
+holder. Most seeds occur once and go no further; the hashes of those with more places are listed, and their places are
+exchanged once more with what stands around them:
+
+* A long one carries ten words of each side. A run of 50 words that two documents share always holds one long minimizer
+  of both, and the words left and right of it in the run are ten together. So it is matched by each of the eleven ways to
+  part those ten words, with the first holder that agrees: whatever exact run of 50 words an earlier document has is
+  compared with such a document, however many others hold a part of it.
+* A short one carries its neighbours, the six short seeds before it and behind it. Together with each of them it is
+  matched with every earlier holder of both if they have few places, else with the first one. A chain has neighbours, so
+  a seed that shares none with a holder is in no chain with it.
+
+So a passage that a third of all documents share gives a few matches per place and never one per pair.
 
 The matches of a document with one earlier document are chained: the best predecessor of a match, among those within the
 gap bound before it in both texts, is found in Fenwick trees of maxima, with linear gap costs folded into the keys.
@@ -30,6 +38,12 @@ LONG_K = 40
 LONG_WINDOW = 11
 #: Words of both sides of a long seed that make a run of ``MIN_WORDS`` with it.
 SIDE = 10
+#: A seed of at most so many places is matched with all its earlier holders.
+ALL = 16
+#: Short seeds of each side that a frequent one is looked up with.
+NEAR = 6
+#: Seeds are exchanged by so many bits; words decide in the alignment.
+SEED_BITS = np.uint64((1 << 48) - 1)
 #: A common long seed stands for so many short ones in a chain.
 STANDS_FOR = (0, 17, 35)
 MIN_SEEDS = 3
@@ -46,6 +60,7 @@ CODES = np.random.default_rng(23).integers(1, 1 << 63, K, dtype=np.uint64) | np.
 PARTS = np.random.default_rng(29).integers(1, 1 << 63, LONG_K // K, dtype=np.uint64) | np.uint64(1)
 SEED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4")])
 LONG = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("before", "u1"), ("behind", "u1"), ("left", "<u2", SIDE), ("right", "<u2", SIDE)])
+HOT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("near", "<u2", 2 * NEAR)])
 MATCH = np.dtype([("doc", "<i8"), ("other", "<i8"), ("pos", "<u4"), ("at", "<u4"), ("long", "u1")])
 
 
@@ -100,14 +115,72 @@ def seeds(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return short, long_
 
 
-def _stars(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of the first holder of each seed, and matches of the other holders' places with its first place."""
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: where the group of each begins, and its size."""
+    new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    at = np.flatnonzero(new)
+    which = np.cumsum(new) - 1
+    return at[which], np.diff(np.r_[at, len(key)])[which]
+
+
+def _earlier(first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of members of the same group (in order of documents) that are of different ones, the later one first."""
+    place, with_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, ALL):
+        i = np.flatnonzero((first[d:] == first[:-d]) & (doc[d:] != doc[:-d])) + d
+        place.append(i)
+        with_.append(i - d)
+    return np.concatenate(place), np.concatenate(with_)
+
+
+def _few(s: np.ndarray) -> np.ndarray:
+    """Places of seeds; of a seed with more than ``ALL`` as many as show that it has, and other documents if there are."""
+    s = s[np.lexsort((s["pos"], s["doc"], s["h"]))]
+    first, n = _groups(s["h"])
+    rank = np.arange(len(s)) - first
+    return s[(rank < ALL) | (rank == n - 1)]
+
+
+def _all_pairs(s: np.ndarray, long_: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matches of the places of each seed with all earlier ones, and the hashes of the seeds that have too many."""
     s = s[np.lexsort((s["pos"], s["doc"], s["h"]))]
-    new = np.r_[True, s["h"][1:] != s["h"][:-1]][: len(s)]
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    other = s["doc"] != s["doc"][lead]
-    m = np.flatnonzero(other)
-    return s[~other], _matches(s, m, lead[m], 0)
+    first, n = _groups(s["h"])
+    last = first + n - 1
+    several = s["doc"][first] != s["doc"][last]
+    hot = np.flatnonzero(several & (n > ALL) & (first == np.arange(len(s))))
+    few = np.flatnonzero(several & (n <= ALL))
+    return _matches(s[few], *_earlier(first[few], s["doc"][few]), long_), s["h"][hot]
+
+
+def _near_stars(s: np.ndarray, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent short seeds, each with every neighbour it has: with few places matched with all earlier ones of both,
+    else with the first holder. What isn't the ``last`` look only makes matches of the second kind, and leaves out places
+    that are settled by them."""
+    s = s[np.lexsort((s["pos"], s["doc"]))]
+    with np.errstate(over="ignore"):
+        side = np.repeat(np.arange(2, dtype=np.uint64), NEAR) << np.uint64(16)
+        key = mix(s["h"][:, None] + (s["near"].astype(np.uint64) | side) * MULT).ravel()
+    i = np.repeat(np.arange(len(s)), 2 * NEAR)
+    there = s["near"].ravel() > 0
+    key, i = key[there], i[there]
+    order = np.lexsort((i, key))
+    key, i = key[order], i[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1])][: len(key)]
+    key, i = key[new], i[new]
+    first, n = _groups(key)
+    doc = s["doc"][i]
+    many, own = n > ALL, doc == doc[first]
+    star = np.flatnonzero(many & ~own)
+    keep = np.zeros(len(s), bool)
+    keep[i[~many | own]] = True
+    place, with_ = [i[star]], [i[first[star]]]
+    if last:
+        few = np.flatnonzero(~many)
+        x, y = _earlier(first[few], doc[few])
+        place.append(i[few[x]])
+        with_.append(i[few[y]])
+    pair = np.unique(np.concatenate(place) * max(len(s), 1) + np.concatenate(with_))
+    return s[keep], _matches(s, pair // max(len(s), 1), pair % max(len(s), 1), 0)
 
 
 def _matches(s: np.ndarray, m: np.ndarray, with_: np.ndarray, long_: int) -> np.ndarray:
@@ -166,44 +239,107 @@ def _unpacked(data: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def _exchange(buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+EXCHANGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+
+
+def _by_bucket(s: np.ndarray, kind: int, buckets: int) -> list[tuple[int, int, bytes]]:
+    bucket = (s["h"] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    s, bucket = s[order], bucket[order]
+    at = np.flatnonzero(np.r_[True, np.diff(bucket) > 0]) if len(s) else []
+    return [(int(bucket[a]), kind, _packed(s[a:b])) for a, b in zip(at, np.r_[at[1:], len(s)])]
 
-    def flush(held):
-        rows = []
-        for kind, stars in enumerate((_stars, _long_stars)):
-            first, found = stars(np.concatenate([x[kind] for x in held]))
-            bucket = (first["h"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            first, bucket = first[order], bucket[order]
-            at = np.flatnonzero(np.r_[True, np.diff(bucket) > 0]) if len(first) else []
-            rows += [(int(bucket[a]), kind, _packed(first[a:b])) for a, b in zip(at, np.r_[at[1:], len(first)])]
-            rows += [(int(k) % buckets, 2, _packed(found[k : k + (1 << 16)])) for k in range(0, len(found), 1 << 16)]
-        return table(schema, *map(list, zip(*rows))) if rows else table(schema, [], [], [])
+
+def _exchange(found, flush):
+    """Rows (bucket, kind, data): what ``found`` takes from a chunk, by ``flush`` some megabytes at a time."""
+
+    def out(held):
+        rows = flush([np.concatenate(x) for x in zip(*held)])
+        return table(EXCHANGED, *map(list, zip(*rows))) if rows else table(EXCHANGED, [], [], [])
 
     def run(batches):
         held, size = [], 0
         for c in chunks(batches):
-            s = seeds(c)
+            s = found(c)
             held.append(s)
-            size += s[0].nbytes + s[1].nbytes
+            size += sum(x.nbytes for x in s)
             if size > FLUSH_BYTES:
-                yield flush(held)
+                yield out(held)
                 held, size = [], 0
         if held:
-            yield flush(held)
+            yield out(held)
 
     return run
 
 
-def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    def of(kind: int, dtype: np.dtype) -> np.ndarray:
-        return np.concatenate([np.zeros(0, dtype), *(_unpacked(x, dtype) for x in pdf["data"][pdf["kind"] == kind])])
+def _places(c: Chunk) -> list[np.ndarray]:
+    """Places of the short and the long seeds of a chunk."""
+    out = []
+    for s in seeds(c):
+        x = np.zeros(len(s), SEED)
+        x["h"], x["doc"], x["pos"] = s["h"] & SEED_BITS, s["doc"], s["pos"]
+        out.append(x)
+    return out
 
-    m = np.concatenate([of(2, MATCH), _stars(of(0, SEED))[1], _long_stars(of(1, LONG))[1]])
+
+def _all_places(buckets: int):
+    return _exchange(_places, lambda s: [row for kind, x in enumerate(s) for row in _by_bucket(_few(x), kind, buckets)])
+
+
+def _hot_places(buckets: int, listed):
+    """The places of listed seeds (a broadcast pair of arrays) with what stands around them."""
+
+    def found(c: Chunk) -> list[np.ndarray]:
+        short, long_ = seeds(c)
+        short["h"] &= SEED_BITS
+        long_["h"] &= SEED_BITS
+        hot, wide = listed.value
+        at = np.flatnonzero(np.isin(short["h"], hot))
+        out = np.zeros(len(at), HOT)
+        for name in SEED.names:
+            out[name] = short[name][at]
+        near = np.maximum((short["h"] >> np.uint64(16)).astype(np.uint16), 1)
+        for k in range(NEAR):
+            for column, step in ((k, -1 - k), (NEAR + k, 1 + k)):
+                to = np.clip(at + step, 0, max(len(short) - 1, 0))
+                out["near"][:, column] = np.where((to == at + step) & (short["doc"][to] == short["doc"][at]), near[to], 0)
+        return [out, long_[np.isin(long_["h"], wide)]]
+
+    def flush(s):
+        rows = []
+        for kind, (first, matched) in enumerate((_near_stars(s[0], last=False), _long_stars(s[1]))):
+            rows += _by_bucket(first, kind, buckets)
+            rows += [(int(k >> 16) % buckets, 2, _packed(matched[k : k + (1 << 16)])) for k in range(0, len(matched), 1 << 16)]
+        return rows
+
+    return _exchange(found, flush)
+
+
+def _of(pdf: pd.DataFrame, kind: int, dtype: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(_unpacked(x, dtype) for x in pdf["data"][pdf["kind"] == kind])])
+
+
+#: Rows of matches; ``long`` is 2 or 3 for the hash (in ``doc``) of a short or long seed with too many places.
+MATCHES = "doc long, other long, pos int, at int, long tinyint"
+
+
+def _frame(m: np.ndarray, hot: tuple[np.ndarray, ...] = ()) -> pd.DataFrame:
+    more = np.zeros(sum(map(len, hot)), MATCH)
+    if len(more):
+        more["doc"], more["long"] = np.concatenate(hot).view(np.int64), np.repeat(np.arange(2, 4), [*map(len, hot)])
+    m = np.concatenate([m, more])
     return pd.DataFrame({"doc": m["doc"], "other": m["other"], "pos": m["pos"].astype(np.int32), "at": m["at"].astype(np.int32), "long": m["long"].astype(np.int8)})
 
 
+def _match(pdf: pd.DataFrame) -> pd.DataFrame:
+    (m, hot), (w, wide) = (_all_pairs(_of(pdf, kind, SEED), kind) for kind in (0, 1))
+    return _frame(np.concatenate([m, w]), (hot, wide))
+
+
+def _match_hot(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _frame(np.concatenate([_of(pdf, 2, MATCH), _near_stars(_of(pdf, 0, HOT))[1], _long_stars(_of(pdf, 1, LONG))[1]]))
+
+
 # ---------------------------------------------------------------- chains
 class Maxima:
     """A Fenwick tree: ``best(i)`` is the largest value put at a place up to i, with who put it (the first of equals)."""
@@ -335,7 +471,8 @@ def _chain(min_words: int):
             pos, at, long_ = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
             ends = lists.offsets.to_numpy().tolist()
             for i, (doc, other) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                p, a, wide = (x[ends[i] : ends[i + 1]].astype(np.int64) for x in (pos, at, long_))
+                # a place is found by each of its neighbours, in several tasks
+                p, a, wide = np.unique(np.stack([x[ends[i] : ends[i + 1]].astype(np.int64) for x in (pos, at, long_)]), axis=1)
                 wide = wide == 1
                 found = chains(np.concatenate([p[~wide], *(p[wide] + k for k in STANDS_FOR)]), np.concatenate([a[~wide], *(a[wide] + k for k in STANDS_FOR)]))
                 # both ends may lie some windows of seeds farther out, as edits hide seeds
@@ -458,8 +595,15 @@ def _chained(rows: DataFrame, min_words: int) -> DataFrame:
     ship(rows.sparkSession)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // (8 << 20)))
-    packed = arrow_map(rows, _exchange(buckets), "bucket int, kind int, data binary")
-    matches = packed.groupBy("bucket").applyInPandas(_match, "doc long, other long, pos int, at int, long tinyint")
+    packed = arrow_map(rows, _all_places(buckets), "bucket int, kind int, data binary")
+    found = written(packed.groupBy("bucket").applyInPandas(_match, MATCHES), "matches")
+    matches = found.where("long < 2")
+    listed = found.where("long > 1").select("doc", "long").toArrow()
+    if listed.num_rows:
+        h, kind = listed["doc"].to_numpy().view(np.uint64), listed["long"].to_numpy()
+        hot = rows.sparkSession.sparkContext.broadcast((np.sort(h[kind == 2]), np.sort(h[kind == 3])))
+        packed = arrow_map(rows, _hot_places(buckets, hot), "bucket int, kind int, data binary")
+        matches = matches.unionByName(packed.groupBy("bucket").applyInPandas(_match_hot, MATCHES))
     seeds_ = F.sum(F.when(F.col("long") == 1, len(STANDS_FOR)).otherwise(1))
     grouped = matches.groupBy("doc", "other").agg(F.collect_list(F.struct("pos", "at", "long")).alias("m"), seeds_.alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).drop("seeds")
     return arrow_map(grouped, _chain(min_words), "a long, b long, chains array<int>")

@@ -951,3 +951,20 @@ def test_decisions_make_a_distribution():
     assert abs(sum(0.5**n for n in code.length.tolist()) - 1) < 1e-12
     n, node, bit = code.spread(np.arange(256, dtype=np.uint8))
     assert len({tuple(zip(a.tolist(), b.tolist())) for a, b in zip(np.split(node, np.cumsum(n)[:-1]), np.split(bit, np.cumsum(n)[:-1]))}) == 256
+
+
+def test_edited_passage_whose_seeds_have_other_first_holders(spark):
+    """Edited passages of which earlier documents hold pieces of 20 words: the holder of the whole one is found, with
+    few holders of each piece and with many."""
+    for copies in (1, 30):
+        rng, rows = random.Random(47), []
+        for i in range(10):
+            p = words_of(rng, 100, 10**6).split()
+            q = list(p)
+            for k in range(7, 100, 14):
+                q[k] = f"edit{i}x{k}"
+            pieces = [" ".join(p[k : k + 20]) for k in range(0, 100, 10)] * copies
+            rows += [(10_000 * i + k, f"{words_of(rng, 30, 10**6)} {x} {words_of(rng, 30, 10**6)}") for k, x in enumerate(pieces)]
+            rows += [(10_000 * i + 9000, f"{words_of(rng, 30, 10**6)} {' '.join(p)}"), (10_000 * i + 9001, f"{' '.join(q)} {words_of(rng, 30, 10**6)}")]
+        got = {(r.doc_id, r.other_id): r.n_words for r in chaining.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+        assert all(got.get((10_000 * i + 9001, 10_000 * i + 9000), 0) >= 85 for i in range(10)), copies
