@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,9 @@ BRACKETS = {"(": ")", "（": "）", "「": "」", "『": "』", "【": "】", "
 _END = "[" + re.escape(ENDS) + "]"
 _NOT_END = "[^" + re.escape(ENDS) + "]"
 SENTENCE = f"{_NOT_END}*{_END}[{re.escape(CLOSERS)}]*|{_NOT_END}+$"
+#: The same for texts without a wide end: Java takes many times as long for a class that has wide characters.
+WIDE_ENDS = [c for c in ENDS if not c.isascii()]
+NARROW_SENTENCE = rf"[^.!?]*[.!?][{re.escape(CLOSERS)}]*|[^.!?]+$"
 TOKEN = r"[^ .,!?]+"
 PARAGRAPH_STEP, SENTENCE_STEP = 100_000, 10_000
 
@@ -144,13 +150,19 @@ def table_blocks(text: str) -> Iterator[tuple[str, int, int | None, int, int]]:
 
 
 BLOCK = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("is_table", "columns", "error", "detached"))]))
+#: Texts that are Python objects at a time.
+TEXTS = 256
 
 
+@F.arrow_udf(BLOCK)
+def table_paragraph_blocks(texts: pa.Array) -> pa.Array:
+    names = ("text", "is_table", "columns", "error", "detached")
+    kind = pa.list_(pa.struct([("text", pa.string()), *((n, pa.int64()) for n in names[1:])]))
 
+    def blocks(some: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(names, b)) for b in table_blocks(t)] if t else [] for t in some.to_pylist()], kind)
 
-@F.pandas_udf(BLOCK)
-def table_paragraph_blocks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [dict(zip(("text", "is_table", "columns", "error", "detached"), b)) for b in table_blocks(t)] if t else [])
+    return pa.concat_arrays([blocks(texts.slice(k, TEXTS)) for k in range(0, max(len(texts), 1), TEXTS)])
 
 
 # ---------------------------------------------------------------- sentences
@@ -187,7 +199,9 @@ def sentence_texts(paragraph: Column, inside_brackets: bool = True) -> Column:
     With ``inside_brackets`` ends inside brackets part sentences too, and all is one regular expression; otherwise
     only paragraphs that hold a bracket go through Python.
     """
-    plain = F.filter(F.transform(F.regexp_extract_all(paragraph, F.lit(SENTENCE), F.lit(0)), uni_trim), lambda v: v != "")
+    wide = reduce(or_, (paragraph.contains(c) for c in WIDE_ENDS))
+    found, narrow = (F.regexp_extract_all(paragraph, F.lit(p), F.lit(0)) for p in (SENTENCE, NARROW_SENTENCE))
+    plain = F.filter(F.transform(F.when(wide, found).otherwise(narrow), uni_trim), lambda v: v != "")
     if not inside_brackets:
         has = paragraph.rlike("[" + re.escape("".join(BRACKETS)) + "]")
         plain = F.coalesce(_bracketed(F.when(has, paragraph)), plain)
@@ -283,6 +297,10 @@ def tokens_of_sentences(sentences: DataFrame, forms: list[str] | None = None, pa
     """Tokens with their positions, of sentences that have ``tokens_before``: no shuffle. ``forms`` are looked for while
     a sentence is one row, so that other tokens never become rows."""
     found = F.transform(F.regexp_extract_all("sentence_text", F.lit(pattern), F.lit(0)), lambda s, j: F.struct((j + 1).cast("long").alias("n"), F.lower(s).alias("f"), s.alias("t")))
+    if forms and all(f.isascii() for f in forms):
+        # a sentence without any is not split. (Not for other forms, as lower case can depend on what stands around a letter.)
+        low = F.lower("sentence_text")
+        sentences = sentences.where(let(low, lambda x: F.exists(F.array(*map(F.lit, forms)), lambda f: x.contains(f))))
     found = found if forms is None else F.filter(found, lambda x: x["f"].isin(list(forms)))
     rows = sentences.select("paragraph_id", "sentence_id", "sentence_no_in_paragraph", "is_table_paragraph", "tokens_before", F.explode(found).alias("x"))
     return rows.select(
