@@ -46,7 +46,7 @@ def joined(values: Column, separator: str) -> Column:
 def facet_values(c: Column) -> Column:
     """Members of a multi-valued cell: split at , 、 ; and line feeds, trimmed, each once; an empty cell has the member ''."""
     parts = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c.cast("string"), F.lit("")), "[,、;\n]"), uni_trim), lambda v: v != ""))
-    return F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)
+    return let(parts, lambda found: F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found))
 
 
 def numeric_order(c: Column) -> list[Column]:

@@ -19,8 +19,8 @@ def select_paragraphs(evaluation: Evaluation) -> DataFrame:
     Those with most matched rules stay, of equals the ones with the smaller id.
     """
     data, matched = evaluation.data, F.col("matched")
-    rows = evaluation.paragraph_rows.select("paragraph_id", matched_ids(data, matched).alias("condition_ids"), matched_categories(data, matched).alias("categories"), "sentence_count")
-    rows = rows.withColumn("matched_condition_count", F.size("condition_ids").cast("long")).where(enough(F.col("matched_condition_count"), evaluation) & (F.col("matched_condition_count") > 0))
+    rows = evaluation.paragraph_rows.select("paragraph_id", matched_ids(data, matched).alias("condition_ids"), matched_categories(data, matched).alias("categories"), "sentence_count", F.size(matched).cast("long").alias("matched_condition_count"))
+    rows = rows.where(enough(F.col("matched_condition_count"), evaluation) & (F.col("matched_condition_count") > 0))
     return top(rows, evaluation.rule_set.settings.max_reconstructed_paragraphs).select(
         "paragraph_id", "sentence_count", "matched_condition_count", F.array_join("condition_ids", ", ").alias("matched_condition_ids_text"), F.array_join("categories", ", ").alias("matched_categories_text")
     )
