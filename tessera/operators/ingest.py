@@ -384,14 +384,32 @@ def build_summary(documents: DataFrame, paragraphs: DataFrame, sentences: DataFr
 
 def corpus_stats(documents: DataFrame, paragraphs: DataFrame, sentences: DataFrame, tokens: DataFrame) -> DataFrame:
     """Counts of a build as rows (counter, value)."""
-    parts = [
-        documents.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum((F.col("raw_text") == "").cast("long")), F.lit(0)).alias("empty_documents"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("characters")),
+    return _counters([
+        _document_counts(documents),
         paragraphs.agg(F.count(F.lit(1)).alias("paragraphs"), F.coalesce(F.sum("is_table_paragraph"), F.lit(0)).alias("table_paragraphs"), F.coalesce(F.sum("table_parse_error"), F.lit(0)).alias("table_errors")),
         sentences.agg(F.count(F.lit(1)).alias("sentences")),
         tokens.agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("normalized_form").alias("forms")),
-    ]
-    out = None
-    for p in parts:
-        rows = p.select(F.explode(F.create_map(*(x for c in p.columns for x in (F.lit(c), F.col(c).cast("long"))))).alias("counter", "value"))
-        out = rows if out is None else out.unionAll(rows)
-    return out
+    ])
+
+
+def plain_corpus_stats(documents: DataFrame, pattern: str = TOKEN) -> DataFrame:
+    """``corpus_stats`` of plain documents (ends inside brackets count, no tables), from their texts: each is split once for
+    all counters. The first token's row stands for its sentence and, in the first sentence, for the paragraph; a sentence
+    without tokens has one row without a form."""
+    paragraphs = documents.select(F.explode(paragraph_blocks(F.col("raw_text"))).alias("p"))
+    sentences = paragraphs.select(F.posexplode(sentence_texts(F.col("p"))).alias("s", "t"))
+    rows = sentences.select("s", F.posexplode_outer(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("n", "surface"))
+    first = F.coalesce("n", F.lit(0)) == 0
+    forms = rows.groupBy(F.lower("surface").alias("form")).agg(F.count("surface").alias("tokens"), F.count_if(first).alias("sentences"), F.count_if(first & (F.col("s") == 0)).alias("paragraphs"))
+    sums = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("paragraphs", "sentences", "tokens")}
+    found = forms.agg(*(v.alias(c) for c, v in sums.items()), F.count("form").alias("forms"), F.lit(0).alias("table_paragraphs"), F.lit(0).alias("table_errors"))
+    return _counters([_document_counts(documents), found])
+
+
+def _document_counts(documents: DataFrame) -> DataFrame:
+    return documents.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum((F.col("raw_text") == "").cast("long")), F.lit(0)).alias("empty_documents"), F.coalesce(F.sum("char_count"), F.lit(0)).alias("characters"))
+
+
+def _counters(parts: list[DataFrame]) -> DataFrame:
+    """Columns of single rows as rows (counter, value)."""
+    return reduce(DataFrame.unionAll, [p.select(F.explode(F.create_map(*(x for c in p.columns for x in (F.lit(c), F.col(c).cast("long"))))).alias("counter", "value")) for p in parts])

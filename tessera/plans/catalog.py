@@ -183,8 +183,7 @@ def token_positions(spark, d):
 
 @query(", tc AS (SELECT 'documents' AS counter, count(*) AS value FROM doc UNION ALL SELECT 'empty_documents', count(*) FILTER (raw_text = '') FROM doc UNION ALL SELECT 'characters', sum(length(raw_text)) FROM doc UNION ALL SELECT 'paragraphs', count(*) FROM par UNION ALL SELECT 'table_paragraphs', 0 UNION ALL SELECT 'table_errors', 0 UNION ALL SELECT 'sentences', count(*) FROM sen UNION ALL SELECT 'tokens', count(*) FROM tok UNION ALL SELECT 'forms', count(DISTINCT normalized_form) FROM tok) SELECT counter, value::BIGINT AS value FROM tc")
 def corpus_stats(spark, d):
-    c = Corpus(spark, d, raw=True)
-    return ingest.corpus_stats(c.documents, c.paragraphs, c.sentences, c.tokens)
+    return ingest.plain_corpus_stats(Corpus(spark, d, raw=True).documents)
 
 
 @query("SELECT paragraph_id, string_agg(sentence_text, '' ORDER BY sentence_no_in_paragraph) AS paragraph_text, count(*) AS sentence_count FROM sen GROUP BY paragraph_id")
