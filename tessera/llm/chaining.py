@@ -53,6 +53,8 @@ MIN_WORDS = LONG_K + SIDE
 MIN_IDENTITY = 0.8
 GAP_COST = 0.01
 MAX_GAP = 40
+#: Matches before one that are looked at without a tree.
+LOOK = 24
 #: Words that are aligned at a time from a difference on.
 PIECE = 48
 FLUSH_BYTES = 12 << 20
@@ -416,7 +418,7 @@ def chains(pos: np.ndarray, at: np.ndarray, gap_cost: float = GAP_COST, max_gap:
     most ``max_gap + K`` words apart in both. The best predecessor within that bound is found in Fenwick trees, so a far
     match never hides a near one: positions are cut into stretches as long as the bound, and the trees of the stretch
     before are filled from its end, as far as each match reaches. A match costs the logarithm of the bound; no tree is
-    asked where the match before it has the best key of all.
+    asked where the match before it has the best key of all, or where at most ``LOOK`` matches before it tell.
     """
     order = np.lexsort((at, pos))
     pos, at = pos[order], at[order]
@@ -427,6 +429,7 @@ def chains(pos: np.ndarray, at: np.ndarray, gap_cost: float = GAP_COST, max_gap:
     score, back = [0.0] * n, [-1] * n
     cuts = [0, *(np.flatnonzero(np.diff(pos // reach)) + 1).tolist(), n] if n else [0]
     top = kept = float("-inf")
+    tops: list[float] = []  # the best key up to each match
     for c, (low, high) in enumerate(zip(cuts, cuts[1:])):
         last = cuts[c - 1] if c and p[low - 1] // reach == p[low] // reach - 1 else low
         own, put, far, since = None, low, [], low
@@ -435,20 +438,30 @@ def chains(pos: np.ndarray, at: np.ndarray, gap_cost: float = GAP_COST, max_gap:
             if j and kept >= top and kept > kj and pj - reach <= p[j - 1] < pj and aj - reach <= a[j - 1] < aj:
                 best, who = kept, j - 1  # the best of all so far, and within reach
             else:
-                if own is None:
-                    own, far, since = Reach(reach), _ahead(p, a, key, last, low, j, high, reach), j
-                while p[put] < pj:  # equal positions can't follow each other
-                    own.put(a[put], key[put], put)
-                    put += 1
-                best, who = better(far[j - since], own.best(aj))
+                found = own is None
+                if found:
+                    best, who, i, end = float("-inf"), -1, j - 1, max(j - 1 - LOOK, -1)
+                    while i > end and p[i] >= pj - reach and tops[i] >= best:
+                        if key[i] >= best and aj - reach <= a[i] < aj and p[i] < pj:
+                            best, who = key[i], i
+                        i -= 1
+                    found = i < 0 or p[i] < pj - reach or tops[i] < best
+                if not found:
+                    if own is None:
+                        own, far, since = Reach(reach), _ahead(p, a, key, last, low, j, high, reach), j
+                    while p[put] < pj:  # equal positions can't follow each other
+                        own.put(a[put], key[put], put)
+                        put += 1
+                    best, who = better(far[j - since], own.best(aj))
                 if best <= kj:
                     best, who = kj, -1
             score[j], back[j] = 1.0 + best - kj, who
             key[j] = kept = 1.0 + best  # the score and the costs up to here
             if kept > top:
                 top = kept
+            tops.append(top)
     used, out = [False] * n, []
-    for e in sorted(range(n), key=lambda k: (-score[k], k)):
+    for e in np.argsort(-np.array(score), kind="stable").tolist():
         if used[e]:
             continue
         count, s = 0, e
@@ -469,11 +482,12 @@ def _chain(min_words: int):
             out: list[list] = [[], [], []]
             lists = b.column(2)
             pos, at, long_ = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+            places = (pos.astype(np.uint64) << np.uint64(33)) | (at.astype(np.uint64) << np.uint64(1)) | (long_ == 1)
             ends = lists.offsets.to_numpy().tolist()
             for i, (doc, other) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 # a place is found by each of its neighbours, in several tasks
-                p, a, wide = np.unique(np.stack([x[ends[i] : ends[i + 1]].astype(np.int64) for x in (pos, at, long_)]), axis=1)
-                wide = wide == 1
+                one = np.unique(places[ends[i] : ends[i + 1]])
+                p, a, wide = (one >> np.uint64(33)).astype(np.int64), (one >> np.uint64(1) & np.uint64(0xFFFFFFFF)).astype(np.int64), one & np.uint64(1) == 1
                 found = chains(np.concatenate([p[~wide], *(p[wide] + k for k in STANDS_FOR)]), np.concatenate([a[~wide], *(a[wide] + k for k in STANDS_FOR)]))
                 # both ends may lie some windows of seeds farther out, as edits hide seeds
                 keep = [v for c in found if c[4] >= MIN_SEEDS and c[1] - c[0] + K + 2 * EDGE >= min_words for v in c[:4]]
@@ -506,11 +520,19 @@ def _reach(x: np.ndarray, y: np.ndarray, miss: float = 2.0, drop: float = 8.0) -
 
 def _best_end(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     """Longest common subsequence of a word sequence with a beginning of another, and the shortest such beginning."""
-    row = np.zeros(len(y) + 1, np.int32)
-    for w in x:
-        cand = np.maximum(row[1:], row[:-1] + (y == w))
-        row[1:] = np.maximum.accumulate(cand)
-    return int(row[-1]), int(row.argmax())
+    # a row of the table is one number: bit j is 0 where the subsequence with y[: j + 1] is one longer than with y[:j]
+    places: dict[int, int] = {}
+    bit = 1
+    for w in y.tolist():
+        places[w] = places.get(w, 0) | bit
+        bit <<= 1
+    full = row = bit - 1
+    for w in x.tolist():
+        if w in places:
+            met = row & places[w]
+            row = (row + met | row - met) & full
+    longer = full & ~row
+    return longer.bit_count(), longer.bit_length()
 
 
 def align(x: np.ndarray, y: np.ndarray, chain: tuple[int, int, int, int]) -> tuple[int, int, int, int, float]:
