@@ -58,6 +58,8 @@ LOOK = 24
 #: Words that are aligned at a time from a difference on.
 PIECE = 48
 FLUSH_BYTES = 12 << 20
+#: Matches that go to a bucket at a time.
+PIECE_ROWS = 1 << 13
 CODES = np.random.default_rng(23).integers(1, 1 << 63, K, dtype=np.uint64) | np.uint64(1)
 PARTS = np.random.default_rng(29).integers(1, 1 << 63, LONG_K // K, dtype=np.uint64) | np.uint64(1)
 SEED = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4")])
@@ -252,6 +254,14 @@ def _by_bucket(s: np.ndarray, kind: int, buckets: int) -> list[tuple[int, int, b
     return [(int(bucket[a]), kind, _packed(s[a:b])) for a, b in zip(at, np.r_[at[1:], len(s)])]
 
 
+def _dealt(m: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Matches in pieces, each to a bucket of its own: they need no other rows, and no bucket may get those of all tasks."""
+    first = m[::PIECE_ROWS]
+    with np.errstate(over="ignore"):
+        bucket = mix(first["doc"].astype(np.uint64) * MULT + first["pos"]) % np.uint64(buckets)
+    return [(b, 2, _packed(m[k * PIECE_ROWS : (k + 1) * PIECE_ROWS])) for k, b in enumerate(bucket.tolist())]
+
+
 def _exchange(found, flush):
     """Rows (bucket, kind, data): what ``found`` takes from a chunk, by ``flush`` some megabytes at a time."""
 
@@ -288,15 +298,20 @@ def _all_places(buckets: int):
     return _exchange(_places, lambda s: [row for kind, x in enumerate(s) for row in _by_bucket(_few(x), kind, buckets)])
 
 
+def _among(h: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Whether hashes are in a sorted list, which is not sorted anew for each chunk."""
+    return listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h if len(listed) else np.zeros(len(h), bool)
+
+
 def _hot_places(buckets: int, listed):
-    """The places of listed seeds (a broadcast pair of arrays) with what stands around them."""
+    """The places of listed seeds (a broadcast pair of sorted arrays) with what stands around them."""
 
     def found(c: Chunk) -> list[np.ndarray]:
         short, long_ = seeds(c)
         short["h"] &= SEED_BITS
         long_["h"] &= SEED_BITS
         hot, wide = listed.value
-        at = np.flatnonzero(np.isin(short["h"], hot))
+        at = np.flatnonzero(_among(short["h"], hot))
         out = np.zeros(len(at), HOT)
         for name in SEED.names:
             out[name] = short[name][at]
@@ -305,13 +320,13 @@ def _hot_places(buckets: int, listed):
             for column, step in ((k, -1 - k), (NEAR + k, 1 + k)):
                 to = np.clip(at + step, 0, max(len(short) - 1, 0))
                 out["near"][:, column] = np.where((to == at + step) & (short["doc"][to] == short["doc"][at]), near[to], 0)
-        return [out, long_[np.isin(long_["h"], wide)]]
+        return [out, long_[_among(long_["h"], wide)]]
 
     def flush(s):
         rows = []
         for kind, (first, matched) in enumerate((_near_stars(s[0], last=False), _long_stars(s[1]))):
             rows += _by_bucket(first, kind, buckets)
-            rows += [(int(k >> 16) % buckets, 2, _packed(matched[k : k + (1 << 16)])) for k in range(0, len(matched), 1 << 16)]
+            rows += _dealt(matched, buckets)
         return rows
 
     return _exchange(found, flush)
@@ -325,21 +340,23 @@ def _of(pdf: pd.DataFrame, kind: int, dtype: np.dtype) -> np.ndarray:
 MATCHES = "doc long, other long, pos int, at int, long tinyint"
 
 
-def _frame(m: np.ndarray, hot: tuple[np.ndarray, ...] = ()) -> pd.DataFrame:
+def _frame(found: list[np.ndarray], hot: tuple[np.ndarray, ...] = ()) -> pd.DataFrame:
+    """Matches of several kinds as one table; each column is put together once."""
     more = np.zeros(sum(map(len, hot)), MATCH)
     if len(more):
         more["doc"], more["long"] = np.concatenate(hot).view(np.int64), np.repeat(np.arange(2, 4), [*map(len, hot)])
-    m = np.concatenate([m, more])
-    return pd.DataFrame({"doc": m["doc"], "other": m["other"], "pos": m["pos"].astype(np.int32), "at": m["at"].astype(np.int32), "long": m["long"].astype(np.int8)})
+    found = [*found, more]
+    types = {"doc": np.int64, "other": np.int64, "pos": np.int32, "at": np.int32, "long": np.int8}
+    return pd.DataFrame({c: np.concatenate([m[c] for m in found], dtype=t, casting="unsafe") for c, t in types.items()}, copy=False)
 
 
 def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     (m, hot), (w, wide) = (_all_pairs(_of(pdf, kind, SEED), kind) for kind in (0, 1))
-    return _frame(np.concatenate([m, w]), (hot, wide))
+    return _frame([m, w], (hot, wide))
 
 
 def _match_hot(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _frame(np.concatenate([_of(pdf, 2, MATCH), _near_stars(_of(pdf, 0, HOT))[1], _long_stars(_of(pdf, 1, LONG))[1]]))
+    return _frame([_of(pdf, 2, MATCH), _near_stars(_of(pdf, 0, HOT))[1], _long_stars(_of(pdf, 1, LONG))[1]])
 
 
 # ---------------------------------------------------------------- chains
