@@ -27,3 +27,17 @@ def test_sentences_without_tokens_and_empty_tables(spark):
     entries = spark.createDataFrame([("ab", 1)], "surface string, cost int")
     assert [(r.sentence_id, r.token_no, r.surface, r.is_oov) for r in dictionary_tokens(rows, entries).orderBy("token_no").collect()] == [(11, 1, "ab", 0), (11, 2, "q", 1)]
     assert dictionary_tokens(rows.limit(0), entries).count() == 0
+
+
+def test_ends_of_stretches_are_kept_for_others(monkeypatch):
+    entries = [Entry("ab", 100, "ab", ("n",)), Entry("a", 100, "a", ("v",)), Entry("abc", 90, "abc", ("n", "x")), Entry("bc", 100, "bc", ())]
+    connections = {("n", "n"): 500, ("", "n"): -50, ("v", "unknown"): -30_000}
+    texts = ["xabc", "abc", "ababc", "cabab", "ab1abc-a", "zababc" * 9]
+    alone = [Lattice(entries, connections).path(t) for t in texts]
+    made, asked = Lattice(entries, connections), []
+    found = made._found
+    monkeypatch.setattr(made, "_found", lambda text, i, *more: asked.append(text[i:]) or found(text, i, *more))
+    assert [made.path(t) for t in texts] == alone
+    short = [x for x in asked if len(x) <= 24]
+    assert len(short) == len(set(short))  # every stretch was looked through anew before
+    assert [made.path(t) for t in reversed(texts)] == alone[::-1]
